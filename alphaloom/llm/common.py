@@ -68,14 +68,41 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 
 
 class Memo(dict):
-    """A bounded dict that computes what it lacks; emptied when it has grown to most entries."""
+    """A bounded dict that computes what it lacks. Full, it becomes the old generation, whose used entries come back."""
 
-    def __init__(self, compute, most: int = 200_000):
+    def __init__(self, compute, most: int = 250_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
-    def __missing__(self, key):
+    def make_room(self) -> None:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+
+    def __missing__(self, key):
+        self.make_room()
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
+
+
+#: Characters that a Cutter tells apart: all below NEAR, U+2581 as one of their own, the rest as one.
+NEAR, MARK, FAR = 0x250, 0x250, 0x251
+
+
+class Cutter:
+    """Cuts a text wherever a table of character pairs says that nothing joins the two."""
+
+    def __init__(self, joined: np.ndarray):
+        """joined: (FAR + 1) x (FAR + 1) booleans; pairs with a far character count as joined."""
+        self.cut = ~joined
+        self.cut[FAR, :] = self.cut[:, FAR] = False
+        self.cut[FAR, MARK] = not joined[FAR, MARK]
+
+    def __call__(self, text: str) -> list[str]:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.where(code == 0x2581, MARK, np.where(code < NEAR, code, FAR))
+        at = (np.flatnonzero(self.cut[code[:-1], code[1:]]) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import near_dedup, packing, pieces, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": pieces.op1_token_counts,
         "op2_minmax_dedup": near_dedup.op2_minmax_dedup,
+        "op4_url_filter": url_filter.op4_url_filter,
+        "op9_sentencepiece": pieces.op9_sentencepiece,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": url_filter.op4_sql()}
