@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, pieces, url_filter
+from . import language_id, near_dedup, packing, pieces, quality, url_filter, vector_search
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": pieces.op1_token_counts,
         "op2_minmax_dedup": near_dedup.op2_minmax_dedup,
+        "op3_language_id": language_id.op3_language_id,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op5_compression_quality": quality.op5_compression_quality,
+        "op7_exact_topk": vector_search.op7_exact_topk,
+        "op8_adaptive_ann": vector_search.op8_adaptive_ann,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "pages_language_id": language_id.pages_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.op4_sql()}
+    return {
+        "op4_url_filter": url_filter.op4_sql(),
+        "op7_exact_topk": vector_search.op7_sql(),
+    }
