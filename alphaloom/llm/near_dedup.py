@@ -7,8 +7,9 @@ into bands; sets that agree in a band share a bucket, and links are confirmed on
 
 Sets that are equal form one class first, so copies cost nothing later. In a bucket every class is linked to a pivot,
 not to every other: pairs grow with the rows. Only where a bucket still spans several components after that are
-further pairs across these components looked at, pivot by pivot, until one component is left; small rests are paired
-in one step. A pair of similar sets in one bucket is thus never lost, and pairs within a component are never emitted.
+further pairs across these components looked at: small rests are paired in one step, larger ones are first cut by the
+exact prefix filter of set similarity joins and then gone through by pivots until one component is left. A pair of
+similar sets in one bucket is thus never lost, and pairs within a component are never emitted.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, scratch_dir, stored, text_batches, utf8  # noqa: F401
+from .common import mix64, stored, table, text_batches, utf8
 from .graph import connected_components
 
 #: Above this many ids the side is joined by a shuffle, not broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: What is left of a bucket up to this size is paired in one step.
-SMALL_REST = 24
+#: What is left of a bucket up to this size is paired in one step; from a larger one so many pivots are taken at a time.
+SMALL_REST = 256
+PIVOTS = 16
 #: Shingles hashed at once: bounds the permuted block to PERMUTATIONS * BLOCK * 8 bytes.
 BLOCK = 8192
 
@@ -159,26 +161,51 @@ def _components(docs: DataFrame, classes: DataFrame, spec: MinMax) -> DataFrame:
     bucket = classes.select("node", F.explode("bands").alias("bucket"))
     pivot = bucket.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     members = stored(bucket.join(pivot, "bucket").select("bucket", "node", "pivot"))
-    pairs = stored(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    edges = stored(_confirmed(docs, classes, pairs, spec))
-    tried, label = pairs, connected_components(edges)
-    # Buckets that still span several components: pivot by pivot, small rests at once.
-    rest = stored(_spanning(members.select("bucket", "node"), label))
+    tried = stored(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    edges = stored(_confirmed(docs, classes, tried, spec))
+    label = connected_components(edges)
+    # Buckets that still span several components: small ones are paired, large ones refined, then gone through by pivots.
+    rest, refined = stored(_spanning(members.select("bucket", "node"), label)), False
     while rest.take(1):
-        sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")), "bucket")
-        a, b = sized.where(f"size <= {SMALL_REST}").alias("a"), sized.where(f"size <= {SMALL_REST}").alias("b")
-        small = a.join(b, F.col("a.bucket") == F.col("b.bucket")).where("a.node > b.node and a.component <> b.component")
-        large = sized.where(f"size > {SMALL_REST}")
-        starred = large.join(large.where("node = pivot").select("bucket", F.col("component").alias("own")), "bucket").where("component <> own")
-        pairs = small.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).unionByName(starred.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        found = _confirmed(docs, classes, pairs, spec)
-        tried, edges = stored(tried.unionByName(pairs)), stored(edges.unionByName(found))
-        label = connected_components(edges)
-        rest = stored(_spanning(large.where("node <> pivot").select("bucket", "node"), label))
+        sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
+        small, large = sized.where(f"size <= {SMALL_REST}"), sized.where(f"size > {SMALL_REST}")
+        across = _across(small, small.select("bucket", F.col("node").alias("other"), F.col("component").alias("own")))
+        if refined:
+            pivots = large.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.min(F.struct("node", "component")).alias("p"))
+            pivots = stored(pivots.select("bucket", F.col("p.node").alias("other"), F.col("p.component").alias("own")))
+            across = across.unionByName(_across(large, pivots))
+            left = large.join(pivots.select("bucket", F.col("other").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+        else:
+            left, refined = _prefix_buckets(large.select("bucket", "node"), _sets_of(docs, classes, large.select("node").distinct(), spec), spec), True
+        pairs = stored(across.distinct().join(tried, ["a", "b"], "left_anti"))
+        if pairs.take(1):
+            tried = stored(tried.unionByName(pairs))
+            edges = stored(edges.unionByName(_confirmed(docs, classes, pairs, spec)))
+            label = connected_components(edges)
+        rest = stored(_spanning(left, label))
     return label
 
 
+def _across(members: DataFrame, others: DataFrame) -> DataFrame:
+    """The pairs (a, b) within buckets whose components differ."""
+    met = members.join(others, "bucket").where("component <> own and node <> other")
+    return met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
+
+
+def _prefix_buckets(members: DataFrame, sets: DataFrame, spec: MinMax) -> DataFrame:
+    """Cuts buckets (bucket, node) into smaller ones (bucket, node) that keep each pair of similar sets together.
+
+    In any order of the shingles, two sets of this similarity share one of the first n - ceil(n * similarity) + 1 of
+    each. With the rarest first, texts that only have a common passage share none of these.
+    """
+    shingle = members.join(sets, "node").select("bucket", "node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    common = shingle.groupBy("bucket", "s").agg(F.count("*").alias("f"))
+    sorted_ = shingle.join(common, ["bucket", "s"]).groupBy("bucket", "node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
+    first = F.col("n") - F.ceil(F.col("n") * spec.percent / 100 - 1e-9) + 1
+    kept = sorted_.select("bucket", "node", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("t")).where("t.f > 1")
+    return kept.select(F.xxhash64("bucket", "t.s").alias("bucket"), "node").distinct()
+
+
 def _spanning(members: DataFrame, label: DataFrame) -> DataFrame:
     """(bucket, node, component) of the buckets whose nodes are in more than one component."""
     m = members.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -186,17 +213,21 @@ def _spanning(members: DataFrame, label: DataFrame) -> DataFrame:
     return m.join(several, "bucket", "left_semi")
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, spec: MinMax) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, spec: MinMax) -> DataFrame:
+    """(node, shingles array<long>): the full sets of some classes, made again from a text of each."""
     wanted = stored(classes.select("node", "fp", "doc").join(nodes, "node", "left_semi"))
     ids = wanted.select(F.col("doc").alias("wanted_doc")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("wanted_doc")), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(spec), "fp binary, shingles array<long>")
-    sets = wanted.select("node", "fp").join(sets, "fp").dropDuplicates(["node"]).select("node", "shingles")
-    sets = stored(sets)
+    return stored(wanted.select("node", "fp").join(sets, "fp").dropDuplicates(["node"]).select("node", "shingles"))
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, spec: MinMax) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets_of(docs, classes, nodes, spec)
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     sized = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
@@ -204,6 +235,4 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, spec: MinM
 
 
 def op2_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return near_duplicates(table(spark, sf_dir, "documents"), MinMax(shingle=4))
