@@ -156,6 +156,23 @@ def near_duplicates(docs: DataFrame, spec: MinMax = MinMax()) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, spec: MinMax = MinMax()) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the smallest doc_id, nulls last.
+
+    Rows count, not ids: of rows that repeat each other one stays, rows with empty or null text all stay, and so do
+    different texts under one id. Texts are only moved if more than BROADCAST_IDS rows go.
+    """
+    key = [F.col("doc_id").isNull(), F.col("doc_id")] if "doc_id" in docs.columns else []
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), spec).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    grouped = stored(found.join(numbered.select("__row", *([] if not key else ["doc_id"])), "__row").select("__row", "__group", F.struct(*key, "__row").alias("__key")))
+    stay = grouped.groupBy("__group").agg(F.min("__key").alias("__key")).select(F.col("__key.__row").alias("__row"))
+    gone = stored(grouped.select("__row").join(stay, "__row", "left_anti"))
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return numbered.join(gone, "__row", "left_anti").drop("__row")
+
+
 def _components(docs: DataFrame, classes: DataFrame, spec: MinMax) -> DataFrame:
     """(node, component) of all classes that have a link."""
     bucket = classes.select("node", F.explode("bands").alias("bucket"))

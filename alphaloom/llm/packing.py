@@ -92,7 +92,10 @@ class WordIds:
         return [b"".join(map(self.memo.__getitem__, parts)) for parts in split]
 
 
-_word_ids = cache(WordIds)
+@cache
+def _word_ids(path: str) -> WordIds:
+    """Kept by the worker from task to task."""
+    return WordIds(path)
 
 
 def _kind(c: str) -> str:

@@ -236,7 +236,9 @@ def _counter(path: str) -> tuple[Vocabulary, Memo]:
     return vocabulary, Memo(vocabulary.count)
 
 
-_encoder = cache(Encoder)
+@cache
+def _encoder(path: str, n: int) -> Encoder:
+    return Encoder(path, n)
 
 
 def _counts(path: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, near_dedup, packing, pieces, quality, url_filter, vector_search
+from . import language_id, near_dedup, packing, pieces, pii, quality, url_filter, vector_search
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language_id": language_id.op3_language_id,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_compression_quality": quality.op5_compression_quality,
+        "op6_bootstrapped_pii": pii.op6_bootstrapped_pii,
         "op7_exact_topk": vector_search.op7_exact_topk,
         "op8_adaptive_ann": vector_search.op8_adaptive_ann,
         "op9_sentencepiece": pieces.op9_sentencepiece,
