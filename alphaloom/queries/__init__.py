@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross, formulas
+from . import cross, formulas, sources
 
-MODULES = (formulas, cross)
+MODULES = (formulas, cross, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
