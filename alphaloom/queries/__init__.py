@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross, formulas, sources
+from . import cross, formulas, joins, sources
 
-MODULES = (formulas, cross, sources)
+MODULES = (formulas, cross, sources, joins)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
