@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross, formulas, joins, sources
+from . import cross, evaluation, formulas, joins, sources
 
-MODULES = (formulas, cross, sources, joins)
+MODULES = (formulas, cross, sources, joins, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
