@@ -108,27 +108,40 @@ class Vocabulary:
         The second best takes an edge that is not on the best path: the best score before it, its own and the best
         score behind it.
         """
-        edges, best = self.lattice(word)
-        n = len(word)
-        path, ids, at = set(), [], n
+        n, singles = len(word), self.singles
+        best, back = [float("-inf")] * (n + 1), [(0, -1)] * (n + 1)
+        best[0], at, edges = 0.0, 0, []
+        for last, (size, score, i) in self.matcher.iter(word):
+            while at < last:
+                if word[at] not in singles:
+                    edges.append((at, at + 1, self.unknown))
+                    if best[at] + self.unknown > best[at + 1]:
+                        best[at + 1], back[at + 1] = best[at] + self.unknown, (at, -1)
+                at += 1
+            end = last + 1
+            start = end - size
+            edges.append((start, end, score))
+            if best[start] + score > best[end]:
+                best[end], back[end] = best[start] + score, (start, i)
+        for at in range(at, n):
+            if word[at] not in singles:
+                edges.append((at, at + 1, self.unknown))
+                if best[at] + self.unknown > best[at + 1]:
+                    best[at + 1], back[at + 1] = best[at] + self.unknown, (at, -1)
+        path, flat, at = [-1] * (n + 1), [], n
         while at:
-            start, i = next((s, i) for s, score, i in edges[at] if best[s] + score == best[at])
-            path.add((start, at))
-            ids.append((i, start))
+            start, i = back[at]
+            path[at] = start
+            flat += [self.byte_ids[b] for b in reversed(word[start].encode())] if i < 0 else [i]
             at = start
-        behind = [float("-inf")] * n + [0.0]
-        second = float("-inf")
-        for end in range(n, 0, -1):
-            rest = behind[end]
-            for start, score, _ in edges[end]:
-                if score + rest > behind[start]:
-                    behind[start] = score + rest
-                if (start, end) not in path and best[start] + score + rest > second:
-                    second = best[start] + score + rest
-        flat: list[int] = []
-        for i, start in reversed(ids):
-            flat += [self.byte_ids[b] for b in word[start].encode()] if i < 0 else [i]
-        return tuple(flat), best[n], best[n] - second
+        behind, second = [float("-inf")] * n + [0.0], float("-inf")
+        for start, end, score in reversed(edges):  # by falling end, so what is behind an end is known
+            rest = behind[end] + score
+            if rest > behind[start]:
+                behind[start] = rest
+            if path[end] != start and best[start] + rest > second:
+                second = best[start] + rest
+        return tuple(reversed(flat)), best[n], best[n] - second
 
     def lattice(self, word: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
         """For each end the edges (start, score, id) that reach it, earliest start first, and the best score to it.
@@ -176,7 +189,7 @@ class Encoder:
 
     def __init__(self, path: str, n: int):
         self.vocabulary, self.n = Vocabulary(path), n
-        self.memo = Memo(self._two, 150_000)
+        self.memo = Memo(self._two, 400_000)
         self.choices = Memo(lambda word: self.vocabulary.n_best(word, n), 20_000)
 
     def _two(self, word: str) -> tuple[bytes, float, float]:
