@@ -5,11 +5,11 @@ half the hash evaluations give a signature of the same length; both estimate the
 as the two are negatively correlated their mean varies less than that of two independent ones. The signature is cut
 into bands; sets that agree in a band share a bucket, and links are confirmed on full sets.
 
-Sets that are equal form one class first, so copies cost nothing later. In a bucket every class is linked to a pivot,
-not to every other: pairs grow with the rows. Only where a bucket still spans several components after that are
-further pairs across these components looked at: small rests are paired in one step, larger ones are first cut by the
-exact prefix filter of set similarity joins and then gone through by pivots until one component is left. A pair of
-similar sets in one bucket is thus never lost, and pairs within a component are never emitted.
+Sets that are equal form one class first, so copies cost nothing later. In a bucket every class is compared with a
+pivot, not with every other: pairs grow with the rows. Where a bucket still spans several components after that, the
+pairs across these components are looked at as well, as far as the distances to the pivot and the sizes leave a link
+possible; buckets in which this is too much are dealt out anew by the prefix filter of exact set joins. A pair of
+similar sets in one bucket is thus never lost, and pairs within a component are not emitted.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, stored, table, text_batches, utf8
@@ -27,9 +27,8 @@ from .graph import connected_components
 
 #: Above this many ids the side is joined by a shuffle, not broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: What is left of a bucket up to this size is paired in one step; from a larger one so many pivots are taken at a time.
-SMALL_REST = 256
-PIVOTS = 16
+#: Comparisons within a bucket above which its nodes are dealt out anew by the prefix filter.
+HEAVY = 4_000_000
 #: Shingles hashed at once: bounds the permuted block to PERMUTATIONS * BLOCK * 8 bytes.
 BLOCK = 8192
 
@@ -145,7 +144,7 @@ def near_duplicates(docs: DataFrame, spec: MinMax = MinMax()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.mapInArrow(_sign(spec), "doc_id long, n_shingles long, fp binary, bands array<long>"))
     classes = stored(
-        signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+        signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
     )
     label = _components(docs, classes, spec)
     of_class = classes.select("fp", "node", "doc").join(label, "node", "left").select("fp", "doc", F.coalesce("component", "node").alias("component"))
@@ -175,61 +174,78 @@ def deduplicate(docs: DataFrame, spec: MinMax = MinMax()) -> DataFrame:
 
 def _components(docs: DataFrame, classes: DataFrame, spec: MinMax) -> DataFrame:
     """(node, component) of all classes that have a link."""
-    bucket = classes.select("node", F.explode("bands").alias("bucket"))
-    pivot = bucket.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = stored(bucket.join(pivot, "bucket").select("bucket", "node", "pivot"))
-    tried = stored(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    edges = stored(_confirmed(docs, classes, tried, spec))
-    label = connected_components(edges)
-    # Buckets that still span several components: small ones are paired, large ones refined, then gone through by pivots.
-    rest, refined = stored(_spanning(members.select("bucket", "node"), label)), False
-    while rest.take(1):
-        sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
-        small, large = sized.where(f"size <= {SMALL_REST}"), sized.where(f"size > {SMALL_REST}")
-        across = _across(small, small.select("bucket", F.col("node").alias("other"), F.col("component").alias("own")))
-        if refined:
-            pivots = large.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.min(F.struct("node", "component")).alias("p"))
-            pivots = stored(pivots.select("bucket", F.col("p.node").alias("other"), F.col("p.component").alias("own")))
-            across = across.unionByName(_across(large, pivots))
-            left = large.join(pivots.select("bucket", F.col("other").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        else:
-            left, refined = _prefix_buckets(large.select("bucket", "node"), _sets_of(docs, classes, large.select("node").distinct(), spec), spec), True
-        pairs = stored(across.distinct().join(tried, ["a", "b"], "left_anti"))
-        if pairs.take(1):
-            tried = stored(tried.unionByName(pairs))
-            edges = stored(edges.unionByName(_confirmed(docs, classes, pairs, spec)))
-            label = connected_components(edges)
-        rest = stored(_spanning(left, label))
-    return label
-
-
-def _across(members: DataFrame, others: DataFrame) -> DataFrame:
-    """The pairs (a, b) within buckets whose components differ."""
-    met = members.join(others, "bucket").where("component <> own and node <> other")
-    return met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
-
-
-def _prefix_buckets(members: DataFrame, sets: DataFrame, spec: MinMax) -> DataFrame:
-    """Cuts buckets (bucket, node) into smaller ones (bucket, node) that keep each pair of similar sets together.
+    bucket = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    pivot = bucket.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
+    members = stored(bucket.join(pivot, "bucket").select("bucket", "node", "n", "pivot"))
+    pairs = stored(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    known = stored(_similarities(docs, classes, pairs, spec))
+    edges = known.where(_linked(spec)).select("a", "b")
+    label = stored(connected_components(edges))
+    # What buckets that still span several components may hide.
+    more = stored(_across(docs, classes, _spanning(members, label), known, spec).join(pairs, ["a", "b"], "left_anti"))
+    found = _similarities(docs, classes, more, spec).where(_linked(spec)).select("a", "b")
+    return connected_components(edges.unionByName(found))
 
-    In any order of the shingles, two sets of this similarity share one of the first n - ceil(n * similarity) + 1 of
-    each. With the rarest first, texts that only have a common passage share none of these.
-    """
-    shingle = members.join(sets, "node").select("bucket", "node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    common = shingle.groupBy("bucket", "s").agg(F.count("*").alias("f"))
-    sorted_ = shingle.join(common, ["bucket", "s"]).groupBy("bucket", "node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
-    first = F.col("n") - F.ceil(F.col("n") * spec.percent / 100 - 1e-9) + 1
-    kept = sorted_.select("bucket", "node", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("t")).where("t.f > 1")
-    return kept.select(F.xxhash64("bucket", "t.s").alias("bucket"), "node").distinct()
+
+def _linked(spec: MinMax) -> Column:
+    return 100 * F.col("both") >= spec.percent * (F.col("na") + F.col("nb") - F.col("both"))
 
 
 def _spanning(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(bucket, node, component) of the buckets whose nodes are in more than one component."""
-    m = members.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    """The members of buckets whose nodes are in more than one component, with their component."""
+    m = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     return m.join(several, "bucket", "left_semi")
 
 
+def _across(docs: DataFrame, classes: DataFrame, rest: DataFrame, known: DataFrame, spec: MinMax) -> DataFrame:
+    """The pairs (a, b) of a bucket, of different components, that can be similar enough.
+
+    1 - J is a metric: two sets whose distances to the bucket's pivot, which are known, differ by more than the largest
+    distance of a link are not linked; nor are sets of too different size. Each bucket has a component with most nodes;
+    pairs need one node outside it, so a group of near copies is never paired with itself.
+    """
+    far = known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("away"))
+    rest = stored(rest.join(far, ["node", "pivot"], "left").select("bucket", "node", "n", "component", F.coalesce("away", F.lit(0.0)).alias("away")))
+    sized = rest.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("main"))
+    sized = sized.select("bucket", "size", (F.col("size") - F.col("main.k")).alias("outside"), F.col("main.component").alias("main"))
+    light = sized.where(F.col("size") * F.col("outside") <= HEAVY)
+    pairs = _met(rest, light, spec)
+    heavy = rest.join(sized.where(F.col("size") * F.col("outside") > HEAVY).select("bucket"), "bucket", "left_semi").select("node", "n", "component").distinct()
+    heavy = stored(heavy)
+    if not heavy.take(1):
+        return pairs.distinct()
+    cut = stored(_prefix_buckets(heavy, _sets_of(docs, classes, heavy.select("node"), spec), spec))
+    again = cut.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return pairs.unionByName(_met(cut.withColumn("away", F.lit(0.0)), again.select("bucket", F.col("main.component").alias("main")), spec)).distinct()
+
+
+def _met(members: DataFrame, buckets: DataFrame, spec: MinMax) -> DataFrame:
+    """members (bucket, node, n, component, away) of the buckets (bucket, main): those outside main with all others."""
+    m = members.join(buckets.select("bucket", "main"), "bucket")
+    x = m.where("component <> main").select("bucket", F.col("node").alias("xa"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("away").alias("xd"))
+    y = m.select("bucket", F.col("node").alias("ya"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("away").alias("yd"), (F.col("component") == F.col("main")).alias("inside"))
+    once = (F.col("inside") | (F.col("xa") > F.col("ya"))) & (F.col("xc") != F.col("yc"))
+    near = F.abs(F.col("xd") - F.col("yd")) <= 1 - spec.percent / 100 + 1e-9
+    alike = (100 * F.least("xn", "yn") >= spec.percent * F.greatest("xn", "yn")) & near
+    met = x.join(y, (x["bucket"] == y["bucket"]) & once & alike)
+    return met.select(F.greatest("xa", "ya").alias("a"), F.least("xa", "ya").alias("b"))
+
+
+def _prefix_buckets(nodes: DataFrame, sets: DataFrame, spec: MinMax) -> DataFrame:
+    """nodes (node, n, component) -> with bucket: small buckets that keep each pair of similar sets together.
+
+    In any order of the shingles, two sets of this similarity share one of the first n - ceil(n * similarity) + 1 of
+    each. With the rarest first, texts that only have a common passage share none of these.
+    """
+    shingle = sets.select("node", F.explode("shingles").alias("s"))
+    common = shingle.groupBy("s").agg(F.count("*").alias("f"))
+    ordered = shingle.join(common, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
+    first = F.col("n") - F.ceil(F.col("n") * spec.percent / 100 - 1e-9) + 1
+    kept = nodes.join(ordered, "node").select("node", "n", "component", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("t")).where("t.f > 1")
+    return kept.select(F.col("t.s").alias("bucket"), "node", "n", "component")
+
+
 def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, spec: MinMax) -> DataFrame:
     """(node, shingles array<long>): the full sets of some classes, made again from a text of each."""
     wanted = stored(classes.select("node", "fp", "doc").join(nodes, "node", "left_semi"))
@@ -241,14 +257,13 @@ def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, spec: MinMax
     return stored(wanted.select("node", "fp").join(sets, "fp").dropDuplicates(["node"]).select("node", "shingles"))
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, spec: MinMax) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
+def _similarities(docs: DataFrame, classes: DataFrame, pairs: DataFrame, spec: MinMax) -> DataFrame:
+    """pairs (a, b) of classes -> a, b, na, nb, both: sizes of their full sets and of what these share."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _sets_of(docs, classes, nodes, spec)
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    sized = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return sized.where(100 * F.col("both") >= spec.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
 
 
 def op2_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
