@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross, evaluation, formulas, joins, sources
+from . import cross, evaluation, formulas, joins, models, sources
 
-MODULES = (formulas, cross, sources, joins, evaluation)
+MODULES = (formulas, cross, sources, joins, evaluation, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
