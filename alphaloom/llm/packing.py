@@ -30,16 +30,15 @@ from .common import FAR, NEAR, Cutter, Memo, stored, table, text_batches, utf8
 
 @dataclass(frozen=True)
 class Packing:
-    """tokenizer: path of a `tokenizers` file. small: pieces up to this share of capacity are placed last.
-
-    groups: how many sizes the large pieces are rounded to.
+    """tokenizer: path of a `tokenizers` file. groups: how many sizes the large pieces are rounded to. small: pieces up
+    to this share of capacity are placed last. Each pair of the two is planned; the plan with fewest sequences stands.
     """
 
     tokenizer: str
     capacity: int = 2048
     end_id: int = 0
-    groups: int = 64
-    small: float = 0.125
+    groups: tuple[int, ...] = (64, 256, 1024)
+    small: tuple[float, ...] = (0.125, 0.25, 0.5)
 
 
 class WordIds:
@@ -153,14 +152,14 @@ class Plan:
     at offset + (rank - lo) % each * length.
     """
 
-    def __init__(self, histogram: dict[int, int], spec: Packing):
-        self.capacity = spec.capacity
+    def __init__(self, histogram: dict[int, int], capacity: int, groups: int, small: float):
+        self.capacity = capacity
         self.rows: list[tuple[int, int, int, int, int, int]] = []
         self.sequences = 0
         #: Runs of like sequences by what is free in them: free -> [(first sequence, how many)].
         self.gaps: dict[int, list[tuple[int, int]]] = {}
-        limit = int(spec.capacity * spec.small)
-        self._place_large({k: v for k, v in histogram.items() if k > limit}, spec.groups)
+        limit = int(capacity * small)
+        self._place_large({k: v for k, v in histogram.items() if k > limit}, groups)
         for length in sorted((k for k in histogram if k <= limit), reverse=True):
             self._place_small(length, histogram[length])
 
@@ -255,6 +254,12 @@ class Plan:
             self._free(self.capacity - rest * length, first + full, 1)
 
 
+def best_plan(histogram: dict[int, int], spec: Packing) -> Plan:
+    """The plan with fewest sequences, of those equal the first."""
+    plans = (Plan(histogram, spec.capacity, g, s) for g in spec.groups for s in spec.small)
+    return min(plans, key=lambda p: p.sequences)
+
+
 def _best_configuration(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """With one piece of the largest size, the sizes that fill a sequence best: a bounded knapsack over totals.
 
@@ -324,7 +329,7 @@ def pack(docs: DataFrame, spec: Packing) -> DataFrame:
     if not histogram:
         return docs.sparkSession.createDataFrame([], out)
     text_batches(docs.sparkSession, 10_000)
-    return ranked(found).mapInArrow(_lookup(Plan(histogram, spec).rows), out)
+    return ranked(found).mapInArrow(_lookup(best_plan(histogram, spec).rows), out)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
