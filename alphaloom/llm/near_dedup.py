@@ -177,13 +177,14 @@ def _components(docs: DataFrame, classes: DataFrame, spec: MinMax) -> DataFrame:
     bucket = classes.select("node", "n", F.explode("bands").alias("bucket"))
     pivot = bucket.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = stored(bucket.join(pivot, "bucket").select("bucket", "node", "n", "pivot"))
+    sets = _sets_of(docs, classes, members.select("node").distinct(), spec)
     pairs = stored(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    known = stored(_similarities(docs, classes, pairs, spec))
+    known = stored(_similarities(sets, pairs))
     edges = known.where(_linked(spec)).select("a", "b")
     label = stored(connected_components(edges))
     # What buckets that still span several components may hide.
-    more = stored(_across(docs, classes, _spanning(members, label), known, spec).join(pairs, ["a", "b"], "left_anti"))
-    found = _similarities(docs, classes, more, spec).where(_linked(spec)).select("a", "b")
+    more = stored(_across(sets, _spanning(members, label), known, spec).join(pairs, ["a", "b"], "left_anti"))
+    found = _similarities(sets, more).where(_linked(spec)).select("a", "b")
     return connected_components(edges.unionByName(found))
 
 
@@ -198,31 +199,44 @@ def _spanning(members: DataFrame, label: DataFrame) -> DataFrame:
     return m.join(several, "bucket", "left_semi")
 
 
-def _across(docs: DataFrame, classes: DataFrame, rest: DataFrame, known: DataFrame, spec: MinMax) -> DataFrame:
+def _across(sets: DataFrame, rest: DataFrame, known: DataFrame, spec: MinMax) -> DataFrame:
     """The pairs (a, b) of a bucket, of different components, that can be similar enough.
 
+    Each bucket has a component with most nodes; pairs need one node outside it, so a group of near copies is never
+    paired with itself. Of the nodes outside, those stay whose shingles are to a large enough part in other sets too.
     1 - J is a metric: two sets whose distances to the bucket's pivot, which are known, differ by more than the largest
-    distance of a link are not linked; nor are sets of too different size. Each bucket has a component with most nodes;
-    pairs need one node outside it, so a group of near copies is never paired with itself.
+    distance of a link are not linked; nor are sets of too different size.
     """
     far = known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("away"))
-    rest = stored(rest.join(far, ["node", "pivot"], "left").select("bucket", "node", "n", "component", F.coalesce("away", F.lit(0.0)).alias("away")))
-    sized = rest.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("size"), F.max(F.struct("k", "component")).alias("main"))
-    sized = sized.select("bucket", "size", (F.col("size") - F.col("main.k")).alias("outside"), F.col("main.component").alias("main"))
-    light = sized.where(F.col("size") * F.col("outside") <= HEAVY)
-    pairs = _met(rest, light, spec)
-    heavy = rest.join(sized.where(F.col("size") * F.col("outside") > HEAVY).select("bucket"), "bucket", "left_semi").select("node", "n", "component").distinct()
-    heavy = stored(heavy)
-    if not heavy.take(1):
-        return pairs.distinct()
-    cut = stored(_prefix_buckets(heavy, _sets_of(docs, classes, heavy.select("node"), spec), spec))
-    again = cut.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    return pairs.unionByName(_met(cut.withColumn("away", F.lit(0.0)), again.select("bucket", F.col("main.component").alias("main")), spec)).distinct()
-
-
-def _met(members: DataFrame, buckets: DataFrame, spec: MinMax) -> DataFrame:
-    """members (bucket, node, n, component, away) of the buckets (bucket, main): those outside main with all others."""
-    m = members.join(buckets.select("bucket", "main"), "bucket")
+    rest = rest.join(far, ["node", "pivot"], "left").select("bucket", "node", "n", "component", F.coalesce("away", F.lit(0.0)).alias("away"))
+    main = rest.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"))
+    rest = stored(rest.join(main.select("bucket", F.col("top.component").alias("main")), "bucket"))
+    outside = rest.where("component <> main").select("node").distinct()
+    shared = _shared(sets.join(rest.select("node").distinct(), "node", "left_semi"), outside, spec).withColumn("shared", F.lit(True))
+    rest = rest.join(shared, "node", "left").where("component = main or shared")
+    sized = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.count(F.when(F.col("component") != F.col("main"), 1)).alias("outside"))
+    rest = stored(rest.drop("shared").join(sized.where("outside > 0").select("bucket", (F.col("size") * F.col("outside") > HEAVY).alias("heavy")), "bucket"))
+    pairs = _met(rest.where("not heavy"), spec)
+    heavy = stored(rest.where("heavy").select("node", "n", "component").distinct())
+    if heavy.take(1):
+        cut = stored(_prefix_buckets(heavy, sets.join(heavy.select("node"), "node", "left_semi"), spec))
+        main = cut.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        pairs = pairs.unionByName(_met(cut.join(main.select("bucket", F.col("top.component").alias("main")), "bucket").withColumn("away", F.lit(0.0)), spec))
+    return pairs.distinct()
+
+
+def _shared(sets: DataFrame, nodes: DataFrame, spec: MinMax) -> DataFrame:
+    """The nodes of whose shingles at least the share of a link is also in another of the sets.
+
+    Two linked sets have this share of the larger one in common, so others are linked with nothing.
+    """
+    often = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("f")).where("f > 1").select("s")
+    own = sets.join(nodes, "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    return own.join(often, "s").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("k")).where(f"100 * k >= {spec.percent} * n").select("node")
+
+
+def _met(m: DataFrame, spec: MinMax) -> DataFrame:
+    """m (bucket, node, n, component, away, main): the nodes outside main with all others of their bucket."""
     x = m.where("component <> main").select("bucket", F.col("node").alias("xa"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("away").alias("xd"))
     y = m.select("bucket", F.col("node").alias("ya"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("away").alias("yd"), (F.col("component") == F.col("main")).alias("inside"))
     once = (F.col("inside") | (F.col("xa") > F.col("ya"))) & (F.col("xc") != F.col("yc"))
@@ -257,10 +271,8 @@ def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, spec: MinMax
     return stored(wanted.select("node", "fp").join(sets, "fp").dropDuplicates(["node"]).select("node", "shingles"))
 
 
-def _similarities(docs: DataFrame, classes: DataFrame, pairs: DataFrame, spec: MinMax) -> DataFrame:
+def _similarities(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) of classes -> a, b, na, nb, both: sizes of their full sets and of what these share."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets_of(docs, classes, nodes, spec)
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
