@@ -88,6 +88,23 @@ class Memo(dict):
         return value
 
 
+_held: dict = {}
+
+
+def held(make, *args):
+    """make(*args), kept by a Python worker from task to task: one thing at a time, so that stages do not add up."""
+    key = (make, *args)
+    if key not in _held:
+        _held.clear()
+        _held[key] = make(*args)
+    return _held[key]
+
+
+def release() -> None:
+    """Drop what an earlier stage left in this worker."""
+    _held.clear()
+
+
 #: Characters that a Cutter tells apart: all below NEAR, U+2581 as one of their own, the rest as one.
 NEAR, MARK, FAR = 0x250, 0x250, 0x251
 

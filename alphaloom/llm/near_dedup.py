@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, table, text_batches, utf8
+from .common import mix64, release, stored, table, text_batches, utf8
 from .graph import connected_components
 
 #: Above this many ids the side is joined by a shuffle, not broadcast (8 bytes each).
@@ -99,6 +99,7 @@ class Signer:
 
 def _sign(spec: MinMax):
     def run(batches):
+        release()
         signer = Signer(spec)
         for batch in batches:
             n, fps, bands = [], [], []
@@ -117,6 +118,7 @@ def _sign(spec: MinMax):
 
 def _sets(spec: MinMax):
     def run(batches):
+        release()
         for batch in batches:
             found = [shingle_set(t, spec.shingle) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(

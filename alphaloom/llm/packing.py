@@ -17,7 +17,6 @@ import struct
 import unicodedata
 import zlib
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FAR, NEAR, Cutter, Memo, stored, table, text_batches, utf8
+from .common import FAR, NEAR, Cutter, Memo, held, stored, table, text_batches, utf8
 
 
 @dataclass(frozen=True)
@@ -91,12 +90,6 @@ class WordIds:
         return [b"".join(map(self.memo.__getitem__, parts)) for parts in split]
 
 
-@cache
-def _word_ids(path: str) -> WordIds:
-    """Kept by the worker from task to task."""
-    return WordIds(path)
-
-
 def _kind(c: str) -> str:
     category = unicodedata.category(c)[0]
     return c if c == "'" else "space" if c in " \n" else "letter" if category == "L" else "digit" if category == "N" else "other"
@@ -107,7 +100,7 @@ def _pieces(spec: Packing):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        words, end = _word_ids(spec.tokenizer), np.asarray([spec.end_id], "<u4").tobytes()
+        words, end = held(WordIds, spec.tokenizer), np.asarray([spec.end_id], "<u4").tobytes()
         seen = np.zeros(spec.capacity + 1, np.int64)  # pieces of each length so far in this task
         step = 4 * spec.capacity
         for batch in batches:

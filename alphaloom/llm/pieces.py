@@ -19,7 +19,6 @@ import heapq
 import struct
 import zlib
 from dataclasses import dataclass, field
-from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FAR, MARK, Cutter, Memo, table, text_batches, utf8
+from .common import FAR, MARK, Cutter, Memo, held, table, text_batches, utf8
 
 SPACE = "▁"
 #: Fixed value: what an unknown character scores below the lowest piece.
@@ -242,21 +241,14 @@ class Encoder:
         return b"".join(map(self.vocabulary.as_bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-@cache
 def _counter(path: str) -> tuple[Vocabulary, Memo]:
-    """Kept by the worker from task to task."""
     vocabulary = Vocabulary(path)
     return vocabulary, Memo(vocabulary.count)
 
 
-@cache
-def _encoder(path: str, n: int) -> Encoder:
-    return Encoder(path, n)
-
-
 def _counts(path: str):
     def run(batches):
-        vocabulary, memo = _counter(path)
+        vocabulary, memo = held(_counter, path)
         for batch in batches:
             texts = [t.decode() if t else "" for t in utf8(batch.column("text"))]
             n = [sum(map(memo.__getitem__, vocabulary.split(t))) for t in texts]
@@ -281,7 +273,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
 def _encode(path: str, n: int):
     def run(batches):
-        encoder = _encoder(path, n)
+        encoder = held(Encoder, path, n)
         for batch in batches:
             found = [encoder.segmentations(t.decode() if t else "") for t in utf8(batch.column("text"))]
             scores = [encoder.encode(t.decode() if t else "")[1] for t in utf8(batch.column("text"))]
@@ -303,7 +295,7 @@ def encode(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
 
 def _decode(path: str):
     def run(batches):
-        encoder = _encoder(path, 1)
+        encoder = held(Encoder, path, 1)
         for batch in batches:
             texts = [None if ids is None else encoder.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -320,7 +312,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def _digest(path: str, n: int):
     def run(batches):
-        encoder = _encoder(path, n)
+        encoder = held(Encoder, path, n)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_batches, utf8
+from .common import release, stored, table, text_batches, utf8
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -126,6 +126,7 @@ _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("context", pa.string()), ("
 
 
 def _first_pass(batches):
+    release()
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import release, table, text_batches
 
 
 @dataclass(frozen=True)
@@ -132,6 +132,7 @@ def score_column(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series(scores(model, [t.encode() if t else b"" for t in texts]), dtype="float64")
 
     return score(text.cast("string"))
