@@ -205,7 +205,8 @@ def _across(sets: DataFrame, rest: DataFrame, known: DataFrame, spec: MinMax) ->
     """The pairs (a, b) of a bucket, of different components, that can be similar enough.
 
     Each bucket has a component with most nodes; pairs need one node outside it, so a group of near copies is never
-    paired with itself. Of the nodes outside, those stay whose shingles are to a large enough part in other sets too.
+    paired with itself. Shingles that are in no other set count against both: two sets share at most the smaller of
+    their numbers of shingles that others have too.
     1 - J is a metric: two sets whose distances to the bucket's pivot, which are known, differ by more than the largest
     distance of a link are not linked; nor are sets of too different size.
     """
@@ -213,13 +214,12 @@ def _across(sets: DataFrame, rest: DataFrame, known: DataFrame, spec: MinMax) ->
     rest = rest.join(far, ["node", "pivot"], "left").select("bucket", "node", "n", "component", F.coalesce("away", F.lit(0.0)).alias("away"))
     main = rest.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"))
     rest = stored(rest.join(main.select("bucket", F.col("top.component").alias("main")), "bucket"))
-    outside = rest.where("component <> main").select("node").distinct()
-    shared = _shared(sets.join(rest.select("node").distinct(), "node", "left_semi"), outside, spec).withColumn("shared", F.lit(True))
-    rest = rest.join(shared, "node", "left").where("component = main or shared")
+    shared = _shared(sets.join(rest.select("node").distinct(), "node", "left_semi"))
+    rest = rest.join(shared, "node").where(F.expr(f"component = main or 100 * k >= {spec.percent} * n"))
     sized = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.count(F.when(F.col("component") != F.col("main"), 1)).alias("outside"))
-    rest = stored(rest.drop("shared").join(sized.where("outside > 0").select("bucket", (F.col("size") * F.col("outside") > HEAVY).alias("heavy")), "bucket"))
+    rest = stored(rest.join(sized.where("outside > 0").select("bucket", (F.col("size") * F.col("outside") > HEAVY).alias("heavy")), "bucket"))
     pairs = _met(rest.where("not heavy"), spec)
-    heavy = stored(rest.where("heavy").select("node", "n", "component").distinct())
+    heavy = stored(rest.where("heavy").select("node", "n", "k", "component").distinct())
     if heavy.take(1):
         cut = stored(_prefix_buckets(heavy, sets.join(heavy.select("node"), "node", "left_semi"), spec))
         main = cut.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
@@ -227,29 +227,28 @@ def _across(sets: DataFrame, rest: DataFrame, known: DataFrame, spec: MinMax) ->
     return pairs.distinct()
 
 
-def _shared(sets: DataFrame, nodes: DataFrame, spec: MinMax) -> DataFrame:
-    """The nodes of whose shingles at least the share of a link is also in another of the sets.
-
-    Two linked sets have this share of the larger one in common, so others are linked with nothing.
-    """
-    often = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("f")).where("f > 1").select("s")
-    own = sets.join(nodes, "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    return own.join(often, "s").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("k")).where(f"100 * k >= {spec.percent} * n").select("node")
+def _shared(sets: DataFrame) -> DataFrame:
+    """(node, k): how many of a set's shingles are also in another of the sets; no more can be shared with any."""
+    shingle = sets.select("node", F.explode("shingles").alias("s"))
+    often = shingle.groupBy("s").agg(F.count("*").alias("f")).where("f > 1").select("s")
+    found = shingle.join(often, "s").groupBy("node").agg(F.count("*").cast("int").alias("k"))
+    return sets.select("node").join(found, "node", "left").fillna(0, ["k"])
 
 
 def _met(m: DataFrame, spec: MinMax) -> DataFrame:
-    """m (bucket, node, n, component, away, main): the nodes outside main with all others of their bucket."""
-    x = m.where("component <> main").select("bucket", F.col("node").alias("xa"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("away").alias("xd"))
-    y = m.select("bucket", F.col("node").alias("ya"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("away").alias("yd"), (F.col("component") == F.col("main")).alias("inside"))
+    """m (bucket, node, n, k, component, away, main): the nodes outside main with all others of their bucket."""
+    x = m.where("component <> main").select("bucket", F.col("node").alias("xa"), F.col("n").alias("xn"), F.col("k").alias("xk"), F.col("component").alias("xc"), F.col("away").alias("xd"))
+    y = m.select("bucket", F.col("node").alias("ya"), F.col("n").alias("yn"), F.col("k").alias("yk"), F.col("component").alias("yc"), F.col("away").alias("yd"), (F.col("component") == F.col("main")).alias("inside"))
     once = (F.col("inside") | (F.col("xa") > F.col("ya"))) & (F.col("xc") != F.col("yc"))
     near = F.abs(F.col("xd") - F.col("yd")) <= 1 - spec.percent / 100 + 1e-9
     alike = (100 * F.least("xn", "yn") >= spec.percent * F.greatest("xn", "yn")) & near
+    alike = alike & ((100 + spec.percent) * F.least("xk", "yk") >= spec.percent * (F.col("xn") + F.col("yn")))
     met = x.join(y, (x["bucket"] == y["bucket"]) & once & alike)
     return met.select(F.greatest("xa", "ya").alias("a"), F.least("xa", "ya").alias("b"))
 
 
 def _prefix_buckets(nodes: DataFrame, sets: DataFrame, spec: MinMax) -> DataFrame:
-    """nodes (node, n, component) -> with bucket: small buckets that keep each pair of similar sets together.
+    """nodes (node, n, k, component) -> with bucket: small buckets that keep each pair of similar sets together.
 
     In any order of the shingles, two sets of this similarity share one of the first n - ceil(n * similarity) + 1 of
     each. With the rarest first, texts that only have a common passage share none of these.
@@ -258,8 +257,8 @@ def _prefix_buckets(nodes: DataFrame, sets: DataFrame, spec: MinMax) -> DataFram
     common = shingle.groupBy("s").agg(F.count("*").alias("f"))
     ordered = shingle.join(common, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
     first = F.col("n") - F.ceil(F.col("n") * spec.percent / 100 - 1e-9) + 1
-    kept = nodes.join(ordered, "node").select("node", "n", "component", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("t")).where("t.f > 1")
-    return kept.select(F.col("t.s").alias("bucket"), "node", "n", "component")
+    kept = nodes.join(ordered, "node").select("node", "n", "k", "component", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("t")).where("t.f > 1")
+    return kept.select(F.col("t.s").alias("bucket"), "node", "n", "k", "component")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, spec: MinMax) -> DataFrame:
