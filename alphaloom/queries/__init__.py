@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross, diagnosis, evaluation, formulas, joins, models, sources
+from . import cross, diagnosis, evaluation, formulas, jobs, joins, models, sources
 
-MODULES = (formulas, cross, sources, joins, evaluation, models, diagnosis)
+MODULES = (formulas, cross, sources, joins, evaluation, models, diagnosis, jobs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
