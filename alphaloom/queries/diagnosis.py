@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnose as g
 from ..operators import joins as j
-from .base import Registry, bars, panel
+from .base import PANEL, Registry, bars, panel
 from .evaluation import predictions
-from .joins import shares
+from .joins import CAP, shares
 from .models import _MR, IND, LAB, industries, labelled
 
 R = Registry()
@@ -42,7 +42,13 @@ def capped(spark, sf):
     return b_rows(spark, sf).join(j.market_cap(bars(spark, sf), shares(spark, sf)).select("entity_code", "trade_date", "cap"), ["entity_code", "trade_date"])
 
 
-@R.add("g_exposure", "", "share", "score_bucket size_bucket names")
+_BUCKET = "floor((row_number() OVER (PARTITION BY trade_date ORDER BY {v}, entity_code DESC) - 1) * 5 / count(*) OVER (PARTITION BY trade_date)) + 1"
+
+
+@R.add("g_exposure", "", "share", "score_bucket size_bucket names", sql=f"""
+WITH {B}, {CAP[len(PANEL) + 2:]}, kn AS (SELECT bb.trade_date, bb.entity_code, bb.score, c2.cap AS size FROM bb JOIN cap c2 USING (entity_code, trade_date) WHERE c2.cap IS NOT NULL),
+eb AS (SELECT {_BUCKET.format(v="score")} AS sb, {_BUCKET.format(v="size")} AS zb FROM kn), gr AS (SELECT unnest(range(1, 6)) AS sb), gz AS (SELECT unnest(range(1, 6)) AS zb), nn AS (SELECT sb, zb, count(*) AS names FROM eb GROUP BY ALL),
+ff AS (SELECT gr.sb, gz.zb, coalesce(nn.names, 0) AS names FROM gr CROSS JOIN gz LEFT JOIN nn ON nn.sb = gr.sb AND nn.zb = gz.zb) SELECT sb AS score_bucket, zb AS size_bucket, names, names / sum(names) OVER (PARTITION BY sb) AS share FROM ff""")
 def _(spark, sf):
     return g.exposure(capped(spark, sf))
 
