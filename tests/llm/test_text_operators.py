@@ -209,6 +209,47 @@ def test_bootstrap_discovers_and_leaves_the_rest(spark):
     assert redacted[8]["n_chars"] == len(redacted[8]["text"])
 
 
+def test_instances_are_whole():
+    """Spaced phones, cards of failing Luhn and spelled-out addresses are one instance each; sentences end runs."""
+
+    def found(text):
+        return [text[a:b] for kind, _, _, a, b in pii.instances(text, pii.base_spans(text)) if kind is None]
+
+    assert found("please call me (555) 123-4567 soon") == ["(555) 123-4567"]
+    assert found("call 555 123 4567, or 555.987.6543. 12 came") == ["555 123 4567", "555.987.6543"]
+    assert found("card (4111 1111 1111 1112) ends") == ["4111 1111 1111 1112"]
+    assert found("ask jane at example dot com or Jo dot Doe [at] mail [dot] example [dot] org.") == ["jane at example dot com", "Jo dot Doe [at] mail [dot] example [dot] org"]
+    assert found("ask jane @ example.com, @handle.name, look at it, at 3.5 or at jane.doe@example.com") == ["jane @ example.com", "@handle.name"]
+    assert found("id ab-12 34 of 99") == ["ab-12"]
+    assert found("see 10.0.0.1 4567 89") == ["4567 89"]
+    assert pii.contexts("Tel 12 +1 202", 7, 13) == ["1:00", "2:tel 00"] and pii.contexts("x so far", 0, 1) == ["3:so", "4:so far"]
+
+
+def test_bootstrap_discovers_identifiers_of_several_tokens(spark):
+    seeds = [f"please call me +1 202 555 01{i:02d} soon" for i in range(8)]
+    seeds += [f"please write to user{i}@example.com today" for i in range(8)]
+    seeds += [f"charge my card 4111 1111 1111 {n} now" for n in ("1111", "1129", "1137", "1145", "1152", "1160") if pii.luhn(f"411111111111{n}")] + ["charge my card 5500 0000 0000 0004 now", "charge my card 3400 0000 0000 009 now"]
+    assert sum(len(pii.base_spans(t)["card"]) for t in seeds) >= 4
+    odd = {
+        "please call me (555) 123-4567 soon": "please call me <phone> soon",
+        "please call me 555 123 4567 soon": "please call me <phone> soon",
+        "charge my card 4111 1111 1111 1112 now": "charge my card <card> now",
+        "please write to jane at example dot com today": "please write to <email> today",
+        "me 555 123 9999 there": "me <phone> there",  # one word before
+        "555 321 4567 soon": "<phone> soon",  # only what follows
+        "the hall has 555 123 4567 seats": "the hall has 555 123 4567 seats",
+    }
+    docs = documents(spark, [*seeds, *odd])
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    for i, (text, want) in enumerate(odd.items(), len(seeds)):
+        assert redacted[i] == want
+        marked = text
+        for k, a, b in reversed([x.split(":") for x in spans[i].split(",") if x]):
+            marked = marked[: int(a)] + f"<{k}>" + marked[int(b) :]
+        assert marked == want
+
+
 def test_redaction_by_join(spark, monkeypatch):
     texts = [f"please call me +1 202 555 01{i:02d} soon" for i in range(8)] + ["please call me 555-0199 soon", "nothing"]
     plain = {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, texts)).collect()}
