@@ -5,13 +5,14 @@ character advances all rules at once: `D = ((D << 1) | starts) & match[c] | D &
 other. A `*` keeps its state alive over any character, a `[^/]*` written as `@` over any but a slash. The step is
 vectorised over the URLs of an Arrow batch, so the work per URL is its length times the number of words.
 
-Globs see the canonical URL `.host` + path + query; a host never holds a slash, so `@.example.net/en/*` fits the host,
-all of its subdomains and no path that happens to look like it.
+Globs see the canonical URL `.host` + path + query. A host holds neither a slash nor a question mark, and the `@` of a
+host rule crosses neither, so `@.example.net/en/*` fits the host, all of its subdomains and no path or query that
+happens to look like it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,20 @@ GLOBS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """name: what is reported. glob: over the canonical URL. verdict: allow or block. weight: the largest wins."""
+    """name: what is reported. glob: over the canonical URL. verdict: allow or block. weight: the largest wins.
+
+    stops: the characters that an `@` of the glob does not cross.
+    """
 
     name: str
     glob: str
     verdict: str
     weight: int
+    stops: str = "/"
 
 
 def host_rule(verdict: str, host: str, path: str) -> Rule:
-    return Rule(host + path, f"@.{host}{path}*", verdict, len(host) + len(path))
+    return Rule(host + path, f"@.{host}{path}*", verdict, len(host) + len(path), "/?")
 
 
 class Automaton:
@@ -74,7 +79,7 @@ class Automaton:
                 if loop == "*":
                     self.stay[:, word] |= one
                 elif loop == "@":
-                    self.stay[np.arange(256) != ord("/"), word] |= one
+                    self.stay[~np.isin(np.arange(256), list(rule.stops.encode())), word] |= one
             at += len(_states(rule.glob))
             self.ends.append(divmod(at - 1, 64))
 
@@ -163,7 +168,7 @@ def filter_urls(df: DataFrame, rules: list[Rule], default: str = "allow", id_col
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host rules first (any of them outweighs a glob); globs block what no host rule fits; the rest is allowed."""
-    rules = [Rule(r.name, r.glob, r.verdict, r.weight + 1_000_000) for r in (host_rule(*x) for x in HOST_RULES)]
+    rules = [replace(r, weight=r.weight + 1_000_000) for r in (host_rule(*x) for x in HOST_RULES)]
     rules += [Rule(g, g, "block", len(g)) for g in GLOBS]
     judged = filter_urls(table(spark, sf_dir, "pages"), rules)
     named = F.array(*[F.lit(h + p) for _, h, p in HOST_RULES])

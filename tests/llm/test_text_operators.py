@@ -156,6 +156,20 @@ def test_url_filter(spark, tmp_path):
             assert got[i]["verdict"] == ("block" if got[i]["glob"] else "allow")
 
 
+def test_host_rules_do_not_reach_into_the_query(spark, tmp_path):
+    urls = ["http://a.com?u=b.net/x", "http://a.com?next=www.example.com/de/", "http://a.com?u=.org/fr/", "http://a.com?x.doubleclick.net/y", "http://a.net/?u=b", "http://b.net/x?u=a.org/fr/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["glob"]) for r in url_filter.op4_url_filter(spark, str(tmp_path)).collect()}
+    assert [got[i][0] for i in range(6)] == [(f := judged_plainly(u)[2]) and f[0] for u in urls] == [None, None, None, None, "net/", "net/"]
+    assert [got[i][1] for i in range(3)] == ["allow"] * 3
+    assert got[3] == (None, "block", "@.doubleclick.@/*")  # globs keep their [^/]*, as in the SQL
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        for page, _, _, rule, verdict, glob in db.execute(url_filter.op4_sql()).fetchall():
+            assert got[page] == (rule, verdict, glob)
+
+
 def test_globs_match_plainly():
     rules = [url_filter.Rule(g, g, "block", len(g)) for g in ("*.exe", "*/ads/*", "@.b.com/*", "abc", "*a*b*c*", "*" + "z" * 70 + "*")]
     machine = url_filter.Automaton(rules)
