@@ -149,20 +149,35 @@ def domain_of(host: Column) -> Column:
 
 
 def identify(df: DataFrame, model: Model, text: Column, host: Column, declared: Column | None = None, suffix: Column | None = None, spec: Fit = Fit()) -> DataFrame:
-    """Adds lang_found string, posterior double and in_language boolean to df; columns of df stay as they are.
+    """Adds lang_found string, posterior double and in_language boolean to df; its other columns stay as they are.
 
-    Defined cases: null, empty or blank text, and text that no language explains, has lang `und`, posterior 0 and
+    Columns of df with one of these three names, in any case, give way to the results; where they are to be kept, take
+    `fused`. Defined cases: null, empty or blank text, and text that no language explains, has lang `und`, posterior 0 and
     in_language false; a null host is a host of its own; missing declarations and suffixes are evidence of their own
     kind; ties go to the first language by name; an empty table gives no rows. One aggregation by host, one by
     declaration and suffix; hosts are summed before the shuffle, so one host may hold any share of the rows.
     """
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in RESULTS]
+    return fused(df, model, text, host, declared, suffix, spec).select(*kept, *[F.col("__found")[c].alias(c) for c in RESULTS])
+
+
+#: What identify adds.
+RESULTS = ("lang_found", "posterior", "in_language")
+
+
+def fused(df: DataFrame, model: Model, text: Column, host: Column, declared: Column | None = None, suffix: Column | None = None, spec: Fit = Fit()) -> DataFrame:
+    """df as it is, whatever its columns are called, with the results of identify in one struct `__found`.
+
+    Names that begin with two underscores are reserved.
+    """
     spark, langs = df.sparkSession, model.languages
+    own_columns = [F.col(f"`{c}`") for c in df.columns]
     if not langs:
-        return df.select("*", F.lit("und").alias("lang_found"), F.lit(0.0).alias("posterior"), F.lit(False).alias("in_language"))
+        return df.select(*own_columns, F.struct(F.lit("und").alias("lang_found"), F.lit(0.0).alias("posterior"), F.lit(False).alias("in_language")).alias("__found"))
     text_batches(spark)
     k = range(len(langs))
     evidence = df.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *own_columns,
         text_evidence(model, spec, text).alias("__e"),
         F.coalesce(host.cast("string"), F.lit("")).alias("__host"),
         (_known(declared, langs) if declared is not None else F.lit("none")).alias("__declared"),
@@ -177,22 +192,22 @@ def identify(df: DataFrame, model: Model, text: Column, host: Column, declared:
     priors = by_host.join(by_domain, "__domain").select("__host", "__d", F.array(*[f"p{i}" for i in k]).alias("__h"))
     if priors.count() <= BROADCAST_HOSTS:
         priors = F.broadcast(priors)
-    fused = evidence.join(priors, "__host", "left")
+    primed = evidence.join(priors, "__host", "left")
     own = F.col("__e.own")
-    fused = fused.withColumn("__prior", _smoothed(F.col("__h"), own, _smoothed(F.col("__d"), own, corpus, spec.smoothing), spec.smoothing))
+    primed = primed.withColumn("__prior", _smoothed(F.col("__h"), own, _smoothed(F.col("__d"), own, corpus, spec.smoothing), spec.smoothing))
     logs = F.zip_with("__e.logs", "__prior", lambda x, p: x + F.log(p))
     for column, given in (("__declared", declared), ("__suffix", suffix)):
         if given is not None:
             logs = F.zip_with(logs, F.element_at(_worth(cells, column, langs), F.col(column)), lambda x, w: x + w)
-    named = fused.withColumn("__logs", logs).withColumn("__post", _softmax(F.col("__logs")))
+    named = primed.withColumn("__logs", logs).withColumn("__post", _softmax(F.col("__logs")))
     best, speaks = F.array_max("__post"), F.col("__e.speaks")
     lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("__post", best).cast("int"))
-    return named.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+    found = F.struct(
         F.when(speaks, lang).otherwise(F.lit("und")).alias("lang_found"),
         F.when(speaks, best).otherwise(F.lit(0.0)).alias("posterior"),
         (speaks & (best >= spec.sure)).alias("in_language"),
     )
+    return named.select(*own_columns, found.alias("__found"))
 
 
 def _worth(cells: DataFrame, column: str, langs: tuple[str, ...]) -> Column:

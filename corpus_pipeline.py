@@ -17,8 +17,8 @@ LEAST_QUALITY = 0.5
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are in no language: null, empty and blank texts, and noise."""
-    found = language_id.identify(docs, language_id.fit(docs), F.col("text"), F.col("source"))
-    return found.where("in_language").select(*docs.columns)
+    found = language_id.fused(docs, language_id.fit(docs), F.col("text"), F.col("source"))
+    return found.where("__found.in_language").drop("__found")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

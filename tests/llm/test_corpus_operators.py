@@ -132,6 +132,22 @@ def test_noise_and_odd_rows_are_in_no_language(spark):
     assert [r["lang_found"] for r in language_id.identify(df.limit(1), nothing, F.col("text"), F.col("source")).collect()] == ["und"]
 
 
+def test_clashing_columns(spark):
+    """Documents may have columns with the names of the results; the pipeline keeps them, identify puts its own there."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    plain = docs.withColumn("tag.x", F.lit(1))
+    clash = plain.withColumns({"posterior": F.lit("clash"), "In_Language": F.lit(7), "lang_found": F.lit("xx")})
+    kept = corpus_pipeline.keep_languages(spark, clash, SF)
+    assert kept.columns == clash.columns
+    rows = kept.collect()
+    assert rows and {(r["posterior"], r["In_Language"], r["lang_found"]) for r in rows} == {("clash", 7, "xx")}
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs, SF).collect())
+    for model in (language_id.fit(docs), language_id.fit(docs.limit(0))):
+        found, want = (language_id.identify(df, model, F.col("text"), F.col("source")) for df in (clash, plain))
+        assert found.columns == want.columns == [*plain.columns, "lang_found", "posterior", "in_language"]
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_evidence_decides_short_texts(spark):
     """The same ambiguous text goes with its host, and with what the markup declares."""
     model = language_id.fit(spark.read.parquet(f"{SF2}/documents.parquet"))
