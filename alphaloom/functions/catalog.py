@@ -239,3 +239,10 @@ def factor(name: str) -> Callable[[DataFrame], DataFrame]:
     if name in NESTED:
         return lambda panel: NESTED[name](r.with_row_index(panel)).drop(*[x for x in ("__dif", "__dea", "__a", "__b", "__c", "__tp", "__move", "__flow", "__mid", "__e", "__r", "__q", "__m", "__l", "__w", "row_index")], *[f"__z{k}" for k in range(1, 13)])
     return lambda panel: r.with_row_index(panel).withColumn("raw_value", FLAT[name]().cast("double")).drop("row_index")
+
+
+def nested(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """panel with a column per nested factor. The one with a cross-section comes last, so that entities are dealt once."""
+    for name in sorted(names if names is not None else NESTED, key=lambda n: n == "Rank1M"):
+        panel = factor(name)(panel).withColumnRenamed("raw_value", name)
+    return panel

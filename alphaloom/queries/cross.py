@@ -180,6 +180,24 @@ for _group in CATALOG_SQL:
     _catalog(_group)
 
 
+def _catalog_rest(group: str, names: list[str]) -> None:
+    """The factors of a group that CATALOG_SQL lacks; tests/test_catalog.py checks them by brute force."""
+
+    @R.add(f"catalog_{group}_rest", K, " ".join(names))
+    def _(spark, sf):
+        return r.with_row_index(panel(spark, sf)).select("entity_code", "trade_date", *[v.alias(n) for n, v in catalog.columns(names).items()])
+
+
+for _group, _exprs in CATALOG_SQL.items():
+    if _names := [n for n in catalog.GROUPS[_group] if n not in _exprs]:
+        _catalog_rest(_group, _names)
+
+
+@R.add("catalog_nested", K, " ".join(catalog.NESTED))
+def _(spark, sf):
+    return catalog.nested(panel(spark, sf))
+
+
 @R.add("catalog_probe", "factor_id", "", "rows finite")
 def _(spark, sf):
     return job.probe_catalog(panel(spark, sf), "000001.SZ")
