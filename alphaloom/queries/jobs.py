@@ -82,7 +82,7 @@ _fit("mlp", "binary")
 def _(spark, sf):
     rows = dataset(spark, sf)
     days = [r[0] for r in rows.select("trade_date").distinct().orderBy("trade_date").collect()]  # a row per session
-    return t.walk_forward_fit(rows, d.walk_forward(days, spark, 150, 21, most=2, gap=5), NAMES).withColumnRenamed("window", "fold")
+    return t.walk_forward_fit(rows, d.walk_forward(days, spark, 150, 21, gap=5), NAMES).withColumnRenamed("window", "fold")
 
 
 @R.add("m_permutation", "feature", "ic drop")

@@ -171,3 +171,11 @@ def test_entry_and_registry(spark):
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 100
     assert __spark_entry__.entry(spark).columns == ["entity_code", "trade_date", "raw_value", "processed", "percentile", "score", "rank_value"]
+
+
+def test_walk_forward_query_fits_every_window(spark):
+    from alphaloom.queries import jobs
+
+    rows = jobs.R.queries["m_walk_forward"](spark, "/root/testdata/sf0.001").select("fold", "trade_date").distinct().collect()
+    assert sorted({r["fold"] for r in rows}) == [1, 2, 3, 4]
+    assert len({r["trade_date"] for r in rows}) == len(rows) <= 4 * 21
