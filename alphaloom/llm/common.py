@@ -88,6 +88,16 @@ class Memo(dict):
         return value
 
 
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """The places of what fits into most in all, in order; what does not fit what is left is passed over."""
+    out, left = [], most
+    for i, size in enumerate(sizes):
+        if size <= left:
+            out.append(i)
+            left -= size
+    return out
+
+
 _held: dict = {}
 
 

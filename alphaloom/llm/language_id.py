@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stored, table, text_batches
+from .common import fitting, release, stored, table, text_batches
 from .url_filter import url_parts
 
 #: Host tables up to this many rows are broadcast; larger ones are joined by a shuffle.
@@ -33,7 +33,7 @@ STEP = 1 << 16
 @dataclass(frozen=True)
 class Fit:
     """per_language: texts that train a language's model, at most, first by the hash of their id, up to sample_bytes
-    in all.
+    in all; texts that do not fit are passed over. A language with none that fits has its shortest text.
 
     full: how many trigrams of evidence a text can give at most. smoothing: weight of a host's domain, and of the corpus
     in a domain's. least: mean log-likelihood ratio to shuffled bytes below which a text is in no language.
@@ -75,9 +75,10 @@ def fit(docs: DataFrame, spec: Fit = Fit()) -> Model:
     for lang in languages:
         # Ids and sizes first, so that no texts but those taken are moved.
         own = known.where(F.col("lang") == lang)
-        few = own.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(spec.per_language).collect()
-        total = np.cumsum([r["size"] for r in few])
-        taken = [r["doc_id"] for r, t in zip(few, total, strict=True) if t <= spec.sample_bytes or r is few[0]]
+        sized = own.select("doc_id", F.octet_length("text").alias("size"))
+        few = sized.where(F.col("size") <= spec.sample_bytes).orderBy(F.xxhash64("doc_id"), "doc_id", "size").limit(spec.per_language).collect()
+        few = few or sized.orderBy("size", "doc_id").limit(1).collect()
+        taken = [few[i]["doc_id"] for i in fitting([r["size"] for r in few], spec.sample_bytes) or [0]]
         rows = own.where(F.col("doc_id").isin(sorted(set(taken)))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
         if rows:
             texts[lang] = [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]

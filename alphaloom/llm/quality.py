@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table, text_batches
+from .common import fitting, release, table, text_batches
 
 
 @dataclass(frozen=True)
@@ -107,8 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: Fit = Fit()) -> Model:
     size = {r["doc_id"]: r["size"] for r in sized}
     taken: list[int] = []
     for q in (0, 1):
-        total = np.cumsum([size[i] for i in order[q]]) if order[q] else np.empty(0)
-        taken += order[q][: int(np.searchsorted(total, spec.sample_bytes // 2, side="right"))]
+        taken += [order[q][i] for i in fitting([size[i] for i in order[q]], spec.sample_bytes // 2)]
     if not taken:
         return Model(b"", b"", spec.level, (), (), ())
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long"))

@@ -199,6 +199,19 @@ def test_quality_odd_rows(spark):
     assert quality.classify(docs.limit(0), both).count() == 0
 
 
+def test_long_texts_do_not_empty_the_samples(spark):
+    """Texts beyond the bound are passed over, wherever they come in the order."""
+    short = [(i, f"good words here number {i}" if i % 2 else f"BAD!! {i} " * 3) for i in range(60)]
+    long = [(100 + i, "zq" * 5000) for i in range(60)]
+    docs = documents(spark, short + long)
+    spec = language_id.Fit(sample_bytes=4000)
+    got, want = language_id.fit(docs, spec), language_id.fit(documents(spark, short), spec)
+    assert got.languages == want.languages == ("en",) and (got.ratio == want.ratio).all()
+    assert language_id.fit(documents(spark, long[:2]), spec).languages == ("en",)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in short + long], "doc_id long, quality int, toxic int")
+    assert quality.fit(docs, labels, quality.Fit(sample_bytes=8000)).weights
+
+
 # --- vector search ---
 
 
