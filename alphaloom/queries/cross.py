@@ -200,4 +200,4 @@ def _(spark, sf):
 
 @R.add("catalog_probe", "factor_id", "", "rows finite")
 def _(spark, sf):
-    return job.probe_catalog(panel(spark, sf), "000001.SZ")
+    return job.probe_catalog(panel(spark, sf))

@@ -8,6 +8,7 @@ import pytest
 
 from alphaloom.functions import catalog
 from alphaloom.functions import rolling as r
+from alphaloom.plans import factor_job as job
 from alphaloom.queries import cross
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +147,13 @@ def test_factors_without_sql(spark):
 def test_queries_return_every_factor(spark):
     got = {n for q, make in cross.R.queries.items() if q.startswith("catalog_") and q != "catalog_probe" for n in make(spark, SF).columns}
     assert got == {"entity_code", "trade_date", *catalog.FLAT, *catalog.NESTED}
+
+
+def test_probe_counts_all_entities_and_factors(spark):
+    rows = panel_rows(60)
+    more = ["turnover_rate", "amount", "pe", "pb", "high_limited"]
+    panel = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"close AS {x}" for x in more])
+    got = {x["factor_id"]: (x["rows"], x["finite"]) for x in job.probe_catalog(panel).collect()}
+    assert set(got) == {*catalog.FLAT, *catalog.NESTED}
+    assert {n for n, _ in got.values()} == {180}
+    assert got["MAC5"][1] == 180 and got["Rank1M"][1] == 3 * 40 and got["TRIX5"][1] == 3 * 59
