@@ -6,15 +6,20 @@ as the two are negatively correlated their mean varies less than that of two ind
 into bands; sets that agree in a band share a bucket, and links are confirmed on full sets.
 
 Sets that are equal form one class first, so copies cost nothing later. In a bucket every class is compared with a
-pivot, not with every other: pairs grow with the rows. Where a bucket still spans several components after that, the
-pairs across these components are looked at as well, as far as the distances to the pivot and the sizes leave a link
-possible; buckets in which this is too much are dealt out anew by the prefix filter of exact set joins. A pair of
-similar sets in one bucket is thus never lost, and pairs within a component are not emitted.
+pivot, not with every other: pairs grow with the rows. The pivot is the class that meets most others over all of its
+buckets, which is the centre of a group of near copies. Where a bucket still spans several components after that, the
+pairs across these components are looked at as well, apart from those that cannot be links: a set's parity sketch holds,
+for each of a fixed number of cells, whether an odd number of its shingles falls into it, so the bits in which two
+sketches differ are a lower bound on the shingles in which the sets differ. Buckets in which even that is too much are
+dealt out anew by the prefix filter of exact set joins. A pair of similar sets in one bucket is thus never lost, and
+pairs within a component are not emitted.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, release, stored, table, text_batches, utf8
+from .common import mix64, release, stored, table, text_batches, unused, utf8
 from .graph import connected_components
 
 #: Above this many ids the side is joined by a shuffle, not broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Comparisons within a bucket above which its nodes are dealt out anew by the prefix filter.
 HEAVY = 4_000_000
+#: 64-bit words of a parity sketch.
+SKETCH = 16
 #: Shingles hashed at once: bounds the permuted block to PERMUTATIONS * BLOCK * 8 bytes.
 BLOCK = 8192
 
@@ -48,6 +55,10 @@ class MinMax:
     seed: int = 20240601
 
 
+#: The columns of a parity sketch.
+PARITY = [f"p{i}" for i in range(SKETCH)]
+
+
 def words(text: bytes) -> list[bytes]:
     """Lower-cases A-Z and splits at space, tab, line feed, vertical tab, form feed, carriage return."""
     return text.lower().split()
@@ -97,20 +108,28 @@ class Signer:
         return h.view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set: bit i is set if an odd number of its shingles falls into cell i."""
+    cells = np.bincount((mix64(shingles) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
 def _sign(spec: MinMax):
     def run(batches):
         release()
         signer = Signer(spec)
         for batch in batches:
-            n, fps, bands = [], [], []
+            n, fps, bands, odd = [], [], [], []
             for text in utf8(batch.column("text")):
                 s = shingle_set(text, spec.shingle)
                 n.append(len(s))
                 fps.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(signer.bands(s))
+                odd.append(parity(s))
+            sketch = np.array(odd, np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "fp", "bands"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(sketch[:, i]) for i in range(SKETCH))],
+                names=["doc_id", "n_shingles", "fp", "bands", *PARITY],
             )
 
     return run
@@ -144,10 +163,10 @@ def near_duplicates(docs: DataFrame, spec: MinMax = MinMax()) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(docs.mapInArrow(_sign(spec), "doc_id long, n_shingles long, fp binary, bands array<long>"))
-    classes = stored(
-        signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").cast("int").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
-    )
+    signed = stored(docs.mapInArrow(_sign(spec), "doc_id long, n_shingles long, fp binary, bands array<long>, " + ", ".join(f"{p} long" for p in PARITY)))
+    one = F.first(F.struct(F.col("n_shingles").cast("int").alias("n"), "bands", *PARITY)).alias("one")
+    classes = signed.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"), one).select("fp", "doc", "one.*")
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
     label = _components(docs, classes, spec)
     of_class = classes.select("fp", "node", "doc").join(label, "node", "left").select("fp", "doc", F.coalesce("component", "node").alias("component"))
     lowest = of_class.groupBy("component").agg(F.min("doc").alias("component_id"))
@@ -161,94 +180,100 @@ def deduplicate(docs: DataFrame, spec: MinMax = MinMax()) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the smallest doc_id, nulls last.
 
     Rows count, not ids: of rows that repeat each other one stays, rows with empty or null text all stay, and so do
-    different texts under one id. Texts are only moved if more than BROADCAST_IDS rows go.
+    different texts under one id. Texts are only moved if more than BROADCAST_IDS rows go. An empty table gives no rows;
+    further columns stay as they are, whatever they are called.
     """
+    row = unused(docs, "row")
     key = [F.col("doc_id").isNull(), F.col("doc_id")] if "doc_id" in docs.columns else []
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), spec).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
-    grouped = stored(found.join(numbered.select("__row", *([] if not key else ["doc_id"])), "__row").select("__row", "__group", F.struct(*key, "__row").alias("__key")))
-    stay = grouped.groupBy("__group").agg(F.min("__key").alias("__key")).select(F.col("__key.__row").alias("__row"))
-    gone = stored(grouped.select("__row").join(stay, "__row", "left_anti"))
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), spec).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    ids = numbered.select(F.col(row).alias("row"), F.struct(*key, F.col(row).alias("row")).alias("key"))
+    grouped = stored(found.join(ids, "row"))
+    stay = grouped.groupBy("group").agg(F.min("key").alias("key")).select(F.col("key.row").alias("row"))
+    gone = stored(grouped.select("row").join(stay, "row", "left_anti").withColumnRenamed("row", row))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    return numbered.join(gone, row, "left_anti").drop(row)
 
 
 def _components(docs: DataFrame, classes: DataFrame, spec: MinMax) -> DataFrame:
     """(node, component) of all classes that have a link."""
-    bucket = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    pivot = bucket.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = stored(bucket.join(pivot, "bucket").select("bucket", "node", "n", "pivot"))
-    sets = _sets_of(docs, classes, members.select("node").distinct(), spec)
-    pairs = stored(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    known = stored(_similarities(sets, pairs))
-    edges = known.where(_linked(spec)).select("a", "b")
+    bucket = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = bucket.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(bucket.join(shared, "bucket").select("bucket", "node", "size"))
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    centre = F.max(F.struct(F.col("met"), -F.col("node"))).alias("top")
+    pivot = members.join(met, "node").groupBy("bucket").agg(centre).select("bucket", (-F.col("top.col2")).alias("pivot"))
+    pairs = members.join(pivot, "bucket").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    edges = stored(_links(docs, classes, pairs.distinct(), spec))
     label = stored(connected_components(edges))
     # What buckets that still span several components may hide.
-    more = stored(_across(sets, _spanning(members, label), known, spec).join(pairs, ["a", "b"], "left_anti"))
-    found = _similarities(sets, more).where(_linked(spec)).select("a", "b")
-    return connected_components(edges.unionByName(found))
+    more = _links(docs, classes, _across(docs, classes, _spanning(members, label), spec), spec)
+    return connected_components(edges.unionByName(more))
 
 
-def _linked(spec: MinMax) -> Column:
-    return 100 * F.col("both") >= spec.percent * (F.col("na") + F.col("nb") - F.col("both"))
+def _differ(x: str, y: str) -> Column:
+    """In how many cells the parity sketches x.p* and y.p* differ; the sets differ in as many shingles at least."""
+    return reduce(add, [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITY])
+
+
+def _may_link(spec: MinMax, x: str, y: str) -> Column:
+    """Whether sizes and parity sketches leave it open that two sets are linked.
+
+    J >= t means that the sets differ in (1 - t) / (1 + t) of their summed sizes at most.
+    """
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    alike = 100 * F.least(n, m) >= spec.percent * F.greatest(n, m)
+    return alike & ((100 + spec.percent) * _differ(x, y) <= (100 - spec.percent) * (n + m))
+
+
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, spec: MinMax) -> DataFrame:
+    """Those of pairs (a, b) that are linked, confirmed on full sets where sketches leave it open."""
+    known = classes.select("node", "n", *PARITY)
+    x, y = known.withColumnRenamed("node", "a").alias("x"), known.withColumnRenamed("node", "b").alias("y")
+    open_ = stored(pairs.join(x, "a").join(y, "b").where(_may_link(spec, "x", "y")).select("a", "b"))
+    nodes = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
+    sets = _sets_of(docs, classes, nodes, spec)
+    linked = 100 * F.col("both") >= spec.percent * (F.col("na") + F.col("nb") - F.col("both"))
+    return _similarities(sets, open_).where(linked).select("a", "b")
 
 
 def _spanning(members: DataFrame, label: DataFrame) -> DataFrame:
-    """The members of buckets whose nodes are in more than one component, with their component."""
-    m = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    return m.join(several, "bucket", "left_semi")
+    """(bucket, node, component, main) of buckets whose nodes are in more than one component; main has most of them."""
+    m = members.join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    several = m.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"))
+    return m.join(several.where("parts > 1").select("bucket", F.col("top.component").alias("main")), "bucket")
 
 
-def _across(sets: DataFrame, rest: DataFrame, known: DataFrame, spec: MinMax) -> DataFrame:
+def _across(docs: DataFrame, classes: DataFrame, rest: DataFrame, spec: MinMax) -> DataFrame:
     """The pairs (a, b) of a bucket, of different components, that can be similar enough.
 
     Each bucket has a component with most nodes; pairs need one node outside it, so a group of near copies is never
-    paired with itself. Shingles that are in no other set count against both: two sets share at most the smaller of
-    their numbers of shingles that others have too.
-    1 - J is a metric: two sets whose distances to the bucket's pivot, which are known, differ by more than the largest
-    distance of a link are not linked; nor are sets of too different size.
+    paired with itself.
     """
-    far = known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("away"))
-    rest = rest.join(far, ["node", "pivot"], "left").select("bucket", "node", "n", "component", F.coalesce("away", F.lit(0.0)).alias("away"))
-    main = rest.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"))
-    rest = stored(rest.join(main.select("bucket", F.col("top.component").alias("main")), "bucket"))
-    shared = _shared(sets.join(rest.select("node").distinct(), "node", "left_semi"))
-    rest = rest.join(shared, "node").where(F.expr(f"component = main or 100 * k >= {spec.percent} * n"))
+    known = classes.select("node", "n", *PARITY)
+    rest = stored(rest.join(known, "node"))
     sized = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.count(F.when(F.col("component") != F.col("main"), 1)).alias("outside"))
-    rest = stored(rest.join(sized.where("outside > 0").select("bucket", (F.col("size") * F.col("outside") > HEAVY).alias("heavy")), "bucket"))
-    pairs = _met(rest.where("not heavy"), spec)
-    heavy = stored(rest.where("heavy").select("node", "n", "k", "component").distinct())
-    if heavy.take(1):
-        cut = stored(_prefix_buckets(heavy, sets.join(heavy.select("node"), "node", "left_semi"), spec))
+    heavy = sized.where(F.col("size") * F.col("outside") > HEAVY).select("bucket")
+    pairs = _met(rest.join(heavy, "bucket", "left_anti"), spec)
+    dealt = stored(rest.join(heavy, "bucket", "left_semi").select("node", "component").distinct())
+    if dealt.take(1):
+        cut = stored(_prefix_buckets(dealt, _sets_of(docs, classes, dealt.select("node"), spec), spec))
         main = cut.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        pairs = pairs.unionByName(_met(cut.join(main.select("bucket", F.col("top.component").alias("main")), "bucket").withColumn("away", F.lit(0.0)), spec))
+        pairs = pairs.unionByName(_met(cut.join(main.select("bucket", F.col("top.component").alias("main")), "bucket").join(known, "node"), spec))
     return pairs.distinct()
 
 
-def _shared(sets: DataFrame) -> DataFrame:
-    """(node, k): how many of a set's shingles are also in another of the sets; no more can be shared with any."""
-    shingle = sets.select("node", F.explode("shingles").alias("s"))
-    often = shingle.groupBy("s").agg(F.count("*").alias("f")).where("f > 1").select("s")
-    found = shingle.join(often, "s").groupBy("node").agg(F.count("*").cast("int").alias("k"))
-    return sets.select("node").join(found, "node", "left").fillna(0, ["k"])
-
-
 def _met(m: DataFrame, spec: MinMax) -> DataFrame:
-    """m (bucket, node, n, k, component, away, main): the nodes outside main with all others of their bucket."""
-    x = m.where("component <> main").select("bucket", F.col("node").alias("xa"), F.col("n").alias("xn"), F.col("k").alias("xk"), F.col("component").alias("xc"), F.col("away").alias("xd"))
-    y = m.select("bucket", F.col("node").alias("ya"), F.col("n").alias("yn"), F.col("k").alias("yk"), F.col("component").alias("yc"), F.col("away").alias("yd"), (F.col("component") == F.col("main")).alias("inside"))
-    once = (F.col("inside") | (F.col("xa") > F.col("ya"))) & (F.col("xc") != F.col("yc"))
-    near = F.abs(F.col("xd") - F.col("yd")) <= 1 - spec.percent / 100 + 1e-9
-    alike = (100 * F.least("xn", "yn") >= spec.percent * F.greatest("xn", "yn")) & near
-    alike = alike & ((100 + spec.percent) * F.least("xk", "yk") >= spec.percent * (F.col("xn") + F.col("yn")))
-    met = x.join(y, (x["bucket"] == y["bucket"]) & once & alike)
-    return met.select(F.greatest("xa", "ya").alias("a"), F.least("xa", "ya").alias("b"))
+    """m (bucket, node, component, main, n, p*): the nodes outside main with all others of their bucket that they may link."""
+    x, y = m.where("component <> main").alias("x"), m.alias("y")
+    once = F.expr("x.bucket = y.bucket and x.component <> y.component and (y.component = y.main or x.node > y.node)")
+    met = x.join(y, once & _may_link(spec, "x", "y"))
+    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
 
 
 def _prefix_buckets(nodes: DataFrame, sets: DataFrame, spec: MinMax) -> DataFrame:
-    """nodes (node, n, k, component) -> with bucket: small buckets that keep each pair of similar sets together.
+    """nodes (node, component) -> with bucket: small buckets that keep each pair of similar sets together.
 
     In any order of the shingles, two sets of this similarity share one of the first n - ceil(n * similarity) + 1 of
     each. With the rarest first, texts that only have a common passage share none of these.
@@ -256,9 +281,10 @@ def _prefix_buckets(nodes: DataFrame, sets: DataFrame, spec: MinMax) -> DataFram
     shingle = sets.select("node", F.explode("shingles").alias("s"))
     common = shingle.groupBy("s").agg(F.count("*").alias("f"))
     ordered = shingle.join(common, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
-    first = F.col("n") - F.ceil(F.col("n") * spec.percent / 100 - 1e-9) + 1
-    kept = nodes.join(ordered, "node").select("node", "n", "k", "component", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("t")).where("t.f > 1")
-    return kept.select(F.col("t.s").alias("bucket"), "node", "n", "k", "component")
+    n = F.size("all")
+    first = n - F.ceil(n * spec.percent / 100 - 1e-9) + 1
+    kept = nodes.join(ordered, "node").select("node", "component", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("t")).where("t.f > 1")
+    return kept.select(F.col("t.s").alias("bucket"), "node", "component")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, spec: MinMax) -> DataFrame:

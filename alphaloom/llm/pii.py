@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stored, table, text_batches, utf8
+from .common import release, stored, table, text_batches, unused, utf8
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -281,12 +281,13 @@ def redact(docs: DataFrame, spec: Bootstrap = Bootstrap()) -> DataFrame:
         known = {r["context"]: r["kind"] for r in trusted.collect()}
         out = docs.withColumn("text", F.when(F.col("text").isNotNull(), _redactor(known)(text, F.array().cast("array<string>"))))
     else:
-        rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-        again = rows.select(F.col("__row").alias("doc_id"), text.alias("text")).mapInArrow(_first_pass, _PASS)
+        row, patterns = unused(docs, "row"), unused(docs, "patterns")
+        rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+        again = rows.select(F.col(row).alias("doc_id"), text.alias("text")).mapInArrow(_first_pass, _PASS)
         unseen = again.select("doc_id", F.explode("found").alias("f")).where("f.kind is null").select("doc_id", F.explode("f.contexts").alias("context"))
-        named = unseen.join(trusted, "context").groupBy(F.col("doc_id").alias("__row")).agg(F.collect_set(F.concat_ws("\t", "kind", "context")).alias("__known"))
-        joined_ = rows.join(named, "__row", "left")
-        known_here = F.coalesce("__known", F.array().cast("array<string>"))
+        named = unseen.join(trusted, "context").groupBy(F.col("doc_id").alias(row)).agg(F.collect_set(F.concat_ws("\t", "kind", "context")).alias(patterns))
+        joined_ = rows.join(named, row, "left")
+        known_here = F.coalesce(patterns, F.array().cast("array<string>"))
         out = joined_.withColumn("text", F.when(F.col("text").isNotNull(), _redactor({})(text, known_here)))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
