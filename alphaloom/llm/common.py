@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +50,14 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply, the public splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)
@@ -105,14 +116,19 @@ def held(make, *args):
     """make(*args), kept by a Python worker from task to task: one thing at a time, so that stages do not add up."""
     key = (make, *args)
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make(*args)
     return _held[key]
 
 
 def release() -> None:
-    """Drop what an earlier stage left in this worker."""
-    _held.clear()
+    """Drop what an earlier stage left in this worker, and hand its memory back: workers outlive their stages."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Characters that a Cutter tells apart: all below NEAR, U+2581 as one of their own, the rest as one.

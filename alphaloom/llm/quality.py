@@ -9,7 +9,6 @@ dictionaries have not seen.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fitting, release, table, text_batches
+from .common import fitting, held, table, text_batches
 
 
 @dataclass(frozen=True)
@@ -47,14 +46,13 @@ class Model:
     weights: tuple[float, ...]
 
 
-@cache
 def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
     made = [zstandard.ZstdCompressionDict(d) if d else None for d in (model.good, model.bad, b"")]
     return [zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_dict_id=False) for d in made]
 
 
 def features(model: Model, texts: list[bytes]) -> np.ndarray:
-    good, bad, none = (np.array([len(c.compress(t)) for t in texts], float) for c in _compressors(model))
+    good, bad, none = (np.array([len(c.compress(t)) for t in texts], float) for c in held(_compressors, model))
     size = np.array([len(t) for t in texts], float) + 1
     return np.column_stack([(bad - good) / (bad + good), good / size, none / size, np.log(size), (none - good) / size, (none - bad) / size])
 
@@ -131,7 +129,6 @@ def score_column(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        release()
         return pd.Series(scores(model, [t.encode() if t else b"" for t in texts]), dtype="float64")
 
     return score(text.cast("string"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import release, table, text_batches
 
 #: The host and path rules of the query, (verdict, host, path).
 HOST_RULES = (
@@ -135,6 +135,7 @@ def url_parts(url: Column) -> tuple[Column, Column, Column]:
 
 def _judge(rules: list[Rule], default: str):
     def run(batches):
+        release()
         machine = Automaton(rules)
         names = [r.name for r in machine.rules] + [None]
         verdicts = [r.verdict for r in machine.rules] + [default]
