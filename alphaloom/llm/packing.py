@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FAR, NEAR, Cutter, Memo, held, stored, table, text_batches, utf8
+from .common import FAR, NEAR, Cutter, held, release, stored, table, text_batches, utf8
 
 
 @dataclass(frozen=True)
@@ -43,17 +43,22 @@ class Packing:
 class WordIds:
     """Token ids as little-endian uint32 bytes, put together from parts of the text that no token joins.
 
-    The tokenizer splits at white space, between letters, digits and other characters, and after each digit. Parts are
-    cut where both characters are plain (below U+0250, so that no normalisation joins them) and neither is an
-    apostrophe; a text that may hold a special token is only cut at spaces and line feeds.
+    The tokenizer splits at white space, between letters, digits and other characters, and after each digit. So texts
+    are split at spaces and line feeds, which give no tokens, and each word of a batch is looked at once: it is cut where
+    both characters are plain (below U+0250, so that no normalisation joins them) and neither is an apostrophe, and the
+    parts that are new are encoded in one call. Words that hold a special token are encoded whole.
     """
 
+    #: Words and parts remembered from batch to batch: about this many, and as many older ones.
+    MOST = 200_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._one)
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         last = {i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")}
         self.ends_word = np.array([i in last for i in range(self.tokenizer.get_vocab_size())])
         kind = np.array([_kind(chr(c)) for c in range(NEAR)] + ["", ""])
@@ -62,32 +67,47 @@ class WordIds:
         near |= (kind[:NEAR, None] == "'") & (kind[None, :NEAR] != "space") | (kind[None, :NEAR] == "'") & (kind[:NEAR, None] != "space")
         joined[:NEAR, :NEAR] = near
         self.cutter = Cutter(joined)
+        self.cutter.cut[ord(" "), :] = self.cutter.cut[:, ord(" ")] = True
 
     def _one(self, part: str) -> bytes:
         return struct.pack(f"<{len(ids := self.tokenizer.encode(part, add_special_tokens=False).ids)}I", *ids)
 
-    def parts(self, text: str) -> list[str]:
-        if any(s in text for s in self.specials):
-            return text.replace("\n", " ").split(" ")
-        return self.cutter(text) if text else []
-
-    def learn(self, parts: set[str]) -> None:
-        """Encode new parts in one call: those that are one plain word each can be told apart by their last token."""
-        plain = [p for p in parts if len(p) < 64 and p.isprintable() and " " not in p and "'" not in p and max(p) < chr(NEAR)]
-        if not plain:
-            return
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-        if len(ends) == len(plain):
-            data = ids.tobytes()
-            self.memo.update({p: data[4 * a : 4 * b] for p, a, b in zip(plain, [0, *ends], ends, strict=False)})
+    def _encoded(self, parts: set[str]) -> dict[str, bytes]:
+        """Parts that are one plain word each go into one call and are told apart by their last token."""
+        plain = [p for p in parts if len(p) < 64 and "'" not in p and p != " " and p.isprintable() and max(p) < chr(NEAR)]
+        found: dict[str, bytes] = {}
+        if plain:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) == len(plain):
+                data = ids.tobytes()
+                found = {p: data[a:b] for p, a, b in zip(plain, [0, *ends], ends, strict=False)}
+        return found | {p: self._one(p) for p in parts.difference(found)}
+
+    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
+        """Of words without a special token. What was seen before is looked up, the rest cut, and what is new encoded."""
+        recent, older = self.recent.get, self.older.get
+        found = {w: ids for w in words if (ids := recent(w) or older(w))}
+        rest = list(words.difference(found))
+        parts = self.cutter(" ".join(rest)) if rest else []
+        of_part = {p: ids for p in set(parts) if (ids := recent(p) or older(p))}
+        of_part |= self._encoded(set(parts).difference(of_part, (" ",)))
+        ids = of_part.__getitem__
+        at = [-1, *(i for i, p in enumerate(parts) if p == " "), len(parts)]
+        found |= {w: b"".join(map(ids, parts[a + 1 : b])) for w, a, b in zip(rest, at, at[1:], strict=False) if b - a > 2}
+        found |= of_part  # a word that is not cut is its only part
+        if len(self.recent) >= self.MOST:
+            self.recent, self.older = {}, self.recent
+        self.recent |= found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(t) for t in texts]
-        self.memo.make_room()
-        new = set().union(*split).difference(self.memo, self.memo.old)
-        self.learn(new)
-        return [b"".join(map(self.memo.__getitem__, parts)) for parts in split]
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*split)
+        words.discard("")
+        special = {w for s in self.specials if any(s in t for t in texts) for w in words if s in w}
+        ids = self._ids_of(words - special) | {w: self._one(w) for w in special} | {"": b""}
+        return [b"".join(map(ids.__getitem__, s)) for s in split]
 
 
 def _kind(c: str) -> str:
@@ -125,7 +145,7 @@ def pieces(docs: DataFrame, spec: Packing) -> DataFrame:
 
     Written to the shared scratch folder, so that task and nth stay what they are.
     """
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, 1024)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(docs.mapInArrow(_pieces(spec), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"))
 
@@ -291,6 +311,7 @@ def _lookup(rows: list[tuple[int, int, int, int, int, int]]):
     ends = np.append(starts[1:], len(table))
 
     def run(batches):
+        release()
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             at = np.empty(len(length), np.int64)
