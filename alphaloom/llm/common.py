@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows of text in one Arrow batch: bounds what a Python worker holds when documents are long.
-TEXT_ROWS = 512
+#: Rows and bytes of text in one Arrow batch: bounds what a Python worker holds when documents are long.
+TEXT_ROWS, TEXT_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Hand texts to Python workers in small batches."""
+    """Hand texts to Python workers in small batches; a text that is longer by itself is a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,11 +108,13 @@ def text_evidence(model: Model, spec: Fit, text: Column) -> Column:
     """struct: logs, each language's tempered log-likelihood ratio; own, their posteriors, zeros where no language
     explains the text; speaks, whether one does."""
 
-    @F.pandas_udf("logs array<double>, own array<double>, speaks boolean")
-    def evidence(texts: pd.Series) -> pd.DataFrame:
+    kind = pa.struct([("logs", pa.list_(pa.float64())), ("own", pa.list_(pa.float64())), ("speaks", pa.bool_())])
+
+    @F.arrow_udf("struct<logs: array<double>, own: array<double>, speaks: boolean>")
+    def evidence(texts: pa.Array) -> pa.Array:
         release()
         logs, own, speaks = [], [], []
-        for t in texts:
+        for t in texts.to_pylist():
             mean, n = mean_ratios(model, t)
             log = mean * (n / (1 + n / spec.full))
             does = bool(n and mean.max() >= spec.least)
@@ -120,7 +122,7 @@ def text_evidence(model: Model, spec: Fit, text: Column) -> Column:
             logs.append(log)
             own.append(p / p.sum() if does else np.zeros(len(p)))
             speaks.append(does)
-        return pd.DataFrame({"logs": logs, "own": own, "speaks": np.array(speaks, bool)})
+        return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((logs, own, speaks), kind, strict=True)], fields=list(kind))
 
     return evidence(text.cast("string"))
 

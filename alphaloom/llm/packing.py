@@ -50,7 +50,7 @@ class WordIds:
     """
 
     #: Words and parts remembered from batch to batch: about this many, and as many older ones.
-    MOST = 200_000
+    MOST = 60_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, spec: Packing) -> DataFrame:
 
     Written to the shared scratch folder, so that task and nth stay what they are.
     """
-    text_batches(docs.sparkSession, 1024)
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(docs.mapInArrow(_pieces(spec), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"))
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -250,17 +249,17 @@ def find(docs: DataFrame, spec: Bootstrap = Bootstrap()) -> DataFrame:
 def _merged(base: str, new: str):
     """Base spans and new ones in one string, by kind as listed, then start."""
 
-    @F.pandas_udf("string")
-    def merge(old: pd.Series, more: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def merge(old: pa.Array, more: pa.Array) -> pa.Array:
         out = []
-        for b, m in zip(old, more, strict=True):
-            if m is None or not len(m):
+        for b, m in zip(old.to_pylist(), more.to_pylist(), strict=True):
+            if not m:
                 out.append(b)
                 continue
             spans = [(k, int(a), int(z)) for k, a, z in (x.split(":") for x in b.split(",") if x)] + [(x["kind"], x["start"], x["end"]) for x in m]
             spans.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
             out.append(",".join(f"{k}:{a}:{z}" for k, a, z in spans))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     return F.when(F.col(new).isNull(), F.col(base)).otherwise(merge(F.col(base), F.col(new)))
 
@@ -301,14 +300,15 @@ MOST_PATTERNS = 200_000
 def _redactor(trusted: dict[str, str]):
     """Of (text, patterns of this row as `kind<tab>context`)."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, own: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, own: pa.Array) -> pa.Array:
+        release()
         out = []
-        for text, more in zip(texts, own, strict=True):
+        for text, more in zip(texts.to_pylist(), own.to_pylist(), strict=True):
             if not text:
                 out.append(text)
                 continue
-            known = trusted if not len(more) else {c: k for k, c in (x.split("\t", 1) for x in more)}
+            known = trusted if not more else {c: k for k, c in (x.split("\t", 1) for x in more)}
             base = base_spans(text)
             spans = [(a, -b, k) for k in KINDS for a, b in base[k]]
             if known:
@@ -319,7 +319,7 @@ def _redactor(trusted: dict[str, str]):
                     parts += [text[last:a], f"<{k}>"]
                     last = -b
             out.append("".join([*parts, text[last:]]))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     return run
 
