@@ -1,22 +1,23 @@
 """A quality classifier by compression.
 
-Two zstandard dictionaries are built from texts labelled good and bad. A text is compressed with each of them and with
-none; the sizes, normalised by each other and by the text's length, say which kind of text it is like and how much it
-repeats itself. Their difference and these sizes become a score by a logistic calibration on labelled rows that the
-dictionaries have not seen.
+Two zstandard dictionaries are built from texts labelled good and bad. A text is compressed with each of them; the
+difference of the two sizes says which kind of text it is like. It is normalised by the sum of the sizes, by the text's
+length, and by its own magnitude, and a logistic calibration over these and their products, fitted on labelled rows that
+the dictionaries have not seen, makes it a score. Nothing but the difference enters the score: a text that both
+dictionaries compress alike has the same one whatever its length.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fitting, held, table, text_batches
+from .common import fitting, held, table, text_batches, utf8
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Fit:
 
 @dataclass(frozen=True)
 class Model:
-    """good, bad: dictionaries. mean, scale, weights: of the calibration over the features; the last weight is constant."""
+    """good, bad: dictionaries. mean, scale: of the normalised differences. weights: of the calibration, constant last."""
 
     good: bytes
     bad: bytes
@@ -46,30 +47,49 @@ class Model:
     weights: tuple[float, ...]
 
 
-def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
-    made = [zstandard.ZstdCompressionDict(d) if d else None for d in (model.good, model.bad, b"")]
-    return [zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_dict_id=False) for d in made]
+def _compressors(good: bytes, bad: bytes, level: int) -> list[zstandard.ZstdCompressor]:
+    made = [zstandard.ZstdCompressionDict(d) if d else None for d in (good, bad)]
+    return [zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False) for d in made]
 
 
-def features(model: Model, texts: list[bytes]) -> np.ndarray:
-    good, bad, none = (np.array([len(c.compress(t)) for t in texts], float) for c in held(_compressors, model))
+def differences(model: Model, texts: list[bytes]) -> np.ndarray:
+    """Per text the size under the bad dictionary less that under the good one, in three normalisations."""
+    good, bad = (np.array([len(c.compress(t)) for t in texts], float) for c in held(_compressors, model.good, model.bad, model.level))
     size = np.array([len(t) for t in texts], float) + 1
-    return np.column_stack([(bad - good) / (bad + good), good / size, none / size, np.log(size), (none - good) / size, (none - bad) / size])
+    d = bad - good
+    return np.column_stack([d / (bad + good), d / size, np.sign(d) * np.log1p(np.abs(d))])
+
+
+#: Standardised differences are cut here, so that no text lies beyond what the calibration has seen.
+FAR = 6.0
+
+
+def _terms(model: Model, x: np.ndarray) -> np.ndarray:
+    """The standardised differences, their squares and products, and 1."""
+    z = np.clip((x - np.array(model.mean)) / np.array(model.scale), -FAR, FAR)
+    pairs = [z[:, i] * z[:, j] for i in range(z.shape[1]) for j in range(i, z.shape[1])]
+    return np.column_stack([z, *pairs, np.ones(len(z))])
 
 
 def scores(model: Model, texts: list[bytes]) -> np.ndarray:
-    if not model.weights:
+    if not model.weights or not texts:
         return np.full(len(texts), 0.5)
-    x = (features(model, texts) - np.array(model.mean)) / np.array(model.scale) if texts else np.empty((0, 6))
-    z = x @ np.array(model.weights[:-1]) + model.weights[-1]
-    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    return 1 / (1 + np.exp(-np.clip(_terms(model, differences(model, texts)) @ np.array(model.weights), -500, 500)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton's method; a step that does not lower the loss is halved."""
 
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * w @ w)
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     w = np.zeros(x.shape[1])
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -108,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: Fit = Fit()) -> Model:
         taken += [order[q][i] for i in fitting([size[i] for i in order[q]], spec.sample_bytes // 2)]
     if not taken:
         return Model(b"", b"", spec.level, (), (), ())
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long"))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(taken, pa.int64())})))
     text = {r["doc_id"]: r["text"].encode() for r in texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
     by = {q: [text[i] for i in order[q] if i in text] for q in (0, 1)}
     if not by[0] or not by[1]:
@@ -117,19 +137,18 @@ def fit(docs: DataFrame, labels: DataFrame, spec: Fit = Fit()) -> Model:
     good, bad = (_dictionary(by[q][: cut[q]], spec.dictionary) for q in (1, 0))
     raw = Model(good, bad, spec.level, (), (), ())
     rest = {q: by[q][cut[q] :] or by[q] for q in (0, 1)}
-    x = features(raw, rest[1] + rest[0])
+    x = differences(raw, rest[1] + rest[0])
     y = np.r_[np.ones(len(rest[1])), np.zeros(len(rest[0]))]
-    mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
-    w = _logistic(np.column_stack([(x - mean) / scale, np.ones(len(x))]), y)
-    return Model(good, bad, spec.level, tuple(mean), tuple(scale), tuple(w))
+    ready = replace(raw, mean=tuple(x.mean(0).tolist()), scale=tuple(np.where(x.std(0) > 0, x.std(0), 1).tolist()))
+    return replace(ready, weights=tuple(_logistic(_terms(ready, x), y).tolist()))
 
 
 def score_column(model: Model, text: Column) -> Column:
     """The score of a text column, 0 to 1, whole texts; null counts as empty."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(model, [t.encode() if t else b"" for t in texts]), dtype="float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(scores(model, [t or b"" for t in utf8(texts)]), pa.float64())
 
     return score(text.cast("string"))
 
