@@ -6,6 +6,7 @@ as values that are not finite are dropped later anyway.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_ as both
 from operator import or_ as either
@@ -123,7 +124,7 @@ def not_(condition: Value) -> Column:
 
 
 def board(code: Column) -> Column:
-    """The board that a code such as 600000.SH belongs to: fixed values by exchange suffix and number prefix."""
+    """The board that a code such as 600000.SH is listed on: fixed values by exchange suffix and number prefix."""
     number, exchange = F.substring_index(code, ".", 1), F.upper(F.substring_index(code, ".", -1))
     return (
         F.when(exchange == "BJ", "Beijing")
@@ -134,11 +135,30 @@ def board(code: Column) -> Column:
     )
 
 
+def _begins(code: Column, prefixes: tuple[str, ...]) -> Column:
+    number = F.substring_index(code, ".", 1)
+    return reduce(either, [number.startswith(p) for p in prefixes])
+
+
 def is_main_board(code: Column) -> Column:
-    return (board(code) == "Main").cast("int")
+    """1 if the number is one of the main board's, whatever the exchange."""
+    return _begins(code, MAIN_PREFIXES).cast("int")
+
+
+def is_growth_board(code: Column) -> Column:
+    return _begins(code, GROWTH_PREFIXES).cast("int")
+
 
+def board_name(code: Column) -> Column:
+    """The board by the number's prefix; numbers of the third board have six digits."""
+    out = F.when(code.isNull(), None)
+    for name, prefixes in BOARD_NAMES:
+        fits = _begins(code, prefixes)
+        out = out.when(fits & (F.length(F.substring_index(code, ".", 1)) == 6) if name == "北交所" else fits, name)
+    return out.otherwise(BOARD_OTHER)
 
-def bands(x: Column, edges: list[float], names: list[str]) -> Column:
+
+def bands(x: Column, edges: Sequence[float], names: Sequence[str]) -> Column:
     """names[i] for edges[i - 1] <= x < edges[i]; null for null."""
     out = F.when(x.isNull(), None)
     for edge, name in zip(edges, names, strict=False):
@@ -147,26 +167,48 @@ def bands(x: Column, edges: list[float], names: list[str]) -> Column:
 
 
 def cap_bucket(x: Column) -> Column:
-    """Bands of market value, in 100 million."""
-    return bands(x / 1e8, [30, 100, 300, 1000], ["<30", "30-100", "100-300", "300-1000", ">=1000"])
+    """The band of a market value; null is a band of its own."""
+    return F.coalesce(bands(x, CAP_EDGES, CAP_NAMES), F.lit(CAP_UNKNOWN))
+
+
+#: Edges and names of the bands of scores, markets and market value, and the prefixes of boards.
+SCORE_EDGES = (-0.25, -0.20, -0.15, -0.10, -0.06)
+SCORE_BANDS = ("≤-0.25", "-0.25~-0.20", "-0.20~-0.15", "-0.15~-0.10", "-0.10~-0.06")
+MARKET_EDGES = (0.06, 0.09, 0.10, 0.12)
+MARKET_STATES = ("熊市", "震荡偏弱", "震荡", "震荡偏强", "牛市")
+CAP_EDGES = (3e9, 1e10, 3e10, 1e11)
+CAP_NAMES = ("微盘", "小盘", "中盘", "大盘", "超大盘")
+CAP_UNKNOWN = "未知"
+MAIN_PREFIXES = ("600", "601", "603", "605", "000", "001", "002")
+GROWTH_PREFIXES = ("688", "300", "301")
+BOARD_NAMES = (("科创板", ("688",)), ("创业板", ("300", "301")), ("北交所", ("43", "83", "87", "88", "92")), ("沪深主板", (*MAIN_PREFIXES, "003")))
+BOARD_OTHER = "其他"
 
 
 def score_band(x: Column) -> Column:
-    """Bands of a score from -1 to 1."""
-    return bands(x, [-0.6, -0.2, 0.2, 0.6], ["very low", "low", "middle", "high", "very high"])
+    """The band of a low score, closed above; null for null and for what lies above the last edge."""
+    out = F.when(x.isNull(), None)
+    for edge, name in zip(SCORE_EDGES, SCORE_BANDS, strict=True):
+        out = out.when(x <= edge, name)
+    return out
 
 
 def market_state(x: Column) -> Column:
-    return bands(x, [-0.02, 0.02], ["falling", "flat", "rising"])
+    """The market by the mean best score of the leading industries."""
+    return bands(x, MARKET_EDGES, MARKET_STATES)
 
 
 def market_regime(x: Column) -> Column:
-    return bands(x, [-0.1, 0.1], ["bear", "range", "bull"])
+    """The market by a benchmark's annual return. Fixed values: -0.10, 0.05, 0.20."""
+    return F.when(x.isNull(), "unknown").when(x >= 0.20, "strong_bull").when(x >= 0.05, "bull").when(x <= -0.10, "bear").otherwise("sideways")
 
 
-def position_advice(x: Column, industries: Column) -> Column:
-    """How much to hold, by the mean top score and the number of industries that carry it."""
-    return F.when(x.isNull(), None).when((x >= 0.1) & (industries >= 5), "full").when((x >= 0.1) | (industries >= 5), "half").otherwise("light")
+def position_advice(x: Column, strong: Column) -> Column:
+    """How much to hold, by the mean best score and the number of strong industries. Fixed values."""
+    out = F.when(x.isNull(), None)
+    for least, industries, share in ((0.12, 5, "100%"), (0.10, 3, "50%"), (0.09, 2, "30%")):
+        out = out.when((x >= least) & (strong >= industries), share)
+    return out.when(x >= 0.06, "0-30%").otherwise("0%")
 
 
 def signal_close(day: Column) -> Column:

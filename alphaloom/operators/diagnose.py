@@ -1,15 +1,14 @@
-"""Diagnostics of predictions, and daily selection."""
+"""Diagnostics of predictions, factors and training."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import board, score_band
+from ..functions.scalar import bands
 from . import cross_section as x
 from .evaluate import newey_west, rank_corr
+from .metrics import ks, psi
 
 PAIR_LEAST = 30
 
@@ -86,11 +85,13 @@ def overview(df: DataFrame, n: int = 10) -> DataFrame:
     return s.join(new, "trade_date", "left").fillna(0, ["entered"])
 
 
+#: The five even bands of a score from -1 to 1 that the overview counts.
+OVERVIEW_EDGES, OVERVIEW_BANDS = (-0.6, -0.2, 0.2, 0.6), ("very_low", "low", "middle", "high", "very_high")
+
+
 def band_counts(df: DataFrame) -> DataFrame:
-    """Names per date and score band, a column per band."""
-    bands = ["very low", "low", "middle", "high", "very high"]
-    out = df.withColumn("band", score_band(F.col("score"))).groupBy("trade_date").pivot("band", bands).agg(F.count(F.lit(1))).fillna(0)
-    return reduce(lambda d, b: d.withColumnRenamed(b, b.replace(" ", "_")), bands, out)
+    """Names per date and band of the score, a column per band."""
+    return df.withColumn("band", bands(F.col("score"), OVERVIEW_EDGES, OVERVIEW_BANDS)).groupBy("trade_date").pivot("band", list(OVERVIEW_BANDS)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def calibration(df: DataFrame, k: int = 10, least: int = 20) -> DataFrame:
@@ -108,98 +109,132 @@ def compare_models(df: DataFrame) -> DataFrame:
     return daily.groupBy("model_a", "model_b").agg(F.count("rho").alias("days"), F.avg("rho").alias("rho"))
 
 
-def redundancy(long: DataFrame, least: int = PAIR_LEAST, limit: float = 0.85) -> DataFrame:
-    """long (trade_date, entity_code, feature, value) -> (feature_a, feature_b, days, rho, redundant): mean daily Spearman."""
-    p = compare_models(long.select("trade_date", "entity_code", F.col("feature").alias("model_id"), F.col("value").alias("score")).where("score is not null").withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("trade_date", "model_id"))).where(F.col("__n") >= least).drop("__n"))
-    return p.select(F.col("model_a").alias("feature_a"), F.col("model_b").alias("feature_b"), "days", "rho", (F.abs("rho") > limit).cast("int").alias("redundant"))
-
-
-def factor_audit(df: DataFrame, split: str = "split") -> DataFrame:
-    """df (trade_date, split, feature, value, label) -> per feature the IC of train and valid, retention and a verdict."""
-    ic = rank_corr(df, ["feature", split, "trade_date"], "value", "label").groupBy("feature").pivot(split, ["train", "valid"]).agg(F.avg("ic"))
-    keep = F.try_divide(F.col("valid"), F.nullif(F.col("train"), F.lit(0.0)))
-    status = F.when(F.col("train").isNull() | F.col("valid").isNull(), "missing").when(F.signum("train") != F.signum("valid"), "reversed").when(keep < 0.5, "decayed").when(F.abs("train") < 0.01, "weak").otherwise("stable")
-    return ic.select("feature", F.col("train").alias("train_ic"), F.col("valid").alias("valid_ic"), keep.alias("retention"), status.alias("status"))
-
-
-def ensemble_diagnostics(df: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """df (trade_date, entity_code, model_id, score, label), scenarios (scenario, model_id, weight) -> mean IC per scenario.
-
-    Scenarios (leave one out, other weights) are rows of a small table; all are scored in one pass.
-    """
-    s = df.join(F.broadcast(scenarios), "model_id").groupBy("scenario", "trade_date", "entity_code").agg(F.round(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 12).alias("score"), F.first("label").alias("label"))
-    return rank_corr(s, ["scenario", "trade_date"], "score", "label").groupBy("scenario").agg(F.count("ic").alias("days"), F.avg("ic").alias("ic"), F.stddev_samp("ic").alias("ic_std"))
-
-
-def training_curve(history: DataFrame) -> DataFrame:
-    """history (run, step, train, valid; losses) -> per run the best step, the gap there, the rebound after it, improvement."""
-    s = history.groupBy("run").agg(F.min(F.struct("valid", "step")).alias("b"), F.max_by("valid", "step").alias("last"), F.min_by("valid", "step").alias("first"), F.count("*").alias("steps"), F.collect_list(F.struct("step", "train")).alias("t"))
-    best = F.col("b.step")
-    gap = F.col("b.valid") - F.filter("t", lambda e: e["step"] == best)[0]["train"]
-    out = s.select("run", "steps", best.alias("best_step"), gap.alias("gap"), (F.col("last") - F.col("b.valid")).alias("rebound"), F.try_divide(F.col("first") - F.col("b.valid"), F.abs("first")).alias("improvement"))
-    return out.withColumn("status", F.when(F.col("improvement") <= 0, "not learning").when(F.col("rebound") > 0.05, "overfit").otherwise("healthy"))
-
-
-# --- selection ---
+def ic_stats(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """daily (keys, trade_date, ic) -> days, rank_ic, ic_ir, positive_rate; 0 without dates, a deviation of 0 for one."""
+    s = daily.groupBy(*keys).agg(F.count("ic").alias("days"), F.avg("ic").alias("m"), F.stddev_samp("ic").alias("d"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_rate"))
+    mean, dev = F.coalesce("m", F.lit(0.0)), F.coalesce(F.nanvl("d", F.lit(0.0)), F.lit(0.0))
+    return s.select(*keys, "days", mean.alias("rank_ic"), (mean / (dev + 1e-12)).alias("ic_ir"), F.coalesce("positive_rate", F.lit(0.0)).alias("positive_rate"))
 
 
-def industry_signals(df: DataFrame, n: int = 20, strong: float = 0.10) -> DataFrame:
-    """df (trade_date, entity_code, industry, score) -> per date: industries at or over `strong`, and the mean best score
-    of the industries that the n best names come from."""
-    best = df.groupBy("trade_date", "industry").agg(F.max("score").alias("best"))
-    top = df.withColumn("__r", x.rank_first("score")).where(F.col("__r") <= n).select("trade_date", "industry").distinct()
-    mean = best.join(top, ["trade_date", "industry"]).groupBy("trade_date").agg(F.avg("best").alias("mean_best"), F.count("*").alias("top_industries"))
-    return best.groupBy("trade_date").agg(F.count(F.when(F.col("best") >= strong, 1)).alias("strong")).join(mean, "trade_date")
+def _enough(long: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The rows of groups with at least so many."""
+    return long.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("__n") >= least).drop("__n")
 
 
-def top_by_industry(df: DataFrame) -> DataFrame:
-    """The best name of each industry and date, ties by code."""
-    own = Window.partitionBy("trade_date", "industry").orderBy(F.col("score").desc(), "entity_code")
-    return df.withColumn("__r", F.row_number().over(own)).where("__r = 1").drop("__r")
+def redundancy(long: DataFrame, least: int = PAIR_LEAST, limit: float = 0.85) -> DataFrame:
+    """long (trade_date, entity_code, feature, value) -> (feature_a, feature_b, days, rho, redundant): mean daily Spearman."""
+    known = _enough(long.where("value is not null"), ["trade_date", "feature"], least)
+    p = compare_models(known.select("trade_date", "entity_code", F.col("feature").alias("model_id"), F.col("value").alias("score")))
+    return p.select(F.col("model_a").alias("feature_a"), F.col("model_b").alias("feature_b"), "days", "rho", F.coalesce((F.abs("rho") >= limit).cast("int"), F.lit(0)).alias("redundant"))
 
 
-def above_ma(index: DataFrame, n: int = 20) -> DataFrame:
-    """index (trade_date, close) with above: whether it is over its mean of n rows; true while there are fewer."""
-    w = Window.orderBy("trade_date").rowsBetween(-(n - 1), 0)
-    return index.withColumn("above", ((F.count("close").over(w) < n) | (F.col("close") > F.avg("close").over(w))).cast("int"))
+def redundancy_groups(pairs: DataFrame, strength: DataFrame) -> DataFrame:
+    """pairs of redundancy, strength (feature, rank_ic, ic_ir) -> (leader, feature, keep) of features that hang together.
 
+    leader is the first feature of a group by name; kept is the one of largest |ic_ir|, then |rank_ic|, then last by name.
+    A row per feature: the pairs that count fit into one row, in which groups are merged pair by pair.
+    """
+    linked = pairs.where("redundant = 1").agg(F.collect_list(F.struct("feature_a", "feature_b")).alias("pairs"))
+    start = F.map_from_arrays(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["feature_a"], p["feature_b"])))), F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["feature_a"], p["feature_b"])))))
 
-def trend(df: DataFrame, ahead: bool = False) -> DataFrame:
-    """df (entity_code, trade_date, score) with trend over the last scores; the next one only on demand: it looks ahead."""
-    w = Window.partitionBy("entity_code").orderBy("trade_date")
-    p1, p2 = F.lag("score", 1).over(w), F.lag("score", 2).over(w)
-    t = F.when((F.col("score") > p1) & (p1 > p2), "rising").when((F.col("score") < p1) & (p1 < p2), "falling").when(p2.isNull(), "short").otherwise("mixed")
-    out = df.withColumn("trend", t)
-    return out.withColumn("next_score", F.lead("score").over(w)) if ahead else out
+    def merge(group: Column, pair: Column) -> Column:
+        a, b = group[pair["feature_a"]], group[pair["feature_b"]]
+        return F.transform_values(group, lambda _, leader: F.when(leader == F.greatest(a, b), F.least(a, b)).otherwise(leader))
 
+    grouped = linked.select(F.explode(F.aggregate("pairs", start, merge)).alias("feature", "leader"))
+    best = Window.partitionBy("leader").orderBy(F.abs("ic_ir").desc(), F.abs("rank_ic").desc(), F.col("feature").desc())
+    return grouped.join(strength.select("feature", "rank_ic", "ic_ir"), "feature").select("leader", "feature", (F.row_number().over(best) == 1).cast("int").alias("keep"))
 
-def daily_selection(df: DataFrame, n: int = 5, least: float = 0.2, limit_move: float = 0.098, boards: tuple[str, ...] = ("Main", "ChiNext")) -> DataFrame:
-    """df (trade_date, entity_code, score, pct_chg, is_st, trend) -> the n best per date that are not ST, did not move to
-    the limit (a fraction), are on the boards, score high enough and are not falling."""
-    ok = df.where((F.col("score") >= least) & (F.col("is_st") == 0) & (F.abs(F.col("pct_chg") / 100) < limit_move) & (F.col("trend") != "falling") & board(F.col("entity_code")).isin(*boards))
-    return ok.withColumn("place", x.rank_first("score")).where(F.col("place") <= n)
 
+def factor_audit(df: DataFrame, split: str = "split", least: int = PAIR_LEAST) -> DataFrame:
+    """df (trade_date, entity_code, split, feature, value, label) -> per feature the daily IC of train and valid, and verdicts.
 
-def negative_selection(df: DataFrame, bound: float = -0.06) -> DataFrame:
-    """df (trade_date, entity_code, score, ret) -> names below the bound: `short` if they fell, else `missed`."""
-    return df.where(F.col("score") < bound).withColumn("rule", F.when(F.col("ret") < 0, "short").otherwise("missed"))
+    Dates with fewer than `least` names do not count. Fixed values: weak below 0.005 on validation, improved from 1.1,
+    stable from 0.5 of the training strength; worth keeping from 0.02.
+    """
+    rows = _enough(df.where(F.col(split).isin("train", "valid") & F.col("value").isNotNull() & F.col("label").isNotNull()), ["feature", split, "trade_date"], least)
+    own = ic_stats(rank_corr(rows, ["feature", split, "trade_date"], "value", "label"), ["feature", split])
+    names = df.select("feature").distinct()
+    for side in ("train", "valid"):
+        names = names.join(own.where(F.col(split) == side).select("feature", *[F.col(c).alias(f"{side}_{c}") for c in ("rank_ic", "ic_ir", "positive_rate", "days")]), "feature", "left")
+    wide = names.fillna(0)
+    train, valid = F.abs("train_rank_ic"), F.abs("valid_rank_ic")
+    status = (
+        F.when(valid < 0.005, "weak")
+        .when(F.col("train_rank_ic") * F.col("valid_rank_ic") < 0, "reversed")
+        .when(valid >= 1.10 * train, "improved")
+        .when(valid >= 0.50 * train, "stable")
+        .otherwise("decayed")
+    )
+    held = F.col("status").isin("stable", "improved") & (valid >= 0.02)
+    advice = F.when(held, "keep_candidate").when(F.col("status").isin("reversed", "weak"), "review").otherwise("observe")
+    return wide.withColumns({"retention": F.when(train > 1e-12, valid / train), "status": status}).withColumn("recommendation", advice)
+
+
+def walk_forward_attribution(df: DataFrame, names: list[str], windows: DataFrame, model_ic: DataFrame) -> DataFrame:
+    """What changed for each feature between the training and the test dates of each window.
+
+    df (trade_date, entity_code, label, names...), windows (window, split train or test, start_date, end_date), model_ic
+    (window, model_rank_ic) -> (window, feature, train_rank_ic, test_rank_ic, retention, psi, ks, status, window_status,
+    weakest, cause). Dates with less than half the median number of names (2 to 30) do not count. Windows are turned into
+    their dates, so that the join is by equality. Fixed values: 0.01 as the least IC that counts, 0.5 and 0.02.
+    """
+    days = windows.select("window", F.col("split").alias("side"), F.explode(F.sequence("start_date", "end_date")).alias("trade_date"))
+    long = df.unpivot(["trade_date", "entity_code", "label"], names, "feature", "v").join(days, "trade_date")
+    half = df.groupBy("trade_date").agg(F.count("*").alias("n")).agg(F.greatest(F.lit(2), F.least(F.lit(30), F.rint(F.percentile("n", F.lit(0.5)) * 0.5))).alias("least"))
+    key = ["window", "side", "feature"]
+    paired = long.where("v is not null and label is not null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*key, "trade_date"))).crossJoin(half).where("n >= least")
+    ic = ic_stats(rank_corr(paired, [*key, "trade_date"], "v", "label"), key)
+    out = long.select("window", "feature").distinct()
+    for side in ("train", "test"):
+        out = out.join(ic.where(F.col("side") == side).select("window", "feature", F.col("rank_ic").alias(f"{side}_rank_ic")), ["window", "feature"], "left")
+    out = out.fillna(0.0, ["train_rank_ic", "test_rank_ic"])
+    shift = psi(long, "v", "side", "train", keys=("window", "feature")).where("side = 'test'").select("window", "feature", "psi")
+    out = out.join(shift, ["window", "feature"], "left").join(ks(long, "v", "side", "train", "test", ("window", "feature")), ["window", "feature"], "left")
+    train, test = F.col("train_rank_ic"), F.col("test_rank_ic")
+    kept = F.when(F.abs(train) >= 0.01, F.abs(test) / F.abs(train))
+    flipped = (F.abs(train) >= 0.01) & (F.abs(test) >= 0.01) & (train * test < 0)
+    status = F.when(flipped, "reversed").when(kept < 0.5, "decayed").when(F.col("psi").isNull() | (F.col("psi") >= 0.25), "shifted").otherwise("stable")
+    own = out.withColumns({"retention": kept, "status": status}).join(model_ic.select("window", "model_rank_ic"), "window", "left")
+    w = Window.partitionBy("window")
+    some = {s: F.count(F.when(F.col("status") == s, 1)).over(w) > 0 for s in ("reversed", "decayed", "shifted")}
+    model = F.col("model_rank_ic")
+    of_window = F.when(model < 0, "failed").when(some["reversed"] | some["decayed"], "warning").when(model < 0.02, "weak").otherwise("stable")
+    cause = F.when(some["reversed"], "factor_sign_reversal").when(some["decayed"], "factor_signal_decay").when(some["shifted"], "feature_distribution_shift").otherwise("model_or_market_regime")
+    lowest = F.min(F.struct(F.coalesce(model, F.lit(0.0)).alias("ic"), "window")).over(Window.partitionBy())  # a row per window and feature
+    return own.withColumns({"window_status": of_window, "cause": cause, "weakest": (lowest["window"] == F.col("window")).cast("int")}).drop("model_rank_ic")
 
 
-def industry_rotation(picks: DataFrame, n: int = 5) -> DataFrame:
-    """picks (trade_date, industry) -> the n industries with most picks per month."""
-    s = picks.groupBy(F.trunc("trade_date", "month").alias("month"), "industry").agg(F.count("*").alias("picks"))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("month").orderBy(F.col("picks").desc(), "industry"))).where(F.col("place") <= n)
+def ensemble_diagnostics(df: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """df (trade_date, entity_code, model_id, score, label), scenarios (scenario, model_id, weight) -> mean IC per scenario.
 
+    Scenarios (leave one out, other weights) are rows of a small table; all are scored in one pass.
+    """
+    s = df.join(scenarios, "model_id").groupBy("scenario", "trade_date", "entity_code").agg(F.round(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 12).alias("score"), F.first("label").alias("label"))
+    return rank_corr(s, ["scenario", "trade_date"], "score", "label").groupBy("scenario").agg(F.count("ic").alias("days"), F.avg("ic").alias("ic"), F.stddev_samp("ic").alias("ic_std"))
 
-def trade_stats(trades: DataFrame) -> DataFrame:
-    """trades (ret) -> count, win rate, mean gain, mean loss, ratio of both."""
-    s = trades.agg(F.count("ret").alias("trades"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.avg(F.when(F.col("ret") > 0, F.col("ret"))).alias("gain"), F.avg(F.when(F.col("ret") <= 0, F.col("ret"))).alias("loss"))
-    return s.withColumn("ratio", F.try_divide(F.col("gain"), F.abs("loss")))
 
+def training_curve(history: DataFrame) -> DataFrame:
+    """history (run, step, train, valid; losses) -> per run best_step, final_step, gap, rebound, improvement, status.
 
-def list_predictions(df: DataFrame, entity: str | None = None, limit: int = 100) -> DataFrame:
-    """The latest date's predictions by score, or all dates of one entity."""
-    if entity is not None:
-        return df.where(F.col("entity_code") == entity).orderBy("trade_date").limit(limit)
-    last = df.agg(F.max("trade_date").alias("trade_date"))
-    return df.join(F.broadcast(last), "trade_date", "left_semi").orderBy(F.col("score").desc(), "entity_code").limit(limit)
+    gap: of the valid loss to the train loss at the best step, rebound: of the final valid loss to the best one, both as
+    shares of the best and not below 0; improvement: from the first to the best, as a share of the first. Fixed values:
+    the limits of status.
+    """
+    first, last = F.min_by("valid", "step"), F.max_by("valid", "step")
+    s = history.where("train is not null and valid is not null").groupBy("run").agg(F.min(F.struct("valid", "step", "train")).alias("b"), first.alias("first"), last.alias("last"), F.max("step").alias("final_step"), F.count("*").alias("points"))
+    best = F.col("b.valid")
+    share = lambda x, of: F.greatest(F.lit(0.0), x / F.greatest(F.abs(of), F.lit(1e-12)))
+    out = s.select("run", "points", F.col("b.step").alias("best_step"), "final_step", share(best - F.col("b.train"), best).alias("gap"), share(F.col("last") - best, best).alias("rebound"), share(F.col("first") - best, F.col("first")).alias("improvement"))
+    severe = (F.col("gap") >= 0.50) | (F.col("rebound") >= 0.20)
+    warning = ((F.col("points") >= 3) & (F.col("improvement") < 0.001)) | (F.col("gap") >= 0.20) | (F.col("rebound") >= 0.05)
+    return out.withColumn("status", F.when(severe, "severe").when(warning, "warning").otherwise("stable"))
+
+
+def curve_points(history: DataFrame, most: int = 300) -> DataFrame:
+    """At most about `most` evenly spaced points of each run's curve, its best and its last among them."""
+    own = Window.partitionBy("run")
+    p = history.withColumns({"i": F.row_number().over(own.orderBy("step")) - 1, "n": F.count(F.lit(1)).over(own), "best": F.min(F.struct("valid", "step")).over(own)})
+    step = (F.col("n") - 1) / (most - 1)
+    even = F.floor(F.ceil(F.col("i") / step) * step) == F.col("i")
+    return p.where((F.col("n") <= most) | even | (F.col("step") == F.col("best.step")) | (F.col("i") == F.col("n") - 1)).drop("i", "n", "best")

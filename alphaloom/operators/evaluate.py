@@ -70,10 +70,9 @@ def quantile_returns(clean: DataFrame, periods: list[int]) -> DataFrame:
 
 def turnover(clean: DataFrame, p: int) -> DataFrame:
     """(trade_date, quantile, turnover): the share of names that were not in the quantile p sessions before."""
-    moved = clean.withColumn("__was", at_step("quantile", -p))
-    first = clean.agg(F.min("idx")).first()[0]
+    moved = clean.withColumn("__was", at_step("quantile", -p)).crossJoin(clean.agg(F.min("idx").alias("__first")))
     new = F.when(F.col("__was") == F.col("quantile"), 0.0).otherwise(1.0)
-    return moved.where(F.col("idx") >= (first or 0) + p).groupBy("trade_date", "quantile").agg(F.avg(new).alias("turnover"))
+    return moved.where(F.col("idx") >= F.col("__first") + p).groupBy("trade_date", "quantile").agg(F.avg(new).alias("turnover"))
 
 
 def rank_autocorr(clean: DataFrame, p: int) -> DataFrame:
@@ -84,15 +83,24 @@ def rank_autocorr(clean: DataFrame, p: int) -> DataFrame:
 
 
 def analysis_summary(clean: DataFrame, periods: list[int], k: int = 5) -> DataFrame:
-    """(metric, period, value): IC mean, deviation, positive share and count; top, bottom and spread of quantiles."""
+    """(metric, period, value): IC mean, deviation, positive share and count; top, bottom and spread of quantiles; mean
+    turnover and rank autocorrelation over as many sessions; rows, dates and entities. All periods share each pass."""
     ic = rank_ic(clean, periods).groupBy("period").agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg(F.when(F.col("ic").isNotNull(), (F.col("ic") > 0).cast("double"))).alias("ic_positive"), F.count("ic").cast("double").alias("ic_days"))
-    q = quantile_returns(clean, periods)
-    ends = [q.where(F.col("quantile").isin(1, k)).groupBy().agg(F.lit(p).alias("period"), F.avg(F.when(F.col("quantile") == k, F.col(f"ret_{p}"))).alias("top"), F.avg(F.when(F.col("quantile") == 1, F.col(f"ret_{p}"))).alias("bottom")) for p in periods]
-    returns = ends[0]
-    for e in ends[1:]:
-        returns = returns.unionByName(e)
-    wide = ic.join(returns.withColumn("spread", F.col("top") - F.col("bottom")), "period")
-    return wide.unpivot(["period"], ["ic_mean", "ic_std", "ic_positive", "ic_days", "top", "bottom", "spread"], "metric", "value")
+    daily = quantile_returns(clean, periods)
+    side = lambda p, bucket: F.avg(F.when(F.col("quantile") == bucket, F.col(f"ret_{p}")))
+    ends = daily.agg(F.array(*[F.struct(F.lit(p).alias("period"), side(p, k).alias("top"), side(p, 1).alias("bottom")) for p in periods]).alias("e")).select(F.explode("e").alias("e")).select("e.*")
+    # Where each name stood so many sessions before, for all periods over one sort by entity.
+    ranked = clean.withColumn("__r", x.avg_rank("factor"))
+    lagged = ranked.withColumns({f"__{what}{p}": at_step(of, -p) for p in periods for what, of in (("q", "quantile"), ("r", "__r"))})
+    long = lagged.select("trade_date", "quantile", "idx", "__r", F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.col(f"__q{p}").alias("was"), F.col(f"__r{p}").alias("before")) for p in periods])).alias("l")).select("*", "l.*")
+    start = clean.agg(F.min("idx").alias("start"))
+    new = F.when(F.col("was") == F.col("quantile"), 0.0).otherwise(1.0)
+    moves = long.crossJoin(start).where(F.col("idx") >= F.col("start") + F.col("period")).groupBy("period", "trade_date", "quantile").agg(F.avg(new).alias("t")).groupBy("period").agg(F.avg("t").alias("turnover"))
+    s = long.where("before is not null").groupBy("period", "trade_date").agg(F.covar_pop("__r", "before").alias("c"), (F.stddev_pop("__r") * F.stddev_pop("before")).alias("s"))
+    steady = s.groupBy("period").agg(F.avg(F.when(F.col("s") > 0, F.col("c") / F.col("s"))).alias("autocorr"))
+    counts = clean.agg(F.count("*").cast("double").alias("rows"), F.count_distinct("trade_date").cast("double").alias("dates"), F.count_distinct("entity_code").cast("double").alias("entities"))
+    wide = ic.join(ends.withColumn("spread", F.col("top") - F.col("bottom")), "period").join(moves, "period", "left").join(steady, "period", "left").crossJoin(counts)
+    return wide.unpivot(["period"], ["ic_mean", "ic_std", "ic_positive", "ic_days", "top", "bottom", "spread", "turnover", "autocorr", "rows", "dates", "entities"], "metric", "value")
 
 
 def newey_west(series: DataFrame, value: str, lag: int, order: str = "trade_date") -> DataFrame:

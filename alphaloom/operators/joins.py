@@ -63,15 +63,31 @@ def market_cap(bars: DataFrame, shares: DataFrame) -> DataFrame:
     return wide.withColumn("cap", cap).withColumn("log_cap", F.when(F.col("cap") > 0, F.log("cap")))
 
 
+def sessions_from(days: DataFrame, day: str, cal: DataFrame, strict: bool = False) -> DataFrame:
+    """(day, session, idx): for each date the first session that is not before it, or with strict the first after it.
+
+    Dates and sessions are put in one order and the next session is carried back: a row per date on either side.
+    """
+    asked = days.select(F.col(day).alias("__day")).where("__day is not null").distinct()
+    rows = asked.select("__day", F.unix_date("__day").alias("__on"), F.lit(None).cast("struct<session:date,idx:long>").alias("__s"))
+    own = cal.select(F.lit(None).cast("date").alias("__day"), F.unix_date("trade_date").alias("__on"), F.struct(F.col("trade_date").alias("session"), F.col("idx").cast("long").alias("idx")).alias("__s"))
+    ahead = Window.orderBy("__on").rangeBetween(int(strict), Window.unboundedFollowing)
+    found = rows.unionByName(own).withColumn("__n", F.min("__s").over(ahead)).where("__day is not null")
+    return found.select(F.col("__day").alias(day), F.col("__n.session").alias("session"), F.col("__n.idx").alias("idx"))
+
+
 def membership(cal: DataFrame, members: DataFrame) -> DataFrame:
     """(trade_date, entity_code) for the sessions within [in_date, out_date], open where out_date is null.
 
-    Intervals are opened to the calendar's positions, so the join has an equality to hash on.
+    Both dates are turned into positions on the calendar and the positions between them met with it by equality.
     """
-    edges = cal.agg(F.sort_array(F.collect_list("trade_date")).alias("days"))  # one array of the sessions, a few thousand
-    open_ = members.crossJoin(F.broadcast(edges))
-    inside = F.filter("days", lambda d: (d >= F.col("in_date")) & (F.col("out_date").isNull() | (d <= F.col("out_date"))))
-    return open_.select("entity_code", F.explode(inside).alias("trade_date")).distinct()
+    first = sessions_from(members, "in_date", cal).select("in_date", F.col("idx").alias("__a"))
+    after = sessions_from(members, "out_date", cal, strict=True).select("out_date", F.col("idx").alias("__b"))
+    end = cal.agg((F.max("idx") + 1).alias("__end"))
+    placed = members.join(first, "in_date").join(after, "out_date", "left").crossJoin(end)
+    stop = F.coalesce("__b", "__end") - 1
+    spans = placed.where(F.col("__a") <= stop).select("entity_code", F.explode(F.sequence(F.col("__a"), stop)).alias("idx"))
+    return spans.join(cal.select("trade_date", F.col("idx").cast("long").alias("idx")), "idx").select("entity_code", "trade_date").distinct()
 
 
 def membership_all(bars: DataFrame, basics: DataFrame, kind: str = "1") -> DataFrame:
@@ -112,7 +128,7 @@ def industry_interval(obs: DataFrame, intervals: DataFrame) -> DataFrame:
 def sample_filters(df: DataFrame, listed: DataFrame, cal: DataFrame, min_sessions: int = 60, boards: tuple[str, ...] = (), drop_st: bool = True, drop_wd: bool = True, both_ways: bool = True) -> DataFrame:
     """Rows that may be held: right board, listed for so many sessions, not delisted, neither ST nor in withdrawal, and
     tradable both ways. listed (entity_code, ipo_date, out_date); df has is_st, is_wd, buy_allowed, sell_allowed."""
-    first = listed.join(cal.select(F.col("trade_date").alias("d"), "idx"), F.col("d") >= F.col("ipo_date")).groupBy("entity_code", "out_date").agg(F.min("idx").alias("ipo_idx"))
+    first = listed.join(sessions_from(listed, "ipo_date", cal), "ipo_date").where("idx is not null").select("entity_code", "out_date", F.col("idx").alias("ipo_idx"))
     out = df.join(first, "entity_code").join(cal, "trade_date").where(F.col("idx") - F.col("ipo_idx") >= min_sessions)
     out = out.where("out_date is null or trade_date < out_date")
     if boards:
@@ -168,8 +184,7 @@ def signal_dates(values: DataFrame) -> DataFrame:
 
 def next_session(df: DataFrame, cal: DataFrame, day: str = "signal_date", out: str = "trade_date") -> DataFrame:
     """Adds the first session after day; rows without one go. The dates, not the rows, meet the calendar."""
-    days = df.select(day).distinct()
-    after = days.join(cal.select(F.col("trade_date").alias("__d")), F.col("__d") > F.col(day)).groupBy(day).agg(F.min("__d").alias(out))
+    after = sessions_from(df, day, cal, strict=True).where("session is not null").select(day, F.col("session").alias(out))
     return df.join(after, day)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import cross_section as x
 from .evaluate import rank_corr
+from .joins import latest_predictions
 
 
 def prediction_frame(raw: DataFrame, scope: str = "stock") -> DataFrame:
@@ -30,6 +31,13 @@ def metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     return met.withColumn("icir", _ratio(F.col("ic"), F.col("ic_std")))
 
 
+def evaluate_stored(stored: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """stored (keys, trade_date, entity_code, score, updated_at, computed_at, run_id), labels (trade_date, entity_code,
+    label) -> metrics of the latest score of each key, entity and date against what came of it."""
+    latest = latest_predictions(stored, (*keys, "trade_date", "entity_code")).withColumn("prediction", F.col("score"))
+    return metrics(latest.where("prediction is not null").join(labels.where("label is not null"), ["trade_date", "entity_code"]), keys)
+
+
 def class_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """df (keys, probability, label 0/1) -> auc (ties half), log_loss, accuracy, precision, recall, f1, positive_rate.
 
@@ -63,11 +71,45 @@ def parameter_effects(trials: DataFrame, metric: str = "ic") -> DataFrame:
     return s.withColumns({"best": (F.row_number().over(own.orderBy(F.col("mean").desc(), "value")) == 1).cast("int"), "spread": F.max("mean").over(own) - F.min("mean").over(own)})
 
 
-def gate(long: DataFrame, rules: DataFrame) -> DataFrame:
-    """long (id, metric, value), rules (metric, op in >= <=, bound) -> (id, passed, failed): every rule must hold."""
-    met = long.select("id").distinct().crossJoin(F.broadcast(rules)).join(long, ["id", "metric"], "left")
-    holds = F.coalesce(F.when(F.col("op") == ">=", F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound")), F.lit(False))
-    return met.groupBy("id").agg(F.min(holds.cast("int")).alias("passed"), F.sort_array(F.collect_list(F.when(~holds, F.col("metric")))).alias("failed"))
+#: The rules of the research gate and of walk-forward stability, (metric, operator, bound).
+RESEARCH_RULES = (
+    ("validation_days", ">=", 40),
+    ("validation_rank_ic", ">=", 0.02),
+    ("validation_ic_ir", ">=", 0.30),
+    ("test_days", ">=", 40),
+    ("test_rank_ic", ">=", 0.02),
+    ("test_ic_ir", ">=", 0.30),
+    ("trading_days", ">=", 40),
+    ("excess_annual_return", ">", 0.0),
+    ("sharpe_ratio", ">", 0.0),
+    ("max_drawdown", ">=", -0.30),
+)
+STABILITY_RULES = (
+    ("window_count", ">=", 3),
+    ("window_ic_mean", ">=", 0.02),
+    ("window_ic_std", "<=", 0.02),
+    ("positive_ic_window_ratio", ">=", 0.50),
+    ("ic_ir", ">=", 0.30),
+)
+_HOLDS = {">=": Column.__ge__, ">": Column.__gt__, "<=": Column.__le__, "<": Column.__lt__}
+
+
+def gate(long: DataFrame, rules: tuple[tuple[str, str, float], ...] = RESEARCH_RULES, key: str = "id") -> DataFrame:
+    """long (key, metric, value) -> (key, passed, held, failed): every rule must hold; a missing metric fails its rule."""
+    value = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    wide = long.groupBy(key).agg(*[value(m).alias(m) for m, _, _ in rules])
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(_HOLDS[op](F.col(m), F.lit(float(bound))), F.lit(False)), m) for m, op, bound in rules]))
+    return wide.select(key, (F.size(failed) == 0).cast("int").alias("passed"), (len(rules) - F.size(failed)).alias("held"), failed.alias("failed"))
+
+
+def stability_gate(windows: DataFrame, stitched: DataFrame, key: str = "id") -> DataFrame:
+    """windows (key, window, rank_ic), stitched (key, ic_ir of all windows in one) -> gate by STABILITY_RULES, with status."""
+    ic = F.col("rank_ic")
+    s = windows.groupBy(key).agg(F.count(ic).cast("double").alias("window_count"), F.avg(ic).alias("window_ic_mean"), F.stddev_pop(ic).alias("window_ic_std"), F.avg((ic > 0).cast("double")).alias("positive_ic_window_ratio"))
+    long = s.join(stitched.select(key, "ic_ir"), key, "left").unpivot([key], [m for m, _, _ in STABILITY_RULES], "metric", "value")
+    few = F.array_contains("failed", "window_count")
+    status = F.when(few, "insufficient_windows").when(F.col("passed") == 1, "stable").when(F.col("held") >= 3, "mixed").otherwise("unstable")
+    return gate(long, STABILITY_RULES, key).withColumn("status", status)
 
 
 def leaderboard(models: DataFrame, cohort: list[str]) -> DataFrame:
@@ -83,9 +125,9 @@ def ensemble(predictions: DataFrame, sources: DataFrame) -> DataFrame:
     Only entities that all sources cover count. Scores are rounded to 12 places, so that the order of a sum does not break
     ties; ranks are unique, the percentile is (rank - 1) / (n - 1).
     """
-    k = sources.count()
-    met = predictions.join(F.broadcast(sources), "model_id").groupBy("trade_date", "entity_code").agg(F.count_distinct("model_id").alias("k"), F.round(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 12).alias("score"))
-    whole = met.where(F.col("k") == k).drop("k")
+    counted = sources.withColumn("__of", F.count(F.lit(1)).over(Window.partitionBy()))  # a row per model
+    met = predictions.join(counted, "model_id").groupBy("trade_date", "entity_code").agg(F.count_distinct("model_id").alias("k"), F.first("__of").alias("__of"), F.round(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 12).alias("score"))
+    whole = met.where(F.col("k") == F.col("__of")).drop("k", "__of")
     n = F.count(F.lit(1)).over(x.xs())
     ranked = whole.withColumns({"rank_value": x.rank_first("score"), "__n": n})
     return ranked.withColumn("percentile", F.when(F.col("__n") > 1, (F.col("rank_value") - 1) / (F.col("__n") - 1)).otherwise(0.0)).drop("__n")
@@ -97,12 +139,17 @@ def ensemble(predictions: DataFrame, sources: DataFrame) -> DataFrame:
 def psi(df: DataFrame, value: str, side: str, reference: str, bins: int = 10, keys: tuple[str, ...] = (), eps: float = 1e-6) -> DataFrame:
     """Population stability of the other sides of a column against its reference side: (keys, side, psi).
 
-    Edges are the distinct quantiles of the reference, outer bins open; a constant reference has one bin.
+    Edges are the distinct quantiles of the reference between its ends, outer bins open; a constant reference has three
+    bins: below, about (a relative tolerance of 1e-9), and above it.
     """
-    have = df.where(F.col(value).isNotNull())
-    inner = [i / bins for i in range(1, bins)]
-    cuts = have.where(F.col(side) == reference).groupBy(*keys).agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, inner)))).alias("__cuts"))
-    met = have.join(cuts, list(keys)) if keys else have.crossJoin(F.broadcast(cuts))
+    have = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    all_ = have.where(F.col(side) == reference).groupBy(*keys).agg(F.array_distinct(F.percentile(value, points)).alias("__q"))
+    centre = F.col("__q")[0]
+    tolerance = F.greatest(F.abs(centre) * 1e-9, F.lit(1e-9))
+    inner = F.when(F.size("__q") == 1, F.array(centre - tolerance, centre + tolerance)).otherwise(F.slice("__q", F.lit(2), F.greatest(F.size("__q") - 2, F.lit(0))))
+    cuts = all_.select(*keys, inner.alias("__cuts"))
+    met = have.join(cuts, list(keys)) if keys else have.crossJoin(cuts)
     binned = met.withColumn("__bin", F.size(F.filter("__cuts", lambda e: F.col(value) >= e))).groupBy(*keys, side, "__bin").agg(F.count("*").alias("n"))
     share = binned.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, side)))
     ref = share.where(F.col(side) == reference).select(*keys, "__bin", F.col("p").alias("r"))
@@ -124,13 +171,16 @@ def ks(df: DataFrame, value: str, side: str, a: str, b: str, keys: tuple[str, ..
 
 
 def feature_drift(df: DataFrame, names: list[str], split: str = "split", warn: float = 0.10, bad: float = 0.25) -> DataFrame:
-    """Per feature train against test: psi, ks, missing shares, means, deviations, medians, status."""
+    """Per feature train against test: psi, ks, missing shares, means, deviations, medians, status.
+
+    A feature without a psi, as one that a side lacks, counts as severe.
+    """
     long = df.unpivot([split], names, "feature", "v")
     stats = long.where(F.col(split).isin("train", "test")).groupBy("feature", split).agg(F.avg(F.col("v").isNull().cast("double")).alias("missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.percentile("v", F.lit(0.5)).alias("median"))
     a, b = (stats.where(F.col(split) == s).select("feature", *[F.col(c).alias(f"{s}_{c}") for c in ("missing", "mean", "std", "median")]) for s in ("train", "test"))
     p = psi(long, "v", split, "train", keys=("feature",)).where(F.col(split) == "test").select("feature", "psi")
     out = a.join(b, "feature", "full_outer").join(p, "feature", "left").join(ks(long, "v", split, "train", "test", ("feature",)), "feature", "left")
-    return out.withColumn("status", F.when(F.col("psi") >= bad, "drifted").when(F.col("psi") >= warn, "watch").otherwise("stable"))
+    return out.withColumn("status", F.when(F.col("psi").isNull() | (F.col("psi") >= bad), "severe").when(F.col("psi") >= warn, "medium").otherwise("stable"))
 
 
 def reproducibility(a: DataFrame, b: DataFrame, on: list[str], value: str = "score") -> DataFrame:

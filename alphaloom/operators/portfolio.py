@@ -7,9 +7,13 @@ dates run on one row per date and key.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import market_regime
 from .evaluate import rank_corr
 
 #: Cost rates of buying and selling, trading days of a year.
@@ -23,8 +27,8 @@ def open_returns(bars: DataFrame, cal: DataFrame, price: str = "adjusted_open")
     Missing opens are carried forward; the last session has no return.
     """
     own = bars.join(cal, "trade_date").select("entity_code", "idx", F.col(price).alias("price"))
-    last = cal.agg(F.max("idx")).first()[0]
-    grid = own.groupBy("entity_code").agg(F.min("idx").alias("a")).select("entity_code", F.explode(F.sequence(F.col("a"), F.lit(last))).alias("idx"))
+    last = cal.agg(F.max("idx").alias("z"))
+    grid = own.groupBy("entity_code").agg(F.min("idx").alias("a")).crossJoin(last).select("entity_code", F.explode(F.sequence("a", "z")).alias("idx"))
     w = Window.partitionBy("entity_code").orderBy("idx")
     filled = grid.join(own, ["entity_code", "idx"], "left").withColumn("price", F.last("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ret = filled.withColumn("ret", F.try_divide(F.lead("price").over(w), F.col("price")) - 1)
@@ -71,10 +75,9 @@ def _held(targets: DataFrame, returns: DataFrame, cal: DataFrame, keys: tuple[st
 
     value is the weight grown until the session's open, grown that after it. A missing return counts as 0.
     """
-    last = cal.agg(F.max("idx")).first()[0]
-    starts = targets.select(*keys, "trade_date").distinct().join(cal, "trade_date")
+    starts = targets.select(*keys, "trade_date").distinct().join(cal, "trade_date").crossJoin(cal.agg(F.max("idx").alias("last")))
     order = Window.partitionBy(*keys).orderBy("idx") if keys else Window.orderBy("idx")
-    spans = starts.withColumn("until", F.coalesce(F.lead("idx").over(order) - 1, F.lit(last - 1)))
+    spans = starts.withColumn("until", F.coalesce(F.lead("idx").over(order), F.col("last")) - 1)
     spans = spans.where("until >= idx").select(*keys, "trade_date", F.col("idx").alias("start"), F.explode(F.sequence("idx", "until")).alias("idx"))
     held = targets.join(spans, [*keys, "trade_date"]).drop("trade_date")
     held = held.join(returns.select("entity_code", "idx", "ret"), ["entity_code", "idx"], "left").withColumn("ret", F.coalesce("ret", F.lit(0.0)))
@@ -142,10 +145,12 @@ def benchmark_returns(bars: DataFrame, code: str) -> DataFrame:
 
 
 def monthly_returns(level: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """level (keys, trade_date, nav) -> (keys, month, ret): last value of a month over that of the month before, or 1."""
+    """level (keys, trade_date, nav) -> (keys, month, ret): last value of a month over that of the month before; the
+    first month has none."""
     month = level.groupBy(*keys, F.trunc("trade_date", "month").alias("month")).agg(F.max_by("nav", "trade_date").alias("nav"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("month")
-    return month.select(*keys, "month", (F.col("nav") / F.coalesce(F.lag("nav").over(w), F.lit(1.0)) - 1).alias("ret"))
+    before = F.lag("nav").over(w)
+    return month.select(*keys, "month", F.when(before > 0, F.col("nav") / before - 1).alias("ret")).where("ret is not null")
 
 
 def holdings(targets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -161,7 +166,7 @@ def compose(predictions: DataFrame, engines: DataFrame) -> DataFrame:
 
     Per engine and date the names that reach its threshold, at most top_n, with their position from 1.
     """
-    met = predictions.join(F.broadcast(engines), "engine").where(F.col("score") >= F.col("threshold"))
+    met = predictions.join(engines, "engine").where(F.col("score") >= F.col("threshold"))
     place = F.row_number().over(Window.partitionBy("engine", "trade_date").orderBy(F.col("score").desc(), "entity_code"))
     return met.withColumn("position", place).where(F.col("position") <= F.col("top_n"))
 
@@ -205,11 +210,37 @@ def gate_audit(composed: DataFrame) -> DataFrame:
 
 
 def window_report(daily: DataFrame, windows: DataFrame) -> DataFrame:
-    """Performance per window (window, start_date, end_date) of daily (trade_date, ret), and whether it is complete."""
-    met = daily.join(F.broadcast(windows), (F.col("trade_date") >= F.col("start_date")) & (F.col("trade_date") <= F.col("end_date")))
-    span = met.groupBy("window").agg(F.max("end_date").alias("end_date"), F.max("trade_date").alias("last"))
-    whole = F.date_diff("end_date", "last") <= 7
-    return performance(met.select("window", "trade_date", "ret"), ("window",)).join(span, "window").withColumn("complete", whole).drop("end_date", "last")
+    """Performance per window (window, start_date, end_date) of daily (trade_date, ret, excess), from 1 in each.
+
+    Adds excess_annual, and complete: whether the first and the last date reach the window's ends. Windows are turned into
+    their dates, so that the join is by equality.
+    """
+    days = windows.select("window", "start_date", "end_date", F.explode(F.sequence("start_date", "end_date")).alias("trade_date"))
+    met = daily.join(days, "trade_date")
+    excess = performance(met.select("window", "trade_date", F.col("excess").alias("ret")).where("ret is not null"), ("window",))
+    span = met.groupBy("window").agg(((F.min("trade_date") <= F.first("start_date")) & (F.max("trade_date") >= F.first("end_date"))).cast("int").alias("complete"))
+    own = performance(met.select("window", "trade_date", "ret"), ("window",))
+    return own.join(excess.select("window", F.col("annual").alias("excess_annual")), "window", "left").join(span, "window")
+
+
+def window_stability(report: DataFrame) -> DataFrame:
+    """(complete_window_count, mean_excess, positive_window_ratio, excess_std, worst_window, failed, status) of the
+    complete windows of a report. Fixed values: the bounds."""
+    e = F.col("excess_annual")
+    s = report.where("complete = 1").agg(
+        F.count("*").alias("complete_window_count"), F.avg(e).alias("mean_excess"), F.avg((e > 0).cast("double")).alias("positive_window_ratio"),
+        F.stddev_pop(e).alias("excess_std"), F.min(e).alias("worst_window"),
+    )
+    rules = {
+        "complete_window_count": F.col("complete_window_count") >= 3,
+        "mean_excess": F.col("mean_excess") > 0,
+        "positive_window_ratio": F.col("positive_window_ratio") >= 2 / 3,
+        "excess_std": F.col("excess_std") <= 0.10,
+        "worst_window": F.col("worst_window") >= -0.05,
+    }
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(holds, F.lit(False)), name) for name, holds in rules.items()]))
+    status = F.when(F.col("mean_excess").isNull(), "insufficient").when(F.size("failed") == 0, "stable").otherwise("unstable")
+    return s.withColumn("failed", failed).withColumn("status", status)
 
 
 def aligned_windows(windows: DataFrame) -> DataFrame:
@@ -218,11 +249,25 @@ def aligned_windows(windows: DataFrame) -> DataFrame:
     return lists.agg(F.count("*").alias("engines"), F.count_distinct("w").alias("variants")).withColumn("aligned", (F.col("variants") == 1).cast("int"))
 
 
-def gate_attribution(profiles: DataFrame) -> DataFrame:
-    """profiles (profile in none, style, industry, both; annual) -> the effect of each gate, and their interaction."""
-    wide = profiles.groupBy().pivot("profile", ["none", "style", "industry", "both"]).agg(F.first("annual"))
-    c = F.col
-    return wide.select((c("style") - c("none")).alias("style_effect"), (c("industry") - c("none")).alias("industry_effect"), (c("both") - c("none")).alias("total_effect"), (c("both") - c("style") - c("industry") + c("none")).alias("interaction"))
+#: The four profiles, from no gate to both.
+PROFILES = ("stock_only", "style_stock", "industry_stock", "full")
+
+
+def gate_attribution(windows: DataFrame) -> DataFrame:
+    """windows (window, profile, annual, excess_annual) of the four profiles -> per window that all have: the benchmark's
+    annual return and regime, the mean excess, whether all fall short, what each gate adds, their interaction, weakest.
+    """
+    bench = (F.col("annual") - F.col("excess_annual")).alias("bench")
+    per = windows.withColumn("bench", bench).groupBy("window").pivot("profile", list(PROFILES)).agg(F.first("excess_annual").alias("excess"), F.first("bench").alias("bench"))
+    e, b = ([F.col(f"{p}_{what}") for p in PROFILES] for what in ("excess", "bench"))
+    stock, style, industry, full = e
+    mean = lambda xs: F.try_divide(reduce(add, [F.coalesce(v, F.lit(0.0)) for v in xs]), reduce(add, [v.isNotNull().cast("int") for v in xs]))
+    out = per.where(reduce(and_, [v.isNotNull() for v in e])).select(
+        "window", mean(b).alias("bench_annual"), mean(e).alias("mean_excess"), (F.greatest(*e) < 0).cast("int").alias("all_negative"),
+        (style - stock).alias("style_delta"), (industry - stock).alias("industry_delta"), (full - industry).alias("full_delta"), (full - industry - style + stock).alias("interaction"),
+    )
+    lowest = F.min(F.struct("mean_excess", "window")).over(Window.partitionBy())["window"]  # a row per window
+    return out.withColumns({"regime": market_regime(F.col("bench_annual")), "weakest": (F.col("window") == lowest).cast("int")})
 
 
 def order_snapshot(predictions: DataFrame, panel: DataFrame, current: DataFrame, before: str, n: int) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import panel as source
+from ..sources.sinks import scratch
 
 
 #: Six places, fewer for large values. Exact halves are kept clear of the edge, so both engines round them alike.
@@ -25,10 +27,16 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, name: str, keys: str = "", vals: str = "", ints: str = "", sql: str | None = None):
+    def add(self, name: str, keys: str = "", vals: str = "", ints: str = "", sql: str | None = None, share: bool = False):
+        """share: tables that `once` names are stored and read again while this query is put together."""
+
         def register(make: Callable[[SparkSession, str], DataFrame]):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return shape(make(spark, sf_dir), keys.split(), vals.split(), ints.split())
+                token = _shared.set({} if share else None)
+                try:
+                    return shape(make(spark, sf_dir), keys.split(), vals.split(), ints.split())
+                finally:
+                    _shared.reset(token)
 
             self.queries[name] = run
             if sql is not None:
@@ -39,6 +47,23 @@ class Registry:
         return register
 
 
+#: Tables that the query now put together has stored, by name.
+_shared: ContextVar[dict[str, DataFrame] | None] = ContextVar("shared", default=None)
+
+
+def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), stored in the shared scratch folder the first time within a query that shares its tables."""
+    have = _shared.get()
+    if have is None:
+        return make()
+    if name not in have:
+        df = make()
+        path = scratch(df.sparkSession, name)
+        df.write.parquet(path)
+        have[name] = df.sparkSession.read.schema(df.schema).parquet(path)
+    return have[name]
+
+
 def shape(df: DataFrame, keys: list[str], vals: list[str], ints: list[str]) -> DataFrame:
     def rounded(v: str) -> Column:
         x = F.col(v).cast("double")
@@ -74,7 +99,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.bars(trades(spark, sf_dir), tie=TIE)
+    return once("bars", lambda: source.bars(trades(spark, sf_dir), tie=TIE))
 
 
 def entity_number() -> Column:
@@ -83,6 +108,10 @@ def entity_number() -> Column:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars with the fields that factors need; all but the bars follow from the entity's number by rule."""
+    return once("panel", lambda: _panel(spark, sf_dir))
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Window.partitionBy("entity_code").orderBy("trade_date")
     k = entity_number()
     b = bars(spark, sf_dir).withColumn("pre_close", F.lag("close").over(own)).withColumn("nth", F.row_number().over(own))
@@ -111,6 +140,20 @@ panel AS (SELECT *, (close / pre_close - 1) * 100 AS pct_chg, volume / (500 + 10
   pre_close * 1.1 AS high_limited, pre_close * 0.9 AS low_limited, (k % 17 = 0)::INT AS is_st, ((k + nth) % 23 = 0)::INT AS is_susp, (k % 29 = 0)::INT AS is_wd FROM p0)"""
 
 
+#: Number prefixes of codes on different boards, by the entity's number.
+PREFIXES = ("600", "688", "300", "430", "003", "900", "001")
+
+
+def coded() -> Column:
+    """The entity's code with a number of some board."""
+    k = entity_number()
+    prefix = F.element_at(F.array(*map(F.lit, PREFIXES)), (k % len(PREFIXES) + 1).cast("int"))
+    return F.concat(prefix, F.format_string("%03d", k), F.lit("."), F.substring_index("entity_code", ".", -1))
+
+
+CODED = f"[{', '.join(f"'{p}'" for p in PREFIXES)}][split_part(entity_code, '.', 1)::BIGINT % {len(PREFIXES)} + 1] || printf('%03d', split_part(entity_code, '.', 1)::BIGINT) || '.' || split_part(entity_code, '.', 2)"
+
+
 def over(n: int) -> str:
     return f"(PARTITION BY entity_code ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 

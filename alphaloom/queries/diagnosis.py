@@ -1,13 +1,20 @@
 """Queries of diagnostics and selection."""
 
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import datasets as d
 from ..operators import diagnose as g
 from ..operators import joins as j
-from .base import PANEL, Registry, bars, panel
-from .evaluation import predictions
+from ..operators import selection as sel
+from .base import CODED, PANEL, Registry, bars, coded, panel, table
+from .evaluation import predictions, prices
 from .joins import CAP, shares
 from .models import _MR, IND, LAB, industries, labelled
+from .sources import cal
 
 R = Registry()
 c = F.col
@@ -85,9 +92,9 @@ def _(spark, sf):
 
 
 @R.add("g_calibration", "", "mean p10 p50 p90 hit", "bucket n", sql=f"""
-WITH {B} SELECT greatest(1, ceil((score + 1) / 2 * 10 - 1e-9)) AS bucket, count(*) AS n, avg(ret) AS mean, quantile_cont(ret, 0.1) AS p10, quantile_cont(ret, 0.5) AS p50, quantile_cont(ret, 0.9) AS p90, avg((ret > 0)::INT) AS hit FROM bb GROUP BY 1 HAVING count(*) >= 20""")
+WITH {B} SELECT greatest(1, ceil((score + 1) / 2 * 10 - 1e-9)) AS bucket, count(*) AS n, {", ".join(f"CASE WHEN count(*) >= 3000 THEN {x} END AS {n}" for n, x in (("mean", "avg(ret)"), ("p10", "quantile_cont(ret, 0.1)"), ("p50", "quantile_cont(ret, 0.5)"), ("p90", "quantile_cont(ret, 0.9)"), ("hit", "avg((ret > 0)::INT)")))} FROM bb GROUP BY 1""")
 def _(spark, sf):
-    return g.calibration(b_rows(spark, sf).withColumn("percentile", (c("score") + 1) / 2)).where("n >= 20")
+    return g.calibration(b_rows(spark, sf).withColumn("percentile", (c("score") + 1) / 2), least=3000)
 
 
 @R.add("g_compare", "model_a model_b", "rho", "days", sql=f"""
@@ -98,7 +105,11 @@ def _(spark, sf):
     return g.compare_models(predictions(spark, sf).withColumnRenamed("engine", "model_id"))
 
 
-@R.add("g_ensemble", "scenario", "ic ic_std", "days")
+@R.add("g_ensemble", "scenario", "ic ic_std", "days", sql=f"""
+WITH {LAB}, sc AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{m}')" for n, m in [("equal", m) for m in "abc"] + [(f"without {d}", m) for d in "abc" for m in "abc" if m != d])}) t(scenario, model_id)),
+cb AS (SELECT scenario, trade_date, entity_code, round(avg(prediction), 12) AS score, any_value(label) AS label FROM pl JOIN sc USING (model_id) GROUP BY ALL),
+r AS (SELECT scenario, trade_date, {_MR.format(x="score").replace("model_id", "scenario")} AS a, {_MR.format(x="label").replace("model_id", "scenario")} AS b FROM cb), i AS (SELECT scenario, trade_date, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM r GROUP BY ALL)
+SELECT scenario, count(ic) AS days, avg(ic) AS ic, stddev_samp(ic) AS ic_std FROM i GROUP BY 1""")
 def _(spark, sf):
     rows = [("equal", m, 1.0) for m in "abc"] + [(f"without {d}", m, 1.0) for d in "abc" for m in "abc" if m != d]
     s = spark.createDataFrame(rows, "scenario string, model_id string, weight double")
@@ -112,55 +123,229 @@ def with_industry(spark, sf):
 BI = f"{B}, ib AS (SELECT bb.*, n.n_name AS industry FROM bb JOIN panel p USING (entity_code, trade_date) JOIN supplier s ON s.s_suppkey = p.k JOIN nation n ON n.n_nationkey = s.s_nationkey WHERE p.nth % 20 <> 0)"
 
 
-@R.add("k_industry_signals", "trade_date", "mean_best", "strong top_industries", sql=f"""
-WITH {BI}, b1 AS (SELECT trade_date, industry, max(score) AS best FROM ib GROUP BY ALL), t1 AS (SELECT DISTINCT trade_date, industry FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, entity_code) AS r FROM ib) WHERE r <= 20)
-SELECT x.trade_date, strong, mean_best, top_industries FROM (SELECT trade_date, count(*) FILTER (best >= 0.1) AS strong FROM b1 GROUP BY 1) x JOIN (SELECT trade_date, avg(best) AS mean_best, count(*) AS top_industries FROM b1 JOIN t1 USING (trade_date, industry) GROUP BY 1) y USING (trade_date)""")
+BS = f"""{BI}, sc AS (SELECT ib.trade_date, {CODED.replace("entity_code", "ib.entity_code")} AS entity_code, industry, score * 0.13::DOUBLE AS score, p.pct_chg, p.is_st FROM ib JOIN panel p USING (entity_code, trade_date))"""
+SIG = f"""{BS}, b1 AS (SELECT trade_date, industry, max(score) AS best FROM sc GROUP BY ALL), t1 AS (SELECT DISTINCT trade_date, industry FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, entity_code) AS r FROM sc) WHERE r <= 20),
+sig AS (SELECT x.trade_date, strong, mean_best, top_industries FROM (SELECT trade_date, count(*) FILTER (best >= 0.1) AS strong FROM b1 GROUP BY 1) x JOIN (SELECT trade_date, avg(best) AS mean_best, count(*) AS top_industries FROM b1 JOIN t1 USING (trade_date, industry) GROUP BY 1) y USING (trade_date)),
+ma AS (SELECT trade_date, close, (count(*) OVER w < 20 OR close >= avg(close) OVER w)::INT AS above FROM bars WHERE entity_code = '000001.SZ' WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+gs AS (SELECT trade_date, strong, mean_best, coalesce(above, 1) AS above, CASE WHEN mean_best < 0.06 THEN '熊市' WHEN mean_best < 0.09 THEN '震荡偏弱' WHEN mean_best < 0.10 THEN '震荡' WHEN mean_best < 0.12 THEN '震荡偏强' ELSE '牛市' END AS state,
+ CASE WHEN mean_best >= 0.12 AND strong >= 5 THEN '100%' WHEN mean_best >= 0.10 AND strong >= 3 THEN '50%' WHEN mean_best >= 0.09 AND strong >= 2 THEN '30%' WHEN mean_best >= 0.06 THEN '0-30%' ELSE '0%' END AS position FROM sig LEFT JOIN ma USING (trade_date)),
+gate AS ({" UNION ALL ".join(f"SELECT '{n}' AS preset, *, (mean_best >= {entry} AND strong >= {least} AND above = 1)::INT AS enter FROM gs" for n, entry, least in (("balanced", 0.09, 2), ("conservative", 0.10, 5), ("aggressive", 0.07, 1)))})"""
+
+
+def scored(spark, sf):
+    """Scores of the size that the rules expect, under codes of all boards, with industry, last move and ST flag."""
+    p = panel(spark, sf).select("entity_code", "trade_date", "pct_chg", "is_st")
+    rows = with_industry(spark, sf).select("entity_code", "trade_date", "industry", (c("score") * 0.13).alias("score")).join(p, ["entity_code", "trade_date"])
+    return rows.withColumn("entity_code", coded())
+
+
+def index(spark, sf):
+    return sel.above_ma(bars(spark, sf).where("entity_code = '000001.SZ'").select("trade_date", "close"))
+
+
+def gates(spark, sf, preset="balanced"):
+    return sel.market_gate(sel.industry_signals(scored(spark, sf)), index(spark, sf), sel.PRESETS[preset])
+
+
+@R.add("k_industry_signals", "trade_date", "mean_best", "strong top_industries", share=True, sql=f"WITH {SIG} SELECT * FROM sig")
 def _(spark, sf):
-    return g.industry_signals(with_industry(spark, sf))
+    return sel.industry_signals(scored(spark, sf))
 
 
 @R.add("k_top_by_industry", "trade_date industry entity_code", "score", sql=f"WITH {BI} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, industry ORDER BY score DESC, entity_code) AS r FROM ib) WHERE r = 1")
 def _(spark, sf):
-    return g.top_by_industry(with_industry(spark, sf))
+    return sel.top_by_industry(with_industry(spark, sf))
 
 
-@R.add("k_above_ma", "trade_date", "close", "above", sql=f"WITH {IND} SELECT trade_date, close, (count(*) OVER w < 20 OR close > avg(close) OVER w)::INT AS above FROM bars WHERE entity_code = '000001.SZ' WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+@R.add("k_above_ma", "trade_date", "close", "above", sql=f"WITH {SIG} SELECT * FROM ma")
 def _(spark, sf):
-    return g.above_ma(bars(spark, sf).where("entity_code = '000001.SZ'").select("trade_date", "close"))
+    return index(spark, sf)
 
 
-TREND = f"{B}, tr AS (SELECT *, lag(score, 1) OVER o AS p1, lag(score, 2) OVER o AS p2 FROM bb WINDOW o AS (PARTITION BY entity_code ORDER BY trade_date)), tt AS (SELECT *, CASE WHEN score > p1 AND p1 > p2 THEN 'rising' WHEN score < p1 AND p1 < p2 THEN 'falling' WHEN p2 IS NULL THEN 'short' ELSE 'mixed' END AS trend FROM tr)"
+@R.add("k_market", "trade_date preset state position", "mean_best", "strong enter", share=True, sql=f"WITH {SIG} SELECT * FROM gate")
+def _(spark, sf):
+    return reduce(DataFrame.unionByName, [gates(spark, sf, p).withColumn("preset", F.lit(p)) for p in sel.PRESETS])
 
 
-@R.add("k_trend", "trade_date entity_code trend", "score", sql=f"WITH {TREND} SELECT * FROM tt")
+TREND = f"""{SIG}, tr AS (SELECT *, lag(score) OVER o AS p, lead(score) OVER o AS nx FROM sc WINDOW o AS (PARTITION BY entity_code ORDER BY trade_date)),
+tt AS (SELECT *, CASE WHEN p IS NOT NULL AND nx IS NOT NULL THEN CASE WHEN p < score AND nx < score THEN '先升后降' WHEN p < score THEN '连续上升' WHEN nx < score THEN '回落中' ELSE '连续下降' END
+ WHEN p IS NOT NULL THEN CASE WHEN p < score THEN '上升中' ELSE '回落中' END WHEN nx IS NOT NULL THEN CASE WHEN nx < score THEN '明日回落' ELSE '连续上升' END ELSE '趋势未知' END AS trend FROM tr)"""
+
+
+@R.add("k_trend", "trade_date entity_code trend", "score", "buyable", share=True, sql=f"WITH {TREND} SELECT *, (trend NOT IN ('连续上升', '连续下降'))::INT AS buyable FROM tt")
 def _(spark, sf):
-    return g.trend(b_rows(spark, sf))
+    return sel.trend(scored(spark, sf))
 
 
-@R.add("k_selection", "trade_date entity_code", "score", "place", sql=f"""
-WITH {TREND}, ok AS (SELECT tt.* FROM tt JOIN panel p USING (entity_code, trade_date) WHERE score >= 0.2 AND is_st = 0 AND abs(pct_chg / 100) < 0.5 AND trend <> 'falling' AND entity_code NOT LIKE '%.BJ' AND entity_code NOT LIKE '688%.SH' AND entity_code NOT LIKE '689%.SH')
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, entity_code) AS place FROM ok) WHERE place <= 5""")
+@R.add("k_selection", "preset trade_date entity_code", "score", "place", share=True, sql=f"""
+WITH {TREND}, ok AS (SELECT preset, tt.* FROM tt JOIN gate USING (trade_date) WHERE enter = 1 AND score BETWEEN 0.1 AND 0.12 AND coalesce(is_st, 0) <> 1 AND coalesce(abs(pct_chg), 0) < 60 AND trend NOT IN ('连续上升', '连续下降') AND left(entity_code, 3) IN ('600', '001'))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY preset, trade_date ORDER BY score DESC, entity_code) AS place FROM ok) WHERE place <= 5""")
 def _(spark, sf):
-    p = panel(spark, sf).select("entity_code", "trade_date", "pct_chg", "is_st")
-    return g.daily_selection(g.trend(b_rows(spark, sf)).join(p, ["entity_code", "trade_date"]), limit_move=0.5)
+    """All three presets. Weekly moves of order lines are wide, so the limit is 60 percent."""
+    rows = sel.trend(scored(spark, sf))
+    each = [sel.daily_selection(rows, gates(spark, sf, p), replace(s, limit_move=60.0)).withColumn("preset", F.lit(p)) for p, s in sel.PRESETS.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
-@R.add("k_negative", "trade_date entity_code rule", "score", sql=f"WITH {B} SELECT *, CASE WHEN ret < 0 THEN 'short' ELSE 'missed' END AS rule FROM bb WHERE score < -0.06")
+NEG = f"""{B}, {CAP[len(PANEL) + 2:]}, ng AS (SELECT bb.trade_date, {CODED.replace("entity_code", "bb.entity_code")} AS entity_code, bb.score * 0.3::DOUBLE AS score, c2.cap / 10 AS cap FROM bb JOIN cap c2 USING (entity_code, trade_date) WHERE bb.score * 0.3::DOUBLE < -0.06),
+nb AS (SELECT *, CASE WHEN cap IS NULL THEN '未知' WHEN cap < 3e9 THEN '微盘' WHEN cap < 1e10 THEN '小盘' WHEN cap < 3e10 THEN '中盘' WHEN cap < 1e11 THEN '大盘' ELSE '超大盘' END AS cap_band,
+ CASE left(entity_code, 3) WHEN '688' THEN '科创板' WHEN '300' THEN '创业板' WHEN '430' THEN CASE WHEN len(split_part(entity_code, '.', 1)) = 6 THEN '北交所' ELSE '其他' END WHEN '900' THEN '其他' ELSE '沪深主板' END AS board,
+ CASE WHEN score <= -0.25 THEN '≤-0.25' WHEN score <= -0.20 THEN '-0.25~-0.20' WHEN score <= -0.15 THEN '-0.20~-0.15' WHEN score <= -0.10 THEN '-0.15~-0.10' ELSE '-0.10~-0.06' END AS band FROM ng),
+nn AS (SELECT *, (cap_band NOT IN ('大盘', '超大盘') OR score <= -0.22)::INT AS short, (cap_band = '超大盘' AND score BETWEEN -0.14 AND -0.13 OR cap_band = '大盘' AND score BETWEEN -0.115 AND -0.105 OR board = '科创板' AND score >= -0.15)::INT AS missed FROM nb)"""
+
+
+def negative(spark, sf):
+    """A tenth of the market values, so that all bands occur."""
+    rows = capped(spark, sf).select("trade_date", coded().alias("entity_code"), (c("score") * 0.3).alias("score"), (c("cap") / 10).alias("cap"))
+    return sel.negative_selection(rows)
+
+
+@R.add("k_negative", "trade_date entity_code cap_band board band", "score", "short missed", sql=f"WITH {NEG} SELECT * FROM nn")
+def _(spark, sf):
+    return negative(spark, sf)
+
+
+@R.add("k_matrix", "trade_date band", "", "b1 b2 b3 b4 b5", sql=f"""
+WITH {NEG}, bands AS (SELECT unnest(['≤-0.25', '-0.25~-0.20', '-0.20~-0.15', '-0.15~-0.10', '-0.10~-0.06']) AS band), gr AS (SELECT * FROM (SELECT DISTINCT trade_date FROM nn), bands)
+SELECT gr.trade_date, gr.band, {", ".join(f"count(*) FILTER (cap_band = '{n}') AS b{i}" for i, n in enumerate(("微盘", "小盘", "中盘", "大盘", "超大盘"), 1))} FROM gr LEFT JOIN nn USING (trade_date, band) GROUP BY ALL""")
 def _(spark, sf):
-    return g.negative_selection(b_rows(spark, sf))
+    return sel.negative_matrix(negative(spark, sf)).withColumnsRenamed({n: f"b{i}" for i, n in enumerate(("微盘", "小盘", "中盘", "大盘", "超大盘"), 1)})
 
 
-@R.add("k_rotation", "month industry", "", "picks place", sql=f"""
-WITH {BI}, s1 AS (SELECT date_trunc('month', trade_date)::DATE AS month, industry, count(*) AS picks FROM ib WHERE score >= 0.5 GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY picks DESC, industry) AS place FROM s1) WHERE place <= 5""")
+@R.add("k_rotation", "month industry", "", "picks place", share=True, sql=f"""
+WITH {SIG}, s1 AS (SELECT date_trunc('month', trade_date)::DATE AS month, industry, count(*) AS picks FROM sc WHERE score >= 0.065 AND trade_date NOT IN (SELECT trade_date FROM gate WHERE state IN ('熊市', '震荡偏弱')) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY picks DESC, industry) AS place FROM s1) WHERE place <= 5""")
 def _(spark, sf):
-    return g.industry_rotation(with_industry(spark, sf).where("score >= 0.5"))
+    return sel.industry_rotation(scored(spark, sf).where("score >= 0.065"), gates(spark, sf))
 
 
-@R.add("k_trade_stats", "", "win_rate gain loss ratio", "trades", sql=f"WITH {B} SELECT count(ret) AS trades, avg((ret > 0)::INT) AS win_rate, avg(ret) FILTER (ret > 0) AS gain, avg(ret) FILTER (ret <= 0) AS loss, avg(ret) FILTER (ret > 0) / abs(avg(ret) FILTER (ret <= 0)) AS ratio FROM bb WHERE score > 0.5")
+@R.add("k_trade_stats", "", "win_rate gain loss", "trades", sql=f"WITH {B} SELECT count(ret) AS trades, avg((ret > 0)::INT) AS win_rate, avg(ret) FILTER (ret > 0) AS gain, avg(ret) FILTER (ret <= 0) AS loss FROM bb WHERE score > 0.5")
 def _(spark, sf):
-    return g.trade_stats(b_rows(spark, sf).where("score > 0.5"))
+    return sel.trade_stats(b_rows(spark, sf).where("score > 0.5"))
 
 
 @R.add("k_list", "trade_date entity_code", "score", sql=f"WITH {B} SELECT * FROM bb WHERE trade_date = (SELECT max(trade_date) FROM bb) ORDER BY score DESC, entity_code LIMIT 100")
 def _(spark, sf):
-    return g.list_predictions(b_rows(spark, sf))
+    return sel.list_predictions(b_rows(spark, sf))
+
+
+# --- features against labels: five fields of the panel ---
+
+FIELDS = ["pct_chg", "volume", "turnover_rate", "pe", "pb"]
+LONG = f"""{LAB}, lf AS (SELECT trade_date, entity_code, feature, value FROM (UNPIVOT (SELECT trade_date, entity_code, {", ".join(f"{f}::DOUBLE AS {f}" for f in FIELDS)} FROM panel) ON {", ".join(FIELDS)} INTO NAME feature VALUE value))"""
+_R2 = "(rank() OVER (PARTITION BY {k} ORDER BY {x}) + (count(*) OVER (PARTITION BY {k}, {x}) - 1) / 2.0)"
+
+
+def long_fields(spark, sf):
+    p = panel(spark, sf).select("trade_date", "entity_code", *[c(f).cast("double").alias(f) for f in FIELDS])
+    return p.unpivot(["trade_date", "entity_code"], FIELDS, "feature", "value").where("value is not null")
+
+
+PAIRS = f"""{LONG}, lq AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY trade_date, feature) AS n FROM lf) WHERE n >= 30),
+pp AS (SELECT a.feature AS feature_a, b.feature AS feature_b, a.trade_date, a.value AS x, b.value AS y FROM lq a JOIN lq b ON a.trade_date = b.trade_date AND a.entity_code = b.entity_code AND a.feature < b.feature),
+pr AS (SELECT feature_a, feature_b, trade_date, {_R2.format(k="feature_a, feature_b, trade_date", x="x")} AS rx, {_R2.format(k="feature_a, feature_b, trade_date", x="y")} AS ry FROM pp),
+pd AS (SELECT feature_a, feature_b, trade_date, CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM pr GROUP BY ALL),
+rd AS (SELECT feature_a, feature_b, count(rho) AS days, avg(rho) AS rho, coalesce((abs(avg(rho)) >= 0.85)::INT, 0) AS redundant FROM pd GROUP BY ALL)"""
+
+
+@R.add("g_redundancy", "feature_a feature_b", "rho", "days redundant", share=True, sql=f"WITH {PAIRS} SELECT * FROM rd")
+def _(spark, sf):
+    return g.redundancy(long_fields(spark, sf))
+
+
+AUDIT = f"""{PAIRS}, fl AS (SELECT l.*, lb.label, CASE WHEN trade_date < DATE '1998-01-01' THEN 'train' WHEN trade_date < DATE '1999-06-01' THEN 'valid' END AS split FROM lf l JOIN lb USING (entity_code, trade_date)),
+fn AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY feature, split, trade_date) AS n FROM fl WHERE split IS NOT NULL AND label IS NOT NULL) WHERE n >= 30),
+fr AS (SELECT feature, split, trade_date, {_R2.format(k="feature, split, trade_date", x="value")} AS a, {_R2.format(k="feature, split, trade_date", x="label")} AS b FROM fn),
+fi AS (SELECT feature, split, trade_date, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM fr GROUP BY ALL),
+fs AS (SELECT feature, split, count(ic) AS days, coalesce(avg(ic), 0) AS ic, coalesce(avg(ic), 0) / (coalesce(stddev_samp(ic), 0) + 1e-12) AS ir, coalesce(avg((ic > 0)::INT), 0) AS pos FROM fi GROUP BY ALL),
+fw2 AS (SELECT f.feature, coalesce(t.ic, 0) AS train_rank_ic, coalesce(v.ic, 0) AS valid_rank_ic, coalesce(t.ir, 0) AS train_ic_ir, coalesce(v.ir, 0) AS valid_ic_ir, coalesce(t.pos, 0) AS train_positive_rate, coalesce(v.pos, 0) AS valid_positive_rate, coalesce(t.days, 0) AS train_days, coalesce(v.days, 0) AS valid_days
+ FROM (SELECT DISTINCT feature FROM fl) f LEFT JOIN (SELECT * FROM fs WHERE split = 'train') t USING (feature) LEFT JOIN (SELECT * FROM fs WHERE split = 'valid') v USING (feature)),
+au AS (SELECT *, CASE WHEN abs(train_rank_ic) > 1e-12 THEN abs(valid_rank_ic) / abs(train_rank_ic) END AS retention, CASE WHEN abs(valid_rank_ic) < 0.005 THEN 'weak' WHEN train_rank_ic * valid_rank_ic < 0 THEN 'reversed'
+ WHEN abs(valid_rank_ic) >= 1.1 * abs(train_rank_ic) THEN 'improved' WHEN abs(valid_rank_ic) >= 0.5 * abs(train_rank_ic) THEN 'stable' ELSE 'decayed' END AS status FROM fw2)"""
+
+
+def audit(spark, sf):
+    labels = labelled_bars(spark, sf)
+    split = F.when(c("trade_date") < F.lit("1998-01-01").cast("date"), "train").when(c("trade_date") < F.lit("1999-06-01").cast("date"), "valid")
+    return g.factor_audit(long_fields(spark, sf).join(labels, ["entity_code", "trade_date"]).withColumn("split", split))
+
+
+def labelled_bars(spark, sf):
+    return d.realized_labels(prices(spark, sf), cal(spark, sf), 4).select("entity_code", "trade_date", "label")
+
+
+@R.add("g_factor_audit", "feature status recommendation", "train_rank_ic valid_rank_ic train_ic_ir valid_ic_ir train_positive_rate valid_positive_rate retention", "train_days valid_days", share=True, sql=f"""
+WITH {AUDIT} SELECT *, CASE WHEN status IN ('stable', 'improved') AND abs(valid_rank_ic) >= 0.02 THEN 'keep_candidate' WHEN status IN ('reversed', 'weak') THEN 'review' ELSE 'observe' END AS recommendation FROM au""")
+def _(spark, sf):
+    return audit(spark, sf)
+
+
+@R.add("g_redundancy_groups", "leader feature", "", "keep", share=True, sql=f"""
+WITH RECURSIVE {AUDIT}, lk AS (SELECT feature_a AS a, feature_b AS b FROM rd WHERE abs(rho) >= 0.3 UNION SELECT feature_b, feature_a FROM rd WHERE abs(rho) >= 0.3),
+rc AS (SELECT a, b FROM lk UNION SELECT rc.a, lk.b FROM rc JOIN lk ON lk.a = rc.b), ld AS (SELECT a AS feature, least(a, min(b)) AS leader FROM rc GROUP BY 1)
+SELECT leader, feature, (row_number() OVER (PARTITION BY leader ORDER BY abs(train_ic_ir) DESC, abs(train_rank_ic) DESC, feature DESC) = 1)::INT AS keep FROM ld JOIN au USING (feature)""")
+def _(spark, sf):
+    """The limit is low, so that fields of the panel form groups."""
+    strength = audit(spark, sf).select("feature", c("train_rank_ic").alias("rank_ic"), c("train_ic_ir").alias("ic_ir"))
+    return g.redundancy_groups(g.redundancy(long_fields(spark, sf), limit=0.3), strength)
+
+
+WINDOWS = [(1, "1996-01-01", "1997-12-31", "1998-01-01", "1998-06-30"), (2, "1997-01-01", "1998-12-31", "1999-01-01", "1999-06-30"), (3, "1998-01-01", "1999-12-31", "2000-01-01", "2000-06-30")]
+
+
+@R.add("g_attribution", "feature status window_status cause", "train_rank_ic test_rank_ic retention psi ks", "fold weakest", share=True, sql=f"""
+WITH {LONG}, ws AS (SELECT * FROM (VALUES {", ".join(f"({w}, 'train', DATE '{a}', DATE '{b}'), ({w}, 'test', DATE '{x}', DATE '{y}')" for w, a, b, x, y in WINDOWS)}) t(win, side, a, z)),
+df AS (SELECT l.trade_date, l.entity_code, l.feature, l.value AS v, lb.label FROM lf l JOIN lb USING (entity_code, trade_date)),
+lw AS (SELECT win, side, df.* FROM df JOIN ws ON df.trade_date BETWEEN ws.a AND ws.z),
+hf AS (SELECT greatest(2, least(30, round_even(quantile_cont(n, 0.5) * 0.5, 0))) AS least FROM (SELECT trade_date, count(*) AS n FROM panel JOIN lb USING (entity_code, trade_date) GROUP BY 1)),
+en AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY win, side, feature, trade_date) AS n FROM lw WHERE label IS NOT NULL), hf WHERE n >= least),
+rk AS (SELECT win, side, feature, trade_date, {_R2.format(k="win, side, feature, trade_date", x="v")} AS x, {_R2.format(k="win, side, feature, trade_date", x="label")} AS y FROM en),
+ic AS (SELECT win, side, feature, avg(i) AS ic FROM (SELECT win, side, feature, trade_date, CASE WHEN stddev_pop(x) * stddev_pop(y) > 0 THEN corr(x, y) END AS i FROM rk GROUP BY ALL) GROUP BY ALL),
+qs AS (SELECT win, feature, list_sort(list_distinct(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS q FROM lw WHERE side = 'train' GROUP BY ALL),
+bn AS (SELECT win, side, feature, len(list_filter(q[2:len(q) - 1], lambda e: v >= e)) AS bin, count(*) AS n FROM lw JOIN qs USING (win, feature) GROUP BY ALL), sh AS (SELECT *, n / sum(n) OVER (PARTITION BY win, side, feature) AS p FROM bn),
+ps AS (SELECT win, feature, sum((greatest(coalesce(t.p, 0), 1e-6) - greatest(coalesce(r.p, 0), 1e-6)) * ln(greatest(coalesce(t.p, 0), 1e-6) / greatest(coalesce(r.p, 0), 1e-6))) AS psi FROM (SELECT * FROM sh WHERE side = 'train') r FULL JOIN (SELECT * FROM sh WHERE side = 'test') t USING (win, feature, bin) GROUP BY ALL),
+vc AS (SELECT win, feature, v, count(*) FILTER (side = 'train') AS na, count(*) FILTER (side = 'test') AS nb FROM lw GROUP BY ALL),
+kx AS (SELECT win, feature, max(abs(a - b)) AS ks FROM (SELECT win, feature, sum(na) OVER (PARTITION BY win, feature ORDER BY v) / sum(na) OVER (PARTITION BY win, feature) AS a, sum(nb) OVER (PARTITION BY win, feature ORDER BY v) / sum(nb) OVER (PARTITION BY win, feature) AS b FROM vc) GROUP BY ALL),
+mb AS (SELECT win, avg(i) AS model_ic FROM (SELECT win, trade_date, CASE WHEN stddev_pop(x) * stddev_pop(y) > 0 THEN corr(x, y) END AS i FROM (SELECT win, trade_date, {_R2.format(k="trade_date", x="prediction")} AS x, {_R2.format(k="trade_date", x="label")} AS y FROM pl JOIN ws ON pl.trade_date BETWEEN ws.a AND ws.z AND side = 'test' WHERE model_id = 'b') GROUP BY ALL) GROUP BY 1),
+al AS (SELECT f.win, f.feature, coalesce(t.ic, 0) AS tr, coalesce(s.ic, 0) AS te, psi, ks, model_ic FROM (SELECT DISTINCT win, feature FROM lw) f LEFT JOIN (SELECT * FROM ic WHERE side = 'train') t USING (win, feature) LEFT JOIN (SELECT * FROM ic WHERE side = 'test') s USING (win, feature) LEFT JOIN ps USING (win, feature) LEFT JOIN kx USING (win, feature) LEFT JOIN mb USING (win)),
+st AS (SELECT *, CASE WHEN abs(tr) >= 0.01 THEN abs(te) / abs(tr) END AS retention, CASE WHEN abs(tr) >= 0.01 AND abs(te) >= 0.01 AND tr * te < 0 THEN 'reversed' WHEN abs(tr) >= 0.01 AND abs(te) / abs(tr) < 0.5 THEN 'decayed' WHEN psi IS NULL OR psi >= 0.25 THEN 'shifted' ELSE 'stable' END AS status FROM al),
+cn AS (SELECT *, count(*) FILTER (status = 'reversed') OVER w AS rv, count(*) FILTER (status = 'decayed') OVER w AS dc, count(*) FILTER (status = 'shifted') OVER w AS sf FROM st WINDOW w AS (PARTITION BY win))
+SELECT win AS fold, feature, tr AS train_rank_ic, te AS test_rank_ic, retention, psi, ks, status, CASE WHEN model_ic < 0 THEN 'failed' WHEN rv + dc > 0 THEN 'warning' WHEN model_ic < 0.02 THEN 'weak' ELSE 'stable' END AS window_status,
+ CASE WHEN rv > 0 THEN 'factor_sign_reversal' WHEN dc > 0 THEN 'factor_signal_decay' WHEN sf > 0 THEN 'feature_distribution_shift' ELSE 'model_or_market_regime' END AS cause, (win = (SELECT win FROM mb ORDER BY coalesce(model_ic, 0), win LIMIT 1))::INT AS weakest FROM cn""")
+def _(spark, sf):
+    spans = spark.createDataFrame([(w, s, a, b) for w, *e in WINDOWS for s, a, b in (("train", e[0], e[1]), ("test", e[2], e[3]))], "window int, split string, a string, b string")
+    windows = spans.select("window", "split", c("a").cast("date").alias("start_date"), c("b").cast("date").alias("end_date"))
+    rows = panel(spark, sf).select("trade_date", "entity_code", *[c(f).cast("double").alias(f) for f in FIELDS]).join(labelled_bars(spark, sf), ["entity_code", "trade_date"])
+    tests = windows.where("split = 'test'").select("window", F.explode(F.sequence("start_date", "end_date")).alias("trade_date"))
+    ic = g.rank_corr(b_rows(spark, sf), ["trade_date"], "score", "label").join(tests, "trade_date").groupBy("window").agg(F.avg("ic").alias("model_rank_ic"))
+    return g.walk_forward_attribution(rows, FIELDS, windows, ic).withColumnRenamed("window", "fold")
+
+
+# --- training histories: a run per customer group, a step per order ---
+
+
+def history(spark, sf):
+    o = table(spark, sf, "orders")
+    step = F.row_number().over(Window.partitionBy("run").orderBy("o_orderkey"))
+    rows = o.withColumn("run", F.concat(F.lit("m"), (c("o_custkey") % 40).cast("string"))).withColumn("step", step)
+    train = 1 / (1 + c("step") / 40)
+    return rows.select("run", "step", train.alias("train"), (train + (c("o_orderkey") % 7) * 0.001 * (1 + c("o_custkey") % 40) + c("step") * 0.0001 * (c("o_custkey") % 5)).alias("valid"))
+
+
+HIST = """h0 AS (SELECT *, 'm' || (o_custkey % 40) AS run, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS step FROM orders),
+hs AS (SELECT run, step, 1 / (1 + step / 40.0::DOUBLE) AS train, 1 / (1 + step / 40.0::DOUBLE) + (o_orderkey % 7) * 0.001::DOUBLE * (1 + o_custkey % 40) + step * 0.0001::DOUBLE * (o_custkey % 5) AS valid FROM h0)"""
+
+
+@R.add("g_training_curve", "run status", "gap rebound improvement", "points best_step final_step", sql=f"""
+WITH {HIST}, b AS (SELECT run, count(*) AS points, max(step) AS final_step, min_by(step, struct_pack(v := valid, s := step)) AS best_step, min_by(train, struct_pack(v := valid, s := step)) AS bt, min(valid) AS bv, max_by(valid, step) AS lv, min_by(valid, step) AS fv FROM hs GROUP BY 1),
+r AS (SELECT *, greatest(0, (bv - bt) / greatest(abs(bv), 1e-12)) AS gap, greatest(0, (lv - bv) / greatest(abs(bv), 1e-12)) AS rebound, greatest(0, (fv - bv) / greatest(abs(fv), 1e-12)) AS improvement FROM b)
+SELECT *, CASE WHEN gap >= 0.5 OR rebound >= 0.2 THEN 'severe' WHEN points >= 3 AND improvement < 0.001 OR gap >= 0.2 OR rebound >= 0.05 THEN 'warning' ELSE 'stable' END AS status FROM r""")
+def _(spark, sf):
+    return g.training_curve(history(spark, sf))
+
+
+@R.add("g_curve_points", "run", "train valid", "step", sql=f"""
+WITH {HIST}, i AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) - 1 AS i, count(*) OVER (PARTITION BY run) AS n, first_value(step) OVER (PARTITION BY run ORDER BY valid, step) AS best FROM hs)
+SELECT * FROM i WHERE n <= 100 OR step = best OR i = n - 1 OR i IN (SELECT floor(j * ((n - 1) / 99.0::DOUBLE)) FROM (SELECT unnest(range(0, 100)) AS j))""")
+def _(spark, sf):
+    return g.curve_points(history(spark, sf), 100)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as e
 from ..operators import portfolio as pf
-from .base import Registry, bars, entity_number, panel
+from ..operators import selection as sel
+from .base import Registry, bars, entity_number, once, panel
 from .joins import ADJ, factors
 from .sources import CAL, cal
 
@@ -24,15 +25,15 @@ def signals(spark, sf):
 
 
 SQL = f"""{ADJ}, {CAL}, dated AS (SELECT a.*, c.idx FROM adj a JOIN cal c USING (trade_date)),
-fwd AS (SELECT d.entity_code, d.trade_date, d.idx, a1.close / d.close - 1 AS fwd_1, a5.close / d.close - 1 AS fwd_5, a10.close / d.close - 1 AS fwd_10 FROM dated d
- LEFT JOIN dated a1 ON a1.entity_code = d.entity_code AND a1.idx = d.idx + 1 LEFT JOIN dated a5 ON a5.entity_code = d.entity_code AND a5.idx = d.idx + 5 LEFT JOIN dated a10 ON a10.entity_code = d.entity_code AND a10.idx = d.idx + 10),
+dense AS (SELECT g.entity_code, c.trade_date, c.idx, d.close FROM (SELECT entity_code, unnest(range(min(idx), max(idx) + 1)) AS idx FROM dated GROUP BY 1) g JOIN cal c USING (idx) LEFT JOIN dated d ON d.entity_code = g.entity_code AND d.idx = g.idx),
+fwd AS (SELECT * FROM (SELECT entity_code, trade_date, idx, close, lead(close, 1) OVER o / close - 1 AS fwd_1, lead(close, 5) OVER o / close - 1 AS fwd_5, lead(close, 10) OVER o / close - 1 AS fwd_10 FROM dense WINDOW o AS (PARTITION BY entity_code ORDER BY idx)) WHERE close IS NOT NULL),
 clean0 AS (SELECT s.entity_code, n.trade_date, -s.pct_chg AS factor, f.idx, f.fwd_1, f.fwd_5, f.fwd_10 FROM dated s JOIN cal n ON n.idx = s.idx + 1 JOIN fwd f ON f.entity_code = s.entity_code AND f.trade_date = n.trade_date
  WHERE s.pct_chg IS NOT NULL AND fwd_1 IS NOT NULL AND fwd_5 IS NOT NULL AND fwd_10 IS NOT NULL),
 clean AS (SELECT *, floor((row_number() OVER (PARTITION BY trade_date ORDER BY factor, entity_code DESC) - 1) * 5 / count(*) OVER (PARTITION BY trade_date)) + 1 AS quantile FROM clean0)"""
 
 
 def clean(spark, sf):
-    return e.clean_factor(signals(spark, sf), prices(spark, sf), cal(spark, sf), PERIODS)
+    return once("clean", lambda: e.clean_factor(signals(spark, sf), prices(spark, sf), cal(spark, sf), PERIODS))
 
 
 @R.add("a_forward_returns", "entity_code trade_date", "fwd_1 fwd_5 fwd_10", "idx", sql=f"WITH {SQL} SELECT * FROM fwd")
@@ -48,7 +49,7 @@ def _(spark, sf):
 _AVG_RANK = "(rank() OVER (PARTITION BY trade_date ORDER BY {x}) + (count(*) OVER (PARTITION BY trade_date, {x}) - 1) / 2.0)"
 
 
-@R.add("a_rank_ic", "trade_date", "ic", "period n", sql=f"""
+@R.add("a_rank_ic", "trade_date", "ic", "period n", share=True, sql=f"""
 WITH {SQL}, r AS (SELECT trade_date, {_AVG_RANK.format(x="factor")} AS f, {_AVG_RANK.format(x="fwd_1")} AS r1, {_AVG_RANK.format(x="fwd_5")} AS r5, {_AVG_RANK.format(x="fwd_10")} AS r10 FROM clean)
 {" UNION ALL ".join(f"SELECT trade_date, {p} AS period, count(*) AS n, CASE WHEN stddev_pop(f) * stddev_pop(r{p}) > 0 THEN corr(f, r{p}) END AS ic FROM r GROUP BY 1" for p in PERIODS)}""")
 def _(spark, sf):
@@ -74,14 +75,18 @@ def _(spark, sf):
     return e.rank_autocorr(clean(spark, sf), 2)
 
 
-@R.add("a_summary", "metric", "value", "period", sql=f"""
+@R.add("a_summary", "metric", "value", "period", share=True, sql=f"""
 WITH {SQL}, r AS (SELECT trade_date, {_AVG_RANK.format(x="factor")} AS f, {_AVG_RANK.format(x="fwd_1")} AS r1, {_AVG_RANK.format(x="fwd_5")} AS r5, {_AVG_RANK.format(x="fwd_10")} AS r10 FROM clean),
 i AS ({" UNION ALL ".join(f"SELECT trade_date, {p} AS period, CASE WHEN stddev_pop(f) * stddev_pop(r{p}) > 0 THEN corr(f, r{p}) END AS ic FROM r GROUP BY 1" for p in PERIODS)}),
 s AS (SELECT period, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg((ic > 0)::INT::DOUBLE) AS ic_positive, count(ic)::DOUBLE AS ic_days FROM i GROUP BY 1),
 q AS (SELECT trade_date, quantile, avg(fwd_1) AS x1, avg(fwd_5) AS x5, avg(fwd_10) AS x10 FROM clean GROUP BY ALL),
 tb AS ({" UNION ALL ".join(f"SELECT {p} AS period, avg(x{p}) FILTER (quantile = 5) AS top, avg(x{p}) FILTER (quantile = 1) AS bottom FROM q" for p in PERIODS)}),
-w AS (SELECT s.*, top, bottom, top - bottom AS spread FROM s JOIN tb USING (period))
-SELECT period, metric, value FROM (UNPIVOT w ON ic_mean, ic_std, ic_positive, ic_days, top, bottom, spread INTO NAME metric VALUE value)""")
+tv AS ({" UNION ALL ".join(f"SELECT {p} AS period, avg(t) AS turnover FROM (SELECT a.trade_date, a.quantile, avg(CASE WHEN b.quantile = a.quantile THEN 0.0 ELSE 1.0 END) AS t FROM clean a LEFT JOIN clean b ON b.entity_code = a.entity_code AND b.idx = a.idx - {p} WHERE a.idx >= (SELECT min(idx) FROM clean) + {p} GROUP BY ALL)" for p in PERIODS)}),
+rr AS (SELECT *, {_AVG_RANK.format(x="factor")} AS r FROM clean),
+ac AS ({" UNION ALL ".join(f"SELECT {p} AS period, avg(x) AS autocorr FROM (SELECT a.trade_date, CASE WHEN stddev_pop(a.r) * stddev_pop(b.r) > 0 THEN corr(a.r, b.r) END AS x FROM rr a JOIN rr b ON b.entity_code = a.entity_code AND b.idx = a.idx - {p} GROUP BY 1)" for p in PERIODS)}),
+ct AS (SELECT count(*)::DOUBLE AS rows, count(DISTINCT trade_date)::DOUBLE AS dates, count(DISTINCT entity_code)::DOUBLE AS entities FROM clean),
+w AS (SELECT s.*, top, bottom, top - bottom AS spread, turnover, autocorr, rows, dates, entities FROM s JOIN tb USING (period) JOIN tv USING (period) JOIN ac USING (period), ct)
+SELECT period, metric, value FROM (UNPIVOT w ON ic_mean, ic_std, ic_positive, ic_days, top, bottom, spread, turnover, autocorr, rows, dates, entities INTO NAME metric VALUE value)""")
 def _(spark, sf):
     return e.analysis_summary(clean(spark, sf), PERIODS)
 
@@ -105,7 +110,7 @@ def adjusted_bars(spark, sf):
 
 def returns(spark, sf):
     """A hundredth of the open-to-open returns: the prices of order lines jump about, and products of them overflow."""
-    return pf.open_returns(adjusted_bars(spark, sf), cal(spark, sf)).withColumn("ret", c("ret") / 100)
+    return once("returns", lambda: pf.open_returns(adjusted_bars(spark, sf), cal(spark, sf)).withColumn("ret", c("ret") / 100))
 
 
 RET = f"""{SQL}, firsts AS (SELECT entity_code, min(idx) AS a FROM dated GROUP BY 1), grid AS (SELECT entity_code, c.idx, c.trade_date FROM firsts JOIN cal c ON c.idx >= a),
@@ -129,9 +134,12 @@ def scores(spark, sf):
     """Scores on the session after the signal, for bars that may be bought then."""
     from ..operators.joins import next_session
 
-    moved = next_session(signals(spark, sf), cal(spark, sf)).select("entity_code", "trade_date", c("factor").alias("score"))
-    ok = pf.trade_flags(panel(spark, sf)).where("buy_allowed = 1").select("entity_code", "trade_date")
-    return moved.join(ok, ["entity_code", "trade_date"])
+    def make():
+        moved = next_session(signals(spark, sf), cal(spark, sf)).select("entity_code", "trade_date", c("factor").alias("score"))
+        ok = pf.trade_flags(panel(spark, sf)).where("buy_allowed = 1").select("entity_code", "trade_date")
+        return moved.join(ok, ["entity_code", "trade_date"])
+
+    return once("scores", make)
 
 
 SCORES = f"""{RET}, scores AS (SELECT s.entity_code, n.trade_date, -s.pct_chg AS score FROM dated s JOIN cal n ON n.idx = s.idx + 1 JOIN adj p ON p.entity_code = s.entity_code AND p.trade_date = n.trade_date
@@ -157,7 +165,7 @@ def _(spark, sf):
     return top(spark, sf)
 
 
-@R.add("p_target_ic", "trade_date", "ic", "n", sql=f"""
+@R.add("p_target_ic", "trade_date", "ic", "n", share=True, sql=f"""
 WITH {SCORES}, m AS (SELECT s.*, r.ret FROM scores s JOIN ret r USING (entity_code, trade_date)), k AS (SELECT trade_date, {_AVG_RANK.format(x="score")} AS a, {_AVG_RANK.format(x="ret")} AS b FROM m)
 SELECT trade_date, count(*) AS n, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM k GROUP BY 1""")
 def _(spark, sf):
@@ -172,15 +180,15 @@ nv AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY trade_date)) AS nav FROM da
 
 
 def daily(spark, sf):
-    return pf.portfolio_returns(top(spark, sf), returns(spark, sf), cal(spark, sf))
+    return once("daily", lambda: pf.portfolio_returns(top(spark, sf), returns(spark, sf), cal(spark, sf)))
 
 
-@R.add("p_portfolio_returns", "trade_date", "ret", "names", sql=f"WITH {PORT} SELECT * FROM daily")
+@R.add("p_portfolio_returns", "trade_date", "ret", "names", share=True, sql=f"WITH {PORT} SELECT * FROM daily")
 def _(spark, sf):
     return daily(spark, sf)
 
 
-@R.add("p_turnover_cost", "trade_date", "turnover cost", sql=f"""
+@R.add("p_turnover_cost", "trade_date", "turnover cost", share=True, sql=f"""
 WITH {PORT}, l AS (SELECT *, row_number() OVER (PARTITION BY start, entity_code ORDER BY idx DESC) AS r FROM val), old AS (SELECT entity_code, idx + 1 AS idx, value * (1 + ret) / sum(value * (1 + ret)) OVER (PARTITION BY start) AS old FROM l WHERE r = 1),
 nw AS (SELECT t.entity_code, c.idx, t.weight AS new FROM tg t JOIN cal c USING (trade_date)),
 m AS (SELECT idx, coalesce(new, 0) AS new, coalesce(old, 0) AS old FROM nw FULL JOIN (SELECT * FROM old WHERE idx IN (SELECT idx FROM nw)) o USING (entity_code, idx)),
@@ -197,7 +205,7 @@ def _(spark, sf):
     return pf.benchmark_returns(bars(spark, sf), "000001.SZ")
 
 
-@R.add("p_nav", "trade_date", "ret nav bench_nav", sql=f"""
+@R.add("p_nav", "trade_date", "ret nav bench_nav", share=True, sql=f"""
 WITH {PORT}, {BENCH} SELECT n.*, exp(sum(ln(1 + coalesce(bench / 100, 0))) OVER (ORDER BY trade_date)) AS bench_nav FROM nv n LEFT JOIN b USING (trade_date)""")
 def _(spark, sf):
     return pf.nav(daily(spark, sf), benchmark=pf.benchmark_returns(bars(spark, sf), "000001.SZ").withColumn("bench", c("bench") / 100))
@@ -207,29 +215,39 @@ PERF = """SELECT {k} count(*) AS days, max_by(nav, trade_date) - 1 AS total, CAS
  min(nav / greatest(peak, 1) - 1) AS max_drawdown, sqrt(252) * avg(ret) / nullif(stddev_samp(ret), 0) AS sharpe FROM (SELECT *, max(nav) OVER ({p} ORDER BY trade_date) AS peak FROM {f}) {g}"""
 
 
-@R.add("p_performance", "", "total annual max_drawdown sharpe", "days", sql=f"WITH {PORT} {PERF.format(k='', p='', f='nv', g='')}")
+@R.add("p_performance", "", "total annual max_drawdown sharpe", "days", share=True, sql=f"WITH {PORT} {PERF.format(k='', p='', f='nv', g='')}")
 def _(spark, sf):
     return pf.performance(daily(spark, sf))
 
 
-@R.add("p_monthly", "month", "ret", sql=f"""
-WITH {PORT}, m AS (SELECT date_trunc('month', trade_date)::DATE AS month, max_by(nav, trade_date) AS nav FROM nv GROUP BY 1) SELECT month, nav / coalesce(lag(nav) OVER (ORDER BY month), 1) - 1 AS ret FROM m""")
+@R.add("p_monthly", "month", "ret", share=True, sql=f"""
+WITH {PORT}, m AS (SELECT date_trunc('month', trade_date)::DATE AS month, max_by(nav, trade_date) AS nav FROM nv GROUP BY 1) SELECT * FROM (SELECT month, nav / lag(nav) OVER (ORDER BY month) - 1 AS ret FROM m) WHERE ret IS NOT NULL""")
 def _(spark, sf):
     return pf.monthly_returns(pf.nav(daily(spark, sf)))
 
 
+@R.add("k_nav_stats", "", "total annual drawdown ratio", "days", share=True, sql=f"""
+WITH {PORT}, f AS (SELECT *, (max(nav) OVER (ORDER BY trade_date) - nav) / max(nav) OVER (ORDER BY trade_date) AS fall FROM nv), s AS (SELECT count(*) AS days, max_by(nav, trade_date) - 1 AS total, max(fall) AS drawdown FROM f)
+SELECT *, CASE WHEN total > -1 THEN pow(1 + total, 252.0 / days) - 1 ELSE -1 END AS annual, CASE WHEN drawdown > 0 THEN total / drawdown ELSE 0 END AS ratio FROM s""")
+def _(spark, sf):
+    return sel.nav_stats(pf.nav(daily(spark, sf)))
+
+
 @R.add("p_holdings", "trade_date holdings", sql=f"WITH {TOP} SELECT trade_date, list_sort(list(entity_code)) AS holdings FROM tg GROUP BY 1")
 def _(spark, sf):
     return pf.holdings(top(spark, sf))
 
 
-@R.add("p_many", "", "total annual max_drawdown sharpe", "bucket days", sql=f"""
-WITH {SCORES}, r0 AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score, entity_code) - 1 AS pos, count(*) OVER (PARTITION BY trade_date) AS n FROM scores),
+MANY = f"""{SCORES}, r0 AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score, entity_code) - 1 AS pos, count(*) OVER (PARTITION BY trade_date) AS n FROM scores),
 g AS (SELECT *, least(floor(pos / greatest(1, floor(n / 5))), 4) + 1 AS bucket FROM r0 WHERE n >= 25), tg AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY trade_date, bucket) AS weight FROM g),
 st AS (SELECT bucket, trade_date, idx, coalesce(lead(idx) OVER (PARTITION BY bucket ORDER BY idx) - 1, (SELECT max(idx) - 1 FROM cal)) AS until FROM (SELECT DISTINCT bucket, trade_date FROM tg) JOIN cal USING (trade_date)),
 hold AS (SELECT t.bucket, t.entity_code, t.weight, s.idx AS start, c.idx, c.trade_date, coalesce(r.ret, 0) AS ret FROM tg t JOIN st s USING (bucket, trade_date) JOIN cal c ON c.idx BETWEEN s.idx AND s.until LEFT JOIN ret r ON r.entity_code = t.entity_code AND r.idx = c.idx),
 val AS (SELECT *, weight * exp(coalesce(sum(ln(1 + ret)) OVER (PARTITION BY bucket, start, entity_code ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS value FROM hold),
-daily AS (SELECT bucket, trade_date, sum(value * (1 + ret)) / sum(value) - 1 AS ret FROM val GROUP BY ALL), nv AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY bucket ORDER BY trade_date)) AS nav FROM daily)
+daily AS (SELECT bucket, trade_date, sum(value * (1 + ret)) / sum(value) - 1 AS ret FROM val GROUP BY ALL)"""
+
+
+@R.add("p_many", "", "total annual max_drawdown sharpe", "bucket days", share=True, sql=f"""
+WITH {MANY}, nv AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY bucket ORDER BY trade_date)) AS nav FROM daily)
 {PERF.format(k="bucket,", p="PARTITION BY bucket", f="nv", g="GROUP BY bucket")}""")
 def _(spark, sf):
     """All five quintile portfolios in one run, the bucket being part of every key."""
@@ -297,16 +315,54 @@ def _(spark, sf):
 
 
 def yearly(spark, sf):
-    years = bars(spark, sf).select(F.trunc("trade_date", "year").alias("start_date")).distinct()
-    return years.select(F.year("start_date").alias("window"), "start_date", F.date_sub(F.add_months("start_date", 12), 1).alias("end_date"))
+    """A window per year, from its first session to its last."""
+    y = F.year("trade_date")
+    return cal(spark, sf).groupBy(y.alias("window")).agg(F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"))
+
+
+def excess(spark, sf):
+    bench = pf.benchmark_returns(bars(spark, sf), "000001.SZ").select("trade_date", (c("bench") / 1000).alias("bench"))
+    return daily(spark, sf).join(bench, "trade_date", "left").withColumn("excess", c("ret") - F.coalesce("bench", F.lit(0.0)))
+
+
+REPORT = f"""{PORT}, {BENCH}, yr AS (SELECT year(trade_date) AS win, min(trade_date) AS a, max(trade_date) AS z FROM cal GROUP BY 1),
+dx AS (SELECT year(trade_date) AS win, trade_date, ret, ret - coalesce(bench / 1000, 0) AS excess FROM daily LEFT JOIN b USING (trade_date)),
+n1 AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY win ORDER BY trade_date)) AS nav FROM dx), n2 AS (SELECT win, trade_date, excess AS ret, exp(sum(ln(1 + excess)) OVER (PARTITION BY win ORDER BY trade_date)) AS nav FROM dx),
+r1 AS ({PERF.format(k="win,", p="PARTITION BY win", f="n1", g="GROUP BY win")}), r2 AS ({PERF.format(k="win,", p="PARTITION BY win", f="n2", g="GROUP BY win")}),
+cm AS (SELECT win, (min(trade_date) <= any_value(a) AND max(trade_date) >= any_value(z))::INT AS complete FROM dx JOIN yr USING (win) GROUP BY 1),
+rep AS (SELECT r1.*, win AS year, r2.annual AS excess_annual, complete FROM r1 JOIN r2 USING (win) JOIN cm USING (win))"""
+
+
+@R.add("p_window_report", "", "total annual max_drawdown sharpe excess_annual", "year days complete", share=True, sql=f"WITH {REPORT} SELECT * FROM rep")
+def _(spark, sf):
+    return pf.window_report(excess(spark, sf), yearly(spark, sf)).withColumnRenamed("window", "year")
+
+
+@R.add("p_window_stability", "failed status", "mean_excess positive_window_ratio excess_std worst_window", "complete_window_count", share=True, sql=f"""
+WITH {REPORT}, s AS (SELECT count(*) AS complete_window_count, avg(excess_annual) AS mean_excess, avg((excess_annual > 0)::INT) AS positive_window_ratio, stddev_pop(excess_annual) AS excess_std, min(excess_annual) AS worst_window FROM rep WHERE complete = 1),
+f AS (SELECT *, list_filter([CASE WHEN complete_window_count < 3 THEN 'complete_window_count' END, CASE WHEN mean_excess <= 0 THEN 'mean_excess' END, CASE WHEN positive_window_ratio < 2 / 3.0::DOUBLE THEN 'positive_window_ratio' END,
+ CASE WHEN excess_std > 0.1 THEN 'excess_std' END, CASE WHEN worst_window < -0.05 THEN 'worst_window' END], lambda x: x IS NOT NULL) AS failed FROM s) SELECT *, CASE WHEN mean_excess IS NULL THEN 'insufficient' WHEN len(failed) = 0 THEN 'stable' ELSE 'unstable' END AS status FROM f""")
+def _(spark, sf):
+    return pf.window_stability(pf.window_report(excess(spark, sf), yearly(spark, sf)))
 
 
-@R.add("p_window_report", "", "total annual max_drawdown sharpe", "year days complete", sql=f"""
-WITH {PORT}, d AS (SELECT year(trade_date) AS win, * EXCLUDE (names) FROM daily), n AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY win ORDER BY trade_date)) AS nav FROM d),
-x AS ({PERF.format(k="win,", p="PARTITION BY win", f="n", g="GROUP BY win")}), l AS (SELECT win, max(trade_date) AS last FROM d GROUP BY 1)
-SELECT x.*, win AS year, (make_date(win::INT, 12, 31) - last <= 7)::INT AS complete FROM x JOIN l USING (win)""")
+@R.add("p_gate_attribution", "regime", "bench_annual mean_excess style_delta industry_delta full_delta interaction", "year all_negative weakest", share=True, sql=f"""
+WITH {MANY}, {BENCH}, dx AS (SELECT bucket, year(trade_date) AS win, trade_date, ret, ret - coalesce(bench / 1000, 0) AS excess FROM daily LEFT JOIN b USING (trade_date) WHERE bucket <= 4),
+n1 AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY bucket, win ORDER BY trade_date)) AS nav FROM dx), n2 AS (SELECT bucket, win, trade_date, excess AS ret, exp(sum(ln(1 + excess)) OVER (PARTITION BY bucket, win ORDER BY trade_date)) AS nav FROM dx),
+r1 AS ({PERF.format(k="bucket, win,", p="PARTITION BY bucket, win", f="n1", g="GROUP BY bucket, win")}), r2 AS ({PERF.format(k="bucket, win,", p="PARTITION BY bucket, win", f="n2", g="GROUP BY bucket, win")}),
+pv AS (SELECT win, max(r2.annual) FILTER (bucket = 1) AS e1, max(r2.annual) FILTER (bucket = 2) AS e2, max(r2.annual) FILTER (bucket = 3) AS e3, max(r2.annual) FILTER (bucket = 4) AS e4, avg(r1.annual - r2.annual) AS bench_annual FROM r1 JOIN r2 USING (bucket, win) GROUP BY 1 HAVING count(*) = 4),
+w AS (SELECT *, (e1 + e2 + e3 + e4) / 4 AS mean_excess FROM pv)
+SELECT win AS year, bench_annual, mean_excess, (greatest(e1, e2, e3, e4) < 0)::INT AS all_negative, e2 - e1 AS style_delta, e3 - e1 AS industry_delta, e4 - e3 AS full_delta, e4 - e3 - e2 + e1 AS interaction,
+ CASE WHEN bench_annual >= 0.2 THEN 'strong_bull' WHEN bench_annual >= 0.05 THEN 'bull' WHEN bench_annual <= -0.1 THEN 'bear' ELSE 'sideways' END AS regime, (row_number() OVER (ORDER BY mean_excess, win) = 1)::INT AS weakest FROM w""")
 def _(spark, sf):
-    return pf.window_report(daily(spark, sf), yearly(spark, sf)).withColumnRenamed("window", "year").withColumn("complete", c("complete").cast("int"))
+    """The first four quintile portfolios stand for the four profiles; a window per year."""
+    t = pf.quintile_targets(scores(spark, sf)).where("bucket <= 4").withColumn("profile", F.element_at(F.array(*map(F.lit, pf.PROFILES)), c("bucket")))
+    days = pf.portfolio_returns(t, returns(spark, sf), cal(spark, sf), ("profile",))
+    bench = pf.benchmark_returns(bars(spark, sf), "000001.SZ").select("trade_date", (c("bench") / 1000).alias("bench"))
+    each = days.join(bench, "trade_date", "left").select("profile", F.year("trade_date").alias("window"), "trade_date", "ret", (c("ret") - F.coalesce("bench", F.lit(0.0))).alias("excess"))
+    own, less = (pf.performance(each.select("profile", "window", "trade_date", c(v).alias("ret")), ("profile", "window")) for v in ("ret", "excess"))
+    both = own.select("profile", "window", "annual").join(less.select("profile", "window", c("annual").alias("excess_annual")), ["profile", "window"])
+    return pf.gate_attribution(both).withColumnRenamed("window", "year")
 
 
 @R.add("p_aligned_windows", "", "", "engines variants aligned", sql=f"""

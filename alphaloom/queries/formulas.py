@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as r
 from ..functions import scalar as s
-from .base import PANEL, ROWS, Registry, over, panel
+from .base import CODED, PANEL, ROWS, Registry, coded, over, panel
 
 R = Registry()
 K = "entity_code trade_date"
@@ -49,24 +49,27 @@ def _(spark, sf):
     })
 
 
-@R.add("f_board", "entity_code board", "", "main", sql=f"""
-WITH {PANEL} SELECT DISTINCT entity_code, CASE WHEN entity_code LIKE '%.BJ' THEN 'Beijing' WHEN entity_code LIKE '688%.SH' OR entity_code LIKE '689%.SH' THEN 'STAR'
- WHEN entity_code LIKE '300%.SZ' OR entity_code LIKE '301%.SZ' THEN 'ChiNext' ELSE 'Main' END AS board,
- (NOT (entity_code LIKE '%.BJ' OR entity_code LIKE '688%.SH' OR entity_code LIKE '689%.SH' OR entity_code LIKE '300%.SZ' OR entity_code LIKE '301%.SZ'))::INT AS main FROM panel""")
+@R.add("f_board", "entity_code code listed name", "", "main growth", sql=f"""
+WITH {PANEL}, e AS (SELECT DISTINCT entity_code, {CODED} AS code FROM panel)
+SELECT *, CASE WHEN code LIKE '%.BJ' THEN 'Beijing' WHEN code LIKE '688%.SH' THEN 'STAR' WHEN code LIKE '300%.SZ' THEN 'ChiNext' ELSE 'Main' END AS listed,
+ CASE left(code, 3) WHEN '688' THEN '科创板' WHEN '300' THEN '创业板' WHEN '430' THEN CASE WHEN len(split_part(code, '.', 1)) = 6 THEN '北交所' ELSE '其他' END WHEN '900' THEN '其他' ELSE '沪深主板' END AS name,
+ (left(code, 3) IN ('600', '001'))::INT AS main, (left(code, 3) IN ('688', '300'))::INT AS growth FROM e""")
 def _(spark, sf):
-    return panel(spark, sf).select("entity_code").distinct().withColumns({"board": s.board(c("entity_code")), "main": s.is_main_board(c("entity_code"))})
+    codes = panel(spark, sf).select("entity_code").distinct().withColumn("code", coded())
+    return codes.withColumns({"listed": s.board(c("code")), "name": s.board_name(c("code")), "main": s.is_main_board(c("code")), "growth": s.is_growth_board(c("code"))})
 
 
 @R.add("f_bands", K + " bucket band state regime advice", sql=f"""
-WITH {PANEL} SELECT *, CASE WHEN close * volume * 1e5 / 1e8 < 30 THEN '<30' WHEN close * volume * 1e5 / 1e8 < 100 THEN '30-100' WHEN close * volume * 1e5 / 1e8 < 300 THEN '100-300' WHEN close * volume * 1e5 / 1e8 < 1000 THEN '300-1000' ELSE '>=1000' END AS bucket,
- CASE WHEN x IS NULL THEN NULL WHEN x < -0.6 THEN 'very low' WHEN x < -0.2 THEN 'low' WHEN x < 0.2 THEN 'middle' WHEN x < 0.6 THEN 'high' ELSE 'very high' END AS band,
- CASE WHEN x IS NULL THEN NULL WHEN x < -0.02 THEN 'falling' WHEN x < 0.02 THEN 'flat' ELSE 'rising' END AS state,
- CASE WHEN x IS NULL THEN NULL WHEN x < -0.1 THEN 'bear' WHEN x < 0.1 THEN 'range' ELSE 'bull' END AS regime,
- CASE WHEN x IS NULL THEN NULL WHEN x >= 0.1 AND k % 9 >= 5 THEN 'full' WHEN x >= 0.1 OR k % 9 >= 5 THEN 'half' ELSE 'light' END AS advice FROM (SELECT *, pct_chg / 100 AS x FROM panel)""")
-def _(spark, sf):
-    x = c("pct_chg") / 100
+WITH {PANEL} SELECT *, CASE WHEN v IS NULL THEN '未知' WHEN v < 3e9 THEN '微盘' WHEN v < 1e10 THEN '小盘' WHEN v < 3e10 THEN '中盘' WHEN v < 1e11 THEN '大盘' ELSE '超大盘' END AS bucket,
+ CASE WHEN x <= -0.25 THEN '≤-0.25' WHEN x <= -0.2 THEN '-0.25~-0.20' WHEN x <= -0.15 THEN '-0.20~-0.15' WHEN x <= -0.1 THEN '-0.15~-0.10' WHEN x <= -0.06 THEN '-0.10~-0.06' END AS band,
+ CASE WHEN x IS NULL THEN NULL WHEN x < 0.06 THEN '熊市' WHEN x < 0.09 THEN '震荡偏弱' WHEN x < 0.1 THEN '震荡' WHEN x < 0.12 THEN '震荡偏强' ELSE '牛市' END AS state,
+ CASE WHEN x IS NULL THEN 'unknown' WHEN x >= 0.2 THEN 'strong_bull' WHEN x >= 0.05 THEN 'bull' WHEN x <= -0.1 THEN 'bear' ELSE 'sideways' END AS regime,
+ CASE WHEN x IS NULL THEN NULL WHEN x >= 0.12 AND k % 9 >= 5 THEN '100%' WHEN x >= 0.1 AND k % 9 >= 3 THEN '50%' WHEN x >= 0.09 AND k % 9 >= 2 THEN '30%' WHEN x >= 0.06 THEN '0-30%' ELSE '0%' END AS advice
+FROM (SELECT *, pct_chg / 400 AS x, pre_close * volume * 1e5 AS v FROM panel)""")
+def _(spark, sf):
+    x = c("pct_chg") / 400
     k = F.substring_index("entity_code", ".", 1).cast("long") % 9
-    return panel(spark, sf).withColumns({"bucket": s.cap_bucket(c("close") * c("volume") * 1e5), "band": s.score_band(x), "state": s.market_state(x), "regime": s.market_regime(x), "advice": s.position_advice(x, k)})
+    return panel(spark, sf).withColumns({"bucket": s.cap_bucket(c("pre_close") * c("volume") * 1e5), "band": s.score_band(x), "state": s.market_state(x), "regime": s.market_regime(x), "advice": s.position_advice(x, k)})
 
 
 @R.add("f_dates", K + " closes starts preset", sql=f"""
@@ -76,9 +79,10 @@ def _(spark, sf):
     return panel(spark, sf).withColumns({"closes": s.signal_close(d).cast("timestamp_ntz"), "starts": s.source_start(d, 20), "preset": s.preset_start(d, "3y")})
 
 
-@R.add("f_payload", K + " payload")
+@R.add("f_payload", K + " payload", sql=f"""
+WITH {PANEL} SELECT entity_code, trade_date, '{{"nth":' || nth || ',"volume":' || round(volume)::BIGINT || ',"wd":' || is_wd || '}}' AS payload FROM panel""")
 def _(spark, sf):
-    return panel(spark, sf).withColumn("payload", s.payload(close=F.round("close", 4), volume=c("volume")))
+    return panel(spark, sf).withColumn("payload", s.payload(volume=F.round("volume").cast("long"), nth=c("nth"), wd=c("is_wd")))
 
 
 @R.add("w_basic", K, "mean sum max min", "count", sql=f"""

@@ -94,3 +94,21 @@ def _(spark, sf):
 @R.add("m_trials", "", "ic icir rmse", "trial days rows")
 def _(spark, sf):
     return t.trials(dataset(spark, sf), NAMES, [{"regParam": 0.001}, {"regParam": 0.1}])
+
+
+@R.add("d_features", K, "BIAS5 VROC6 PSY")
+def _(spark, sf):
+    p = panel(spark, sf)
+    return job.feature_matrix(p.select("entity_code", "trade_date"), p, NAMES, 0.5)
+
+
+@R.add("m_score_day", K, "raw_prediction score percentile", "rank_value")
+def _(spark, sf):
+    rows = dataset(spark, sf)
+    last = rows.agg(F.max("trade_date")).first()[0]
+    return t.score_day(t.fit(rows, NAMES), rows, str(last))
+
+
+@R.add("m_importance", "feature", "importance", "place")
+def _(spark, sf):
+    return t.importance(t.fit(dataset(spark, sf), NAMES, "random_forest"), NAMES, spark)

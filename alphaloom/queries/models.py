@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import datasets as d
 from ..operators import joins as j
 from ..operators import metrics as m
+from ..operators import portfolio as pf
 from .base import Registry, bars, entity_number, panel
 from .evaluation import PRED, SQL, _AVG_RANK, predictions, prices
 from .joins import CAP, IND, industry_base, industry_weights, shares
@@ -32,8 +33,8 @@ def _(spark, sf):
 
 
 @R.add("l_paths", K, "ret", "step", sql=f"""
-WITH {SQL} SELECT a.entity_code, a.trade_date, b.idx - a.idx AS step, b.close / a.close - 1 AS ret FROM dated a JOIN dated b ON b.entity_code = a.entity_code AND b.idx BETWEEN a.idx + 1 AND a.idx + 3
-WHERE a.trade_date <= DATE '1999-12-31' AND b.trade_date <= DATE '1999-12-31'""")
+WITH {SQL}, l AS (SELECT entity_code, trade_date, close, lead(close, 1) OVER o AS p1, lead(close, 2) OVER o AS p2, lead(close, 3) OVER o AS p3 FROM dense WHERE trade_date <= DATE '1999-12-31' WINDOW o AS (PARTITION BY entity_code ORDER BY idx)),
+s AS (SELECT entity_code, trade_date, unnest([1, 2, 3]) AS step, unnest([p1 / close - 1, p2 / close - 1, p3 / close - 1]) AS ret FROM l WHERE close IS NOT NULL) SELECT * FROM s WHERE ret IS NOT NULL""")
 def _(spark, sf):
     return d.return_paths(prices(spark, sf), cal(spark, sf), 3, "1999-12-31")
 
@@ -104,7 +105,11 @@ def _(spark, sf):
     return d.impute(x, d.fit_medians(x.where(c("trade_date") < F.lit(dt.date(1999, 1, 1))), ["pct_chg", "pe"]), ["pct_chg", "pe"])
 
 
-@R.add("d_dataset", "split first_date last_date", "", "rows dates")
+@R.add("d_dataset", "split first_date last_date", "", "rows dates", sql=f"""
+WITH {IND}, {CAL}, dd AS (SELECT b.*, c.idx FROM bars b JOIN cal c USING (trade_date)), fw AS (SELECT a.entity_code, a.trade_date FROM dd a JOIN dd b ON b.entity_code = a.entity_code AND b.idx = a.idx + 4),
+jn AS (SELECT entity_code, trade_date FROM panel JOIN fw USING (entity_code, trade_date)), td AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM jn)),
+sp AS (SELECT trade_date, CASE WHEN i < floor(n * 0.6::DOUBLE) - 5 THEN 'train' WHEN i >= floor(n * 0.6::DOUBLE) AND i < floor(n * 0.8::DOUBLE) - 5 THEN 'valid' WHEN i >= floor(n * 0.8::DOUBLE) THEN 'test' END AS split FROM td)
+SELECT split, count(*) AS rows, count(DISTINCT trade_date) AS dates, min(trade_date) AS first_date, max(trade_date) AS last_date FROM jn JOIN sp USING (trade_date) WHERE split IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
     labels = d.rank_label(prices(spark, sf), cal(spark, sf), 4)
     return d.build_dataset(panel(spark, sf).select("entity_code", "trade_date", "pct_chg", "pe"), labels, ["pct_chg", "pe"])[1]
@@ -158,11 +163,13 @@ def _(spark, sf):
 
 def split_panel(spark, sf):
     early = c("trade_date") < F.lit(dt.date(1999, 1, 1))
-    return panel(spark, sf).select("entity_code", "trade_date", "volume", "pct_chg", F.when(early, "train").otherwise("test").alias("split"))
+    level = F.when(early, 0.5).otherwise(0.5 + 0.25 * c("is_st"))  # constant on one side
+    return panel(spark, sf).select("entity_code", "trade_date", "volume", "pct_chg", level.alias("level"), F.when(early, "train").otherwise("test").alias("split"))
 
 
-_SP = f"{IND}, sp AS (SELECT entity_code, trade_date, volume, pct_chg, CASE WHEN trade_date < DATE '1999-01-01' THEN 'train' ELSE 'test' END AS split FROM panel)"
-_PSI = """c{i} AS (SELECT list_distinct(quantile_cont({v}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS cuts FROM sp WHERE split = 'train' AND {v} IS NOT NULL),
+_SP = f"{IND}, sp AS (SELECT entity_code, trade_date, volume, pct_chg, CASE WHEN trade_date < DATE '1999-01-01' THEN 0.5::DOUBLE ELSE 0.5::DOUBLE + 0.25 * is_st END AS level, CASE WHEN trade_date < DATE '1999-01-01' THEN 'train' ELSE 'test' END AS split FROM panel)"
+_PSI = """q{i} AS (SELECT list_sort(list_distinct(quantile_cont({v}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS q FROM sp WHERE split = 'train' AND {v} IS NOT NULL),
+c{i} AS (SELECT CASE WHEN len(q) = 1 THEN [q[1] - greatest(abs(q[1]) * 1e-9, 1e-9), q[1] + greatest(abs(q[1]) * 1e-9, 1e-9)] ELSE q[2:len(q) - 1] END AS cuts FROM q{i}),
 b{i} AS (SELECT split, len(list_filter(cuts, lambda e: {v} >= e)) AS bin, count(*) AS n FROM sp, c{i} WHERE {v} IS NOT NULL GROUP BY ALL), s{i} AS (SELECT *, n / sum(n) OVER (PARTITION BY split) AS p FROM b{i}),
 psi{i} AS (SELECT sum((greatest(coalesce(t.p, 0), 1e-6) - greatest(coalesce(r.p, 0), 1e-6)) * ln(greatest(coalesce(t.p, 0), 1e-6) / greatest(coalesce(r.p, 0), 1e-6))) AS psi FROM (SELECT * FROM s{i} WHERE split = 'train') r FULL JOIN (SELECT * FROM s{i} WHERE split = 'test') t USING (bin)),
 k{i} AS (SELECT max(abs(a - b)) AS ks FROM (SELECT sum(na) OVER (ORDER BY v) / sum(na) OVER () AS a, sum(nb) OVER (ORDER BY v) / sum(nb) OVER () AS b FROM (SELECT {v} AS v, count(*) FILTER (split = 'train') AS na, count(*) FILTER (split = 'test') AS nb FROM sp WHERE {v} IS NOT NULL GROUP BY 1)))"""
@@ -184,15 +191,16 @@ def _stats(i: int, v: str) -> str:
 
 
 @R.add("g_feature_drift", "feature status", "psi ks train_missing test_missing train_mean test_mean train_std test_std train_median test_median", sql=f"""
-WITH {_SP}, {_PSI.format(i=1, v="volume")}, {_PSI.format(i=2, v="pct_chg")}, u AS ({_stats(1, "volume")} UNION ALL {_stats(2, "pct_chg")}) SELECT *, CASE WHEN psi >= 0.25 THEN 'drifted' WHEN psi >= 0.1 THEN 'watch' ELSE 'stable' END AS status FROM u""")
+WITH {_SP}, {_PSI.format(i=1, v="volume")}, {_PSI.format(i=2, v="pct_chg")}, {_PSI.format(i=3, v="level")}, u AS ({_stats(1, "volume")} UNION ALL {_stats(2, "pct_chg")} UNION ALL {_stats(3, "level")}) SELECT *, CASE WHEN psi IS NULL OR psi >= 0.25 THEN 'severe' WHEN psi >= 0.1 THEN 'medium' ELSE 'stable' END AS status FROM u""")
 def _(spark, sf):
-    return m.feature_drift(split_panel(spark, sf), ["volume", "pct_chg"])
+    return m.feature_drift(split_panel(spark, sf), ["volume", "pct_chg", "level"])
 
 
 @R.add("g_reproducibility", "status", "max_delta identical pearson", "common left_only right_only", sql=f"""
 WITH {PRED}, a AS (SELECT trade_date, entity_code, score AS x FROM pred WHERE engine = 'a'), b AS (SELECT trade_date, entity_code, score + CASE WHEN entity_code LIKE '%1.__' THEN 1e-3 ELSE 0 END AS y FROM pred WHERE engine = 'a' AND entity_code NOT LIKE '%3.__'),
 f AS (SELECT * FROM a FULL JOIN b USING (trade_date, entity_code))
-SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS common, count(*) FILTER (y IS NULL) AS left_only, count(*) FILTER (x IS NULL) AS right_only, max(abs(x - y)) AS max_delta, avg((abs(x - y) <= 1e-12)::INT) AS identical, corr(x, y) AS pearson, 'drifted' AS status FROM f""")
+SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS common, count(*) FILTER (y IS NULL) AS left_only, count(*) FILTER (x IS NULL) AS right_only, max(abs(x - y)) AS max_delta, avg((abs(x - y) <= 1e-12)::INT) AS identical, corr(x, y) AS pearson,
+ CASE WHEN count(*) FILTER (x IS NULL OR y IS NULL) = 0 AND max(abs(x - y)) <= 1e-12 THEN 'exact' WHEN count(*) FILTER (x IS NULL OR y IS NULL) = 0 AND max(abs(x - y)) <= 1e-6 THEN 'equivalent' ELSE 'drifted' END AS status FROM f""")
 def _(spark, sf):
     a = predictions(spark, sf).where("engine = 'a'").select("trade_date", "entity_code", "score")
     b = a.where(~c("entity_code").like("%3.__")).withColumn("score", c("score") + F.when(c("entity_code").like("%1.__"), 1e-3).otherwise(0.0))
@@ -212,9 +220,9 @@ TRIALS = f"""{LAB}, ty AS (SELECT *, year(trade_date) AS yr FROM pl), r AS (SELE
 s AS (SELECT model_id, yr, count(ic) AS days, avg(ic) AS ic, avg(ic) / stddev_samp(ic) AS icir FROM i GROUP BY ALL), tr AS (SELECT s.*, rmse, row_number() OVER (ORDER BY model_id, yr) AS trial FROM s JOIN (SELECT model_id, yr, sqrt(avg(pow(prediction - label, 2))) AS rmse FROM ty GROUP BY ALL) USING (model_id, yr))"""
 
 
-@R.add("m_select_trial", "model_id", "ic icir rmse", "trial days", sql=f"WITH {TRIALS} SELECT * FROM tr WHERE days >= 40 AND ic >= -1 AND icir >= -100 ORDER BY ic DESC, icir DESC, rmse, trial LIMIT 1")
+@R.add("m_select_trial", "model_id", "ic icir rmse", "trial days", sql=f"WITH {TRIALS} SELECT * FROM tr WHERE days >= 40 AND ic >= 0 AND icir >= 0 ORDER BY ic DESC, icir DESC, rmse, trial LIMIT 1")
 def _(spark, sf):
-    return m.select_trial(trials(spark, sf), 40, -1, -100)
+    return m.select_trial(trials(spark, sf), 40, 0.0, 0.0)
 
 
 @R.add("m_parameter_effects", "parameter value", "mean std least most spread", "n best", sql=f"""
@@ -224,11 +232,88 @@ def _(spark, sf):
     return m.parameter_effects(trials(spark, sf))
 
 
-@R.add("m_gate", "", "", "id passed", sql=f"WITH {TRIALS} SELECT trial AS id, (ic >= 0 AND rmse <= 0.82 AND days >= 40)::INT AS passed FROM tr")
+#: The next year's metrics of a model stand for its test, and these for a backtest.
+GATES = f"""{TRIALS}, pr AS (SELECT a.trial, a.days AS validation_days, a.ic AS validation_rank_ic, a.icir AS validation_ic_ir, b.days AS test_days, b.ic AS test_rank_ic, b.icir AS test_ic_ir, b.days AS trading_days, b.ic * 2 AS excess_annual_return, b.icir * 3 AS sharpe_ratio, -b.rmse / 3 AS max_drawdown
+ FROM tr a LEFT JOIN tr b ON b.model_id = a.model_id AND b.yr = a.yr + 1)"""
+
+
+@R.add("m_gate", "failed", "", "id passed held", sql=f"""
+WITH {GATES}, f AS (SELECT trial AS id, list_filter([{", ".join(f"CASE WHEN NOT coalesce({n} {op} {bound}, FALSE) THEN '{n}' END" for n, op, bound in m.RESEARCH_RULES)}], lambda x: x IS NOT NULL) AS failed FROM pr) SELECT *, (len(failed) = 0)::INT AS passed, 10 - len(failed) AS held FROM f""")
+def _(spark, sf):
+    a = trials(spark, sf).select("trial", "model_id", "year", "days", "ic", "icir")
+    b = trials(spark, sf).select("model_id", (c("year") - 1).alias("year"), c("days").alias("d"), c("ic").alias("i"), c("icir").alias("ii"), c("rmse").alias("e"))
+    both = a.join(b, ["model_id", "year"], "left")
+    values = {
+        "validation_days": c("days"), "validation_rank_ic": c("ic"), "validation_ic_ir": c("icir"), "test_days": c("d"), "test_rank_ic": c("i"), "test_ic_ir": c("ii"),
+        "trading_days": c("d"), "excess_annual_return": c("i") * 2, "sharpe_ratio": c("ii") * 3, "max_drawdown": -c("e") / 3,
+    }
+    wide = both.select(c("trial").alias("id"), *[v.cast("double").alias(n) for n, v in values.items()])
+    return m.gate(wide.unpivot(["id"], list(values), "metric", "value"))
+
+
+@R.add("m_stability", "model_id failed status", "", "passed held", sql=f"""
+WITH {TRIALS}, st AS (SELECT model_id, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END AS ic_ir FROM i GROUP BY 1),
+w AS (SELECT model_id, count(ic) AS window_count, avg(ic) AS window_ic_mean, stddev_pop(ic) AS window_ic_std, avg((ic > 0)::INT) AS positive_ic_window_ratio FROM tr GROUP BY 1),
+f AS (SELECT model_id, list_filter([{", ".join(f"CASE WHEN NOT coalesce({n} {op} {bound}, FALSE) THEN '{n}' END" for n, op, bound in m.STABILITY_RULES)}], lambda x: x IS NOT NULL) AS failed FROM w LEFT JOIN st USING (model_id))
+SELECT *, (len(failed) = 0)::INT AS passed, 5 - len(failed) AS held, CASE WHEN list_contains(failed, 'window_count') THEN 'insufficient_windows' WHEN len(failed) = 0 THEN 'stable' WHEN len(failed) <= 2 THEN 'mixed' ELSE 'unstable' END AS status FROM f""")
+def _(spark, sf):
+    """A window per year."""
+    windows = trials(spark, sf).select("model_id", c("year").alias("window"), c("ic").alias("rank_ic"))
+    return m.stability_gate(windows, m.metrics(labelled(spark, sf), ["model_id"]).select("model_id", c("icir").alias("ic_ir")), "model_id")
+
+
+@R.add("m_evaluate", "model_id", "rmse ic icir", "rows days", sql=f"""
+WITH {LAB}, st AS (SELECT model_id, trade_date, entity_code, CASE WHEN day(trade_date) % 3 = 0 THEN prediction / 2 ELSE prediction END AS prediction, label FROM pl),
+r AS (SELECT model_id, trade_date, {_MR.format(x="prediction")} AS a, {_MR.format(x="label")} AS b FROM st), i AS (SELECT model_id, trade_date, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM r GROUP BY ALL),
+s AS (SELECT model_id, count(ic) AS days, avg(ic) AS ic, avg(ic) / stddev_samp(ic) AS icir FROM i GROUP BY 1)
+SELECT s.*, rows, rmse FROM s JOIN (SELECT model_id, count(*) AS rows, sqrt(avg(pow(prediction - label, 2))) AS rmse FROM st GROUP BY 1) USING (model_id)""")
+def _(spark, sf):
+    """Every score was stored twice; on some dates the later run halved it."""
+    p = predictions(spark, sf).withColumnRenamed("engine", "model_id")
+    stamp = c("trade_date").cast("timestamp")
+    first = p.withColumns({"updated_at": stamp, "computed_at": stamp, "run_id": F.lit("r1")})
+    second = p.withColumns({"score": F.when(F.day("trade_date") % 3 == 0, c("score") / 2).otherwise(c("score")), "updated_at": stamp, "computed_at": stamp + F.expr("INTERVAL 1 HOUR"), "run_id": F.lit("r0")})
+    return m.evaluate_stored(first.unionByName(second), d.realized_labels(prices(spark, sf), cal(spark, sf), 4).select("trade_date", "entity_code", "label"), ["model_id"])
+
+
+@R.add("g_metric_diff", "path", "left_value right_value", "equal", sql=f"""
+WITH {TRIALS}, la AS (SELECT trial || '/' || metric AS path, value FROM (UNPIVOT (SELECT trial, ic, rmse FROM tr) ON ic, rmse INTO NAME metric VALUE value)),
+rb AS (SELECT path, value + CASE WHEN path LIKE '%1/ic' THEN 1e-6 ELSE 0 END AS value FROM la WHERE path NOT LIKE '2/%')
+SELECT path, la.value AS left_value, rb.value AS right_value, coalesce(abs(la.value - rb.value) <= 1e-9, FALSE)::INT AS equal FROM la FULL JOIN rb USING (path)""")
+def _(spark, sf):
+    long = trials(spark, sf).select("trial", "ic", "rmse").unpivot(["trial"], ["ic", "rmse"], "metric", "value")
+    left = long.select(F.concat_ws("/", c("trial").cast("string"), "metric").alias("path"), "value").where("value is not null")
+    right = left.where("path not like '2/%'").withColumn("value", c("value") + F.when(c("path").like("%1/ic"), 1e-6).otherwise(0.0))
+    return m.metric_diff(left, right)
+
+
+@R.add("p_expand_scopes", "trade_date entity_code engine scope", "score", sql=f"""
+WITH {GROUPS}, a AS (SELECT trade_date, "group" AS style, avg(ret) AS ret FROM grp JOIN fw USING (entity_code, trade_date) GROUP BY ALL),
+l AS (SELECT *, 2 * {_AVG_RANK.format(x="ret")} / count(*) OVER (PARTITION BY trade_date) - 1 AS score, count(*) OVER (PARTITION BY trade_date) AS n FROM a)
+SELECT g.trade_date, g.entity_code, 'style model' AS engine, 'style' AS scope, l.score FROM grp g JOIN l ON l.trade_date = g.trade_date AND l.style = g."group" WHERE l.n >= 2""")
+def _(spark, sf):
+    returns = d.realized_labels(prices(spark, sf), cal(spark, sf), 4)
+    scored = d.group_label(returns, groups(spark, sf)).select("trade_date", "group", F.lit("style model").alias("engine"), c("label").alias("score"))
+    return pf.expand_scopes(scored, groups(spark, sf), "style")
+
+
+@R.add("d_industry_label", "trade_date industry", "label ret", sql=f"""
+WITH {FWD4}, nd AS (SELECT p.entity_code, p.trade_date, n.n_name AS industry, p.volume AS w FROM (SELECT *, row_number() OVER (PARTITION BY entity_code ORDER BY trade_date) AS nth FROM bars) p JOIN supplier s ON s.s_suppkey = split_part(p.entity_code, '.', 1)::BIGINT JOIN nation n ON n.n_nationkey = s.s_nationkey WHERE p.nth % 20 <> 0),
+a AS (SELECT trade_date, industry, sum(w * ret) / nullif(sum(CASE WHEN ret IS NOT NULL THEN w END), 0) AS ret FROM nd JOIN fw USING (entity_code, trade_date) GROUP BY ALL)
+SELECT * FROM (SELECT *, 2 * {_AVG_RANK.format(x="ret")} / count(*) OVER (PARTITION BY trade_date) - 1 AS label, count(*) OVER (PARTITION BY trade_date) AS n FROM a WHERE ret IS NOT NULL) WHERE n >= 2""")
+def _(spark, sf):
+    return d.industry_label(d.realized_labels(prices(spark, sf), cal(spark, sf), 4), industries(spark, sf))
+
+
+@R.add("d_incremental", K + " split", "pct_chg pe", sql=f"""
+WITH {IND}, xs AS (SELECT entity_code, trade_date, CASE WHEN k % 4 = 0 THEN NULL ELSE pct_chg END AS pct_chg, pe FROM panel), q AS (SELECT quantile_cont(pct_chg, 0.5) AS a FROM xs WHERE trade_date <= DATE '1998-12-31'), nw AS (SELECT * FROM xs WHERE trade_date > DATE '1998-12-31'),
+td AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM nw)),
+sp AS (SELECT trade_date, CASE WHEN i < floor(n * 0.6::DOUBLE) THEN 'train' WHEN i < floor(n * 0.8::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM td)
+SELECT entity_code, trade_date, split, coalesce(pct_chg, a) AS pct_chg, pe FROM nw JOIN sp USING (trade_date), q""")
 def _(spark, sf):
-    long = trials(spark, sf).select(c("trial").alias("id"), "ic", "rmse", c("days").cast("double").alias("days")).unpivot(["id"], ["ic", "rmse", "days"], "metric", "value")
-    rules = spark.createDataFrame([("ic", ">=", 0.0), ("rmse", "<=", 0.82), ("days", ">=", 40.0)], "metric string, op string, bound double")
-    return m.gate(long, rules)
+    x = panel(spark, sf).select("entity_code", "trade_date", F.when(entity_number() % 4 != 0, c("pct_chg")).alias("pct_chg"), "pe", F.lit("train").alias("split"))
+    medians = d.fit_medians(x.where(c("trade_date") <= F.lit(dt.date(1998, 12, 31))), ["pct_chg", "pe"])
+    return d.incremental_slice(x, "1998-12-31", medians, ["pct_chg", "pe"])
 
 
 @R.add("m_leaderboard", "model_id cohort", "ic icir", "year place", sql=f"""

@@ -49,7 +49,7 @@ def _(spark, sf):
 
 
 def cal(spark, sf):
-    return src.calendar(bars(spark, sf))
+    return base.once("cal", lambda: src.calendar(bars(spark, sf)))
 
 
 CAL = "cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS idx FROM (SELECT DISTINCT trade_date FROM bars))"

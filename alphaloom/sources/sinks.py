@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +34,37 @@ def write_values(rows: DataFrame, path: str) -> None:
 SCOPE = ("factor_id", "factor_version", "params_hash", "entity_type")
 
 
-def supersede(spark: SparkSession, path: str, job_id: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark's file systems reach it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def supersede(spark: SparkSession, path: str, job_id: str, start: str | None = None, end: str | None = None) -> None:
     """Drops rows that the job replaces: same scope, within the job's range of dates, of another job.
 
-    Only partitions with such rows are rewritten, by way of a table beside the path, as what is read is overwritten.
+    The range is [start, end] where given, else that of the job's rows; dates on which the new job has no rows lose their
+    old ones too. Only partitions with such rows are rewritten, by way of a table beside the path, as what is read is
+    overwritten; a partition of which nothing is left is deleted. Done again after a break, it ends in the same state.
     """
     stored = spark.read.parquet(path)
-    mine = stored.where(F.col("job_id") == job_id).groupBy(*SCOPE).agg(F.min("trade_date").alias("__a"), F.max("trade_date").alias("__b"))
-    old = stored.join(F.broadcast(mine), list(SCOPE)).where((F.col("job_id") != job_id) & F.col("trade_date").between(F.col("__a"), F.col("__b")))
-    touched = stored.join(F.broadcast(old.select("month", "factor_id").distinct()), ["month", "factor_id"], "left_semi")
-    kept = touched.join(old.select(*SCOPE, "entity_code", "trade_date", "job_id").distinct(), [*SCOPE, "entity_code", "trade_date", "job_id"], "left_anti")
+    lo, hi = (F.lit(start).cast("date") if start else F.min("trade_date")), (F.lit(end).cast("date") if end else F.max("trade_date"))
+    mine = stored.where(F.col("job_id") == job_id).groupBy(*SCOPE).agg(lo.alias("__a"), hi.alias("__b"))
+    part = ["month", "factor_id"]
+    goes = (F.col("job_id") != job_id) & F.coalesce(F.col("trade_date").between(F.col("__a"), F.col("__b")), F.lit(False))
+    marked = stored.join(mine, list(SCOPE), "left").withColumn("__goes", goes).drop("__a", "__b")
+    touched = marked.where("__goes").select(*part).distinct()
     aside = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
-    kept.write.parquet(aside)
-    spark.read.schema(stored.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "factor_id").parquet(path)
+    marked.join(touched, part, "left_semi").select(*stored.columns, "__goes").write.parquet(aside)
+    rewritten = spark.read.schema(stored.schema.add("__goes", "boolean")).parquet(aside)
+    kept = rewritten.where("not __goes").drop("__goes")
+    emptied = rewritten.select(*part).distinct().join(kept.select(*part).distinct(), part, "left_anti")
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+    gone = [r["folder"] for r in stored.select(*part, folder.alias("folder")).distinct().join(emptied, part).select("folder").collect()]  # a row per partition
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
+    for at in gone:
+        remove(spark, at)
+    remove(spark, aside)
 
 
 REQUIRED = ("entity_code", "trade_date", "model_id", "model_version", "raw_prediction", "score")
@@ -69,7 +88,7 @@ def write_predictions(df: DataFrame, path: str, kind: str = "training") -> int:
     spark, ready = df.sparkSession, check_predictions(df)
     keys = ["model_id", "model_version"] if kind == "training" else ["model_id", "model_version", "trade_date"]
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/{kind}")
-    back = spark.read.parquet(f"{path}/{kind}").join(F.broadcast(ready.select(*keys).distinct()), keys, "left_semi").count()
+    back = spark.read.parquet(f"{path}/{kind}").join(ready.select(*keys).distinct(), keys, "left_semi").count()
     if back != ready.count():
         raise RuntimeError(f"{back} rows were stored")
     return back
@@ -86,16 +105,19 @@ def fingerprint(df: DataFrame) -> str:
 
 
 def snapshot(df: DataFrame, name: str, path: str) -> DataFrame:
-    """Written once under its name; read back and checked against the fingerprint that was stored with it."""
+    """Written once under its name; read back and checked against the fingerprint that was stored with it.
+
+    The fingerprint is stored last: rows without one are of a job that broke off, and are written anew.
+    """
     spark, at = df.sparkSession, f"{path}/{name}"
     try:
         kept = spark.read.text(f"{at}.fingerprint").first()[0]
-    except Exception as e:  # not written yet
+    except AnalysisException as e:  # not written yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        df.write.mode("errorifexists").parquet(at)
-        kept = fingerprint(df)
-        spark.createDataFrame([(kept,)], "value string").coalesce(1).write.text(f"{at}.fingerprint")
+        df.write.mode("overwrite").parquet(at)
+        kept = fingerprint(spark.read.parquet(at))
+        spark.range(1).select(F.lit(kept).alias("value")).coalesce(1).write.mode("overwrite").text(f"{at}.fingerprint")
     out = spark.read.parquet(at)
     if fingerprint(out) != kept:
         raise RuntimeError(f"snapshot {name} was changed")

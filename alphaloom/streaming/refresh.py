@@ -18,7 +18,7 @@ def incremental_refresh(spark: SparkSession, panel: DataFrame, make: Callable[[D
     """
     values = compute_factor(panel, make, start, end, window)
     write_values(value_rows(values, factor_id, 1, "", job_id, end), path)
-    supersede(spark, path, job_id)
+    supersede(spark, path, job_id, start, end)
 
 
 def refresh_batch(panel_of: Callable[[SparkSession], DataFrame], make: Callable[[DataFrame], DataFrame], window: int, path: str, factor_id: str) -> Callable[[DataFrame, int], None]:
