@@ -32,8 +32,19 @@ HOST_RULES = (
 #: Globs that judge what no host rule fits: downloads, trackers, log-in and session pages.
 GLOBS = (
     "*.exe", "*.zip", "*.jpg", "*.png", "*.gif", "*.css", "*.js",
-    "*/ads/*", "*/login*", "*/logout*", "*/cart/*", "*?*sessionid=*", "@.doubleclick.@/*",
-)
+    "*/login*", "*/logout*", "*/cart/*", "*?*sessionid=*", "@.doubleclick.@/*",
+)
+
+#: Words of addresses that are not wanted: gambling, medicines, adult content, fraud and piracy, advertising.
+WORDS = (
+    "casino", "casinos", "poker", "bets", "betting", "jackpot", "slots", "roulette", "blackjack", "bingo", "lottery", "gambling",
+    "pills", "pharmacy", "viagra", "cialis", "xanax", "tramadol", "steroids", "weightloss",
+    "adult", "porn", "porno", "xxx", "escort", "escorts", "webcam", "nude", "hentai", "fetish",
+    "spam", "scam", "phishing", "malware", "warez", "torrent", "torrents", "keygen", "cracked", "serials", "hack", "proxy",
+    "ads", "adserver", "adservice", "banner", "banners", "popup", "popups", "track", "tracker", "trackers", "tracking", "pixel", "affiliate", "affiliates", "clickbait", "telemetry", "beacon",
+)
+#: Where a word counts: as a label of the host, as a part of one between hyphens, or as a folder of the path.
+FORMS = ("@.{}.*", "@.{}-*", "@-{}.*", "@-{}-*", "@-{}/*", "*/{}/*")
 
 
 @dataclass(frozen=True)
@@ -50,6 +61,12 @@ class Rule:
     stops: str = "/"
 
 
+def glob_rules() -> list[Rule]:
+    """The globs and every word in every form: some 360 rules, 3,600 states. The longest that fits is reported."""
+    made = [f.format(w) for w in WORDS for f in FORMS]
+    return [Rule(g, g, "block", len(g)) for g in GLOBS] + [Rule(g, g, "block", len(g), "/?") for g in made]
+
+
 def host_rule(verdict: str, host: str, path: str) -> Rule:
     return Rule(host + path, f"@.{host}{path}*", verdict, len(host) + len(path), "/?")
 
@@ -170,7 +187,7 @@ def filter_urls(df: DataFrame, rules: list[Rule], default: str = "allow", id_col
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host rules first (any of them outweighs a glob); globs block what no host rule fits; the rest is allowed."""
     rules = [replace(r, weight=r.weight + 1_000_000) for r in (host_rule(*x) for x in HOST_RULES)]
-    rules += [Rule(g, g, "block", len(g)) for g in GLOBS]
+    rules += glob_rules()
     judged = filter_urls(table(spark, sf_dir, "pages"), rules)
     named = F.array(*[F.lit(h + p) for _, h, p in HOST_RULES])
     fits = F.array_contains(named, F.col("rule"))
@@ -184,9 +201,9 @@ def op4_sql() -> str:
     fits = [(v, h, p, f"(('.' || host) LIKE '%.{h}' AND starts_with(path, '{p}'))") for v, h, p in sorted(HOST_RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for _, h, p, f in fits) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for v, _, _, f in fits)
-    globs = sorted(GLOBS, key=lambda g: (-len(g), g))
-    regex = lambda g: "^" + "".join(".*" if c == "*" else "[^/]*" if c == "@" else "\\" + c if c in ".?" else c for c in g) + "$"
-    hit = "CASE " + " ".join(f"WHEN host <> '' AND regexp_matches('.' || host || path || query, '{regex(g)}', 's') THEN '{g}'" for g in globs) + " END"
+    globs = sorted(glob_rules(), key=lambda r: (-r.weight, r.name))
+    regex = lambda r: "^" + "".join({"*": ".*", "@": f"[^{r.stops}]*", ".": "\\.", "?": "\\?"}.get(c, c) for c in r.glob) + "$"
+    hit = "CASE " + " ".join(f"WHEN host <> '' AND regexp_matches('.' || host || path || query, '{regex(r)}', 's') THEN '{r.name}'" for r in globs) + " END"
     return f"""
       WITH p AS (SELECT page_id, {host} AS host, {path} AS path, {query} AS query FROM pages),
       r AS (SELECT *, {rule} AS rule, {hit} AS hit FROM p)

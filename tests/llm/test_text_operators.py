@@ -183,6 +183,14 @@ def test_globs_match_plainly():
         assert (machine.rules[k].name if k >= 0 else None) == (fits[0] if fits else None), u
 
 
+def test_words_count_in_hosts_and_folders_only():
+    machine = url_filter.Automaton(url_filter.glob_rules())
+    assert machine.words > 40 and len(machine.rules) > 300
+    urls = {".casino.com/": 1, ".best-casino.com/": 1, ".casino-win.com/": 1, ".my-casino-win.com/": 1, ".a.com/x/casino/y": 1, ".a.casino/": 0, ".mycasino.com/": 0, ".a.com/casino": 0, ".a.com?q=.casino.b": 0, ".a.com/?x=-casino-": 0, ".a-casino/": 1}
+    won = machine.winners([u.encode() for u in urls])
+    assert {u: int(k >= 0) for u, k in zip(urls, won, strict=True)} == urls
+
+
 def test_url_filter_of_nothing(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.filter_urls(df, [url_filter.Rule("x", "*", "block", 1)]).count() == 0
