@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 
 @dataclass(frozen=True)
@@ -40,11 +40,14 @@ class Lists:
 
 
 def usable(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(id long, v array<double>, place long): rows whose id is not null and whose vector has only finite components."""
+    """(id long, v array<double>, place long): rows whose id is not null and whose vector has only finite components.
+
+    Written to the shared scratch folder, so that a row's place is the same wherever it is read.
+    """
     v = df[vector_column]
     whole = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = df.where(whole & df[id_column].isNotNull())
-    return kept.select(df[id_column].cast("long").alias("id"), v.cast("array<double>").alias("v"), F.monotonically_increasing_id().alias("place"))
+    return stored(kept.select(df[id_column].cast("long").alias("id"), v.cast("array<double>").alias("v"), F.monotonically_increasing_id().alias("place")))
 
 
 def _deal(place: Column, parts: Column) -> Column:
@@ -93,13 +96,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 # --- exact ---
 
 
-def branch_and_bound(q: np.ndarray, q_id: int, x: list[np.ndarray], rest_x: np.ndarray, rest_q: np.ndarray, first: np.ndarray, ids: np.ndarray, cuts: list[slice], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places and inner products of all candidates that can be among the k best of one query.
+def branch_and_bound(q: np.ndarray, x: list[np.ndarray], rest_x: np.ndarray, rest_q: np.ndarray, first: np.ndarray, alive: np.ndarray, cuts: list[slice], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places and inner products of those of the candidates `alive` that can be among the k best of one query.
 
     x: candidates in vertical layout, an array (dimensions of the block, rows) per block. rest_x[j], rest_q[j]: norms of
     what is left after block j. first: products over block 0. What is left can add at most the product of both norms.
     """
-    alive = np.flatnonzero(ids != q_id)
     part = first[alive]
     bar = -np.inf
     for j in range(len(cuts)):
@@ -125,7 +127,7 @@ def _exact_cell(k: int, dims: int):
         for d, (q_ids, q, places) in want.items():
             if d not in have:
                 continue
-            ids, x, _ = have[d]
+            ids, x, own = have[d]
             order = np.argsort(-(x * x).sum(0), kind="stable")  # blocks of large mass first
             cuts = [slice(a, min(a + dims, d)) for a in range(0, d, dims)]
             q = np.ascontiguousarray(q[:, order])
@@ -136,7 +138,7 @@ def _exact_cell(k: int, dims: int):
             for at in range(0, len(q), 128):
                 first = q[at : at + 128, cuts[0]] @ blocks[0]
                 for i in range(at, min(at + 128, len(q))):
-                    alive, score = branch_and_bound(q[i], q_ids[i], blocks, rest_x, rest_q[:, i], first[i - at], ids, cuts, k)
+                    alive, score = branch_and_bound(q[i], blocks, rest_x, rest_q[:, i], first[i - at], np.flatnonzero(own != places[i]), cuts, k)
                     best = _top(score, ids[alive], k)
                     n = len(best)
                     rows.append((np.full(n, q_ids[i]), np.full(n, places[i]), ids[alive[best]], score[best].astype(np.int64)))
@@ -149,7 +151,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, cells: Cells = Cel
     """vectors (id, v array<double> of whole numbers, place) -> query_id, rank, vec_id, score: the largest inner products.
 
     is_query: over id. Products are exact while sums of absolute products stay below 2**53. Vectors are compared only
-    with those of equal length. A query's candidates are all rows of another id; rows that repeat an id are candidates
+    with those of equal length. A query's candidates are all rows but its own; rows that repeat an id are candidates
     each, and are answered each as queries. Fewer candidates than k are all returned; no queries or rows: no result.
     """
     queries = vectors.where(is_query)
@@ -169,12 +171,12 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sql() -> str:
     return """
-      WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+      WITH v AS (SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
                  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-      s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-            FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0),
-      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+      s AS (SELECT q.vec_id AS query_id, q.place AS query_place, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON c.place <> q.place AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id, query_place ORDER BY score DESC, vec_id) AS rank FROM s)
       SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
@@ -269,7 +271,7 @@ def _scan_cell(indexes: dict[int, Index], k: int, dims: int, doubt: float):
         for d, (q_ids, q, places) in want.items():
             if d not in have:
                 continue
-            ids, x, _ = have[d]
+            ids, x, own = have[d]
             rotation = indexes[d].rotation if d in indexes else np.eye(d)
             cuts = [slice(a, min(a + dims, d)) for a in range(0, d, dims)]
             turned, rq = _unit(x) @ rotation, _unit(q) @ rotation
@@ -279,7 +281,7 @@ def _scan_cell(indexes: dict[int, Index], k: int, dims: int, doubt: float):
                 head = rq[at : at + 256, cuts[0]]
                 first = (head**2).sum(1)[:, None] + (blocks[0] ** 2).sum(0)[None, :] - 2 * head @ blocks[0]
                 for i in range(at, min(at + 256, len(q))):
-                    alive = adaptive_scan(rq[i], blocks, cuts, first[i - at], np.flatnonzero(ids != q_ids[i]), k, doubt)
+                    alive = adaptive_scan(rq[i], blocks, cuts, first[i - at], np.flatnonzero(own != places[i]), k, doubt)
                     score = (x[alive] * q[i]).sum(1) / (x_norm[alive] * q_norm[i])
                     best = _top(score, ids[alive], k)
                     n = len(best)
@@ -299,7 +301,7 @@ def approximate_top_k(vectors: DataFrame, is_query: Column, k: int, spec: Lists
 
     Every row is indexed; only centroids and the number of probes are fitted, on at most spec.sample rows that come
     first by the hash of their id. Zero vectors take no part. Vectors are compared only with those of equal length. A
-    query's candidates are all rows of another id; rows that repeat an id are candidates each, and are answered each
+    query's candidates are all rows but its own; rows that repeat an id are candidates each, and are answered each
     as queries. Scores are cosines of the original vectors in double precision.
     """
     vectors = vectors.where(F.exists("v", lambda x: x != 0))

@@ -1,5 +1,6 @@
 """Near duplicates, language ID, quality, vector search and the pipeline against brute force and held-out accuracy."""
 
+import math
 import random
 import re
 import zlib
@@ -92,6 +93,38 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted((r["doc_id"] for r in kept.collect())) == [1, 4, 5]
 
 
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for n, out, new in ((5, 1, 0), (100, 7, 9), (1000, 300, 400), (20_000, 50, 0)):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[out:], rng.integers(0, 2**63, new).astype(np.uint64)]))
+        bits = int(np.bitwise_count((near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint64)).sum())
+        differ = len(np.setxor1d(a, b))
+        assert bits <= differ and bits % 2 == differ % 2
+        assert bits >= 0.6 * min(differ, 300)
+
+
+def test_near_duplicates_of_a_whole_table(spark, monkeypatch):
+    """op2 on all documents of sf0.01 against brute force, with and without the prefix filter; helper names clash."""
+    docs = spark.read.parquet(f"{SF2}/documents.parquet")
+    want, size = components_plainly([(r["doc_id"], r["text"]) for r in docs.collect()], 4)
+    for heavy in (near_dedup.HEAVY, 0):
+        monkeypatch.setattr(near_dedup, "HEAVY", heavy)
+        got = near_dedup.op2_minmax_dedup(spark, SF2).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (size[i], want[i], want[i] == i) for i in want}
+    named = docs.limit(30).withColumns({"row": F.lit(1), "Group": F.lit("g"), "key": F.lit(2.0)})
+    assert near_dedup.deduplicate(named).columns == named.columns
+
+
+def test_a_very_long_text(spark):
+    """Whole texts count: a change at the end of a long one is seen, a copy is found."""
+    rng = random.Random(4)
+    long = " ".join(str(rng.randrange(5000)) for _ in range(60_000))
+    rows = [(1, long), (2, long), (3, long + " new end"), (4, " ".join(reversed(long.split())))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_min_and_max_estimate_alike(spark):
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
@@ -124,7 +157,7 @@ def test_noise_and_odd_rows_are_in_no_language(spark):
     rng = random.Random(1)
     model = language_id.fit(spark.read.parquet(f"{SF2}/documents.parquet"))
     noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=600)) for _ in range(5)]
-    df = documents(spark, [*enumerate(noise), (10, None), (11, ""), (12, " \n "), (13, None)]).withColumn("posterior", F.lit("clash")).drop("posterior")
+    df = documents(spark, [*enumerate(noise), (10, None), (11, ""), (12, " \n "), (13, None)]).withColumn("posterior", F.lit("clash"))
     rows = language_id.identify(df, model, F.col("text"), F.lit(None).cast("string")).collect()
     assert len(rows) == 9 and all((r["lang_found"], r["in_language"]) == ("und", False) for r in rows)
     assert language_id.identify(df.limit(0), model, F.col("text"), F.col("source")).count() == 0
@@ -148,6 +181,53 @@ def test_clashing_columns(spark):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_language_scores_by_hand(spark):
+    """The fused posterior of every document against a plain computation: text, host, domain and corpus priors."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    model, spec = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet")), language_id.Fit()
+    rows, k = docs.collect(), len(model.languages)
+    logs, own = {}, {}
+    for r in rows:
+        mean, n = language_id.mean_ratios(model, r["text"])
+        log = mean * (n / (1 + n / spec.full))
+        p = np.exp(log - log.max())
+        logs[r["doc_id"]], own[r["doc_id"]] = log, p / p.sum() if n and mean.max() >= spec.least else np.zeros(k)
+    whole = sum(own.values())
+    corpus = (whole + 1) / (whole.sum() + k)
+    host, domain = defaultdict(lambda: np.zeros(k)), defaultdict(lambda: np.zeros(k))
+    name = lambda h: ".".join(h.split(".")[-2:])
+    for r in rows:
+        host[r["source"]] += own[r["doc_id"]]
+        domain[name(r["source"])] += own[r["doc_id"]]
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model, F.col("text"), F.col("source")).collect()}
+    for r in rows:
+        mine = own[r["doc_id"]]
+        smooth = lambda c, base: (np.maximum(c - mine, 0) + spec.smoothing * base) / (np.maximum(c - mine, 0).sum() + spec.smoothing)  # noqa: E731, B023
+        z = logs[r["doc_id"]] + np.log(smooth(host[r["source"]], smooth(domain[name(r["source"])], corpus)))
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        found = got[r["doc_id"]]
+        if mine.any():
+            assert found["lang_found"] == model.languages[int(p.argmax())] and found["posterior"] == pytest.approx(p.max(), abs=1e-9)
+            assert found["in_language"] == (p.max() >= spec.sure)
+        else:
+            assert (found["lang_found"], found["in_language"]) == ("und", False)
+
+
+@pytest.mark.parametrize("evidence", ["host", "declared", "suffix"])
+def test_each_evidence_turns_a_text_that_says_little(spark, evidence):
+    """A text that two languages explain alike goes with its host, the declared language or the suffix, each by itself."""
+    docs = spark.read.parquet(f"{SF2}/documents.parquet").where("lang in ('fr', 'es') and length(text) > 800").select("text", "lang").collect()
+    model = language_id.fit(spark.read.parquet(f"{SF2}/documents.parquet"))
+    rows = [(r["text"], r["lang"], r["lang"] + ".x") for r in docs] + [("la de", lang, lang + ".x") for lang in ("fr", "es")]
+    df = spark.createDataFrame(rows, "text string, lang string, site string")
+    given = {"host": F.lit("one.site"), "declared": None, "suffix": None} | {evidence: F.col("site" if evidence == "host" else "lang")}
+    found = language_id.identify(df, model, F.col("text"), given["host"], given["declared"], given["suffix"], language_id.Fit(least=-9)).where("text = 'la de'").collect()
+    assert {r["lang"]: r["lang_found"] for r in found} == {"fr": "fr", "es": "es"}
+    none = language_id.identify(df, model, F.col("text"), F.lit("one.site"), spec=language_id.Fit(least=-9)).where("text = 'la de'").collect()
+    assert len({r["lang_found"] for r in none}) == 1
+
+
 def test_evidence_decides_short_texts(spark):
     """The same ambiguous text goes with its host, and with what the markup declares."""
     model = language_id.fit(spark.read.parquet(f"{SF2}/documents.parquet"))
@@ -176,6 +256,26 @@ def test_quality_of_held_out_documents(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.9 * len(rows)
 
 
+def test_quality_scores_by_hand(spark):
+    """Every score of op5 from compressed sizes and the calibration's terms, put together anew."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    size = lambda d, t: len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(t))
+    got = {r["doc_id"]: r for r in quality.op5_compression_quality(spark, SF).collect()}
+    for r in docs.collect():
+        t = (r["text"] or "").encode()
+        good, bad = size(model.good, t), size(model.bad, t)
+        d = bad - good
+        raw = [d / (bad + good), d / (len(t) + 1), math.copysign(math.log1p(abs(d)), d) if d else 0.0]
+        z = [min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(raw, model.mean, model.scale, strict=True)]
+        terms = [*z, z[0] * z[0], z[0] * z[1], z[0] * z[2], z[1] * z[1], z[1] * z[2], z[2] * z[2], 1.0]
+        want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(terms, model.weights, strict=True))))
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-9)
+        assert got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.7)
+
+
 def test_held_out_rows(spark):
     ids = list(range(200))
     got = {r["doc_id"]: r["h"] for r in documents(spark, [(i, "x") for i in ids]).select("doc_id", quality.held_out(F.col("doc_id")).alias("h")).collect()}
@@ -252,6 +352,13 @@ def test_vectors_odd_rows(spark):
         assert empty.count() == 0
 
 
+def test_rows_of_one_id_find_each_other(spark):
+    """Only a query's own row is left out, not other rows of its id."""
+    v = vectors(spark, [(0, [1.0, 0.0], 0, "a"), (0, [0.9, 0.1], 0, "b"), (1, [0.0, 1.0], 0, "c")])
+    for found in (vector_search.exact_top_k(v, F.col("id") % 20 == 0, 20), vector_search.approximate_top_k(v, F.col("id") % 50 == 0, 5)):
+        assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()) == [(0, 1, 0), (0, 1, 0), (0, 2, 1), (0, 2, 1)]
+
+
 @pytest.mark.parametrize("sf", [SF2, "/root/testdata/sf0.1"])
 def test_approximate_recall(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
