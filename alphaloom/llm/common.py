@@ -127,9 +127,14 @@ def release() -> None:
     if _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+    trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system, which Arrow's pool and the allocator otherwise keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: Characters that a Cutter tells apart: all below NEAR, U+2581 as one of their own, the rest as one.

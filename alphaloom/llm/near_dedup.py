@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, release, stored, table, text_batches, unused, utf8
+from .common import mix64, release, stored, table, text_batches, trim, unused, utf8
 from .graph import connected_components
 
 #: Above this many ids the side is joined by a shuffle, not broadcast (8 bytes each).
@@ -131,6 +131,7 @@ def _sign(spec: MinMax):
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(sketch[:, i]) for i in range(SKETCH))],
                 names=["doc_id", "n_shingles", "fp", "bands", *PARITY],
             )
+        trim()
 
     return run
 
@@ -147,6 +148,7 @@ def _sets(spec: MinMax):
                 ],
                 names=["fp", "shingles"],
             )
+        trim()
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FAR, NEAR, Cutter, held, release, stored, table, text_batches, utf8
+from .common import FAR, NEAR, Cutter, held, release, stored, table, text_batches, trim, utf8
 
 
 @dataclass(frozen=True)
@@ -136,6 +136,8 @@ def _pieces(spec: Packing):
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+            rows.clear()
+        trim()
 
     return run
 

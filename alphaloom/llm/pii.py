@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stored, table, text_batches, unused, utf8
+from .common import release, stored, table, text_batches, trim, unused, utf8
 
 #: The kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -204,6 +204,7 @@ def _first_pass(batches):
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
         kinds = [pa.int64()] * 5 + [pa.string(), _FOUND]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "found"])
+    trim()
 
 
 def confident_patterns(found: DataFrame, spec: Bootstrap) -> DataFrame:

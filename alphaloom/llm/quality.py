@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fitting, held, table, text_batches, utf8
+from .common import fitting, held, table, text_batches, trim, utf8
 
 
 @dataclass(frozen=True)
@@ -148,6 +148,7 @@ def score_column(model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
+        trim()
         return pa.array(scores(model, [t or b"" for t in utf8(texts)]), pa.float64())
 
     return score(text.cast("string"))
