@@ -5,12 +5,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from alphaloom.functions import scalar as sc
 from alphaloom.operators import datasets as d
 from alphaloom.operators import diagnose as g
 from alphaloom.operators import evaluate as e
 from alphaloom.operators import joins as j
 from alphaloom.operators import metrics as m
 from alphaloom.operators import portfolio as pf
+from alphaloom.operators import selection as sel
 from alphaloom.sources import panel as src
 from alphaloom.sources import sinks
 
@@ -139,10 +141,65 @@ def test_ensemble_needs_all_sources(spark):
     assert rows(m.ensemble(p, w).select("entity_code", "score", "rank_value", "percentile"), "entity_code") == [("a", 0.75, 1, 0.0), ("c", 0.0, 2, 1.0)]
 
 
-def test_trend_does_not_look_ahead(spark):
-    df = spark.createDataFrame([("a", D[i], s) for i, s in enumerate([1.0, 2.0, 3.0, 2.0])], "entity_code string, trade_date date, score double")
-    assert g.trend(df).columns == ["entity_code", "trade_date", "score", "trend"]
-    assert [r["trend"] for r in g.trend(df).orderBy("trade_date").collect()] == ["short", "short", "rising", "mixed"]
+def test_trend(spark):
+    df = spark.createDataFrame([("a", D[i], s) for i, s in enumerate([1.0, 2.0, 3.0, 2.0, 2.0])] + [("b", D[0], 1.0)], "entity_code string, trade_date date, score double")
+    got = [(r["trend"], r["buyable"]) for r in sel.trend(df).orderBy("entity_code", "trade_date").collect()]
+    assert got == [("连续上升", 0), ("连续上升", 0), ("先升后降", 1), ("连续下降", 0), ("回落中", 1), ("趋势未知", 1)]
+    past = [r["trend"] for r in sel.trend(df, ahead=False).orderBy("entity_code", "trade_date").collect()]
+    assert past == ["趋势未知", "上升中", "上升中", "回落中", "回落中", "趋势未知"]
+
+
+def test_bands_at_their_edges(spark):
+    x = spark.createDataFrame([(-0.25,), (-0.1,), (-0.06,), (0.0,), (0.06,), (0.1,), (0.12,), (0.2,), (None,)], "x double").select("x", sc.score_band(F.col("x")).alias("s"), sc.market_state(F.col("x")).alias("m"), sc.market_regime(F.col("x")).alias("r"), sc.position_advice(F.col("x"), F.lit(3)).alias("p"))
+    assert [tuple(r)[1:] for r in x.collect()] == [
+        ("≤-0.25", "熊市", "bear", "0%"), ("-0.15~-0.10", "熊市", "bear", "0%"), ("-0.10~-0.06", "熊市", "sideways", "0%"), (None, "熊市", "sideways", "0%"),
+        (None, "震荡偏弱", "bull", "0-30%"), (None, "震荡偏强", "bull", "50%"), (None, "牛市", "bull", "50%"), (None, "牛市", "strong_bull", "50%"), (None, None, "unknown", None),
+    ]
+
+
+def test_negative_rules(spark):
+    df = spark.createDataFrame([("600001.SH", -0.23, 2e11), ("600002.SH", -0.135, 2e11), ("600003.SH", -0.11, 5e10), ("688001.SH", -0.14, 1e9), ("000001.SZ", -0.05, 1e9), ("830001.BJ", -0.3, None)], "entity_code string, score double, cap double").withColumn("trade_date", F.lit(D[0]))
+    low = sel.negative_selection(df)
+    assert rows(low.select("entity_code", "cap_band", "board", "short", "missed"), "entity_code") == [
+        ("600001.SH", "超大盘", "沪深主板", 1, 0), ("600002.SH", "超大盘", "沪深主板", 0, 1), ("600003.SH", "大盘", "沪深主板", 0, 1), ("688001.SH", "微盘", "科创板", 1, 1), ("830001.BJ", "未知", "北交所", 1, 0),
+    ]
+    grid = sel.negative_matrix(low).collect()
+    assert len(grid) == 5 and sum(sum(r[n] for n in ("微盘", "小盘", "中盘", "大盘", "超大盘")) for r in grid) == 4
+
+
+def test_gates(spark):
+    good = {"validation_days": 40, "validation_rank_ic": 0.02, "validation_ic_ir": 0.3, "test_days": 40, "test_rank_ic": 0.02, "test_ic_ir": 0.3, "trading_days": 40, "excess_annual_return": 0.01, "sharpe_ratio": 0.1, "max_drawdown": -0.3}
+    cases = {"all": good, "zero excess": good | {"excess_annual_return": 0.0}, "missing": {k: v for k, v in good.items() if k != "test_days"}}
+    long = spark.createDataFrame([(i, k, float(v)) for i, c in cases.items() for k, v in c.items()], "id string, metric string, value double")
+    got = {r["id"]: (r["passed"], r["failed"]) for r in m.gate(long).collect()}
+    assert got == {"all": (1, []), "zero excess": (0, ["excess_annual_return"]), "missing": (0, ["test_days"])}
+    w = spark.createDataFrame([("a", i, 0.03) for i in range(3)] + [("b", 1, 0.5), ("b", 2, -0.2)], "id string, window int, rank_ic double")
+    st = m.stability_gate(w, spark.createDataFrame([("a", 0.4), ("b", 0.1)], "id string, ic_ir double"))
+    assert {r["id"]: r["status"] for r in st.collect()} == {"a": "stable", "b": "insufficient_windows"}
+
+
+def test_training_curves(spark):
+    curves = {"steady": [(1.0, 1.0), (0.5, 0.55), (0.45, 0.5)], "far": [(1.0, 1.0), (0.2, 0.5), (0.1, 0.5)], "rebound": [(1.0, 1.0), (0.48, 0.5), (0.4, 0.53)], "flat": [(1.0, 1.0), (1.0, 1.0), (1.0, 1.0)]}
+    h = spark.createDataFrame([(n, i, t, v) for n, c in curves.items() for i, (t, v) in enumerate(c)], "run string, step int, train double, valid double")
+    got = {r["run"]: (r["best_step"], r["status"]) for r in g.training_curve(h).collect()}
+    assert got == {"steady": (2, "stable"), "far": (1, "severe"), "rebound": (1, "warning"), "flat": (0, "warning")}
+    long = spark.createDataFrame([("r", i, 1.0, abs(i - 777) / 1000) for i in range(1000)], "run string, step int, train double, valid double")
+    steps = {r["step"] for r in g.curve_points(long, 100).collect()}
+    assert {0, 777, 999} <= steps and len(steps) <= 101
+
+
+def test_redundant_features_form_groups(spark):
+    pairs = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("d", "e", 1), ("a", "f", 0)], "feature_a string, feature_b string, redundant int")
+    strength = spark.createDataFrame([(f, 0.01, ir) for f, ir in (("a", 0.1), ("b", -0.9), ("c", 0.2), ("d", 0.3), ("e", 0.3), ("f", 2.0))], "feature string, rank_ic double, ic_ir double")
+    assert rows(g.redundancy_groups(pairs, strength), "feature") == [("a", "a", 0), ("a", "b", 1), ("a", "c", 0), ("d", "d", 0), ("d", "e", 1)]
+    assert g.redundancy_groups(pairs.where("redundant = 0"), strength).count() == 0
+
+
+def test_psi_of_a_constant(spark):
+    same = spark.createDataFrame([("train", 2.0)] * 10 + [("test", 2.0)] * 5, "split string, v double")
+    assert m.psi(same, "v", "split", "train").first()["psi"] == pytest.approx(0, abs=1e-9)
+    apart = spark.createDataFrame([("train", 2.0)] * 10 + [("test", 3.0)] * 5, "split string, v double")
+    assert m.psi(apart, "v", "split", "train").first()["psi"] > 10
 
 
 def predictions(spark, scores):
@@ -165,6 +222,60 @@ def test_sinks(spark, tmp_path):
     assert sinks.fingerprint(df) == sinks.fingerprint(df.orderBy(F.col("idx").desc()))
 
 
+def _job(days, job, make=1.0):
+    return [("e", dt.date(2020, *d), make, job) for d in days]
+
+
+def test_superseding_leaves_no_stale_rows(spark, tmp_path):
+    """A month in which the new job has no rows loses its old ones; other months and scopes stay."""
+    path = f"{tmp_path}/values"
+    schema = "entity_code string, trade_date date, raw_value double, job string"
+    for job, days in (("old", [(1, 5), (2, 5), (3, 5), (5, 5)]), ("new", [(1, 5), (3, 5)])):
+        df = spark.createDataFrame(_job(days, job), schema).drop("job")
+        sinks.write_values(sinks.value_rows(df, "f", 1, "", job, "v"), path)
+    sinks.write_values(sinks.value_rows(spark.createDataFrame(_job([(2, 5)], "x"), schema).drop("job"), "g", 1, "", "old", "v"), path)
+    for _ in range(2):  # done again, it changes nothing
+        sinks.supersede(spark, path, "new")
+        kept = sorted((r["factor_id"], r["job_id"], r["trade_date"].month) for r in spark.read.parquet(path).collect())
+        assert kept == [("f", "new", 1), ("f", "new", 3), ("f", "old", 5), ("g", "old", 2)]
+    sinks.supersede(spark, path, "new", "2020-01-01", "2020-12-31")
+    assert sorted((r["factor_id"], r["trade_date"].month) for r in spark.read.parquet(path).collect()) == [("f", 1), ("f", 3), ("g", 2)]
+    assert [p.name for p in tmp_path.iterdir()] == ["values"]
+
+
+def test_snapshot_after_a_crash(spark, tmp_path):
+    path = str(tmp_path)
+    cal(spark).limit(2).write.parquet(f"{path}/one")  # rows without a fingerprint: a job that broke off
+    assert sinks.snapshot(cal(spark), "one", path).count() == 10
+    assert sinks.snapshot(cal(spark).limit(1), "one", path).count() == 10
+
+
+def test_refresh_from_a_stream(spark, tmp_path):
+    """Batches of new panel rows through foreachBatch: the dates of each are computed anew and replace older values."""
+    from alphaloom.streaming.refresh import refresh_batch
+
+    source, path = f"{tmp_path}/panel", f"{tmp_path}/values"
+    panel = lambda s: s.read.schema("entity_code string, trade_date date, close double").parquet(source)
+    step = refresh_batch(panel, lambda p: p.withColumn("raw_value", F.col("close")), 1, path, "f")
+    put = lambda days, close: spark.createDataFrame([(e, dt.date(2020, 1, d), close + i) for d in days for i, e in enumerate("abc")], "entity_code string, trade_date date, close double").coalesce(1).write.mode("append").parquet(source)
+    for days, close in (([1, 2], 1.0), ([3], 5.0)):
+        put(days, close)
+        stream = spark.readStream.schema("entity_code string, trade_date date, close double").parquet(source)
+        query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/offsets").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    got = sorted((r["entity_code"], r["trade_date"].day, r["raw_value"], r["job_id"]) for r in spark.read.parquet(path).collect())
+    assert got == sorted([(e, d, 1.0 + i, "batch-0") for d in (1, 2) for i, e in enumerate("abc")] + [(e, 3, 5.0 + i, "batch-1") for i, e in enumerate("abc")])
+
+
+def test_sessions_from(spark):
+    c = cal(spark)
+    days = [r["trade_date"] for r in c.orderBy("idx").collect()]
+    asked = spark.createDataFrame([(days[0],), (days[3],), (days[-1],), (days[-1] + dt.timedelta(9),), (None,)], "d date")
+    at = lambda strict: {r["d"]: r["idx"] for r in j.sessions_from(asked, "d", c, strict).collect()}
+    assert at(False) == {days[0]: 0, days[3]: 3, days[-1]: 9, days[-1] + dt.timedelta(9): None}
+    assert at(True) == {days[0]: 1, days[3]: 4, days[-1]: None, days[-1] + dt.timedelta(9): None}
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 
