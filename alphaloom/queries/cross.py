@@ -97,7 +97,7 @@ def _(spark, sf):
 
 # --- the catalogue, by group ---
 
-_Q = {n: f"(PARTITION BY entity_code ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (3, 5, 6, 10, 12, 13, 15, 20, 21, 24, 25, 26, 60, 61, 63, 120, 240, 250, 252)}
+_Q = {n: f"(PARTITION BY entity_code ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (3, 5, 6, 10, 12, 13, 14, 15, 20, 21, 24, 25, 26, 60, 61, 63, 120, 240, 250, 252)}
 _WINDOWS = "WINDOW o AS " + ROWS + ", " + ", ".join(f"w{n} AS {q}" for n, q in _Q.items())
 
 
@@ -180,10 +180,33 @@ for _group in CATALOG_SQL:
     _catalog(_group)
 
 
+def _moment(n: int, k: int) -> str:
+    """The k-th central moment of the window's daily returns over the sample variance to the power k / 2."""
+    m = lambda j: f"list_sum(list_transform(d{n}, lambda x: pow(x - m{n}, {j})))"
+    return f"CASE WHEN n{n} > 1 AND {m(2)} > 0 THEN ({m(k)} / n{n}) / pow({m(2)} / (n{n} - 1), {k / 2}) END"
+
+
+#: What needs the values of its window as a list: these first, then the factors over them.
+_LISTS = {
+    "risk": ", ".join(f"list({_D}) OVER w{n} AS d{n}, avg({_D}) OVER w{n} AS m{n}, count({_D}) OVER w{n} AS n{n}" for n in (20, 60, 120)),
+    "momentum": f"{_TYP} AS typ, " + ", ".join(f"list({_TYP}) OVER w{n} AS t{n}, avg({_TYP}) OVER w{n} AS m{n}" for n in (10, 15, 20)),
+    "ambiguous": "close, list(close) OVER w250 AS c250, count(close) OVER w250 AS n250",
+    "sentiment": f"avg({_TR}) OVER w14 AS a14",
+}
+REST_SQL = {
+    "risk": {f"{name}{n}": _moment(n, k) for name, k in (("Kurtosis", 4), ("Skewness", 3)) for n in (20, 60, 120)},
+    "momentum": {f"CCI{n}": f"(typ - m{n}) / nullif(0.015 * list_avg(list_transform(t{n}, lambda y: abs(y - m{n}))), 0)" for n in (10, 15, 20)},
+    "ambiguous": {"fifty_two_week_close_rank": "1 - len(list_filter(c250, lambda y: y <= close)) / n250::DOUBLE"},
+    "sentiment": {"ATR14": "a14"},
+}
+
+
 def _catalog_rest(group: str, names: list[str]) -> None:
-    """The factors of a group that CATALOG_SQL lacks; tests/test_catalog.py checks them by brute force."""
+    """The factors of a group that CATALOG_SQL lacks; tests/test_catalog.py checks them by brute force as well."""
+    select = ", ".join(f"{e} AS {n}" for n, e in REST_SQL[group].items())
+    sql = f"WITH {PANEL}, q AS (SELECT entity_code, trade_date, {_LISTS[group]} FROM panel {_WINDOWS}) SELECT entity_code, trade_date, {select} FROM q"
 
-    @R.add(f"catalog_{group}_rest", K, " ".join(names))
+    @R.add(f"catalog_{group}_rest", K, " ".join(names), sql=sql if set(names) == set(REST_SQL[group]) else None)
     def _(spark, sf):
         return r.with_row_index(panel(spark, sf)).select("entity_code", "trade_date", *[v.alias(n) for n, v in catalog.columns(names).items()])
 
