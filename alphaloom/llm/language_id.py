@@ -230,7 +230,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw pages: visible text, the html element's lang, the path's or top level domain's language, and the host."""
+    """Raw pages: visible text, the html element's lang, the path's or top level domain's language, and the host.
+
+    Pages with null or empty html have language `und`; a null url, or one without a host, has the empty host, which is
+    one of its own; repeated pages and null ids come back as given; an empty table gives no rows.
+    """
     pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
     model = fit(docs)
     host, path, _ = url_parts(F.col("url"))

@@ -226,10 +226,13 @@ class Encoder:
 
     def segmentations(self, text: str | None) -> list[list[int]]:
         """The ids of the n best segmentations."""
-        words = self.vocabulary.split(text or "")
-        base = [np.frombuffer(self.memo[w][0], "<u4").tolist() for w in words]
+        return self.spelled_out(text, self.encode(text)[2])
+
+    def spelled_out(self, text: str | None, changes: list[list[tuple[int, tuple[int, ...]]]]) -> list[list[int]]:
+        """The ids of segmentations that encode tells by the words in which they differ from the best."""
+        base = [np.frombuffer(self.memo[w][0], "<u4").tolist() for w in self.vocabulary.split(text or "")]
         out = []
-        for change in self.encode(text)[2]:
+        for change in changes:
             own = list(base)
             for p, ids in change:
                 own[p] = list(ids)
@@ -275,8 +278,10 @@ def _encode(path: str, n: int):
     def run(batches):
         encoder = held(Encoder, path, n)
         for batch in batches:
-            found = [encoder.segmentations(t.decode() if t else "") for t in utf8(batch.column("text"))]
-            scores = [encoder.encode(t.decode() if t else "")[1] for t in utf8(batch.column("text"))]
+            texts = [t.decode() if t else "" for t in utf8(batch.column("text"))]
+            solved = [encoder.encode(t) for t in texts]
+            found = [encoder.spelled_out(t, changes) for t, (_, _, changes) in zip(texts, solved, strict=True)]
+            scores = [s for _, s, _ in solved]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found, pa.list_(pa.list_(pa.int32()))), pa.array(scores, pa.list_(pa.float64()))],
                 names=["doc_id", "segmentations", "scores"],
@@ -288,7 +293,8 @@ def _encode(path: str, n: int):
 def encode(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, segmentations array<array<int>>, scores array<double>, the best first.
 
-    A text with fewer than n segmentations returns them all; null and empty text have one, without ids.
+    A text with fewer than n segmentations returns them all; null and empty text have one, without ids. Repeated rows and
+    null ids come back as given, an empty table gives no rows, other columns are ignored, whatever they are called.
     """
     return _ready(docs).mapInArrow(_encode(path, n), "doc_id long, segmentations array<array<int>>, scores array<double>")
 
@@ -304,7 +310,10 @@ def _decode(path: str):
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """(doc_id, ids array<int>) -> doc_id, text. Null ids give null, no ids an empty text."""
+    """(doc_id, ids array<int>) -> doc_id, text. Null ids give null, no ids an empty text.
+
+    Repeated rows and null doc_ids come back as given, an empty table gives no rows, other columns are ignored.
+    """
     text_batches(encoded.sparkSession)
     ready = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
     return ready.mapInArrow(_decode(path), "doc_id long, text string")
@@ -330,7 +339,8 @@ def _digest(path: str, n: int):
 def encode_digest(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
     """docs -> doc_id, n_tokens, ids_crc32 of the best ids, scores of the n best, words_changed, round_trip.
 
-    round_trip: whether decoding the best ids gives the whole text back. Null and empty text have no ids.
+    round_trip: whether decoding the best ids gives the whole text back. Null and empty text have no ids. Repeated rows and
+    null ids come back as given, an empty table gives no rows, other columns are ignored.
     """
     return _ready(docs).mapInArrow(_digest(path, n), "doc_id long, n_tokens long, ids_crc32 long, scores array<double>, words_changed array<int>, round_trip boolean")
 

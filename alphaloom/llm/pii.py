@@ -268,7 +268,8 @@ def _merged(base: str, new: str):
 def redact(docs: DataFrame, spec: Bootstrap = Bootstrap()) -> DataFrame:
     """docs with each span of its text replaced by its kind in angle brackets, as in <email>; other columns stay.
 
-    n_chars, where there is one, becomes the new length. Of overlapping spans the one that starts first is replaced,
+    n_chars, where there is one, becomes the new length. Repeated rows and null ids come back as given, an empty table
+    gives no rows, columns may have any names. Of overlapping spans the one that starts first is replaced,
     the longer one of two that start together. Null text stays null, empty text empty. The patterns are learned first;
     up to MOST_PATTERNS of them go to the workers, so that no text is shuffled; more are joined to the rows.
     """

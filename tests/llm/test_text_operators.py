@@ -121,6 +121,36 @@ def test_encode_and_decode_tables(spark):
     assert [back[i] for i in range(len(texts))] == [t or "" for t in texts]
 
 
+def test_digests_of_a_whole_table(spark):
+    """op9 and op1 on every document of sf0.001: ids spelled out piece by piece, whole texts back, one count for both."""
+    import zlib
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    encoder = pieces.Encoder(MODEL, 4)
+    counts = {r["doc_id"]: r["n_tokens"] for r in pieces.op1_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    rows = pieces.op9_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"] for r in rows} == set(docs) == set(counts)
+    for r in rows:
+        every = encoder.segmentations(docs[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(np.array(every[0], "<u4").tobytes()) and r["n_tokens"] == len(every[0]) == counts[r["doc_id"]]
+        assert r["round_trip"] and len(r["scores"]) == len(every) and r["scores"] == sorted(r["scores"], reverse=True)
+        assert len({tuple(x) for x in every}) == len(every)
+        assert r["words_changed"][0] == 0
+
+
+def test_encodings_of_odd_rows(spark):
+    df = spark.createDataFrame([(None, "a b", 1), (5, None, 2), (5, None, 2), (6, "", 3), (7, "word " * 60_000, 4)], "doc_id long, text string, scores int")
+    encoded = pieces.encode(df, MODEL, 3)
+    got = sorted(((r["doc_id"], len(r["segmentations"]), len(r["segmentations"][0])) for r in encoded.collect()), key=str)
+    assert [x for x in got if x[0] != 7] == sorted([(None, 3, 2), (5, 1, 0), (5, 1, 0), (6, 1, 0)], key=str)
+    digest = pieces.encode_digest(df, MODEL, 3).collect()
+    assert len(digest) == 5 and all(r["round_trip"] for r in digest)
+    assert max(r["n_tokens"] for r in digest) >= 60_000
+    for made in (pieces.encode(df.limit(0), MODEL), pieces.encode_digest(df.limit(0), MODEL), pieces.decode(df.limit(0).selectExpr("doc_id", "array(1) as ids", "text"), MODEL)):
+        assert made.count() == 0
+    assert [tuple(r) for r in pieces.decode(spark.createDataFrame([(None, None), (None, [])], "doc_id long, ids array<int>"), MODEL).collect()] == [(None, None), (None, "")]
+
+
 # --- URL filters ---
 
 
