@@ -31,6 +31,8 @@ from .common import FAR, NEAR, Cutter, held, release, stored, table, text_batche
 class Packing:
     """tokenizer: path of a `tokenizers` file. groups: how many sizes the large pieces are rounded to. small: pieces up
     to this share of capacity are placed last. Each pair of the two is planned; the plan with fewest sequences stands.
+    batch, remembered: texts that a worker takes at once, and words it keeps from batch to batch; more take memory and save
+    time, and results are the same.
     """
 
     tokenizer: str
@@ -38,6 +40,8 @@ class Packing:
     end_id: int = 0
     groups: tuple[int, ...] = (64, 256, 1024)
     small: tuple[float, ...] = (0.125, 0.25, 0.5)
+    batch: int = 1024
+    remembered: int = 200_000
 
 
 class WordIds:
@@ -49,13 +53,11 @@ class WordIds:
     parts that are new are encoded in one call. Words that hold a special token are encoded whole.
     """
 
-    #: Words and parts remembered from batch to batch: about this many, and as many older ones.
-    MOST = 60_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = 200_000):
+        """remembered: words and parts kept from batch to batch, about so many, and as many older ones."""
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -96,7 +98,7 @@ class WordIds:
         at = [-1, *(i for i, p in enumerate(parts) if p == " "), len(parts)]
         found |= {w: b"".join(map(ids, parts[a + 1 : b])) for w, a, b in zip(rest, at, at[1:], strict=False) if b - a > 2}
         found |= of_part  # a word that is not cut is its only part
-        if len(self.recent) >= self.MOST:
+        if len(self.recent) >= self.remembered:
             self.recent, self.older = {}, self.recent
         self.recent |= found
         return found
@@ -120,7 +122,7 @@ def _pieces(spec: Packing):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        words, end = held(WordIds, spec.tokenizer), np.asarray([spec.end_id], "<u4").tobytes()
+        words, end = held(WordIds, spec.tokenizer, spec.remembered), np.asarray([spec.end_id], "<u4").tobytes()
         seen = np.zeros(spec.capacity + 1, np.int64)  # pieces of each length so far in this task
         step = 4 * spec.capacity
         for batch in batches:
@@ -147,7 +149,7 @@ def pieces(docs: DataFrame, spec: Packing) -> DataFrame:
 
     Written to the shared scratch folder, so that task and nth stay what they are.
     """
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, spec.batch)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(docs.mapInArrow(_pieces(spec), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"))
 
