@@ -22,13 +22,15 @@ def status_extras(spark, sf):
     p = panel(spark, sf)
     k = entity_number()
     status = p.where(k % 5 != 4).select("entity_code", "trade_date", "pre_close", *[F.when(c(f) == 1, F.when(c("nth") % 2 == 0, "1").otherwise("True")).otherwise("0").alias(f) for f in ("is_st", "is_susp", "is_wd")])
-    extras = p.where(k % 3 != 2).select("entity_code", "trade_date", F.when(k % 4 == 0, F.lit("n/a")).otherwise(F.floor("volume").cast("string")).alias("turn"))
+    turn = F.when(k % 4 == 0, F.lit("n/a")).otherwise(F.floor("volume").cast("string"))
+    extras = p.where(k % 3 != 2).select("entity_code", "trade_date", turn.alias("turn"), c("pre_close").cast("string").alias("pre_close"), F.when(c("nth") % 13 == 0, "0").otherwise("1").alias("tradestatus"))
     return status.unionByName(status.where(k % 7 == 0)), extras.unionByName(extras.where(k % 6 == 0))
 
 
-@R.add("s_panel", K, "close pre_close turn", "is_st is_susp is_wd", sql=f"""
-WITH {PANEL} SELECT entity_code, trade_date, close, CASE WHEN k % 5 <> 4 THEN pre_close END AS pre_close, CASE WHEN k % 3 <> 2 AND k % 4 <> 0 THEN floor(volume) END AS turn,
- CASE WHEN k % 5 <> 4 THEN is_st ELSE 0 END AS is_st, CASE WHEN k % 5 <> 4 THEN is_susp ELSE 0 END AS is_susp, CASE WHEN k % 5 <> 4 THEN is_wd ELSE 0 END AS is_wd FROM panel""")
+@R.add("s_panel", K, "close pre_close turn", "is_st is_susp is_wd is_kcb is_cyb is_bjs", sql=f"""
+WITH {PANEL} SELECT entity_code, trade_date, close, CASE WHEN k % 5 <> 4 OR k % 3 <> 2 THEN pre_close END AS pre_close, CASE WHEN k % 3 <> 2 AND k % 4 <> 0 THEN floor(volume) END AS turn,
+ CASE WHEN k % 5 <> 4 THEN is_st ELSE 0 END AS is_st, (k % 5 <> 4 AND is_susp = 1 OR k % 3 <> 2 AND nth % 13 = 0)::INT AS is_susp, CASE WHEN k % 5 <> 4 THEN is_wd ELSE 0 END AS is_wd,
+ (entity_code LIKE '688%.SH')::INT AS is_kcb, (entity_code LIKE '300%.SZ')::INT AS is_cyb, (entity_code LIKE '%.BJ')::INT AS is_bjs FROM panel""")
 def _(spark, sf):
     return src.panel(bars(spark, sf), *status_extras(spark, sf))
 

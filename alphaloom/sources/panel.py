@@ -33,16 +33,29 @@ def flag(x: Column) -> Column:
     return F.coalesce(x.cast("string").isin(*TRUE), F.lit(False)).cast("int")
 
 
-def panel(bars: DataFrame, status: DataFrame, extras: DataFrame, on: tuple[str, str] = ("entity_code", "trade_date")) -> DataFrame:
-    """bars left-any-joined to status (numbers, is_... texts) and extras (numbers as text).
+#: Flags of boards by exchange suffix and number prefix.
+BOARD_FLAGS = {"is_kcb": ("SH", "688"), "is_cyb": ("SZ", "300"), "is_bjs": ("BJ", "")}
 
-    Numbers in text are cast where they can be; other texts are null. A bar without status has flags 0.
+
+def panel(bars: DataFrame, status: DataFrame, extras: DataFrame, on: tuple[str, str] = ("entity_code", "trade_date"), suspended: str = "is_susp", trading: str = "tradestatus") -> DataFrame:
+    """bars left-any-joined to status (numbers, is_... texts) and extras (numbers as text, the text `trading`).
+
+    Numbers in text are cast where they can be; other texts are null. A number that both have is that of status, or else
+    that of extras. A bar is suspended if status says so or if its trading text is 0. A bar without status has flags 0.
+    Adds the flags of boards.
     """
     flags = [c for c in status.columns if c.startswith("is_")]
     numbers = [c for c in status.columns if c not in (*on, *flags)]
+    texts = [c for c in extras.columns if c not in (*on, trading)]
     wide = left_any(bars, status.select(*on, *numbers, *flags), on)
-    wide = left_any(wide, extras.select(*on, *[F.col(c).try_cast("double").alias(c) for c in extras.columns if c not in on]), on)
-    return wide.withColumns({c: flag(F.col(c)) for c in flags})
+    more = extras.select(*on, *[F.col(c).try_cast("double").alias(f"__{c}" if c in numbers else c) for c in texts], *([trading] if trading in extras.columns else []))
+    wide = left_any(wide, more, on).withColumns({c: flag(F.col(c)) for c in flags})
+    both = [c for c in numbers if c in texts]
+    wide = wide.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in both}).drop(*[f"__{c}" for c in both])
+    if trading in extras.columns and suspended in flags:
+        wide = wide.withColumn(suspended, F.greatest(suspended, F.coalesce((F.col(trading) == "0").cast("int"), F.lit(0)))).drop(trading)
+    number, exchange = F.substring_index(on[0], ".", 1), F.substring_index(on[0], ".", -1)
+    return wide.withColumns({name: ((exchange == e) & number.startswith(prefix)).cast("int") for name, (e, prefix) in BOARD_FLAGS.items()})
 
 
 def basics(df: DataFrame, code: str = "code", kind: str = "type") -> DataFrame:
