@@ -126,7 +126,7 @@ def fit_medians(train: DataFrame, names: list[str]) -> DataFrame:
 
 def impute(df: DataFrame, medians: DataFrame, names: list[str]) -> DataFrame:
     """Nulls filled with the one row of medians."""
-    one = F.broadcast(medians.select(*[F.col(n).alias(f"__{n}") for n in names]))
+    one = medians.select(*[F.col(n).alias(f"__{n}") for n in names])
     return df.crossJoin(one).withColumns({n: F.coalesce(n, f"__{n}") for n in names}).drop(*[f"__{n}" for n in names])
 
 
@@ -134,7 +134,7 @@ def build_dataset(features: DataFrame, labels: DataFrame, names: list[str], gap:
     """(dataset, manifest): features with label and split, imputed with medians of the training rows; counts by split."""
     joined = features.join(labels, ["entity_code", "trade_date"])
     split = split_dates(joined.select("trade_date"), gap=gap, least=least)
-    rows = joined.join(F.broadcast(split), "trade_date")
+    rows = joined.join(split, "trade_date")
     ready = impute(rows, fit_medians(rows.where("split = 'train'"), names), names)
     manifest = ready.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("trade_date").alias("dates"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
     return ready, manifest
@@ -143,4 +143,4 @@ def build_dataset(features: DataFrame, labels: DataFrame, names: list[str], gap:
 def incremental_slice(dataset: DataFrame, after: str, medians: DataFrame, names: list[str], least: int = 60) -> DataFrame:
     """The rows after a date, split anew, imputed with the medians of the earlier training rows."""
     new = dataset.drop("split").where(F.col("trade_date") > F.lit(after).cast("date"))
-    return impute(new.join(F.broadcast(split_dates(new.select("trade_date"), least=least)), "trade_date"), medians, names)
+    return impute(new.join(split_dates(new.select("trade_date"), least=least), "trade_date"), medians, names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import rank_corr
-from ..operators.metrics import prediction_frame
+from ..operators.metrics import metrics, prediction_frame
+from ..sources.sinks import scratch
 
 SEED = 7
 
@@ -58,7 +60,7 @@ def walk_forward_fit(dataset: DataFrame, windows: DataFrame, names: list[str], k
     parts = []
     for w in sorted({r["window"] for r in windows.select("window").distinct().collect()}):
         spans = windows.where(F.col("window") == w).select("split", "start_date", "end_date")
-        rows = dataset.drop("split").join(F.broadcast(spans), F.col("trade_date").between(F.col("start_date"), F.col("end_date"))).drop("start_date", "end_date")
+        rows = dataset.drop("split").join(spans.select("split", F.explode(F.sequence("start_date", "end_date")).alias("trade_date")), "trade_date")
         model = fit(rows, names, kind)
         parts.append(predict(model, rows.where("split = 'test'")).withColumn("window", F.lit(w)))
     out = reduce(DataFrame.unionByName, parts)
@@ -96,17 +98,27 @@ def permutation_importance(model: PipelineModel, df: DataFrame, names: list[str]
     daily = rank_corr(predict(model, rows), ["feature", "trade_date"], "raw_prediction", "label")
     ic = daily.groupBy("feature").agg(F.avg("ic").alias("ic"))
     base = ic.where("feature = 'none'").select(F.col("ic").alias("base"))
-    return ic.where("feature <> 'none'").crossJoin(F.broadcast(base)).select("feature", "ic", (F.col("base") - F.col("ic")).alias("drop"))
+    return ic.where("feature <> 'none'").crossJoin(base).select("feature", "ic", (F.col("base") - F.col("ic")).alias("drop"))
 
 
-def trials(dataset: DataFrame, names: list[str], grid: list[dict], kind: str = "linear") -> DataFrame:
-    """A fit per grid entry over the cached dataset; validation metrics as (trial, params, ic, icir, days, rmse)."""
-    from ..operators.metrics import metrics
+def grid(**values: list) -> list[dict]:
+    """Every combination of the values, in the order of the arguments."""
+    return [dict(zip(values, combination, strict=True)) for combination in product(*values.values())]
 
-    cached, parts = dataset.persist(), []
-    for i, params in enumerate(grid, 1):
-        scored = predict(fit(cached, names, kind, **params), cached.where("split = 'valid' and label is not null"))
-        one = metrics(scored.withColumnRenamed("raw_prediction", "prediction").withColumn("trial", F.lit(i)), ["trial"])
-        pairs = [x for k, v in params.items() for x in (F.lit(k), F.lit(str(v)))]
-        parts.append(one.withColumn("params", F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")))
+
+def trials(dataset: DataFrame, names: list[str], params: list[dict], kind: str = "linear") -> DataFrame:
+    """A fit per entry over the stored dataset; validation metrics as (trial, params, ic, icir, days, rmse).
+
+    An entry may leave features out under `without`, a list of names.
+    """
+    path = scratch(dataset.sparkSession, "trials")
+    dataset.write.parquet(path)
+    rows, parts = dataset.sparkSession.read.schema(dataset.schema).parquet(path), []
+    for i, one in enumerate(params, 1):
+        kept = [n for n in names if n not in one.get("without", ())]
+        model = fit(rows, kept, kind, **{k: v for k, v in one.items() if k != "without"})
+        scored = predict(model, rows.where("split = 'valid' and label is not null"))
+        own = metrics(scored.withColumnRenamed("raw_prediction", "prediction").withColumn("trial", F.lit(i)), ["trial"])
+        pairs = [x for k, v in one.items() for x in (F.lit(k), F.lit(str(v)))]
+        parts.append(own.withColumn("params", F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")))
     return reduce(DataFrame.unionByName, parts)

@@ -93,7 +93,7 @@ def _(spark, sf):
 
 @R.add("m_trials", "", "ic icir rmse", "trial days rows")
 def _(spark, sf):
-    return t.trials(dataset(spark, sf), NAMES, [{"regParam": 0.001}, {"regParam": 0.1}])
+    return t.trials(dataset(spark, sf), NAMES, t.grid(regParam=[0.001, 0.1], without=[[], ["PSY"]]))
 
 
 @R.add("d_features", K, "BIAS5 VROC6 PSY")
