@@ -27,6 +27,33 @@ def daily_spread(df: DataFrame, k: int = 5, least_per: int = 5) -> DataFrame:
     return b.groupBy("trade_date").agg((F.avg(F.when(F.col("bucket") == k, F.col("ret"))) - F.avg(F.when(F.col("bucket") == 1, F.col("ret")))).alias("spread"))
 
 
+def quantile_report(df: DataFrame, k: int = 5, least_per: int = 5, horizon: int = 1, every: int = 1) -> DataFrame:
+    """One row about the buckets' returns: spread_mean, spread_median, positive_ratio, t, effective_days, significance,
+    monotonicity of the means, adjacent (share of steps that do not fall), daily_monotonicity, daily_positive, status.
+
+    Returns over `horizon` dates, taken every `every` dates, overlap; t is corrected for as many lags. Fixed values: the
+    bounds of significance and status.
+    """
+    overlap = max(1.0, horizon / every)
+    sized = df.withColumn("__n", F.count(F.lit(1)).over(x.xs())).where(F.col("__n") >= k * least_per)
+    daily = sized.withColumn("bucket", x.equal_count_bucket("score", k)).groupBy("trade_date", "bucket").agg(F.avg("ret").alias("ret"))
+    spread = daily.groupBy("trade_date").agg((F.max(F.when(F.col("bucket") == k, F.col("ret"))) - F.max(F.when(F.col("bucket") == 1, F.col("ret")))).alias("spread")).where("spread is not null")
+    own = spread.agg(F.avg("spread").alias("spread_mean"), F.percentile("spread", F.lit(0.5)).alias("spread_median"), F.avg((F.col("spread") > 0).cast("double")).alias("positive_ratio"), (F.count("*") / overlap).alias("effective_days"))
+    t = newey_west(spread, "spread", max(round(overlap) - 1, 0)).select("t")
+    means = daily.groupBy("bucket").agg(F.avg("ret").alias("mean")).withColumn("one", F.lit(1))  # k rows
+    order = rank_corr(means, ["one"], "bucket", "mean", "monotonicity").select(F.coalesce("monotonicity", F.lit(0.0)).alias("monotonicity"))
+    step = F.lead("mean").over(Window.partitionBy("one").orderBy("bucket")) - F.col("mean")
+    steps = means.withColumn("step", step).agg(F.avg(F.when(F.col("step").isNotNull(), (F.col("step") >= 0).cast("double"))).alias("adjacent"))
+    whole = _enough(daily, ["trade_date"], k)
+    by_day = rank_corr(whole, ["trade_date"], "bucket", "ret", "m").agg(F.avg("m").alias("daily_monotonicity"), F.avg((F.col("m") > 1e-9).cast("double")).alias("daily_positive"))
+    out = own.crossJoin(t).crossJoin(order).crossJoin(steps).crossJoin(by_day)  # a row each
+    c = F.col
+    significance = F.when(c("effective_days") < 10, "small_sample").when(c("t").isNull(), "unavailable").when(c("t") >= 1.96, "significant").when(c("t") >= 1.64, "suggestive").when(c("t") <= -1.96, "significant_negative").otherwise("insufficient")
+    strong = (c("spread_mean") > 0) & (c("monotonicity") >= 0.8) & (c("adjacent") >= 0.75)
+    status = F.when(strong, "strong").when((c("spread_mean") > 0) & (c("monotonicity") > 0), "mixed").when((c("spread_mean") < 0) | (c("monotonicity") < 0), "inverse").otherwise("weak")
+    return out.withColumns({"significance": significance, "status": status})
+
+
 def stability(daily: DataFrame, window: int = 20, least: int = 10) -> DataFrame:
     """daily (trade_date, ic) with rolling (null below `least` values) and phase: early, middle or recent third.
 

@@ -349,3 +349,16 @@ WITH {HIST}, i AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step)
 SELECT * FROM i WHERE n <= 100 OR step = best OR i = n - 1 OR i IN (SELECT floor(j * ((n - 1) / 99.0::DOUBLE)) FROM (SELECT unnest(range(0, 100)) AS j))""")
 def _(spark, sf):
     return g.curve_points(history(spark, sf), 100)
+
+
+@R.add("g_quantile_report", "significance status", "spread_mean spread_median positive_ratio t effective_days monotonicity adjacent daily_monotonicity daily_positive", share=True, sql=f"""
+WITH {B}, q AS (SELECT trade_date, bucket, avg(ret) AS r FROM bk WHERE n >= 25 GROUP BY ALL), sp AS (SELECT * FROM (SELECT trade_date, max(r) FILTER (bucket = 5) - max(r) FILTER (bucket = 1) AS s FROM q GROUP BY 1) WHERE s IS NOT NULL),
+er AS (SELECT *, s - avg(s) OVER () AS e FROM sp), lg AS (SELECT *, lag(e, 1) OVER o AS l1, lag(e, 2) OVER o AS l2, lag(e, 3) OVER o AS l3 FROM er WINDOW o AS (ORDER BY trade_date)),
+nw AS (SELECT avg(s) AS spread_mean, quantile_cont(s, 0.5) AS spread_median, avg((s > 0)::INT) AS positive_ratio, count(*) / 4.0 AS effective_days, avg(s) / sqrt((sum(e * e) + 2 * (0.75 * sum(e * l1) + 0.5 * sum(e * l2) + 0.25 * sum(e * l3))) / count(*) / count(*)) AS t FROM lg),
+bm AS (SELECT bucket, avg(r) AS mean FROM q GROUP BY 1), mo AS (SELECT corr(bucket, k) AS monotonicity FROM (SELECT bucket, rank() OVER (ORDER BY mean) AS k FROM bm)),
+ad AS (SELECT avg((nx >= mean)::INT) AS adjacent FROM (SELECT mean, lead(mean) OVER (ORDER BY bucket) AS nx FROM bm) WHERE nx IS NOT NULL),
+dk AS (SELECT trade_date, bucket, {_R2.format(k="trade_date", x="r")} AS k, count(*) OVER (PARTITION BY trade_date) AS m FROM q), dm AS (SELECT avg(m) AS daily_monotonicity, avg((m > 1e-9)::INT) AS daily_positive FROM (SELECT CASE WHEN stddev_pop(k) > 0 THEN corr(bucket, k) END AS m FROM dk WHERE m = 5 GROUP BY trade_date))
+SELECT *, CASE WHEN effective_days < 10 THEN 'small_sample' WHEN t IS NULL THEN 'unavailable' WHEN t >= 1.96 THEN 'significant' WHEN t >= 1.64 THEN 'suggestive' WHEN t <= -1.96 THEN 'significant_negative' ELSE 'insufficient' END AS significance,
+ CASE WHEN spread_mean > 0 AND monotonicity >= 0.8 AND adjacent >= 0.75 THEN 'strong' WHEN spread_mean > 0 AND monotonicity > 0 THEN 'mixed' WHEN spread_mean < 0 OR monotonicity < 0 THEN 'inverse' ELSE 'weak' END AS status FROM nw, mo, ad, dm""")
+def _(spark, sf):
+    return g.quantile_report(b_rows(spark, sf), horizon=4)
