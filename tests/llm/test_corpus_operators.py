@@ -262,15 +262,13 @@ def test_quality_scores_by_hand(spark):
 
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
-    size = lambda d, t: len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(t))
+    size = lambda d, t: len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_dict_id=False).compress(t))
     got = {r["doc_id"]: r for r in quality.op5_compression_quality(spark, SF).collect()}
     for r in docs.collect():
         t = (r["text"] or "").encode()
-        good, bad = size(model.good, t), size(model.bad, t)
-        d = bad - good
-        raw = [d / (bad + good), d / (len(t) + 1), math.copysign(math.log1p(abs(d)), d) if d else 0.0]
-        z = [min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(raw, model.mean, model.scale, strict=True)]
-        terms = [*z, z[0] * z[0], z[0] * z[1], z[0] * z[2], z[1] * z[1], z[1] * z[2], z[2] * z[2], 1.0]
+        good, bad, none, n = size(model.good, t), size(model.bad, t), size(b"", t), len(t) + 1
+        raw = [(bad - good) / (bad + good), good / n, none / n, math.log(n), (none - good) / n, (none - bad) / n]
+        terms = [*((v - m) / s for v, m, s in zip(raw, model.mean, model.scale, strict=True)), 1.0]
         want = 1 / (1 + math.exp(-sum(a * b for a, b in zip(terms, model.weights, strict=True))))
         assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-9)
         assert got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.7)
