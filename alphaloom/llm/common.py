@@ -10,7 +10,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of text in one Arrow batch: bounds what a Python worker holds when documents are long.
@@ -59,6 +60,25 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of a row's id and text: the same wherever a row is read, shared by rows that repeat each other."""
+    part = lambda c: F.coalesce(F.concat(F.lit("."), c.cast("string")), F.lit(""))
+    return F.md5(F.concat_ws(":", F.length(part(doc_id)), part(doc_id), part(text)))
+
+
+def reach_before(key: str, start: str = "start", end: str = "end") -> Column:
+    """How far the intervals of a key reach that begin before one, or as early and end earlier; null for the first."""
+    return F.max(end).over(Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+
+
+def merged(intervals: DataFrame, key: str) -> DataFrame:
+    """(key, start, end) half-open -> their union as separate intervals; those that touch are one."""
+    apart = (F.col("start") > F.col("__reach")).cast("int")
+    own = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    island = intervals.withColumn("__reach", reach_before(key)).withColumn("__island", F.sum(F.coalesce(apart, F.lit(1))).over(own))
+    return island.groupBy(key, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply, the public splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, near_dedup, packing, pieces, pii, quality, url_filter, vector_search
+from . import decontamination, language_id, near_dedup, packing, pieces, pii, quality, url_filter, vector_search
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_adaptive_ann": vector_search.op8_adaptive_ann,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op12_benchmark_decontamination": decontamination.op12_benchmark_decontamination,
         "pages_language_id": language_id.pages_language_id,
     }
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": url_filter.op4_sql(),
         "op7_exact_topk": vector_search.op7_sql(),
+        "op12_benchmark_decontamination": decontamination.op12_sql(),
     }
