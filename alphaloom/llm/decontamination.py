@@ -33,15 +33,8 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), BETWEEN + "+"), "")
 
 
-def _hash(words: Column, at: Column, length: Column, lengths: list[int]) -> Column:
-    """A 64-bit hash of the `length` words from place `at` on; `lengths` are all that occur."""
-    of = lambda n: F.xxhash64(*[F.get(words, at + i) for i in range(n)])
-    if len(lengths) == 1:
-        return of(lengths[0])
-    out = F.when(length == lengths[0], of(lengths[0]))
-    for n in lengths[1:]:
-        out = out.when(length == n, of(n))
-    return out
+def _window(words: Column, at: Column, length: Column) -> Column:
+    return F.slice(words, at + 1, length)
 
 
 def windows_of(items: DataFrame, item_id: str, text: str, spec: Windows) -> DataFrame:
@@ -49,35 +42,36 @@ def windows_of(items: DataFrame, item_id: str, text: str, spec: Windows) -> Data
     n = F.size("words")
     cut = items.select(items[item_id].alias("item_id"), words_of(items[text]).alias("words")).where(n > 0)
     at = cut.select("item_id", "words", F.least(n, F.lit(spec.words)).alias("length"), F.explode(F.sequence(F.lit(0), F.greatest(n - spec.words, F.lit(0)))).alias("at"))
-    return at.select("item_id", "length", F.slice("words", F.col("at") + 1, F.col("length")).alias("window")).distinct()
+    return at.select("item_id", "length", _window(F.col("words"), F.col("at"), F.col("length")).alias("window")).distinct()
 
 
-def hits(keyed: DataFrame, windows: DataFrame, spec: Windows) -> DataFrame:
-    """keyed (key, words), windows (length, window) -> (key, at, length, id): where which window occurs, id its hash of 128 bits.
+def scan(rows: DataFrame, windows: DataFrame, spec: Windows) -> DataFrame:
+    """rows (key, ..., words), windows (length, window) -> (key, ..., n_words, at, length, id): of every row one line at
+    place -1, and one for each place where a window occurs; id is the window's hash of 128 bits. Texts are cut once.
 
-    Only windows of lengths that occur are generated. Nothing is generated if there are no windows.
+    Only windows of lengths that occur are generated.
     """
     distinct = windows.select("length", "window").distinct()
     lengths = sorted(r["length"] for r in distinct.groupBy("length").count().collect()) or [spec.words]  # at most spec.words rows
     few = distinct.limit(spec.broadcast + 1).count() <= spec.broadcast
-    known = distinct.select(
-        F.col("length").alias("of_length"), "window", _hash(F.col("window"), F.lit(0), F.col("length"), lengths).alias("hash"), F.md5(F.array_join("window", " ")).alias("id")
-    )
-    n = F.size("words")
-    placed = keyed.where(n >= lengths[0]).select("key", "words", F.explode(F.sequence(F.lit(0), n - lengths[0])).alias("at"))
+    known = distinct.select(F.col("length").alias("__length"), F.col("window").alias("__window"), F.xxhash64("window").alias("__hash"), F.md5(F.array_join("window", " ")).alias("id"))
+    own, n, at, length = [c for c in rows.columns if c != "words"], F.size("words"), F.col("at"), F.col("length")
+    placed = rows.select(*own, n.alias("n_words"), "words", F.explode(F.sequence(F.lit(-1), F.greatest(n - lengths[0], F.lit(-1)))).alias("at"))
     if len(lengths) == 1:
         placed = placed.withColumn("length", F.lit(lengths[0]))
     else:
-        placed = placed.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("length")).where(F.col("at") + F.col("length") <= n)
-    own = _hash(F.col("words"), F.col("at"), F.col("length"), lengths)
-    same = F.slice("words", F.col("at") + 1, F.col("length")) == F.col("window")
+        placed = placed.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("length"))
+        placed = placed.where((at + length <= F.col("n_words")) & ((at >= 0) | (length == lengths[0])) | (at < 0) & (length == lengths[0]))
+    window = _window(F.col("words"), at, length)
+    hashed = F.when(at >= 0, F.xxhash64(window))
+    # Inside coalesce it is no key of the join, so words are compared only where hashes are equal.
+    same = F.coalesce((length == F.col("__length")) & (window == F.col("__window")), F.lit(False))
+    out = [*own, "n_words", "at", "length", "id"]
     if few:
-        found = placed.join(F.broadcast(known), (own == F.col("hash")) & (F.col("length") == F.col("of_length")) & same)
-        return found.select("key", "at", "length", "id")
-    likely = placed.select("key", "at", "length", own.alias("hash")).join(known.select("hash").distinct(), "hash", "left_semi")
-    again = likely.join(keyed.dropDuplicates(["key"]), "key")
-    found = again.join(known, (again["hash"] == known["hash"]) & (F.col("length") == F.col("of_length")) & same)
-    return found.select("key", "at", "length", "id")
+        return placed.join(F.broadcast(known), (hashed == F.col("__hash")) & same, "left").where(F.col("id").isNotNull() | (at < 0)).select(*out)
+    likely = placed.select("key", "at", "length", hashed.alias("__hash")).join(known.select("__hash").distinct(), "__hash", "left_semi")
+    found = likely.join(rows.dropDuplicates(["key"]).withColumn("n_words", n), "key").join(known, "__hash").where(same).select(*out)
+    return rows.select(*own, n.alias("n_words"), F.lit(-1).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("id")).unionByName(found)
 
 
 def contamination(docs: DataFrame, items: DataFrame, spec: Windows = Windows(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -88,9 +82,10 @@ def contamination(docs: DataFrame, items: DataFrame, spec: Windows = Windows(),
     equal texts under other ids are found for each id. An item of no words has no windows; a null item_id marks words but is
     not listed; items under one id count as one. Without items or documents nothing is found. Other columns play no part.
     """
-    keyed = docs.select(docs[doc_id].alias("doc_id"), row_key(docs[doc_id], docs[text]).alias("key"), words_of(docs[text]).alias("words"))
+    rows = docs.select(docs[doc_id].alias("doc_id"), row_key(docs[doc_id], docs[text]).alias("key"), words_of(docs[text]).alias("words"))
     windows = stored(windows_of(items, item_id, item_text, spec))
-    at = stored(hits(keyed.select("key", "words"), windows, spec))
+    lines = stored(scan(rows, windows, spec))
+    at = lines.where("at >= 0")
     spans = merged(at.select("key", F.col("at").alias("start"), (F.col("at") + F.col("length")).alias("end")), "key")
     spans = spans.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     of_items = windows.where("item_id is not null").select(F.md5(F.array_join("window", " ")).alias("id"), F.col("item_id").cast("string").alias("item"))
@@ -99,7 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, spec: Windows = Windows(),
     listed = at.select("key", "id").distinct().join(of_items, "id").select("key", "item").distinct()
     listed = listed.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     found = spans.join(listed, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return keyed.select("doc_id", "key", F.size("words").alias("n_words")), found
+    return lines.where("at < 0").select("doc_id", "key", "n_words"), found
 
 
 def _left(docs: DataFrame, found: DataFrame, key: Column, most: int, name: str) -> DataFrame:
