@@ -17,7 +17,7 @@ from .common import merged, row_key, stored, table, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: all of ASCII but digits and letters.
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 @dataclass(frozen=True)

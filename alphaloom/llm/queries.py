@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_dedup, packing, pieces, pii, quality, url_filter, vector_search
+from . import decontamination, language_id, near_dedup, packing, periodic_runs, pieces, pii, quality, url_filter, vector_search, whitening
 
 
 def queries() -> dict:
@@ -17,7 +17,9 @@ def queries() -> dict:
         "op8_adaptive_ann": vector_search.op8_adaptive_ann,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
         "op12_benchmark_decontamination": decontamination.op12_benchmark_decontamination,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
         "pages_language_id": language_id.pages_language_id,
     }
 
