@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import cross_section as x
 from .evaluate import at_step
+from .ordered import exact_quantiles
 
 
 def _forward(prices: DataFrame, cal: DataFrame, h: int) -> DataFrame:
@@ -121,7 +122,10 @@ def walk_forward(dates: list[dt.date], spark: SparkSession, train: int = 252, te
 
 def fit_medians(train: DataFrame, names: list[str]) -> DataFrame:
     """One row: the exact median of each feature over the training rows, 0 for one without values."""
-    return train.agg(*[F.coalesce(F.percentile(n, F.lit(0.5)), F.lit(0.0)).alias(n) for n in names])
+    long = train.select(*[F.col(n).cast("double").alias(n) for n in names]).unpivot([], names, "feature", "v")
+    middle = exact_quantiles(long, "v", [0.5], ["feature"])
+    one = lambda n: F.coalesce(F.max(F.when(F.col("feature") == n, F.col("q")[0])), F.lit(0.0)).alias(n)
+    return middle.agg(*map(one, names))
 
 
 def impute(df: DataFrame, medians: DataFrame, names: list[str]) -> DataFrame:

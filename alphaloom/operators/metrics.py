@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import cross_section as x
+from . import ordered
 from .evaluate import rank_corr
 from .joins import latest_predictions
 
@@ -41,7 +42,7 @@ def evaluate_stored(stored: DataFrame, labels: DataFrame, keys: list[str]) -> Da
 def class_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """df (keys, probability, label 0/1) -> auc (ties half), log_loss, accuracy, precision, recall, f1, positive_rate.
 
-    The AUC comes from counts per distinct probability, summed before they are put in order.
+    The AUC comes from counts per distinct probability; ranges of probabilities are put in order apart.
     """
     p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col("probability")))
     y, hit = F.col("label"), (F.col("probability") >= 0.5).cast("int")
@@ -49,9 +50,8 @@ def class_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("rows"), F.avg(-F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_loss"), F.avg((hit == y).cast("double")).alias("accuracy"),
         F.sum(hit * y).alias("__tp"), F.sum(hit).alias("__pp"), F.sum(y).alias("__p"),
     )
-    values = df.groupBy(*keys, "probability").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    w = Window.partitionBy(*keys).orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
-    wins = values.withColumn("__w", F.col("pos") * (F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col("neg") / 2)).groupBy(*keys).agg((F.sum("__w") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    won = ordered.wins(df, "probability", y, 1 - y, keys)
+    wins = won.select(*keys, (F.col("wins") / F.nullif(F.col("na") * F.col("nb"), F.lit(0))).alias("auc"))
     met = s.join(wins, keys)
     precision, recall = F.try_divide("__tp", "__pp"), F.try_divide("__tp", "__p")
     return met.select(*keys, "rows", "auc", "log_loss", "accuracy", precision.alias("precision"), recall.alias("recall"), F.try_divide(2 * F.col("__tp"), F.col("__pp") + F.col("__p")).alias("f1"), (F.col("__p") / F.col("rows")).alias("positive_rate"))
@@ -143,13 +143,13 @@ def psi(df: DataFrame, value: str, side: str, reference: str, bins: int = 10, ke
     bins: below, about (a relative tolerance of 1e-9), and above it.
     """
     have = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    all_ = have.where(F.col(side) == reference).groupBy(*keys).agg(F.array_distinct(F.percentile(value, points)).alias("__q"))
+    points = [i / bins for i in range(bins + 1)]
+    all_ = ordered.exact_quantiles(have.where(F.col(side) == reference), value, points, list(keys)).select(*keys, F.array_distinct("q").alias("__q"))
     centre = F.col("__q")[0]
     tolerance = F.greatest(F.abs(centre) * 1e-9, F.lit(1e-9))
     inner = F.when(F.size("__q") == 1, F.array(centre - tolerance, centre + tolerance)).otherwise(F.slice("__q", F.lit(2), F.greatest(F.size("__q") - 2, F.lit(0))))
     cuts = all_.select(*keys, inner.alias("__cuts"))
-    met = have.join(cuts, list(keys)) if keys else have.crossJoin(cuts)
+    met = ordered.met(have, ordered.stored(cuts), list(keys))
     binned = met.withColumn("__bin", F.size(F.filter("__cuts", lambda e: F.col(value) >= e))).groupBy(*keys, side, "__bin").agg(F.count("*").alias("n"))
     share = binned.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, side)))
     ref = share.where(F.col(side) == reference).select(*keys, "__bin", F.col("p").alias("r"))
@@ -162,12 +162,8 @@ def psi(df: DataFrame, value: str, side: str, reference: str, bins: int = 10, ke
 
 
 def ks(df: DataFrame, value: str, side: str, a: str, b: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Largest gap between two empirical distributions: (keys, ks). Counts per distinct value are put in order."""
-    c = df.where(F.col(value).isNotNull() & F.col(side).isin(a, b)).groupBy(*keys, value).agg(F.count(F.when(F.col(side) == a, 1)).alias("na"), F.count(F.when(F.col(side) == b, 1)).alias("nb"))
-    own = Window.partitionBy(*keys)
-    up = own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("na").over(up) / F.nullif(F.sum("na").over(own), F.lit(0)) - F.sum("nb").over(up) / F.nullif(F.sum("nb").over(own), F.lit(0)))
-    return c.withColumn("gap", gap).groupBy(*keys).agg(F.max("gap").alias("ks"))
+    """Largest gap between two empirical distributions: (keys, ks). Ranges of values are put in order apart."""
+    return ordered.gaps(df.where(F.col(side).isin(a, b)), value, F.col(side) == a, F.col(side) == b, list(keys)).withColumnRenamed("gap", "ks")
 
 
 def feature_drift(df: DataFrame, names: list[str], split: str = "split", warn: float = 0.10, bad: float = 0.25) -> DataFrame:
@@ -176,7 +172,9 @@ def feature_drift(df: DataFrame, names: list[str], split: str = "split", warn: f
     A feature without a psi, as one that a side lacks, counts as severe.
     """
     long = df.unpivot([split], names, "feature", "v")
-    stats = long.where(F.col(split).isin("train", "test")).groupBy("feature", split).agg(F.avg(F.col("v").isNull().cast("double")).alias("missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.percentile("v", F.lit(0.5)).alias("median"))
+    stats = long.where(F.col(split).isin("train", "test")).groupBy("feature", split).agg(F.avg(F.col("v").isNull().cast("double")).alias("missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    middle = ordered.exact_quantiles(long.where(F.col(split).isin("train", "test")), "v", [0.5], ["feature", split]).select("feature", split, F.col("q")[0].alias("median"))
+    stats = stats.join(middle, ["feature", split], "left")
     a, b = (stats.where(F.col(split) == s).select("feature", *[F.col(c).alias(f"{s}_{c}") for c in ("missing", "mean", "std", "median")]) for s in ("train", "test"))
     p = psi(long, "v", split, "train", keys=("feature",)).where(F.col(split) == "test").select("feature", "psi")
     out = a.join(b, "feature", "full_outer").join(p, "feature", "left").join(ks(long, "v", split, "train", "test", ("feature",)), "feature", "left")

@@ -46,6 +46,13 @@ def _(spark, sf):
     return clean(spark, sf)
 
 
+@R.add("a_clean_quantile", "entity_code trade_date", "factor fwd_1", "quantile", sql=f"""
+WITH {SQL}, q AS (SELECT trade_date, quantile_cont(factor, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM clean GROUP BY 1)
+SELECT entity_code, trade_date, factor, fwd_1, len(list_filter(cuts, lambda e: factor > e)) + 1 AS quantile FROM clean JOIN q USING (trade_date)""")
+def _(spark, sf):
+    return e.clean_factor(signals(spark, sf), prices(spark, sf), cal(spark, sf), PERIODS, edges="quantile")
+
+
 _AVG_RANK = "(rank() OVER (PARTITION BY trade_date ORDER BY {x}) + (count(*) OVER (PARTITION BY trade_date, {x}) - 1) / 2.0)"
 
 

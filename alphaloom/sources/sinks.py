@@ -8,6 +8,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import signal_close
 
@@ -18,6 +19,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared scratch folder and read back: evaluated once, whatever reads it, and safe from lost executors."""
+    path = scratch(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
+
+
+def nullable(schema: T.StructType) -> T.StructType:
+    """The schema as Parquet gives it back."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
 def value_rows(values: DataFrame, factor_id: str, version: int, params_hash: str, job_id: str, vintage: str, entity_type: str = "stock") -> DataFrame:
     """Values with identity, event time (15:00 of the date), write time, vintage and the month they are stored under."""
     return values.withColumns({
