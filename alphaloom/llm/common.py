@@ -99,8 +99,15 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Longer words are worked out each time they occur: what workers remember is bounded in bytes, not just in entries.
+LONGEST_REMEMBERED = 64
+
+
 class Memo(dict):
-    """A bounded dict that computes what it lacks. Full, it becomes the old generation, whose used entries come back."""
+    """A bounded dict that computes what it lacks. Full, it becomes the old generation, whose used entries come back.
+
+    Keys of more than LONGEST_REMEMBERED characters are not kept.
+    """
 
     def __init__(self, compute, most: int = 250_000):
         super().__init__()
@@ -112,6 +119,8 @@ class Memo(dict):
             self.clear()
 
     def __missing__(self, key):
+        if len(key) > LONGEST_REMEMBERED:
+            return self.compute(key)
         self.make_room()
         value = self.old.get(key)
         if value is None:

@@ -225,7 +225,7 @@ def _may_link(spec: MinMax, x: str, y: str) -> Column:
     J >= t means that the sets differ in (1 - t) / (1 + t) of their summed sizes at most.
     """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    alike = 100 * F.least(n, m) >= spec.percent * F.greatest(n, m)
+    alike = F.lit(100).cast("long") * F.least(n, m) >= F.lit(spec.percent).cast("long") * F.greatest(n, m)
     return alike & ((100 + spec.percent) * _differ(x, y) <= (100 - spec.percent) * (n + m))
 
 
@@ -236,7 +236,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, spec: MinMax)
     open_ = stored(pairs.join(x, "a").join(y, "b").where(_may_link(spec, "x", "y")).select("a", "b"))
     nodes = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
     sets = _sets_of(docs, classes, nodes, spec)
-    linked = 100 * F.col("both") >= spec.percent * (F.col("na") + F.col("nb") - F.col("both"))
+    linked = 100 * F.col("both").cast("long") >= F.lit(spec.percent).cast("long") * (F.col("na") + F.col("nb") - F.col("both"))
     return _similarities(sets, open_).where(linked).select("a", "b")
 
 

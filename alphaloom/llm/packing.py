@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FAR, NEAR, Cutter, held, release, stored, table, text_batches, trim, utf8
+from .common import FAR, LONGEST_REMEMBERED, NEAR, Cutter, held, release, stored, table, text_batches, trim, utf8
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class WordIds:
     """
 
     def __init__(self, path: str, remembered: int = 200_000):
-        """remembered: words and parts kept from batch to batch, about so many, and as many older ones."""
+        """remembered: words and parts kept from batch to batch, about so many, and as many older ones; no long ones."""
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
@@ -100,7 +100,7 @@ class WordIds:
         found |= of_part  # a word that is not cut is its only part
         if len(self.recent) >= self.remembered:
             self.recent, self.older = {}, self.recent
-        self.recent |= found
+        self.recent |= {w: ids for w, ids in found.items() if len(w) <= LONGEST_REMEMBERED}
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:

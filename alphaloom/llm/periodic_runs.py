@@ -24,13 +24,13 @@ from .common import mix64, reach_before, release, row_key, stored, table, text_b
 class Tiles:
     """least: words in a run. tile: words in the smallest tiles (a power of two), which serve periods below tile / 16; each
     further octave has tiles twice as long. Tiles overlap by three of their largest periods, so of every run the pieces of a
-    period and more join. chunk: words solved at once. broadcast: stretches that are sent to all executors at most.
+    period and more join. chunk: words solved at once. broadcast: runs (some 200 bytes each) that are sent to all executors at most.
     """
 
     least: int = 12
     tile: int = 8192
     chunk: int = 200_000
-    broadcast: int = 1_000_000
+    broadcast: int = 250_000
 
     def most_period(self, scale: Column) -> Column:
         """Above the periods of a scale's tiles."""

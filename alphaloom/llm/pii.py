@@ -15,7 +15,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, stored, table, text_batches, trim, unused, utf8
@@ -208,7 +208,7 @@ def _first_pass(batches):
 
 
 def confident_patterns(found: DataFrame, spec: Bootstrap) -> DataFrame:
-    """found (kind, context, instance) -> (context, kind): the patterns to trust.
+    """found (kind, context, instance) -> (context, kind, doubt): the patterns to trust, doubt being less for trust.
 
     Edges are distinct and carry no counts, so an identifier that is repeated a million times weighs once.
     """
@@ -226,7 +226,12 @@ def confident_patterns(found: DataFrame, spec: Bootstrap) -> DataFrame:
         by_form = raised.agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))))).alias("belief"))
         grown = by_form.groupBy("instance", "kind").agg(F.max("belief").alias("belief"))
         belief = seeds.unionByName(grown)
-    return trust.where(F.col("trust") >= spec.confident).select("context", "kind")
+    return trust.where(F.col("trust") >= spec.confident).select("context", "kind", (1 - F.col("trust")).alias("doubt"))
+
+
+def _best_kind() -> Column:
+    """Of several patterns the kind of the most trusted one, ties to the first by name."""
+    return F.min(F.struct("doubt", "kind"))
 
 
 def find(docs: DataFrame, spec: Bootstrap = Bootstrap()) -> DataFrame:
@@ -241,7 +246,7 @@ def find(docs: DataFrame, spec: Bootstrap = Bootstrap()) -> DataFrame:
     first = stored(docs.mapInArrow(_first_pass, _PASS).withColumn("row", F.monotonically_increasing_id()))
     found = first.select("row", F.explode("found").alias("f")).select("row", "f.*")
     trusted = confident_patterns(found.select("kind", F.explode("contexts").alias("context"), "instance"), spec)
-    unseen = found.where("kind is null").select("row", "start", "end", F.explode("contexts").alias("context")).join(trusted, "context").groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
+    unseen = found.where("kind is null").select("row", "start", "end", F.explode("contexts").alias("context")).join(trusted, "context").groupBy("row", "start", "end").agg(_best_kind()["kind"].alias("kind"))
     new = unseen.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("new"))
     out = first.drop("found").join(new, "row", "left")
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", _merged("base", "new").alias("spans"))
@@ -277,16 +282,16 @@ def redact(docs: DataFrame, spec: Bootstrap = Bootstrap()) -> DataFrame:
     names, text = docs.columns, F.col("text").cast("string")
     plain = docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
     found = stored(plain.mapInArrow(_first_pass, _PASS).select(F.explode("found").alias("f")).select("f.kind", F.explode("f.contexts").alias("context"), "f.instance"))
-    trusted = confident_patterns(found, spec).groupBy("context").agg(F.min("kind").alias("kind"))
+    trusted = stored(confident_patterns(found, spec).groupBy("context").agg(_best_kind().alias("best")).select("context", "best.*"))
     if trusted.count() <= MOST_PATTERNS:
-        known = {r["context"]: r["kind"] for r in trusted.collect()}
+        known = {r["context"]: (r["doubt"], r["kind"]) for r in trusted.collect()}
         out = docs.withColumn("text", F.when(F.col("text").isNotNull(), _redactor(known)(text, F.array().cast("array<string>"))))
     else:
         row, patterns = unused(docs, "row"), unused(docs, "patterns")
         rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
         again = rows.select(F.col(row).alias("doc_id"), text.alias("text")).mapInArrow(_first_pass, _PASS)
         unseen = again.select("doc_id", F.explode("found").alias("f")).where("f.kind is null").select("doc_id", F.explode("f.contexts").alias("context"))
-        named = unseen.join(trusted, "context").groupBy(F.col("doc_id").alias(row)).agg(F.collect_set(F.concat_ws("\t", "kind", "context")).alias(patterns))
+        named = unseen.join(trusted, "context").groupBy(F.col("doc_id").alias(row)).agg(F.collect_set(F.concat_ws("\t", F.col("doubt").cast("string"), "kind", "context")).alias(patterns))
         joined_ = rows.join(named, row, "left")
         known_here = F.coalesce(patterns, F.array().cast("array<string>"))
         out = joined_.withColumn("text", F.when(F.col("text").isNotNull(), _redactor({})(text, known_here)))
@@ -299,8 +304,8 @@ def redact(docs: DataFrame, spec: Bootstrap = Bootstrap()) -> DataFrame:
 MOST_PATTERNS = 200_000
 
 
-def _redactor(trusted: dict[str, str]):
-    """Of (text, patterns of this row as `kind<tab>context`)."""
+def _redactor(trusted: dict[str, tuple[float, str]]):
+    """Of (text, patterns of this row as `doubt<tab>kind<tab>context`)."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array, own: pa.Array) -> pa.Array:
@@ -310,11 +315,11 @@ def _redactor(trusted: dict[str, str]):
             if not text:
                 out.append(text)
                 continue
-            known = trusted if not more else {c: k for k, c in (x.split("\t", 1) for x in more)}
+            known = trusted if not more else {c: (float(d), k) for d, k, c in (x.split("\t", 2) for x in more)}
             base = base_spans(text)
             spans = [(a, -b, k) for k in KINDS for a, b in base[k]]
             if known:
-                spans += [(a, -b, min(kinds)) for kind, cs, _, a, b in instances(text, base) if kind is None and (kinds := [known[c] for c in cs if c in known])]
+                spans += [(a, -b, min(kinds)[1]) for kind, cs, _, a, b in instances(text, base) if kind is None and (kinds := [known[c] for c in cs if c in known])]
             parts, last = [], 0
             for a, b, k in sorted(spans):
                 if a >= last:

@@ -223,6 +223,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """x, each row divided by a power of two so that its squares neither overflow nor vanish; cosines stay the same to the bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _assign(indexes: dict[int, Index], probe: bool):
     def run(batches):
         for batch in batches:
@@ -276,6 +281,7 @@ def _scan_cell(indexes: dict[int, Index], k: int, dims: int, doubt: float):
             cuts = [slice(a, min(a + dims, d)) for a in range(0, d, dims)]
             turned, rq = _unit(x) @ rotation, _unit(q) @ rotation
             blocks = [np.ascontiguousarray(turned[:, c].T) for c in cuts]
+            x, q = _scaled(x), _scaled(q)
             x_norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
             for at in range(0, len(q), 256):
                 head = rq[at : at + 256, cuts[0]]
