@@ -9,6 +9,7 @@ from ..operators import datasets as d
 from ..operators import joins as j
 from ..operators import metrics as m
 from ..operators import portfolio as pf
+from ..plans import linear
 from .base import Registry, bars, entity_number, panel
 from .evaluation import PRED, SQL, _AVG_RANK, predictions, prices
 from .joins import CAP, IND, industry_base, industry_weights, shares
@@ -145,6 +146,26 @@ def _(spark, sf):
     return m.class_metrics(x, ["model_id"])
 
 
+WIDE = f"""{LAB}, wd AS (SELECT entity_code, trade_date, any_value(label) AS label, any_value(ret) AS ret, max(prediction) FILTER (model_id = 'a') AS a, max(prediction) FILTER (model_id = 'b') AS b, max(prediction) FILTER (model_id = 'c') AS c FROM pl GROUP BY ALL),
+nn AS (SELECT max(idx) + 1 AS n FROM cal), kk AS (SELECT n, unnest(range(0, 4)) AS j FROM nn), ww AS (SELECT j, n - 21 * (j + 1) AS a FROM kk WHERE n - 21 * (j + 1) - 5 - 200 >= 0),
+wf AS (SELECT (SELECT max(j) FROM ww) - j + 1 AS fold, x.trade_date AS s, y.trade_date AS e FROM ww JOIN cal x ON x.idx = ww.a - 205 JOIN cal y ON y.idx = ww.a - 6)"""
+LINES = [("label", "a"), ("label", "b"), ("label", "c"), ("ret", "a"), ("ret", "b"), ("ret", "c")]
+
+
+@R.add("m_gram_lines", "target feature", "intercept slope", "fold n", sql=f"""
+WITH {WIDE} {" UNION ALL ".join(f"SELECT fold, '{y}' AS target, '{x}' AS feature, count(*) AS n, regr_intercept({y}, {x}) AS intercept, regr_slope({y}, {x}) AS slope FROM wd JOIN wf ON trade_date BETWEEN s AND e WHERE {y} IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY fold" for y, x in LINES)}""")
+def _(spark, sf):
+    """Of each window, two labels and models with one feature each: twenty-four regressions from one pass over the rows."""
+    rows = labelled(spark, sf).groupBy("entity_code", "trade_date").pivot("model_id", ["a", "b", "c"]).agg(F.max("prediction")).join(d.realized_labels(prices(spark, sf), cal(spark, sf), 4), ["entity_code", "trade_date"])
+    days = [r[0] for r in cal(spark, sf).orderBy("idx").select("trade_date").collect()]  # a row per session
+    windows, names = d.walk_forward(days, spark, 200, 21, gap=5), ["a", "b", "c"]
+    own = linear.blocks(rows, names, ["label", "ret"])
+    alone = [{"without": [n for n in names if n != one]} for one in names]
+    found = linear.models(own, windows, alone).join(linear.of_windows(own, windows).select("window", "label", "n"), ["window", "label"])
+    feature = F.element_at(F.array(*map(F.lit, names)), c("variant"))
+    return found.select(c("window").alias("fold"), c("label").alias("target"), feature.alias("feature"), "n", "intercept", F.element_at("coefficients", c("variant")).alias("slope"))
+
+
 @R.add("m_prediction_frame", K, "raw_prediction percentile score", "rank_value", sql=f"""
 WITH {PRED}, a AS (SELECT entity_code, trade_date, score AS raw_prediction FROM pred WHERE engine = 'b')
 SELECT *, {_AVG_RANK.format(x="raw_prediction")} / count(*) OVER d AS percentile, 2 * {_AVG_RANK.format(x="raw_prediction")} / count(*) OVER d - 1 AS score, row_number() OVER (PARTITION BY trade_date ORDER BY raw_prediction DESC, entity_code) AS rank_value FROM a WINDOW d AS (PARTITION BY trade_date)""")
