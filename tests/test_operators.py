@@ -245,7 +245,7 @@ def test_superseding_leaves_no_stale_rows(spark, tmp_path):
 
 def test_snapshot_after_a_crash(spark, tmp_path):
     path = str(tmp_path)
-    cal(spark).limit(2).write.parquet(f"{path}/one")  # rows without a fingerprint: a job that broke off
+    cal(spark).limit(2).write.parquet(f"{path}/one/rows")  # rows without a fingerprint: a job that broke off
     assert sinks.snapshot(cal(spark), "one", path).count() == 10
     assert sinks.snapshot(cal(spark).limit(1), "one", path).count() == 10
 
@@ -263,8 +263,76 @@ def test_refresh_from_a_stream(spark, tmp_path):
         stream = spark.readStream.schema("entity_code string, trade_date date, close double").parquet(source)
         query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/offsets").trigger(availableNow=True).start()
         assert query.awaitTermination(120)
-    got = sorted((r["entity_code"], r["trade_date"].day, r["raw_value"], r["job_id"]) for r in spark.read.parquet(path).collect())
-    assert got == sorted([(e, d, 1.0 + i, "batch-0") for d in (1, 2) for i, e in enumerate("abc")] + [(e, 3, 5.0 + i, "batch-1") for i, e in enumerate("abc")])
+    rows = spark.read.parquet(path).collect()
+    got = sorted((r["entity_code"], r["trade_date"].day, r["raw_value"]) for r in rows)
+    assert got == sorted([(e, d, 1.0 + i) for d in (1, 2) for i, e in enumerate("abc")] + [(e, 3, 5.0 + i) for i, e in enumerate("abc")])
+    jobs = {r["job_id"] for r in rows}
+    assert len(jobs) == 2 and len({j.rsplit("-", 1)[0] for j in jobs}) == 1  # two batches of one stream
+    # A checkpoint that is lost: its stream starts again with number 0, under another id, and what it computes counts.
+    query = spark.readStream.schema("entity_code string, trade_date date, close double").parquet(source).writeStream.foreachBatch(step)
+    query = query.option("checkpointLocation", f"{tmp_path}/offsets2").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    again = spark.read.parquet(path).collect()
+    assert sorted((r["entity_code"], r["trade_date"].day, r["raw_value"]) for r in again) == got
+    assert not {r["job_id"] for r in again} & jobs
+
+
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    """A batch that comes again, with or without its entry in the ledger."""
+    from alphaloom.sources import manifest
+    from alphaloom.streaming.refresh import ledger, refresh_batch
+
+    path = f"{tmp_path}/values"
+    panel = spark.createDataFrame([(e, dt.date(2020, 1, d), 1.0 * d) for d in (1, 2, 3) for e in "ab"], "entity_code string, trade_date date, close double")
+    step = refresh_batch(lambda s: panel, lambda p: p.withColumn("raw_value", F.col("close")), 1, path, "f", "stream")
+    step(panel, 0)
+    first = sorted(map(str, spark.read.parquet(path).collect()))
+    step(panel, 0)
+    assert sorted(map(str, spark.read.parquet(path).collect())) == first and ledger(spark, path).count() == 1
+    manifest.remove(spark, f"{path}/_ledger")  # broken off before the ledger was written
+    step(panel, 0)
+    assert sorted(map(str, spark.read.parquet(path).collect())) == first and ledger(spark, path).count() == 1
+    step(panel.limit(0), 1)
+    assert ledger(spark, path).count() == 2
+
+
+def test_a_refresh_reads_the_files_of_its_month_only(spark, tmp_path):
+    from alphaloom.sources import manifest
+
+    path = f"{tmp_path}/values"
+    make = lambda days: spark.createDataFrame([(e, d, 1.0) for d in days for e in "abc"], "entity_code string, trade_date date, raw_value double")
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(400)]
+    sinks.write_values(sinks.value_rows(make(days).repartition(3), "f", 1, "", "all", "v"), path)
+    files = manifest.manifest(spark, path).select("file").distinct().count()
+    sinks.write_values(sinks.value_rows(make(days[200:201]), "f", 1, "", "day", "v"), path)
+    done = sinks.supersede(spark, path, "day")
+    assert done == {"rewritten": 3, "dropped": 0} and files > 30
+    got = manifest.read_values(spark, path)
+    assert got.count() == spark.read.parquet(path).count() == 1200
+    assert {r["job_id"] for r in got.where(F.col("trade_date") == days[200]).collect()} == {"day"}
+    sinks.write_values(sinks.value_rows(make(days[213:244]), "f", 1, "", "month", "v"), path)  # August
+    assert sinks.supersede(spark, path, "month") == {"rewritten": 0, "dropped": 3}
+    last = manifest.latest_dates(spark, path).collect()
+    assert [(r["rows"], r["first_date"], r["last_date"]) for r in last] == [(1200, days[0], days[-1])]
+    # Files that no version lists are not read, and are not taken over by another job.
+    sinks.value_rows(make(days[:1]), "f", 1, "", "broken", "v").write.mode("append").partitionBy("month", "factor_id").parquet(path)
+    assert manifest.read_values(spark, path).count() == 1200
+    sinks.write_values(sinks.value_rows(make(days[1:2]), "f", 1, "", "after", "v"), path)
+    assert manifest.read_values(spark, path).where("job_id = 'broken'").count() == 0
+
+
+def test_snapshot_pair_names_what_was_changed(spark, tmp_path):
+    path = str(tmp_path)
+    raw = spark.createDataFrame([("train", 1, None), ("train", 2, 2.0), ("test", 3, None)], "split string, i int, v double")
+    pair = {"raw": raw, "imputed": raw.fillna(9.0)}
+    out = sinks.snapshot_of(pair, "d", path, F.col("split"))
+    assert out["raw"].count() == out["imputed"].count() == 3
+    kept = sinks.snapshot_root(spark, "d", path)
+    again = sinks.snapshot_of({"raw": raw.limit(1), "imputed": raw.limit(1)}, "d", path, F.col("split"))  # written once
+    assert again["imputed"].count() == 3 and sinks.snapshot_root(spark, "d", path) == kept
+    spark.createDataFrame([("test", 3, 8.0), ("train", 1, 9.0), ("train", 2, 2.0)], raw.schema).write.mode("overwrite").parquet(f"{path}/d/imputed")
+    with pytest.raises(RuntimeError, match=r"changed: imputed/test$"):
+        sinks.snapshot_of(pair, "d", path, F.col("split"))
 
 
 def test_sessions_from(spark):
