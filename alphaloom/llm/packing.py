@@ -76,7 +76,7 @@ class WordIds:
 
     def _encoded(self, parts: set[str]) -> dict[str, bytes]:
         """Parts that are one plain word each go into one call and are told apart by their last token."""
-        plain = [p for p in parts if len(p) < 64 and "'" not in p and p != " " and p.isprintable() and max(p) < chr(NEAR)]
+        plain = [p for p in parts if len(p) < 64 and "'" not in p and p != " " and p.isprintable() and (p.isascii() or max(p) < chr(NEAR))]
         found: dict[str, bytes] = {}
         if plain:
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
@@ -86,30 +86,40 @@ class WordIds:
                 found = {p: data[a:b] for p, a, b in zip(plain, [0, *ends], ends, strict=False)}
         return found | {p: self._one(p) for p in parts.difference(found)}
 
-    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
-        """Of words without a special token. What was seen before is looked up, the rest cut, and what is new encoded."""
-        recent, older = self.recent.get, self.older.get
-        found = {w: ids for w in words if (ids := recent(w) or older(w))}
-        rest = list(words.difference(found))
-        parts = self.cutter(" ".join(rest)) if rest else []
-        of_part = {p: ids for p in set(parts) if (ids := recent(p) or older(p))}
-        of_part |= self._encoded(set(parts).difference(of_part, (" ",)))
-        ids = of_part.__getitem__
-        at = [-1, *(i for i, p in enumerate(parts) if p == " "), len(parts)]
-        found |= {w: b"".join(map(ids, parts[a + 1 : b])) for w, a, b in zip(rest, at, at[1:], strict=False) if b - a > 2}
-        found |= of_part  # a word that is not cut is its only part
+    def _missing(self, words: set[str]) -> set[str]:
+        """The words that are not remembered; of those remembered for long, what is asked for becomes recent again."""
+        missing = words.difference(self.recent)
+        again = missing.intersection(self.older)
+        self.recent.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        return missing.difference(again)
+
+    def _remember(self, words: set[str]) -> list[str]:
+        """Makes all words, without a special token, recent: new ones are cut, and their new parts encoded. Returns long ones."""
         if len(self.recent) >= self.remembered:
             self.recent, self.older = {}, self.recent
-        self.recent |= {w: ids for w, ids in found.items() if len(w) <= LONGEST_REMEMBERED}
-        return found
+        rest = list(self._missing(words))
+        if not rest:
+            return []
+        parts = self.cutter(" ".join(rest))
+        self.recent.update(self._encoded(self._missing(set(parts) - {" "})))
+        ids = self.recent.__getitem__
+        at = [-1, *(i for i, p in enumerate(parts) if p == " "), len(parts)]
+        self.recent.update([(w, b"".join(map(ids, parts[a + 1 : b]))) for w, a, b in zip(rest, at, at[1:], strict=False) if b - a > 2])
+        return [w for w in rest if len(w) > LONGEST_REMEMBERED]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
         words.discard("")
         special = {w for s in self.specials if any(s in t for t in texts) for w in words if s in w}
-        ids = self._ids_of(words - special) | {w: self._one(w) for w in special} | {"": b""}
-        return [b"".join(map(ids.__getitem__, s)) for s in split]
+        long = self._remember(words - special if special else words)
+        extra = {w: self._one(w) for w in special}
+        self.recent[""] = b""
+        ids = (lambda w: extra[w] if w in extra else self.recent[w]) if special else self.recent.__getitem__
+        out = [b"".join(map(ids, s)) for s in split]
+        for w in long:
+            self.recent.pop(w, None)
+        return out
 
 
 def _kind(c: str) -> str:
