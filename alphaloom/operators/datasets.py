@@ -134,11 +134,22 @@ def impute(df: DataFrame, medians: DataFrame, names: list[str]) -> DataFrame:
     return df.crossJoin(one).withColumns({n: F.coalesce(n, f"__{n}") for n in names}).drop(*[f"__{n}" for n in names])
 
 
-def build_dataset(features: DataFrame, labels: DataFrame, names: list[str], gap: int = 5, least: int = 60) -> tuple[DataFrame, DataFrame]:
-    """(dataset, manifest): features with label and split, imputed with medians of the training rows; counts by split."""
+def dataset_rows(features: DataFrame, labels: DataFrame, gap: int = 5, least: int = 60, classes: bool = False) -> DataFrame:
+    """Features with label and split, gaps left as they are. classes: labels must be 0 and 1, and both occur in training."""
     joined = features.join(labels, ["entity_code", "trade_date"])
-    split = split_dates(joined.select("trade_date"), gap=gap, least=least)
-    rows = joined.join(split, "trade_date")
+    rows = joined.join(split_dates(joined.select("trade_date"), gap=gap, least=least), "trade_date")
+    if classes:
+        seen = {(r["split"], r["label"]) for r in rows.select("split", F.col("label").cast("double").alias("label")).distinct().limit(10).collect()}
+        if odd := {v for _, v in seen} - {0.0, 1.0}:
+            raise ValueError(f"labels other than 0 and 1: {sorted(map(str, odd))}")
+        if {v for s, v in seen if s == "train"} != {0.0, 1.0}:
+            raise ValueError("the training rows hold one class only")
+    return rows
+
+
+def build_dataset(features: DataFrame, labels: DataFrame, names: list[str], gap: int = 5, least: int = 60, classes: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(dataset, manifest): dataset_rows, imputed with medians of the training rows; counts by split."""
+    rows = dataset_rows(features, labels, gap, least, classes)
     ready = impute(rows, fit_medians(rows.where("split = 'train'"), names), names)
     manifest = ready.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("trade_date").alias("dates"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
     return ready, manifest

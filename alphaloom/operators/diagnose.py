@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bands
+from ..sources.sinks import stored
 from . import cross_section as x
 from .evaluate import newey_west, rank_corr
 from .metrics import ks, psi
+from .vectors import pair_correlations
 
 PAIR_LEAST = 30
 
@@ -128,12 +130,10 @@ def calibration(df: DataFrame, k: int = 10, least: int = 20) -> DataFrame:
     return s.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("mean", "p10", "p50", "p90", "hit")})
 
 
-def compare_models(df: DataFrame) -> DataFrame:
-    """df (trade_date, entity_code, model_id, score) -> (model_a, model_b, days, rho): mean daily Spearman on common names."""
-    a, b = (df.select("trade_date", "entity_code", F.col("model_id").alias(f"model_{s}"), F.col("score").alias(f"score_{s}")) for s in "ab")
-    pairs = a.join(b, ["trade_date", "entity_code"]).where("model_a < model_b")
-    daily = rank_corr(pairs, ["model_a", "model_b", "trade_date"], "score_a", "score_b", "rho")
-    return daily.groupBy("model_a", "model_b").agg(F.count("rho").alias("days"), F.avg("rho").alias("rho"))
+def compare_models(df: DataFrame, common: bool = False) -> DataFrame:
+    """df (trade_date, entity_code, model_id, score) -> (model_a, model_b, days, rho): mean daily Spearman on names that both
+    have, or that all models have."""
+    return pair_correlations(df, common=common).withColumnsRenamed({"a": "model_a", "b": "model_b"})
 
 
 def ic_stats(daily: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,25 +150,35 @@ def _enough(long: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 def redundancy(long: DataFrame, least: int = PAIR_LEAST, limit: float = 0.85) -> DataFrame:
     """long (trade_date, entity_code, feature, value) -> (feature_a, feature_b, days, rho, redundant): mean daily Spearman."""
-    known = _enough(long.where("value is not null"), ["trade_date", "feature"], least)
-    p = compare_models(known.select("trade_date", "entity_code", F.col("feature").alias("model_id"), F.col("value").alias("score")))
-    return p.select(F.col("model_a").alias("feature_a"), F.col("model_b").alias("feature_b"), "days", "rho", F.coalesce((F.abs("rho") >= limit).cast("int"), F.lit(0)).alias("redundant"))
+    p = pair_correlations(long.where("value is not null"), "feature", "value", least)
+    return p.select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "days", "rho", F.coalesce((F.abs("rho") >= limit).cast("int"), F.lit(0)).alias("redundant"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """edges (a, b) -> (node, leader): leader the smallest node that hangs together with a node.
+
+    Every round a node takes the smallest leader among its own and its neighbours', then that one's leader, so that what it
+    reaches doubles; a round is two joins, and is stored. Nodes without edges are not in the result.
+    """
+    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node is not null and other is not null")
+    links = stored(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    now = stored(links.select("node").distinct().withColumn("leader", F.col("node")))
+    while True:
+        heard = links.join(now.select(F.col("node").alias("other"), F.col("leader").alias("__heard")), "other").groupBy("node").agg(F.min("__heard").alias("__heard"))
+        near = now.join(heard, "node").select("node", F.col("leader").alias("__was"), F.least("leader", "__heard").alias("__next"))
+        far = near.select(F.col("node").alias("__next"), F.col("__next").alias("__far"))
+        moved = stored(near.join(far, "__next").select("node", "__was", F.least("__next", "__far").alias("leader")))
+        now = moved.drop("__was")
+        if not moved.where("leader <> __was").take(1):
+            return now
 
 
 def redundancy_groups(pairs: DataFrame, strength: DataFrame) -> DataFrame:
     """pairs of redundancy, strength (feature, rank_ic, ic_ir) -> (leader, feature, keep) of features that hang together.
 
     leader is the first feature of a group by name; kept is the one of largest |ic_ir|, then |rank_ic|, then last by name.
-    A row per feature: the pairs that count fit into one row, in which groups are merged pair by pair.
     """
-    linked = pairs.where("redundant = 1").agg(F.collect_list(F.struct("feature_a", "feature_b")).alias("pairs"))
-    start = F.map_from_arrays(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["feature_a"], p["feature_b"])))), F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["feature_a"], p["feature_b"])))))
-
-    def merge(group: Column, pair: Column) -> Column:
-        a, b = group[pair["feature_a"]], group[pair["feature_b"]]
-        return F.transform_values(group, lambda _, leader: F.when(leader == F.greatest(a, b), F.least(a, b)).otherwise(leader))
-
-    grouped = linked.select(F.explode(F.aggregate("pairs", start, merge)).alias("feature", "leader"))
+    grouped = components(pairs.where("redundant = 1"), "feature_a", "feature_b").withColumnRenamed("node", "feature")
     best = Window.partitionBy("leader").orderBy(F.abs("ic_ir").desc(), F.abs("rank_ic").desc(), F.col("feature").desc())
     return grouped.join(strength.select("feature", "rank_ic", "ic_ir"), "feature").select("leader", "feature", (F.row_number().over(best) == 1).cast("int").alias("keep"))
 

@@ -10,6 +10,7 @@ from ..operators import datasets as d
 from ..operators import diagnose as g
 from ..operators import joins as j
 from ..operators import selection as sel
+from ..operators import vectors as v
 from .base import CODED, PANEL, Registry, bars, coded, panel, table
 from .evaluation import predictions, prices
 from .joins import CAP, shares
@@ -116,6 +117,65 @@ def _(spark, sf):
     return g.ensemble_diagnostics(labelled(spark, sf).withColumnRenamed("prediction", "score"), s)
 
 
+_PLANS = v.scenarios({"a": 0.5, "b": 0.3, "c": 0.2})
+_RK = "(rank() OVER (PARTITION BY {k}, trade_date ORDER BY {x}) + (count(*) OVER (PARTITION BY {k}, trade_date, {x}) - 1) / 2.0)"
+COMMON = f"""{LAB}, cm AS (SELECT trade_date, entity_code, max(score) FILTER (engine = 'a') AS a, max(score) FILTER (engine = 'b') AS b, max(score) FILTER (engine = 'c') AS c FROM pred GROUP BY ALL HAVING a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL),
+cl AS (SELECT cm.*, lb.label FROM cm JOIN lb USING (trade_date, entity_code)),
+pn AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{n}', {w[0]!r}::DOUBLE, {w[1]!r}::DOUBLE, {w[2]!r}::DOUBLE)" for k, n, w in _PLANS)}) t(kind, source, wa, wb, wc)),
+sc AS (SELECT kind, source, trade_date, entity_code, label, round(0 + wa * a + wb * b + wc * c, 12) AS raw FROM cl, pn),
+sp AS (SELECT *, count(*) OVER (PARTITION BY kind, source, trade_date) AS n, row_number() OVER (PARTITION BY kind, source, trade_date ORDER BY raw, entity_code DESC) AS place FROM sc),
+ss AS (SELECT *, CASE WHEN n > 1 THEN 2 * (place - 1) / (n - 1)::DOUBLE - 1 ELSE 0 END AS score FROM sp),
+sr AS (SELECT kind, source, trade_date, {_RK.format(k="kind, source", x="score")} AS x, {_RK.format(k="kind, source", x="label")} AS y FROM ss),
+si AS (SELECT kind, source, trade_date, CASE WHEN stddev_pop(x) * stddev_pop(y) > 0 THEN corr(x, y) END AS ic FROM sr GROUP BY ALL),
+sm AS (SELECT kind, source, count(ic) AS days, avg(ic) AS ic, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END AS icir FROM si GROUP BY ALL),
+se AS (SELECT kind, source, count(*) AS rows, sqrt(avg(pow(score - label, 2))) AS rmse FROM ss GROUP BY ALL)"""
+
+
+def common(spark, sf):
+    labels = d.realized_labels(prices(spark, sf), cal(spark, sf), 4)
+    return v.common_rows(predictions(spark, sf).withColumnRenamed("engine", "model_id"), labels, ["a", "b", "c"])
+
+
+def _pairs_of(a: str, b: str) -> str:
+    return f"SELECT '{a}' AS model_a, '{b}' AS model_b, trade_date, CASE WHEN stddev_pop(r{a}) * stddev_pop(r{b}) > 0 THEN corr(r{a}, r{b}) END AS rho FROM rk GROUP BY trade_date"
+
+
+@R.add("g_compare_common", "model_a model_b", "rho", "days", sql=f"""
+WITH {COMMON}, rk AS (SELECT trade_date, {", ".join(f"(rank() OVER (PARTITION BY trade_date ORDER BY {m}) + (count(*) OVER (PARTITION BY trade_date, {m}) - 1) / 2.0) AS r{m}" for m in "abc")} FROM cm),
+pr AS ({" UNION ALL ".join(_pairs_of(a, b) for a, b in ("ab", "ac", "bc"))}) SELECT model_a, model_b, count(rho) AS days, avg(rho) AS rho FROM pr GROUP BY ALL""")
+def _(spark, sf):
+    return g.compare_models(predictions(spark, sf).withColumnRenamed("engine", "model_id"), common=True)
+
+
+@R.add("g_compare_metrics", "source", "ic icir rmse", "rows days", share=True, sql=f"WITH {COMMON} SELECT * FROM sm JOIN se USING (kind, source) WHERE kind = 'alone'")
+def _(spark, sf):
+    return v.ensemble_report(common(spark, sf), {"a": 0.5, "b": 0.3, "c": 0.2}).where("kind = 'alone'")
+
+
+@R.add("g_ensemble_scenarios", "kind source", "ic icir rmse delta", "rows days", share=True, sql=f"WITH {COMMON} SELECT *, ic - (SELECT ic FROM sm WHERE kind = 'base') AS delta FROM sm JOIN se USING (kind, source)")
+def _(spark, sf):
+    return v.ensemble_report(common(spark, sf), {"a": 0.5, "b": 0.3, "c": 0.2})
+
+
+@R.add("g_ensemble_pairs", "model_a model_b", "rho", "days", share=True, sql=f"""
+WITH {COMMON}, rk AS (SELECT trade_date, {", ".join(f"(rank() OVER (PARTITION BY trade_date ORDER BY {m}) + (count(*) OVER (PARTITION BY trade_date, {m}) - 1) / 2.0) AS r{m}" for m in "abc")} FROM cl),
+pr AS ({" UNION ALL ".join(_pairs_of(a, b) for a, b in ("ab", "ac", "bc"))}) SELECT model_a, model_b, count(rho) AS days, avg(rho) AS rho FROM pr GROUP BY ALL""")
+def _(spark, sf):
+    """Of the entities that are evaluated."""
+    names = F.array(*[F.struct(F.lit(n).alias("model_id"), c(f"m{i}").alias("score")) for i, n in enumerate("abc")])
+    long = common(spark, sf).select("trade_date", "entity_code", F.explode(names).alias("s")).select("trade_date", "entity_code", "s.*")
+    return g.compare_models(long, common=True)
+
+
+@R.add("g_ensemble_windows", "kind source", "ic icir", "part days best", share=True, sql=f"""
+WITH {COMMON}, dt AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n, least(8, greatest(1, ceil(count(*) OVER () / 20.0)))::BIGINT AS k FROM (SELECT DISTINCT trade_date FROM cl)),
+dp AS (SELECT trade_date, CASE WHEN i < (n % k) * (n // k + 1) THEN i // (n // k + 1) ELSE n % k + (i - (n % k) * (n // k + 1)) // (n // k) END + 1 AS part FROM dt),
+w AS (SELECT part, kind, source, count(ic) AS days, avg(ic) AS ic, CASE WHEN stddev_samp(ic) > 0 THEN avg(ic) / stddev_samp(ic) END AS icir FROM si JOIN dp USING (trade_date) WHERE kind IN ('base', 'alone') GROUP BY ALL)
+SELECT *, CASE WHEN kind = 'alone' THEN (row_number() OVER (PARTITION BY part, kind ORDER BY ic DESC NULLS LAST, source) = 1)::INT END AS best FROM w""")
+def _(spark, sf):
+    return v.ensemble_windows(common(spark, sf), {"a": 0.5, "b": 0.3, "c": 0.2})
+
+
 def with_industry(spark, sf):
     return b_rows(spark, sf).join(industries(spark, sf).select("entity_code", "trade_date", "industry"), ["entity_code", "trade_date"])
 

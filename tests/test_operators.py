@@ -195,6 +195,14 @@ def test_redundant_features_form_groups(spark):
     assert g.redundancy_groups(pairs.where("redundant = 0"), strength).count() == 0
 
 
+def test_components_of_a_long_path(spark):
+    """2,000 features in a row, in an order without meaning, and a ring apart from them."""
+    order = [f"f{(i * 7919) % 2000:04d}" for i in range(2000)]
+    edges = [*zip(order, order[1:], strict=False), ("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("y", "y"), (None, "z")]
+    got = {r["node"]: r["leader"] for r in g.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {f: "f0000" for f in order} | {"x1": "x1", "x2": "x1", "x3": "x1", "y": "y"}
+
+
 def test_psi_of_a_constant(spark):
     same = spark.createDataFrame([("train", 2.0)] * 10 + [("test", 2.0)] * 5, "split string, v double")
     assert m.psi(same, "v", "split", "train").first()["psi"] == pytest.approx(0, abs=1e-9)
