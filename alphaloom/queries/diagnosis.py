@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import datasets as d
 from ..operators import diagnose as g
 from ..operators import joins as j
+from ..operators import reports as rp
 from ..operators import selection as sel
 from ..operators import vectors as v
 from .base import CODED, PANEL, Registry, bars, coded, panel, table
@@ -46,6 +47,96 @@ def _(spark, sf):
     return g.stability(g.rank_corr(b_rows(spark, sf), ["trade_date"], "score", "label"))
 
 
+SD = f"""{B}, r0 AS (SELECT * FROM bk WHERE n >= 25), r1 AS (SELECT trade_date, {_MR.format(x="score")} AS a, {_MR.format(x="label")} AS b, count(*) OVER (PARTITION BY trade_date) AS names FROM r0),
+i0 AS (SELECT trade_date, max(names) AS names, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM r1 GROUP BY 1), s0 AS (SELECT trade_date, avg(ret) FILTER (bucket = 5) - avg(ret) FILTER (bucket = 1) AS spread FROM r0 GROUP BY 1),
+k0 AS (SELECT *, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS nn FROM i0 JOIN s0 USING (trade_date) WHERE ic IS NOT NULL),
+sd AS (SELECT *, CASE WHEN count(ic) OVER w >= 10 THEN avg(ic) OVER w END AS rolling_ic, CASE WHEN count(spread) OVER w >= 10 THEN avg(spread) OVER w END AS rolling_spread, CASE WHEN i < nn // 3 + (nn % 3 > 0)::INT THEN 'early' WHEN i < 2 * (nn // 3) + (nn % 3 > 0)::INT + (nn % 3 > 1)::INT THEN 'middle' ELSE 'recent' END AS phase FROM k0 WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+ph AS (SELECT phase, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) AS days, sum(names) AS rows, avg(ic) AS ic_mean, coalesce(stddev_samp(ic), 0) AS ic_std, avg((ic > 0)::INT) AS positive_ic, avg(spread) AS spread_mean, avg((spread > 0)::INT) AS positive_spread, avg(ic) / stddev_samp(ic) AS ic_ir FROM sd GROUP BY 1),
+ce AS (SELECT row_number() OVER (ORDER BY trade_date) AS i, ic - (SELECT avg(ic) FROM sd) AS e FROM sd),
+nw0 AS (SELECT {" + ".join(["sum(x.e * x.e)"] + [f"2 * {1 - lag / 4} * coalesce((SELECT sum(p.e * q.e) FROM ce p JOIN ce q ON q.i = p.i - {lag}), 0)" for lag in (1, 2, 3)])} AS total, count(*) AS n FROM ce x),
+sv AS (SELECT (SELECT count(*) FROM sd) AS days, (SELECT avg(ic) FROM sd) AS ic_mean, (SELECT avg(ic) FROM sd) / sqrt(total / n / n) AS t, max(ic_mean) FILTER (phase = 'early') AS early, max(ic_mean) FILTER (phase = 'recent') AS recent, max(positive_ic) FILTER (phase = 'recent') AS recent_positive FROM nw0, ph GROUP BY total, n)"""
+
+
+def stability_of(spark, sf):
+    return rp.stability_daily(b_rows(spark, sf))
+
+
+@R.add("g_stability_daily", "trade_date phase", "ic spread rolling_ic rolling_spread", "names", share=True, sql=f"WITH {SD} SELECT * FROM sd")
+def _(spark, sf):
+    return stability_of(spark, sf)
+
+
+@R.add("g_stability_phases", "phase first_date last_date", "ic_mean ic_std ic_ir positive_ic spread_mean positive_spread", "days rows", share=True, sql=f"WITH {SD} SELECT * FROM ph")
+def _(spark, sf):
+    return rp.stability_phases(stability_of(spark, sf))
+
+
+@R.add("g_stability_report", "status significance warnings", "effective_days ic_mean t early recent change recent_positive", "days", share=True, sql=f"""
+WITH {SD}, v1 AS (SELECT *, days / 4.0 AS effective_days, recent - early AS change FROM sv),
+v2 AS (SELECT *, CASE WHEN effective_days < 10 THEN 'small_sample' WHEN t IS NULL THEN 'unavailable' WHEN t >= 1.96 THEN 'significant' WHEN t >= 1.64 THEN 'suggestive' WHEN t <= -1.96 THEN 'significant_negative' ELSE 'insufficient' END AS significance FROM v1),
+v3 AS (SELECT *, list_filter([CASE WHEN effective_days < 10 THEN 'small_sample' END, CASE WHEN recent < 0 THEN 'recent_negative' WHEN recent < 0.02 THEN 'recent_weak' END, CASE WHEN change <= -0.05 THEN 'decay' WHEN change <= -0.02 THEN 'some_decay' END,
+ CASE WHEN recent_positive < 0.5 THEN 'few_positive_days' END, CASE WHEN significance IN ('insufficient', 'unavailable') THEN 'no_evidence' END], lambda x: x IS NOT NULL) AS warnings FROM v2)
+SELECT *, CASE WHEN ic_mean <= 0 OR recent < 0 OR change <= -0.05 THEN 'unstable' WHEN len(warnings) > 0 THEN 'mixed' ELSE 'stable' END AS status FROM v3""")
+def _(spark, sf):
+    return rp.stability_report(stability_of(spark, sf), 4)
+
+
+RAWP = f"""{B}, dy AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS nn FROM (SELECT DISTINCT trade_date FROM bb)),
+fz AS (SELECT trade_date, CASE WHEN i < nn // 3 + (nn % 3 > 0)::INT THEN 'early' WHEN i < 2 * (nn // 3) + (nn % 3 > 0)::INT + (nn % 3 > 1)::INT THEN 'middle' ELSE 'recent' END AS phase FROM dy),
+rw AS (SELECT trade_date, entity_code, phase, volume AS v FROM bb JOIN fz USING (trade_date) JOIN panel USING (trade_date, entity_code) WHERE volume IS NOT NULL),
+rd AS (SELECT phase, avg(s) AS mean_daily_std, avg(h - l) AS mean_daily_spread FROM (SELECT phase, trade_date, stddev_samp(v) AS s, quantile_cont(v, 0.1) AS l, quantile_cont(v, 0.9) AS h FROM rw GROUP BY ALL) GROUP BY 1),
+qe AS (SELECT list_sort(list_distinct(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS q FROM rw WHERE phase = 'early'), qi AS (SELECT q[2:len(q) - 1] AS cuts FROM qe),
+qb AS (SELECT phase, len(list_filter(cuts, lambda e: v >= e)) AS bin, count(*) AS n FROM rw, qi GROUP BY ALL), qp AS (SELECT *, n / sum(n) OVER (PARTITION BY phase) AS p FROM qb),
+qs AS (SELECT w.phase, sum((greatest(coalesce(x.p, 0), 1e-6) - greatest(r.p, 1e-6)) * ln(greatest(coalesce(x.p, 0), 1e-6) / greatest(r.p, 1e-6))) AS psi FROM (SELECT DISTINCT phase FROM qp) w CROSS JOIN (SELECT * FROM qp WHERE phase = 'early') r LEFT JOIN qp x ON x.phase = w.phase AND x.bin = r.bin GROUP BY 1),
+dw AS (SELECT phase, count(DISTINCT trade_date) AS days, count(*) AS rows, avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95 FROM rw GROUP BY 1),
+dz AS (SELECT dw.*, mean_daily_std, mean_daily_spread, psi FROM dw JOIN rd USING (phase) JOIN qs USING (phase))"""
+
+
+def raw_rows(spark, sf):
+    """Volumes stand for raw predictions: they drift and have a long tail."""
+    return b_rows(spark, sf).select("trade_date", "entity_code").join(panel(spark, sf).select("trade_date", "entity_code", c("volume").alias("raw_prediction")), ["trade_date", "entity_code"])
+
+
+@R.add("g_distribution_windows", "phase", "mean std p05 p50 p95 mean_daily_std mean_daily_spread psi", "days rows", share=True, sql=f"WITH {RAWP} SELECT * FROM dz")
+def _(spark, sf):
+    return rp.distribution_windows(raw_rows(spark, sf))
+
+
+@R.add("g_distribution_histogram", "phase", "share", "bin n", share=True, sql=f"""
+WITH {RAWP}, en AS (SELECT quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.99) AS b FROM rw WHERE phase <> 'middle'), hb AS (SELECT phase, least(floor((greatest(least(v, b), a) - a) / (b - a) * 10), 9)::INT + 1 AS bin, count(*) AS n FROM rw, en WHERE phase <> 'middle' GROUP BY ALL),
+hg AS (SELECT * FROM (VALUES ('early'), ('recent')) t(phase), (SELECT unnest(range(1, 11)) AS bin)) SELECT phase, bin, coalesce(n, 0) AS n, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY phase) AS share FROM hg LEFT JOIN hb USING (phase, bin)""")
+def _(spark, sf):
+    return rp.distribution_histogram(raw_rows(spark, sf))
+
+
+@R.add("g_distribution_report", "status warnings", "latest_psi std_ratio median_shift", share=True, sql=f"""
+WITH {RAWP}, o AS (SELECT max(psi) FILTER (phase = 'recent') AS latest_psi, max(std) FILTER (phase = 'recent') / max(std) FILTER (phase = 'early') AS std_ratio, abs(max(p50) FILTER (phase = 'recent') - max(p50) FILTER (phase = 'early')) / max(std) FILTER (phase = 'early') AS median_shift FROM dz),
+u AS (SELECT *, list_filter([CASE WHEN latest_psi >= 0.25 THEN 'severe_drift' WHEN latest_psi >= 0.1 THEN 'drift' END, CASE WHEN std_ratio < 0.5 THEN 'collapse' WHEN std_ratio > 2 THEN 'wider' END, CASE WHEN median_shift >= 1 THEN 'median_shift' END], lambda x: x IS NOT NULL) AS warnings FROM o)
+SELECT *, CASE WHEN latest_psi >= 0.25 OR std_ratio < 0.5 OR std_ratio > 2 THEN 'severe' WHEN len(warnings) > 0 THEN 'warning' ELSE 'stable' END AS status FROM u""")
+def _(spark, sf):
+    return rp.distribution_report(rp.distribution_windows(raw_rows(spark, sf)))
+
+
+@R.add("g_known_in_time", "trade_date", "", "rows in_time late", sql=f"WITH {B} SELECT trade_date, count(*) AS rows, count(*) FILTER (split_part(entity_code, '.', 1)::BIGINT % 9 <> 0) AS in_time, count(*) FILTER (split_part(entity_code, '.', 1)::BIGINT % 9 = 0) AS late FROM bb GROUP BY 1")
+def _(spark, sf):
+    """Features of every ninth entity were known a day later."""
+    late = F.when(F.substring_index("entity_code", ".", 1).cast("long") % 9 == 0, F.expr("INTERVAL 39 HOURS")).otherwise(F.expr("INTERVAL 15 HOURS"))
+    return rp.known_in_time(b_rows(spark, sf).withColumn("feature_cutoff_at", c("trade_date").cast("timestamp") + late))
+
+
+@R.add("g_score_histogram", "trade_date", "", "bin n", sql=f"""
+WITH {B}, h AS (SELECT trade_date, least(floor((score + 1) / 2 * 10), 9)::INT + 1 AS bin, count(*) AS n FROM bb GROUP BY ALL) SELECT trade_date, bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT trade_date FROM bb) CROSS JOIN (SELECT unnest(range(1, 11)) AS bin) LEFT JOIN h USING (trade_date, bin)""")
+def _(spark, sf):
+    return rp.score_histogram(b_rows(spark, sf))
+
+
+@R.add("g_day_over_day", "trade_date", "rho", "common", share=True, sql=f"""
+WITH {B}, dd2 AS (SELECT trade_date, lag(trade_date) OVER (ORDER BY trade_date) AS before FROM (SELECT DISTINCT trade_date FROM bb)), pp AS (SELECT bb.trade_date, bb.score AS x, o.score AS y FROM bb JOIN dd2 USING (trade_date) JOIN bb o ON o.trade_date = dd2.before AND o.entity_code = bb.entity_code),
+rr AS (SELECT trade_date, rank() OVER (PARTITION BY trade_date ORDER BY x) + (count(*) OVER (PARTITION BY trade_date, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY trade_date ORDER BY y) + (count(*) OVER (PARTITION BY trade_date, y) - 1) / 2.0 AS b FROM pp) SELECT trade_date, count(*) AS common, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN corr(a, b) END AS rho FROM rr GROUP BY 1""")
+def _(spark, sf):
+    return rp.day_over_day(b_rows(spark, sf))
+
+
 def capped(spark, sf):
     return b_rows(spark, sf).join(j.market_cap(bars(spark, sf), shares(spark, sf)).select("entity_code", "trade_date", "cap"), ["entity_code", "trade_date"])
 
