@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import catalog
 from ..functions import rolling as r
 from ..operators import cross_section as x
+from ..operators.quality import quality
+from ..operators.reports import value_status
 from ..plans import factor_job as job
 from .base import PANEL, ROWS, Registry, panel
 
@@ -78,6 +80,27 @@ def factor_job(spark, sf):
     return job.compute_factor(panel(spark, sf), make, "1996-01-01", "1999-12-31", 52)
 
 
+def _scored(spark, sf, mode):
+    make = lambda p: p.withColumn("raw_value", r.period_return(c("close"), 4))
+    return job.compute_factor(panel(spark, sf), make, "1996-01-01", "1999-12-31", 52, mode=mode)
+
+
+@R.add("factor_scores", K + " mode", "processed score", sql=f"WITH j AS ({_JOB}) SELECT *, 'rank' AS mode FROM (SELECT * REPLACE (percentile AS score) FROM j) UNION ALL SELECT *, 'none' FROM (SELECT * REPLACE (processed AS score) FROM j)")
+def _(spark, sf):
+    """The scores of a job that ranks, and of one that leaves values as they are."""
+    return _scored(spark, sf, "rank").withColumn("mode", F.lit("rank")).unionByName(_scored(spark, sf, "none").withColumn("mode", F.lit("none")))
+
+
+@R.add("v_status", "status warnings", sql=f"""
+WITH q AS (SELECT *, CASE WHEN trade_date < DATE '1998-01-01' THEN score END AS kept_score FROM ({_JOB})), u AS (SELECT count(*) AS n, count(raw_value) AS r, count(*) FILTER (raw_value = 0) AS z, [count(rank_value), count(percentile), count(kept_score)] AS p FROM q),
+w AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN list_sum(p) = 0 THEN 'not_generated' WHEN list_min(p) = n THEN 'generated' ELSE 'partial' END AS status FROM u)
+SELECT status, list_filter([CASE WHEN n = 0 THEN 'no_values' END, CASE WHEN n > 0 AND r = 0 THEN 'all_null' END, CASE WHEN r > 0 AND z = r THEN 'all_zero' END, CASE WHEN status = 'not_generated' THEN 'not_processed' END, CASE WHEN status = 'partial' THEN 'partly_processed' END], lambda x: x IS NOT NULL) AS warnings FROM w""")
+def _(spark, sf):
+    """Of values whose later dates were never scored."""
+    values = factor_job(spark, sf).withColumn("score", F.when(c("trade_date") < "1998-01-01", c("score")))
+    return value_status(quality(values, ["raw_value", "rank_value", "percentile", "score"]))
+
+
 @R.add("factor_boolean", K, "raw_value score", "rank_value", sql=f"""
 WITH {PANEL}, v AS (SELECT entity_code, trade_date, (pct_chg > 10)::INT::DOUBLE AS raw_value FROM panel WHERE pct_chg IS NOT NULL AND isfinite(pct_chg))
 SELECT *, raw_value AS score, rank() OVER (PARTITION BY trade_date ORDER BY raw_value DESC) AS rank_value FROM v""")

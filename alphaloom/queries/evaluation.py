@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as e
 from ..operators import portfolio as pf
+from ..operators import reports as rp
 from ..operators import selection as sel
 from .base import Registry, bars, entity_number, once, panel
 from .joins import ADJ, factors
@@ -212,12 +213,48 @@ def _(spark, sf):
     return pf.benchmark_returns(bars(spark, sf), "000001.SZ")
 
 
-@R.add("p_nav", "trade_date", "ret nav bench_nav", share=True, sql=f"""
-WITH {PORT}, {BENCH} SELECT n.*, exp(sum(ln(1 + coalesce(bench / 100, 0))) OVER (ORDER BY trade_date)) AS bench_nav FROM nv n LEFT JOIN b USING (trade_date)""")
+@R.add("p_nav", "trade_date", "ret nav bench_nav excess", share=True, sql=f"""
+WITH {PORT}, {BENCH} SELECT n.*, exp(sum(ln(1 + coalesce(bench / 100, 0))) OVER (ORDER BY trade_date)) AS bench_nav, nav / exp(sum(ln(1 + coalesce(bench / 100, 0))) OVER (ORDER BY trade_date)) - 1 AS excess FROM nv n LEFT JOIN b USING (trade_date)""")
 def _(spark, sf):
     return pf.nav(daily(spark, sf), benchmark=pf.benchmark_returns(bars(spark, sf), "000001.SZ").withColumn("bench", c("bench") / 100))
 
 
+SIDES = f"""{SCORES}, {BENCH}, qr AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score, entity_code) - 1 AS pos, count(*) OVER (PARTITION BY trade_date) AS n FROM scores),
+qg AS (SELECT *, least(floor(pos / greatest(1, floor(n / 5))), 4) + 1 AS bucket FROM qr WHERE n >= 25), tq AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY trade_date, bucket) AS weight FROM qg),
+qt AS (SELECT trade_date, idx, coalesce(lead(idx) OVER (ORDER BY idx) - 1, (SELECT max(idx) - 1 FROM cal)) AS until FROM (SELECT DISTINCT trade_date FROM tq) JOIN cal USING (trade_date)),
+qh AS (SELECT t.bucket, t.entity_code, t.weight, s.idx AS start, c.idx, c.trade_date, coalesce(r.ret, 0) AS ret FROM tq t JOIN qt s USING (trade_date) JOIN cal c ON c.idx BETWEEN s.idx AND s.until LEFT JOIN ret r ON r.entity_code = t.entity_code AND r.idx = c.idx),
+qv AS (SELECT *, weight * exp(coalesce(sum(ln(1 + ret)) OVER (PARTITION BY bucket, start, entity_code ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS value FROM qh),
+qd AS (SELECT bucket, trade_date, sum(value * (1 + ret)) / sum(value) - 1 AS ret FROM qv GROUP BY ALL),
+ql AS (SELECT *, row_number() OVER (PARTITION BY bucket, start, entity_code ORDER BY idx DESC) AS r FROM qv), qo AS (SELECT bucket, entity_code, idx + 1 AS idx, value * (1 + ret) / sum(value * (1 + ret)) OVER (PARTITION BY bucket, start) AS old FROM ql WHERE r = 1),
+qn AS (SELECT t.bucket, t.entity_code, c.idx, t.weight AS new FROM tq t JOIN cal c USING (trade_date)),
+qm AS (SELECT bucket, idx, coalesce(new, 0) AS new, coalesce(old, 0) AS old FROM qn FULL JOIN (SELECT * FROM qo WHERE idx IN (SELECT idx FROM qn)) o USING (bucket, entity_code, idx)),
+qc AS (SELECT bucket, c.trade_date, (sum(greatest(new - old, 0)) + sum(greatest(old - new, 0))) / 2 AS turnover, sum(greatest(new - old, 0)) * 0.0003 + sum(greatest(old - new, 0)) * 0.0013 AS cost FROM qm JOIN cal c USING (idx) GROUP BY ALL),
+sd AS (SELECT bucket, trade_date, ret - coalesce(cost, 0) AS ret, coalesce(turnover, 0) AS turnover, coalesce(cost, 0) AS cost FROM qd LEFT JOIN qc USING (bucket, trade_date)),
+ls AS (SELECT trade_date, l.ret AS low_return, h.ret AS high_return, bench / 100 AS bench, h.ret - l.ret AS long_short, h.ret - bench / 100 AS excess, (l.turnover + h.turnover) / 2 AS turnover, (l.cost + h.cost) / 2 AS cost FROM (SELECT * FROM sd WHERE bucket = 1) l JOIN (SELECT * FROM sd WHERE bucket = 5) h USING (trade_date) JOIN b USING (trade_date) WHERE bench IS NOT NULL),
+lv AS (SELECT *, exp(sum(ln(1 + low_return)) OVER o) AS low_nav, exp(sum(ln(1 + high_return)) OVER o) AS high_nav, exp(sum(ln(1 + long_short)) OVER o) AS long_short_nav, exp(sum(ln(1 + bench)) OVER o) AS bench_nav FROM ls WINDOW o AS (ORDER BY trade_date)),
+mi AS (SELECT s.*, r.ret FROM scores s JOIN ret r USING (entity_code, trade_date)), ki AS (SELECT trade_date, {_AVG_RANK.format(x="score")} AS a, {_AVG_RANK.format(x="ret")} AS b FROM mi), ti AS (SELECT trade_date, count(*) AS n, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM ki GROUP BY 1)"""
+
+
+def sides(spark, sf):
+    """Lowest and highest fifth of the scores, held from one date with scores to the next."""
+    targets = once("quintiles", lambda: pf.quintile_targets(scores(spark, sf)))
+    own = once("sides", lambda: pf.portfolio_returns(targets, returns(spark, sf), cal(spark, sf), ("bucket",)).join(pf.turnover_cost(targets, returns(spark, sf), cal(spark, sf), ("bucket",)), ["bucket", "trade_date"], "left"))
+    bench = pf.benchmark_returns(bars(spark, sf), "000001.SZ").withColumn("bench", c("bench") / 100)
+    return rp.long_short(own.where("bucket = 1"), own.where("bucket = 5"), bench)
+
+
+@R.add("p_long_short", "trade_date", "low_return high_return long_short excess turnover cost low_nav high_nav long_short_nav bench_nav", share=True, sql=f"WITH {SIDES} SELECT * FROM lv")
+def _(spark, sf):
+    return sides(spark, sf)
+
+
+@R.add("p_long_short_summary", "", "annual annual_excess annual_long_short turnover ic_mean ic_ir max_drawdown", "days whole_days", share=True, sql=f"""
+WITH {SIDES}, lf AS (SELECT *, high_nav / max(high_nav) OVER (ORDER BY trade_date) - 1 AS fall FROM lv LEFT JOIN ti USING (trade_date)), g AS (SELECT product(1 + high_return) AS a, product(1 + excess) AS e, product(1 + long_short) AS l, count(*) AS days, avg(turnover) AS turnover, avg(ic) AS ic_mean, avg(ic) / nullif(stddev_samp(ic), 0) AS ic_ir, min(fall) AS max_drawdown, count(*) FILTER (n >= 25) AS whole_days FROM lf)
+SELECT *, CASE WHEN a > 0 THEN pow(a, 252.0 / days) - 1 ELSE -1 END AS annual, CASE WHEN e > 0 THEN pow(e, 252.0 / days) - 1 ELSE -1 END AS annual_excess, CASE WHEN l > 0 THEN pow(l, 252.0 / days) - 1 ELSE -1 END AS annual_long_short FROM g""")
+def _(spark, sf):
+    return rp.long_short_summary(sides(spark, sf), pf.target_ic(scores(spark, sf), returns(spark, sf)))
+
+
 PERF = """SELECT {k} count(*) AS days, max_by(nav, trade_date) - 1 AS total, CASE WHEN max_by(nav, trade_date) > 0 THEN pow(max_by(nav, trade_date), 252.0 / count(*)) - 1 ELSE -1 END AS annual,
  min(nav / greatest(peak, 1) - 1) AS max_drawdown, sqrt(252) * avg(ret) / nullif(stddev_samp(ret), 0) AS sharpe FROM (SELECT *, max(nav) OVER ({p} ORDER BY trade_date) AS peak FROM {f}) {g}"""
 

@@ -98,6 +98,15 @@ def _(spark, sf):
     return d.walk_forward(days, spark, 200, 21, gap=5).withColumnRenamed("window", "fold")
 
 
+@R.add("d_walk_forward_expanding", "split start_date end_date", "", "fold", sql=f"""
+WITH {SQL}, n AS (SELECT count(*) AS n FROM cal), k AS (SELECT n, unnest(range(0, 4)) AS j FROM n), w AS (SELECT j, n - 30 * j - 21 AS a FROM k WHERE n - 30 * j - 21 - 5 - 200 >= 0), mx AS (SELECT max(j) AS mj FROM w),
+f AS (SELECT mj - j + 1 AS fold, 'train' AS split, 0 AS s, a - 6 AS e FROM w, mx UNION ALL SELECT mj - j + 1, 'test', a, a + 20 FROM w, mx)
+SELECT fold, split, x.trade_date AS start_date, y.trade_date AS end_date FROM f JOIN cal x ON x.idx = s JOIN cal y ON y.idx = e""")
+def _(spark, sf):
+    days = [r[0] for r in cal(spark, sf).orderBy("idx").select("trade_date").collect()]  # a row per session
+    return d.walk_forward(days, spark, 200, 21, step=30, gap=5, expanding=True).withColumnRenamed("window", "fold")
+
+
 @R.add("d_imputed", K, "pct_chg pe", sql=f"""
 WITH {IND}, x AS (SELECT entity_code, trade_date, CASE WHEN k % 4 = 0 THEN NULL ELSE pct_chg END AS pct_chg, pe FROM panel), q AS (SELECT quantile_cont(pct_chg, 0.5) AS a FROM x WHERE trade_date < DATE '1999-01-01')
 SELECT entity_code, trade_date, coalesce(pct_chg, a) AS pct_chg, pe FROM x, q""")
