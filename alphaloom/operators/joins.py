@@ -29,21 +29,36 @@ def semi_universe(df: DataFrame, basics: DataFrame, kind: str = "1") -> DataFram
     return df.join(basics.where(F.col("type") == kind).select("entity_code"), "entity_code", "left_semi")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, value: str, default: float | None = None, out: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, value: str, default: float | None = None, out: str | None = None, unit: str | None = "month") -> DataFrame:
     """Adds to each left row the right value of the same `by` with the latest `on` that is not later.
 
-    Both sides are put one under the other and the last right value is carried forward: one shuffle and one sort by
-    (by, on), whatever the sizes, and no pair of rows is ever built. Of right rows at one time the largest value counts.
+    Both sides are put one under the other and the last right value is carried forward: one shuffle and one sort,
+    whatever the sizes, and no pair of rows is ever built. Of right rows at one time the largest value counts.
+
+    Times are cut into slices of one unit, so that a `by` of many rows is many groups: the last value of each slice, carried
+    over the slices of its `by`, is put at the beginning of the next ones. What is no date or time, and with unit None, is
+    not cut.
     """
+    unit = unit if dict(left.dtypes)[on].startswith(("date", "timestamp")) else None
     out = out or value
-    cols = left.columns
-    right_one = right.groupBy(by, on).agg(F.max(value).alias("__value"))
-    tagged = left.withColumn("__row", F.struct(*cols)).select(F.col(by).alias("__by"), F.col(on).alias("__on"), F.lit(1).alias("__side"), F.lit(None).cast(dict(right.dtypes)[value]).alias("__value"), "__row")
-    other = right_one.select(F.col(by).alias("__by"), F.col(on).alias("__on"), F.lit(0).alias("__side"), "__value", F.lit(None).cast(tagged.schema["__row"].dataType).alias("__row"))
-    before = Window.partitionBy("__by").orderBy("__on", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = tagged.unionByName(other).withColumn("__last", F.last("__value", ignorenulls=True).over(before)).where("__side = 1")
-    found = F.col("__last") if default is None else F.coalesce("__last", F.lit(default))
-    return carried.select(*[F.col("__row")[c].alias(c) for c in cols], found.alias(out))
+    cols, kind = left.columns, dict(right.dtypes)[value]
+    slice_ = (lambda c: F.date_trunc(unit, c)) if unit else (lambda c: F.lit(0))
+    right_one = right.where(F.col(by).isNotNull() & F.col(on).isNotNull()).groupBy(by, on).agg(F.max(value).alias("__value"))
+    tagged = left.withColumn("__row", F.struct(*cols)).select(F.col(by).alias("__by"), slice_(F.col(on)).alias("__slice"), F.col(on).alias("__on"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__value"), "__row")
+    none = F.lit(None).cast(tagged.schema["__row"].dataType).alias("__row")
+    other = right_one.select(F.col(by).alias("__by"), slice_(F.col(on)).alias("__slice"), F.col(on).alias("__on"), F.lit(0).alias("__side"), "__value", none)
+    rows = tagged.unionByName(other)
+    if unit:
+        ends = other.where("__value is not null").groupBy("__by", "__slice").agg(F.max_by("__value", "__on").alias("__end"))
+        asked = tagged.select("__by", "__slice").distinct().withColumn("__end", F.lit(None).cast(kind))
+        slices = ends.unionByName(asked).groupBy("__by", "__slice").agg(F.max("__end").alias("__end"))  # a row per slice
+        past = Window.partitionBy("__by").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        begin = slices.withColumn("__value", F.last("__end", ignorenulls=True).over(past)).where("__value is not null")
+        rows = rows.unionByName(begin.select("__by", "__slice", F.lit(None).cast(tagged.schema["__on"].dataType).alias("__on"), F.lit(-1).alias("__side"), "__value", none))
+    before = Window.partitionBy("__by", "__slice").orderBy(F.col("__on").asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = rows.withColumn("__last", F.last("__value", ignorenulls=True).over(before)).where("__side = 1")
+    timed = F.when(F.col("__on").isNotNull(), F.col("__last"))
+    return carried.select(*[F.col("__row")[c].alias(c) for c in cols], (timed if default is None else F.coalesce(timed, F.lit(default))).alias(out))
 
 
 def adjusted(bars: DataFrame, factors: DataFrame, prices: tuple[str, ...] = ("open", "close")) -> DataFrame:

@@ -195,6 +195,27 @@ def test_redundant_features_form_groups(spark):
     assert g.redundancy_groups(pairs.where("redundant = 0"), strength).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["month", "year", None])
+def test_asof_of_a_busy_entity(spark, unit):
+    """One entity holds half of all rows; values are carried over months without rows, nulls match nothing."""
+    import random
+
+    rng = random.Random(3)
+    day = lambda: dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(900))
+    names = ["busy"] * 6 + ["a", "b", "c", "d", "e", None]
+    left = [(i, rng.choice(names), day() if rng.random() < 0.97 else None) for i in range(600)]
+    right = [(rng.choice(names), day() if rng.random() < 0.97 else None, rng.choice([None, 1.0, 2.0, 5.0, float(i)])) for i in range(80)]
+    got = j.asof_join(spark.createDataFrame(left, "i int, e string, d date"), spark.createDataFrame(right, "e string, d date, v double"), "e", "d", "v", unit=unit).collect()
+    best = {}
+    for e, d, v in right:
+        if e is not None and d is not None and v is not None:
+            best[e, d] = max(v, best.get((e, d), v))
+    for r in got:
+        seen = [(d, v) for (e, d), v in best.items() if e == r["e"] and r["d"] is not None and d <= r["d"]]
+        assert r["v"] == (max(seen)[1] if seen else None)
+    assert len(got) == 600
+
+
 def test_components_of_a_long_path(spark):
     """2,000 features in a row, in an order without meaning, and a ring apart from them."""
     order = [f"f{(i * 7919) % 2000:04d}" for i in range(2000)]
