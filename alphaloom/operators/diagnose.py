@@ -157,20 +157,25 @@ def redundancy(long: DataFrame, least: int = PAIR_LEAST, limit: float = 0.85) ->
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """edges (a, b) -> (node, leader): leader the smallest node that hangs together with a node.
 
-    Every round a node takes the smallest leader among its own and its neighbours', then that one's leader, so that what it
-    reaches doubles; a round is two joins, and is stored. Nodes without edges are not in the result.
+    In every round each leader follows the smallest of its neighbours, chains of those that follow each other are cut short by
+    jumps, and leaders that are one now are contracted: what is left shrinks by more than half each time, so a path of
+    thousands takes a few rounds. Rounds are stored. Nodes whose only edge is to themselves lead themselves.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node is not null and other is not null")
-    links = stored(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    now = stored(links.select("node").distinct().withColumn("leader", F.col("node")))
-    while True:
-        heard = links.join(now.select(F.col("node").alias("other"), F.col("leader").alias("__heard")), "other").groupBy("node").agg(F.min("__heard").alias("__heard"))
-        near = now.join(heard, "node").select("node", F.col("leader").alias("__was"), F.least("leader", "__heard").alias("__next"))
-        far = near.select(F.col("node").alias("__next"), F.col("__next").alias("__far"))
-        moved = stored(near.join(far, "__next").select("node", "__was", F.least("__next", "__far").alias("leader")))
-        now = moved.drop("__was")
-        if not moved.where("leader <> __was").take(1):
-            return now
+    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    links = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, left = links.select(F.col("a").alias("node"), F.col("a").alias("leader")).distinct(), links.where("a <> b")
+    while left.take(1):
+        follows = stored(left.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("of"), F.least("a", "b").alias("to")))
+        while True:
+            jump = follows.select(F.col("of").alias("to"), F.col("to").alias("__far"))
+            moved = stored(follows.join(jump, "to").select("of", F.col("to").alias("__was"), F.col("__far").alias("to")))
+            follows = moved.drop("__was")
+            if not moved.where("to <> __was").take(1):
+                break
+        own = lambda c: follows.select(F.col("of").alias(c), F.col("to").alias(f"__{c}"))  # noqa: B023, E731
+        labels = stored(labels.join(own("leader"), "leader", "left").select("node", F.coalesce("__leader", "leader").alias("leader")))
+        left = stored(left.join(own("a"), "a").join(own("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b")).where("a <> b").distinct())
+    return labels
 
 
 def redundancy_groups(pairs: DataFrame, strength: DataFrame) -> DataFrame:
