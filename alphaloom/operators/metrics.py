@@ -114,7 +114,7 @@ def stability_gate(windows: DataFrame, stitched: DataFrame, key: str = "id") ->
 
 def leaderboard(models: DataFrame, cohort: list[str]) -> DataFrame:
     """models (model_id, cohort columns, ic, icir): rank within the same cohort by ic, then icir; null ic is unranked."""
-    key = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cohort]), 256)
+    key = F.sha2(F.to_json(F.struct(*cohort)), 256)  # named values, nulls left out: no two cohorts share a text
     own = Window.partitionBy("cohort").orderBy(F.col("ic").desc_nulls_last(), F.col("icir").desc_nulls_last(), "model_id")
     return models.withColumn("cohort", key).withColumn("place", F.when(F.col("ic").isNotNull(), F.row_number().over(own)))
 

@@ -161,6 +161,26 @@ def day_over_day(df: DataFrame) -> DataFrame:
     return rank_corr(both, ["trade_date"], "score", "was", "rho").withColumnRenamed("n", "common")
 
 
+# --- exposure ---
+
+
+def size_exposure(df: DataFrame, k: int = 5) -> DataFrame:
+    """df (trade_date, entity_code, score, cap) -> (size_bucket, universe, top, active): the share of each of k sizes among all
+    names, among those of the highest of k scores, and the difference. Names without score or cap play no part."""
+    known = df.where("score is not null and cap is not null").withColumns({"score_bucket": x.equal_count_bucket("score", k), "size_bucket": x.equal_count_bucket("cap", k)})
+    counts = known.groupBy("size_bucket").agg(F.count("*").alias("n"), F.count(F.when(F.col("score_bucket") == k, 1)).alias("t"))
+    all_ = Window.partitionBy()  # a row per size
+    s = counts.select("size_bucket", (F.col("n") / F.sum("n").over(all_)).alias("universe"), F.try_divide("t", F.sum("t").over(all_)).alias("top"))
+    return s.withColumn("active", F.col("top") - F.col("universe"))
+
+
+def size_relation(df: DataFrame) -> DataFrame:
+    """(trade_date, names, covered, coverage, rho): how many scored names have a cap, and the Spearman of score and cap."""
+    s = df.where("score is not null").groupBy("trade_date").agg(F.count("*").alias("names"), F.count("cap").alias("covered"))
+    rho = rank_corr(df.where("score is not null and cap is not null"), ["trade_date"], "score", "cap", "rho").select("trade_date", "rho")
+    return s.withColumn("coverage", F.col("covered") / F.col("names")).join(rho, "trade_date", "left")
+
+
 # --- long against short ---
 
 

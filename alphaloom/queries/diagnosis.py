@@ -158,6 +158,23 @@ def _(spark, sf):
     return g.concentration(industries(spark, sf).withColumnRenamed("industry_weight", "weight"))
 
 
+@R.add("g_size_exposure", "", "universe top active", "size_bucket", sql=f"""
+WITH {B}, {CAP[len(PANEL) + 2:]}, kn AS (SELECT bb.trade_date, bb.entity_code, bb.score, c2.cap AS size FROM bb JOIN cap c2 USING (entity_code, trade_date) WHERE c2.cap IS NOT NULL),
+eb AS (SELECT {_BUCKET.format(v="score")} AS sb, {_BUCKET.format(v="size")} AS zb FROM kn), nn AS (SELECT zb, count(*) AS n, count(*) FILTER (sb = 5) AS t FROM eb GROUP BY 1),
+sh2 AS (SELECT zb AS size_bucket, n / sum(n) OVER () AS universe, t / sum(t) OVER () AS top FROM nn) SELECT *, top - universe AS active FROM sh2""")
+def _(spark, sf):
+    return rp.size_exposure(capped(spark, sf))
+
+
+@R.add("g_size_relation", "trade_date", "coverage rho", "names covered", share=True, sql=f"""
+WITH {B}, {CAP[len(PANEL) + 2:]}, kn AS (SELECT bb.trade_date, bb.entity_code, bb.score, c2.cap AS size FROM bb JOIN cap c2 USING (entity_code, trade_date)),
+rr AS (SELECT trade_date, rank() OVER (PARTITION BY trade_date ORDER BY score) + (count(*) OVER (PARTITION BY trade_date, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY trade_date ORDER BY size) + (count(*) OVER (PARTITION BY trade_date, size) - 1) / 2.0 AS b FROM kn WHERE size IS NOT NULL),
+rh AS (SELECT trade_date, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN corr(a, b) END AS rho FROM rr GROUP BY 1)
+SELECT k.trade_date, count(*) AS names, count(size) AS covered, count(size) / count(*)::DOUBLE AS coverage, any_value(rho) AS rho FROM kn k LEFT JOIN rh USING (trade_date) GROUP BY 1""")
+def _(spark, sf):
+    return rp.size_relation(capped(spark, sf))
+
+
 @R.add("g_distribution", "", "", "bin n", sql=f"WITH {B} SELECT least(floor((score + 1) / 2 * 10), 9) AS bin, count(*) AS n FROM bb GROUP BY 1")
 def _(spark, sf):
     return g.distribution(b_rows(spark, sf), "score")

@@ -347,6 +347,6 @@ def _(spark, sf):
 
 
 @R.add("m_leaderboard", "model_id cohort", "ic icir", "year place", sql=f"""
-WITH {TRIALS} SELECT model_id, yr AS year, ic, icir, sha256(yr::VARCHAR) AS cohort, CASE WHEN ic IS NOT NULL THEN row_number() OVER (PARTITION BY yr ORDER BY ic DESC NULLS LAST, icir DESC NULLS LAST, model_id) END AS place FROM tr""")
+WITH {TRIALS} SELECT model_id, yr AS year, ic, icir, sha256('{{"year":' || yr::VARCHAR || '}}') AS cohort, CASE WHEN ic IS NOT NULL THEN row_number() OVER (PARTITION BY yr ORDER BY ic DESC NULLS LAST, icir DESC NULLS LAST, model_id) END AS place FROM tr""")
 def _(spark, sf):
     return m.leaderboard(trials(spark, sf), ["year"])
