@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, spec: MinMax = MinMax()) -> DataFrame:
     >= spec.percent / 100; kept marks it. Defined cases: null or empty text (or text of white space only) has
     n_shingles 0 and is linked with nothing; rows that repeat a doc_id with equal sets come back as often as given;
     a null doc_id comes back null, with the component of its text and kept false; an empty table gives no rows.
-    Further columns of docs are ignored.
+    Further columns of docs are ignored. Buckets of more than HEAVY comparisons are dealt out anew by the prefix filter, and
+    lists of ids beyond BROADCAST_IDS are shuffled instead of broadcast: both change the way, not the links.
     """
     spark = docs.sparkSession
     text_batches(spark)

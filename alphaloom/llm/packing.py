@@ -348,7 +348,7 @@ def pack(docs: DataFrame, spec: Packing) -> DataFrame:
 
     A document is the ids of its text, then end_id. Only documents longer than the capacity are cut, into full pieces
     and a rest. Defined cases: null and empty text count as the end id alone; rows that repeat a doc_id, and null ids,
-    are packed as often as given; an empty table gives no rows; other columns are ignored.
+    are packed as often as given; an empty table gives no rows; other columns are ignored. Texts of any length are taken whole.
     The histogram that goes to the driver has at most `capacity` rows, the plan a few for each of them and each group.
     """
     found = pieces(docs, spec)

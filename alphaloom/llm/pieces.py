@@ -269,7 +269,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_chars, n_tokens per row, without a shuffle.
 
     Defined cases: null and empty text have no tokens; repeated rows and null ids come back as given; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. Texts of any length are counted whole, one of many megabytes as a batch of its own.
     """
     return _ready(docs).mapInArrow(_counts(path), "doc_id long, n_chars long, n_tokens long")
 
@@ -294,7 +294,8 @@ def encode(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, segmentations array<array<int>>, scores array<double>, the best first.
 
     A text with fewer than n segmentations returns them all; null and empty text have one, without ids. Repeated rows and
-    null ids come back as given, an empty table gives no rows, other columns are ignored, whatever they are called.
+    null ids come back as given, an empty table gives no rows, other columns are ignored, whatever they are called. Texts of
+    any length are encoded whole, one of many megabytes as a batch of its own.
     """
     return _ready(docs).mapInArrow(_encode(path, n), "doc_id long, segmentations array<array<int>>, scores array<double>")
 
