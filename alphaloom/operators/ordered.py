@@ -74,12 +74,14 @@ def gaps(df: DataFrame, value: str, a: Column, b: Column, keys: list[str]) -> Da
     counts = rows.groupBy(*keys, "__v").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
     of = stored(ranges(rows, "__v", keys, __na=F.sum("__a"), __nb=F.sum("__b")))
     placed = met(counts, of, keys).withColumn("__cell", cell(F.col("__v")))
-    step = F.col("__a") / F.nullif("__na", F.lit(0)) - F.col("__b") / F.nullif("__nb", F.lit(0))
     within = Window.partitionBy(*keys, "__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumn("__step", step).withColumn("__up", F.sum("__step").over(within))
-    cells = local.groupBy(*keys, "__cell").agg(F.sum("__step").alias("__step"), F.max("__up").alias("__most"), F.min("__up").alias("__least"))
-    before = F.coalesce(F.sum("__step").over(Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    reach = F.greatest(F.abs(before + F.col("__most")), F.abs(before + F.col("__least")))
+    local = placed.withColumns({"__ua": F.sum("__a").over(within), "__ub": F.sum("__b").over(within)})
+    share = lambda a, b: a / F.nullif("__na", F.lit(0)) - b / F.nullif("__nb", F.lit(0))
+    at = F.struct(share(F.col("__ua"), F.col("__ub")).alias("d"), F.col("__ua").alias("a"), F.col("__ub").alias("b"))
+    cells = local.groupBy(*keys, "__cell", "__na", "__nb").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"), F.max(at).alias("__most"), F.min(at).alias("__least"))
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    past = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    reach = F.greatest(*[F.abs(share(past("__a") + F.col(end)["a"], past("__b") + F.col(end)["b"])) for end in ("__most", "__least")])
     return cells.withColumn("__gap", reach).groupBy(*keys).agg(F.max("__gap").alias("gap"))
 
 
