@@ -13,6 +13,7 @@ sort of the corpus, and no group is gathered anywhere.
 
 from __future__ import annotations
 
+import gc
 import struct
 import unicodedata
 import zlib
@@ -20,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FAR, LONGEST_REMEMBERED, NEAR, Cutter, held, release, stored, table, text_batches, trim, utf8
+from .common import FAR, LONGEST_REMEMBERED, NEAR, Cutter, held, release, stored, table, text_batches, trim
 
 
 @dataclass(frozen=True)
@@ -89,9 +91,10 @@ class WordIds:
     def _missing(self, words: set[str]) -> set[str]:
         """The words that are not remembered; of those remembered for long, what is asked for becomes recent again."""
         missing = words.difference(self.recent)
-        again = missing.intersection(self.older)
+        new = missing.difference(self.older)
+        again = missing.difference(new)
         self.recent.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        return missing.difference(again)
+        return new
 
     def _remember(self, words: set[str]) -> list[str]:
         """Makes all words, without a special token, recent: new ones are cut, and their new parts encoded. Returns long ones."""
@@ -107,19 +110,21 @@ class WordIds:
         self.recent.update([(w, b"".join(map(ids, parts[a + 1 : b]))) for w, a, b in zip(rest, at, at[1:], strict=False) if b - a > 2])
         return [w for w in rest if len(w) > LONGEST_REMEMBERED]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        words.discard("")
-        special = {w for s in self.specials if any(s in t for t in texts) for w in words if s in w}
-        long = self._remember(words - special if special else words)
-        extra = {w: self._one(w) for w in special}
-        self.recent[""] = b""
-        ids = (lambda w: extra[w] if w in extra else self.recent[w]) if special else self.recent.__getitem__
-        out = [b"".join(map(ids, s)) for s in split]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null is empty. Words are numbered by Arrow, so Python sees each once in a batch."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        special = {w for w in words if any(s in w for s in self.specials)} if any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.specials) else set()
+        long = self._remember({w for w in words if w and w not in special})
+        known = {w: self._one(w) for w in special} | {"": b""}
+        ids = pa.array([known[w] if w in known else self.recent[w] for w in words], pa.large_binary()).take(coded.indices)
         for w in long:
             self.recent.pop(w, None)
-        return out
+        _, offsets, data = ids.buffers()
+        data = memoryview(data) if data else memoryview(b"")
+        ends = np.frombuffer(offsets, np.int64, len(ids) + 1, 8 * ids.offset)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _kind(c: str) -> str:
@@ -135,10 +140,10 @@ def _pieces(spec: Packing):
         words, end = held(WordIds, spec.tokenizer, spec.remembered), np.asarray([spec.end_id], "<u4").tobytes()
         seen = np.zeros(spec.capacity + 1, np.int64)  # pieces of each length so far in this task
         step = 4 * spec.capacity
+        gc.disable()  # nothing here makes cycles, and the collector would go through all words of a batch many times
         for batch in batches:
             rows = []
-            texts = [t.decode() if t else "" for t in utf8(batch.column("text"))]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text")), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
@@ -149,6 +154,7 @@ def _pieces(spec: Packing):
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
             rows.clear()
+        gc.enable()
         trim()
 
     return run
