@@ -180,7 +180,7 @@ def latest_predictions(df: DataFrame, keys: tuple[str, ...] = (*KEY, "model_id")
 
 
 def final(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The last version of each key, by updated_at."""
+    """The last version of each key, by updated_at; ties go to the row that is larger in its other columns, in their order."""
     return latest_by(df, keys, ["updated_at"])
 
 

@@ -170,6 +170,12 @@ def _(spark, sf):
     return f.withColumn("top", F.date_diff(c("updated_at").cast("date"), F.lit("1990-01-01").cast("date")))
 
 
+@R.add("j_final_rows", K + " factor_id run_id", "value", "factor_version", sql=f"""
+WITH {VALUES}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_code, trade_date, factor_id, factor_version ORDER BY updated_at DESC, run_id DESC) AS n FROM vals) SELECT * FROM r WHERE n = 1""")
+def _(spark, sf):
+    return j.final(values(spark, sf), ("entity_code", "trade_date", "factor_id", "factor_version"))
+
+
 @R.add("j_revision", "params_hash", "", "factor_version rows", sql=f"""
 WITH {VALUES} SELECT factor_version, params_hash, count(*) AS rows FROM vals WHERE factor_id = 'size' AND trade_date BETWEEN DATE '1998-01-01' AND DATE '1999-01-01' GROUP BY ALL ORDER BY factor_version DESC, max(computed_at) DESC, params_hash LIMIT 1""")
 def _(spark, sf):

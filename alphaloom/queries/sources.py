@@ -232,3 +232,14 @@ def _(spark, sf):
     d = definitions(spark, sf)
     one = v.definitions_per_version(d)
     return v.definition_changes(one.where("version <= 40"), one.where("version >= 20").withColumn("expression", F.when(c("version") % 3 == 0, "X").otherwise(c("expression"))))
+
+
+@R.add("i_upsert", "factor_id expression", "", "version seq", sql="""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey DESC) AS r FROM part),
+o AS (SELECT p_brand AS factor_id, p_size AS version, p_type AS expression, p_partkey AS seq FROM d WHERE r = 1), m AS (SELECT factor_id, max(version) AS top FROM o WHERE version <= 40 GROUP BY 1)
+SELECT o.factor_id, o.version, o.seq, CASE WHEN o.version = m.top THEN 'X' ELSE o.expression END AS expression FROM o LEFT JOIN m USING (factor_id)""")
+def _(spark, sf):
+    one = v.definitions_per_version(definitions(spark, sf))
+    old = one.where("version <= 40")
+    changed = v.latest_definitions(old).withColumn("expression", F.lit("X"))
+    return v.upsert_definition(old, one.where("version > 40").unionByName(changed.select(*one.columns)))

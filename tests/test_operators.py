@@ -12,6 +12,7 @@ from alphaloom.operators import evaluate as e
 from alphaloom.operators import joins as j
 from alphaloom.operators import metrics as m
 from alphaloom.operators import portfolio as pf
+from alphaloom.operators import quality
 from alphaloom.operators import selection as sel
 from alphaloom.sources import panel as src
 from alphaloom.sources import sinks
@@ -387,3 +388,13 @@ def test_walk_forward_query_fits_every_window(spark):
     rows = jobs.R.queries["m_walk_forward"](spark, "/root/testdata/sf0.001").select("fold", "trade_date").distinct().collect()
     assert sorted({r["fold"] for r in rows}) == [1, 2, 3, 4]
     assert len({r["trade_date"] for r in rows}) == len(rows) <= 4 * 21
+
+
+def test_upsert_definition(spark):
+    shape = "factor_id string, version int, expression string"
+    old = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], shape)
+    new = spark.createDataFrame([("a", 2, "w"), ("b", 1, "z"), ("b", 2, "v"), ("c", 5, "u")], shape)
+    got = sorted(tuple(r) for r in quality.upsert_definition(old, new).collect())
+    assert got == [("a", 1, "x"), ("a", 2, "w"), ("b", 1, "z"), ("b", 2, "v"), ("c", 5, "u")]
+    with pytest.raises(ValueError, match="conflicting"):
+        quality.upsert_definition(old, spark.createDataFrame([("a", 1, "changed")], shape))
