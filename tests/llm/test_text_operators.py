@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from alphaloom.llm import packing, pieces, pii, url_filter
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -375,6 +377,22 @@ def test_packing_odd_rows(spark):
     assert len(packing.pack(documents(spark, ["x"], [None]), spec).collect()) == 1
 
 
+def test_word_ids_by_batches():
+    texts = [None, "", "two  spaces\nand a line", "it's <|endoftext|>glued", "x" * 500, "x" * 500 + " again", "naïve 中文 12345 a1b2", " ", *ODD]
+    words = packing.WordIds(WORDS, remembered=8)
+    for a in (0, 1, 3):
+        batch = pa.array(texts, pa.string()).slice(a)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(batch)] == [ids_plainly(t)[:-1] for t in texts[a:]]
+    assert words.encode(pa.array([], pa.string())) == [] and words.encode(pa.array([None, None], pa.string())) == [b"", b""]
+    assert not any(len(w) > 64 for w in [*words.recent, *words.older])
+
+
+def test_packing_in_the_pipeline(spark):
+    docs = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    texts = [None, "", *ODD, *docs]
+    check_packing(corpus_pipeline.pack_sequences(spark, documents(spark, texts), SF).collect(), dict(enumerate(texts)), 2048)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_piece_once(seed):
     random.seed(seed)
