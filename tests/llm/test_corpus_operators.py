@@ -406,4 +406,5 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         for df in (rows, rows.limit(0)):
             assert stage(spark, df, str(tmp_path)).columns == rows.columns
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    left = corpus_pipeline.run(spark, str(tmp_path)).collect()  # null and empty texts go, of the two that repeat each other one stays at most
+    assert len(left) <= 1 and {r["doc_id"] for r in left} <= {None, 3}
