@@ -122,12 +122,18 @@ def leaderboard(models: DataFrame, cohort: list[str]) -> DataFrame:
 def ensemble(predictions: DataFrame, sources: DataFrame) -> DataFrame:
     """predictions (trade_date, entity_code, model_id, score), sources (model_id, weight) -> combined scores.
 
-    Only entities that all sources cover count. Scores are rounded to 12 places, so that the order of a sum does not break
-    ties; ranks are unique, the percentile is (rank - 1) / (n - 1).
+    Only entities that all sources cover count. Weighted scores are added in the order of model_id, so one sum has one
+    value; ranks count it in units of 1e-12 (floor(score * 1e12 + 0.5)), ties by code. Ranks are unique, the percentile is
+    (rank - 1) / (n - 1).
     """
     counted = sources.withColumn("__of", F.count(F.lit(1)).over(Window.partitionBy()))  # a row per model
-    met = predictions.join(counted, "model_id").groupBy("trade_date", "entity_code").agg(F.count_distinct("model_id").alias("k"), F.first("__of").alias("__of"), F.round(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 12).alias("score"))
-    whole = met.where(F.col("k") == F.col("__of")).drop("k", "__of")
+    met = predictions.join(counted, "model_id").groupBy("trade_date", "entity_code").agg(F.array_sort(F.collect_list(F.struct("model_id", "weight", "score"))).alias("__s"), F.first("__of").alias("__of"))
+    total = lambda term: F.aggregate("__s", F.lit(0.0), lambda a, v: a + F.coalesce(term(v), F.lit(0.0)))
+    whole = met.where(F.size(F.array_distinct(F.col("__s.model_id"))) == F.col("__of"))
+    mean = F.when(F.exists("__s", lambda v: v["score"].isNotNull()), total(lambda v: v["weight"] * v["score"]) / total(lambda v: v["weight"]))
+    whole = whole.select("trade_date", "entity_code", mean.alias("score"))
+    units = F.floor(F.col("score") * 1e12 + 0.5) / 1e12
+    whole = whole.withColumn("score", F.when(F.abs("score") < 9e3, units).otherwise(F.col("score")))  # larger ones have no such places
     n = F.count(F.lit(1)).over(x.xs())
     ranked = whole.withColumns({"rank_value": x.rank_first("score"), "__n": n})
     return ranked.withColumn("percentile", F.when(F.col("__n") > 1, (F.col("rank_value") - 1) / (F.col("__n") - 1)).otherwise(0.0)).drop("__n")

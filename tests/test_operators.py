@@ -1,6 +1,7 @@
 """Joins, evaluation, portfolios, datasets, metrics, sinks: tiny frames with answers worked out by hand."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,22 @@ def test_ensemble_needs_all_sources(spark):
     assert rows(m.ensemble(p, w).select("entity_code", "score", "rank_value", "percentile"), "entity_code") == [("a", 0.75, 1, 0.0), ("c", 0.0, 2, 1.0)]
 
 
+def test_ensemble_adds_in_the_order_of_models(spark):
+    """Whatever order the rows arrive in, a sum has one value; order is that of floor(sum * 1e12 + 0.5)."""
+    exact = lambda a, b, c: (0.5 * a + 0.3 * b + 0.2 * c) / (0.5 + 0.3 + 0.2)
+    scores = [(2 * (i * 37 % 101) / 7919 - 1, 2 * (i * 53 % 103) / 7919 - 1, 2 * (i * 71 % 107) / 7919 - 1) for i in range(300)]
+    want = {f"e{i:03}": math.floor(exact(*s) * 1e12 + 0.5) / 1e12 for i, s in enumerate(scores)}
+    place = {k: n for n, (k, _) in enumerate(sorted(want.items(), key=lambda x: (-x[1], x[0])), 1)}
+    w = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "model_id string, weight double")
+    for order in ("abc", "cab", "bca"):
+        p = spark.createDataFrame([(D[0], f"e{i:03}", n, s["abc".index(n)]) for n in order for i, s in enumerate(scores)], "trade_date date, entity_code string, model_id string, score double")
+        got = m.ensemble(p.coalesce(1), w).collect()
+        assert {r["entity_code"]: r["score"] for r in got} == want
+        assert {r["entity_code"]: r["rank_value"] for r in got} == place
+    large = m.ensemble(spark.createDataFrame([(D[0], e, n, v) for e, v in (("x", 1e7), ("y", 2e7)) for n in "abc"], "trade_date date, entity_code string, model_id string, score double"), w)
+    assert [r["score"] for r in large.orderBy("rank_value").collect()] == [2e7, 1e7]
+
+
 def test_trend(spark):
     df = spark.createDataFrame([("a", D[i], s) for i, s in enumerate([1.0, 2.0, 3.0, 2.0, 2.0])] + [("b", D[0], 1.0)], "entity_code string, trade_date date, score double")
     got = [(r["trend"], r["buyable"]) for r in sel.trend(df).orderBy("entity_code", "trade_date").collect()]
