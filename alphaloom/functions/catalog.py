@@ -1,18 +1,21 @@
 """The factor catalogue: each factor is a composition of scalar and rolling functions over the panel's columns.
 
 `factor(name)(panel)` adds the factor as `raw_value`; `columns(names)` gives many at once, which share one shuffle and
-sort, as all use the same window. Nested factors are built level by level (NESTED).
+sort, as all use the same window. Nested factors, and
+those of long frames that need two passes, come from `nested` (NESTED, MOMENTS).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling as r
 from . import scalar as s
+from .lagged import Rows, Series, with_lagged
 
 
 def c(name: str) -> Column:
@@ -156,79 +159,108 @@ GROUPS = {"seed": SEED, "style": STYLE, "sentiment": SENTIMENT, "risk": RISK, "t
 FLAT = {name: make for group in GROUPS.values() for name, make in group.items()}
 
 
-def _macd(df: DataFrame, x: str) -> DataFrame:
-    levels = r.stage(df, __dif=r.ema(c(x), 12) - r.ema(c(x), 26))
-    return r.stage(levels, __dea=r.ema(c("__dif"), 9))
+def _macd(p: Rows, x: str) -> tuple[Series, Series]:
+    dif = p.ema(p[x], 12) - p.ema(p[x], 26)
+    return dif, p.ema(dif, 9)
 
 
-def _trix(df: DataFrame, n: int) -> DataFrame:
-    a = r.stage(df, __a=r.ema(c("close"), n))
-    b = r.stage(a, __b=r.ema(c("__a"), n))
-    return r.stage(r.stage(b, __c=r.ema(c("__b"), n)), raw_value=r.period_return(c("__c"), 1) * 100)
+def _macdc(p: Rows) -> Series:
+    dif, dea = _macd(p, "close")
+    return 2 * (dif - dea) / p["close"]
 
 
-def _mfi(df: DataFrame) -> DataFrame:
-    flow = r.stage(df, __tp=typical())
-    flow = r.stage(flow, __move=r.delta(c("__tp"), 1), __flow=c("__tp") * c("volume"))
-    up = r.sum_(F.when(c("__move") > 0, c("__flow")).otherwise(0.0), 14)
-    down = r.sum_(F.when(c("__move") < 0, c("__flow")).otherwise(0.0), 14)
-    return r.stage(flow, raw_value=100 - s.div(F.lit(100.0), 1 + _ratio(up, down)))
+def _vmacd(p: Rows) -> Series:
+    dif, dea = _macd(p, "volume")
+    return 2 * (dif - dea)
 
 
-def _cr(df: DataFrame) -> DataFrame:
-    mid = r.stage(df, __mid=r.ref((c("high") + c("low")) / 2, 1))
-    up = r.sum_(s.greater(c("high") - c("__mid"), 0), 20)
-    return r.stage(mid, raw_value=_ratio(up, r.sum_(s.greater(c("__mid") - c("low"), 0), 20)) * 100)
+def _trix(p: Rows, n: int) -> Series:
+    return p.period_return(p.ema(p.ema(p.ema(p["close"], n), n), n), 1) * 100
 
 
-def _mass(df: DataFrame) -> DataFrame:
-    one = r.stage(df, __e=r.ema(c("high") - c("low"), 9))
-    return r.stage(r.stage(one, __q=_ratio(c("__e"), r.ema(c("__e"), 9))), raw_value=r.sum_(c("__q"), 25))
+def _typical(p: Rows) -> Series:
+    return (p["high"] + p["low"] + p["close"]) / 3
 
 
-def _log_return() -> Column:
-    return s.log_(1 + DAILY())
+def _mfi(p: Rows) -> Series:
+    price = _typical(p)
+    move, flow = price - p.ref(price, 1), price * p["volume"]
+    part = lambda on: p.sum(Series(np.where(on & move.ok, flow.v, 0.0), np.where(on & move.ok, flow.ok, True)), 14)
+    ratio = 1 + part(move.v > 0) / part(move.v < 0)
+    return 100 - (0 * ratio + 100) / ratio
 
 
-def _half_life_std(df: DataFrame) -> DataFrame:
-    m = r.stage(df, __m=r.half_life(DAILY(), 252, 42))
-    spread = r.half_life(DAILY() * DAILY(), 252, 42) - c("__m") * c("__m")
-    return r.stage(m, raw_value=F.sqrt(s.greater(spread, 0)))
+def _cr(p: Rows) -> Series:
+    mid = p.ref((p["high"] + p["low"]) / 2, 1)
+    return p.sum((p["high"] - mid).at_least(0), 20) / p.sum((mid - p["low"]).at_least(0), 20) * 100
 
 
-def _cumulative_range(df: DataFrame, months: int = 12) -> DataFrame:
+def _mass(p: Rows) -> Series:
+    e = p.ema(p["high"] - p["low"], 9)
+    return p.sum(e / p.ema(e, 9), 25)
+
+
+def _mawvad(p: Rows) -> Series:
+    return p.mean(p.sum((p["close"] - p["open"]) / (p["high"] - p["low"]) * p["volume"], 6), 6)
+
+
+def _cci88(p: Rows) -> Series:
+    price = _typical(p)
+    return (price - p.mean(price, 88)) / (0.015 * p.mad(price, 88))
+
+
+def _daily(p: Rows) -> Series:
+    return p["pct_chg"] / 100
+
+
+def _log_return(p: Rows) -> Series:
+    return (1 + _daily(p)).log()
+
+
+def _half_life_std(p: Rows) -> Series:
+    m = p.half_life(_daily(p), 252, 42)
+    return (p.half_life(_daily(p) * _daily(p), 252, 42) - m * m).at_least(0).sqrt()
+
+
+def _cumulative_range(p: Rows, months: int = 12) -> Series:
     """Largest minus smallest cumulative log return over the last 12 months of 21 rows."""
-    parts = r.stage(df, **{f"__z{k}": s.log_(s.div(c("close"), F.nullif(r.ref(c("close"), 21 * k), F.lit(0.0)))) for k in range(1, months + 1)})
-    z = F.array(*[c(f"__z{k}") for k in range(1, months + 1)])
-    return r.stage(parts, raw_value=F.array_max(z) - F.array_min(z))
+    z = [(p["close"] / p.ref(p["close"], 21 * k)).log() for k in range(1, months + 1)]
+    most, least = (pick([np.where(x.ok, x.v, end) for x in z], axis=0) for pick, end in ((np.max, -np.inf), (np.min, np.inf)))
+    return Series(most - least, np.any([x.ok for x in z], axis=0))
 
 
 def _rank_1m(df: DataFrame) -> DataFrame:
-    """The share of entities with a larger 20-row return on the day."""
-    back = r.stage(df, __r=r.period_return(c("close"), 20))
+    """The share of entities with a larger 20-row return on the day, from that return."""
     day = Window.partitionBy("trade_date")
-    place = F.rank().over(day.orderBy(c("__r").desc_nulls_last()))
-    return r.stage(back, raw_value=F.when(c("__r").isNotNull(), s.div(place, F.count("__r").over(day))))
-
-
-NESTED: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "MACDC": lambda df: r.stage(_macd(df, "close"), raw_value=_ratio(2 * (c("__dif") - c("__dea")), c("close"))),
-    "VDEA": lambda df: r.stage(_macd(df, "volume"), raw_value=c("__dea")),
-    "VMACD": lambda df: r.stage(_macd(df, "volume"), raw_value=2 * (c("__dif") - c("__dea"))),
-    "MAWVAD": lambda df: r.stage(r.stage(df, __w=r.sum_(wvad_term(), 6)), raw_value=r.mean(c("__w"), 6)),
-    "TRIX5": lambda df: _trix(df, 5),
-    "TRIX10": lambda df: _trix(df, 10),
+    place = F.rank().over(day.orderBy(c("Rank1M").desc_nulls_last()))
+    return df.withColumn("Rank1M", F.when(c("Rank1M").isNotNull(), s.div(place, F.count("Rank1M").over(day))))
+
+
+#: Nested factors by what they take of an entity's rows. Rank1M is put into its cross-section after that.
+NESTED: dict[str, Callable[[Rows], Series]] = {
+    "MACDC": _macdc,
+    "VDEA": lambda p: _macd(p, "volume")[1],
+    "VMACD": _vmacd,
+    "MAWVAD": _mawvad,
+    "TRIX5": lambda p: _trix(p, 5),
+    "TRIX10": lambda p: _trix(p, 10),
     "MASS": _mass,
     "CR20": _cr,
     "MFI14": _mfi,
-    "CCI88": lambda df: r.stage(df, raw_value=cci(88)),
-    "Rank1M": _rank_1m,
+    "CCI88": _cci88,
+    "Rank1M": lambda p: p.period_return(p["close"], 20),
     "daily_standard_deviation": _half_life_std,
-    "momentum": lambda df: r.stage(r.stage(df, __l=r.ref(_log_return(), 21)), raw_value=r.half_life(c("__l"), 504, 126)),
-    "relative_strength": lambda df: r.stage(df, raw_value=r.half_life(_log_return(), 504, 126)),
+    "momentum": lambda p: p.half_life(p.ref(_log_return(p), 21), 504, 126),
+    "relative_strength": lambda p: p.half_life(_log_return(p), 504, 126),
     "cumulative_range": _cumulative_range,
 }
 
+#: Flat factors that cost less this way than as sliding frames; the results are those of FLAT.
+MOMENTS: dict[str, Callable[[Rows], Series]] = {f"{name}{n}": lambda p, n=n, k=k: p.moment(_daily(p), n, k) for name, k in (("Kurtosis", 4), ("Skewness", 3)) for n in (20, 60, 120)}
+
+#: Rows that the longest chain of frames above looks back (momentum: 21 and 503).
+BACK = 524
+
 
 def columns(names: list[str]) -> dict[str, Column]:
     return {n: FLAT[n]().cast("double") for n in names}
@@ -237,12 +269,12 @@ def columns(names: list[str]) -> dict[str, Column]:
 def factor(name: str) -> Callable[[DataFrame], DataFrame]:
     """A function from a panel to the panel with raw_value."""
     if name in NESTED:
-        return lambda panel: NESTED[name](r.with_row_index(panel)).drop(*[x for x in ("__dif", "__dea", "__a", "__b", "__c", "__tp", "__move", "__flow", "__mid", "__e", "__r", "__q", "__m", "__l", "__w", "row_index")], *[f"__z{k}" for k in range(1, 13)])
+        return lambda panel: nested(panel, [name]).withColumnRenamed(name, "raw_value")
     return lambda panel: r.with_row_index(panel).withColumn("raw_value", FLAT[name]().cast("double")).drop("row_index")
 
 
 def nested(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """panel with a column per nested factor. The one with a cross-section comes last, so that entities are dealt once."""
-    for name in sorted(names if names is not None else NESTED, key=lambda n: n == "Rank1M"):
-        panel = factor(name)(panel).withColumnRenamed("raw_value", name)
-    return panel
+    """panel with a column per nested factor or entry of MOMENTS; all but the cross-section in one pass over the entities."""
+    names = list(NESTED) if names is None else names
+    wide = with_lagged(panel, {n: (NESTED | MOMENTS)[n] for n in names}, BACK)
+    return _rank_1m(wide) if "Rank1M" in names else wide

@@ -69,8 +69,8 @@ def probe_catalog(panel: DataFrame, entity: str | None = None, names: list[str]
     """(factor_id, rows, finite): every factor of the catalogue over all entities or one, counted in one aggregation."""
     names = names or [*catalog.FLAT, *catalog.NESTED]
     rows = panel if entity is None else panel.where(F.col("entity_code") == entity)
-    deep = [n for n in names if n in catalog.NESTED]
-    flat = catalog.columns([n for n in names if n not in catalog.NESTED])
+    deep = [n for n in names if n in catalog.NESTED or n in catalog.MOMENTS]
+    flat = catalog.columns([n for n in names if n not in deep])
     # Nested ones last: the cross-section among them deals the rows anew.
     ready = r.with_row_index(rows).select("*", *[c.alias(n) for n, c in flat.items()]).drop("row_index")
     wide = catalog.nested(ready, deep).select(*[F.col(n).cast("double").alias(n) for n in names])

@@ -231,7 +231,12 @@ def _catalog_rest(group: str, names: list[str]) -> None:
 
     @R.add(f"catalog_{group}_rest", K, " ".join(names), sql=sql if set(names) == set(REST_SQL[group]) else None)
     def _(spark, sf):
-        return r.with_row_index(panel(spark, sf)).select("entity_code", "trade_date", *[v.alias(n) for n, v in catalog.columns(names).items()])
+        lagged = [n for n in names if n in catalog.MOMENTS]
+        flat = catalog.columns([n for n in names if n not in lagged])
+        if not flat:
+            return catalog.nested(panel(spark, sf).select("entity_code", "trade_date", "pct_chg"), lagged)
+        wide = r.with_row_index(catalog.nested(panel(spark, sf), lagged))
+        return wide.select("entity_code", "trade_date", *[v.alias(n) for n, v in flat.items()], *lagged)
 
 
 for _group, _exprs in CATALOG_SQL.items():
@@ -241,7 +246,7 @@ for _group, _exprs in CATALOG_SQL.items():
 
 @R.add("catalog_nested", K, " ".join(catalog.NESTED))
 def _(spark, sf):
-    return catalog.nested(panel(spark, sf))
+    return catalog.nested(panel(spark, sf).select("entity_code", "trade_date", "open", "high", "low", "close", "volume", "pct_chg"))
 
 
 @R.add("catalog_probe", "factor_id", "", "rows finite")
