@@ -94,15 +94,19 @@ def sessions_from(days: DataFrame, day: str, cal: DataFrame, strict: bool = Fals
 def membership(cal: DataFrame, members: DataFrame) -> DataFrame:
     """(trade_date, entity_code) for the sessions within [in_date, out_date], open where out_date is null.
 
-    Both dates are turned into positions on the calendar and the positions between them met with it by equality.
+    Both dates are turned into positions on the calendar and the positions between them met with it by equality. Spans of one
+    entity may overlap; each session comes once.
     """
     first = sessions_from(members, "in_date", cal).select("in_date", F.col("idx").alias("__a"))
     after = sessions_from(members, "out_date", cal, strict=True).select("out_date", F.col("idx").alias("__b"))
     end = cal.agg((F.max("idx") + 1).alias("__end"))
     placed = members.join(first, "in_date").join(after, "out_date", "left").crossJoin(end)
-    stop = F.coalesce("__b", "__end") - 1
-    spans = placed.where(F.col("__a") <= stop).select("entity_code", F.explode(F.sequence(F.col("__a"), stop)).alias("idx"))
-    return spans.join(cal.select("trade_date", F.col("idx").cast("long").alias("idx")), "idx").select("entity_code", "trade_date").distinct()
+    spans = placed.withColumn("__stop", F.coalesce("__b", "__end") - 1).where("__a <= __stop")
+    # A span starts after those before it, so no session comes twice and the sessions need no distinct.
+    before = Window.partitionBy("entity_code").orderBy("__a", "__stop").rowsBetween(Window.unboundedPreceding, -1)
+    own = spans.withColumn("__a", F.greatest("__a", F.max("__stop").over(before) + 1)).where("__a <= __stop")
+    days = own.select("entity_code", F.explode(F.sequence("__a", "__stop")).alias("idx"))
+    return days.join(F.broadcast(cal.select("trade_date", F.col("idx").cast("long").alias("idx"))), "idx").select("entity_code", "trade_date")  # a row per session
 
 
 def membership_all(bars: DataFrame, basics: DataFrame, kind: str = "1") -> DataFrame:
