@@ -10,8 +10,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import add, and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import market_regime
 from .evaluate import rank_corr
@@ -161,12 +165,30 @@ def holdings(targets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 # --- composition of several score engines ---
 
 
+def _leading(batches):
+    """Of each batch the rows that can be among the top_n of their engine and date."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        score = batch.column("score").cast(pa.float64())
+        codes = [batch.column(k).dictionary_encode().indices.fill_null(-1) for k in ("engine", "trade_date")]
+        table = pa.table([*codes, pc.is_nan(score), score, batch.column("entity_code")], ["e", "d", "nan", "score", "code"])
+        order = pc.sort_indices(table, [("e", "ascending"), ("d", "ascending"), ("nan", "descending"), ("score", "descending"), ("code", "ascending")]).to_numpy()
+        e, d = (c.to_numpy()[order] for c in codes)
+        at = np.arange(len(order))
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], (e[1:] != e[:-1]) | (d[1:] != d[:-1])]), at, 0))
+        kept = order[at - first < batch.column("top_n").to_numpy(zero_copy_only=False)[order]]
+        yield batch.take(pa.array(np.sort(kept)))
+
+
 def compose(predictions: DataFrame, engines: DataFrame) -> DataFrame:
     """predictions (trade_date, entity_code, engine, score), engines (engine, priority, weight, threshold, top_n).
 
-    Per engine and date the names that reach its threshold, at most top_n, with their position from 1.
+    Per engine and date the names that reach its threshold, at most top_n, with their position from 1. What cannot be among
+    them is left out batch by batch, so that few rows are shuffled and put in order.
     """
-    met = predictions.join(engines, "engine").where(F.col("score") >= F.col("threshold"))
+    met = predictions.join(F.broadcast(engines), "engine").where((F.col("score") >= F.col("threshold")) & F.col("top_n").isNotNull())
+    met = met.mapInArrow(_leading, T.StructType([T.StructField(f.name, f.dataType, True) for f in met.schema.fields]))
     place = F.row_number().over(Window.partitionBy("engine", "trade_date").orderBy(F.col("score").desc(), "entity_code"))
     return met.withColumn("position", place).where(F.col("position") <= F.col("top_n"))
 

@@ -159,6 +159,34 @@ def test_ensemble_adds_in_the_order_of_models(spark):
     assert [r["score"] for r in large.orderBy("rank_value").collect()] == [2e7, 1e7]
 
 
+def test_membership_of_overlapping_spans_needs_no_distinct(spark):
+    m_ = spark.createDataFrame([("a", D[0], D[3]), ("a", D[1], D[2]), ("a", D[2], D[5]), ("a", D[8], None), ("b", D[4], D[4]), ("b", D[4], D[4])], "entity_code string, in_date date, out_date date")
+    got = j.membership(cal(spark), m_)
+    assert rows(got, "entity_code", "trade_date") == [*[("a", D[i]) for i in (0, 1, 2, 3, 4, 5, 8, 9)], ("b", D[4])]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [entity_code" not in plan
+
+
+def test_compose_leaves_out_in_batches_what_cannot_be_on_top(spark):
+    scores = [(D[i % 2], f"n{i:03}", n, float("nan") if i == 7 else float((i * 37 + k) % 61)) for i in range(200) for k, n in enumerate("ab")]
+    p = spark.createDataFrame(scores, "trade_date date, entity_code string, engine string, score double")
+    w = spark.createDataFrame([("a", 1, 0.5, 10.0, 3), ("b", 2, 0.5, 20.0, 5)], "engine string, priority int, weight double, threshold double, top_n int")
+    place = lambda s: (0, 0) if s != s else (1, -s)
+    want = set()
+    for n, least, top in (("a", 10, 3), ("b", 20, 5)):
+        for day in D[:2]:
+            own = sorted((place(s), c) for d_, c, e_, s in scores if (d_, e_) == (day, n) and not s < least)
+            want |= {(day, n, c, i) for i, (_, c) in enumerate(own[:top], 1)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = pf.compose(p, w)
+        assert {(r["trade_date"], r["engine"], r["entity_code"], r["position"]) for r in got.collect()} == want
+        assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_trend(spark):
     df = spark.createDataFrame([("a", D[i], s) for i, s in enumerate([1.0, 2.0, 3.0, 2.0, 2.0])] + [("b", D[0], 1.0)], "entity_code string, trade_date date, score double")
     got = [(r["trend"], r["buyable"]) for r in sel.trend(df).orderBy("entity_code", "trade_date").collect()]
