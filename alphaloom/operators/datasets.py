@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stored
 from . import cross_section as x
 from .evaluate import at_step
 from .ordered import exact_quantiles
@@ -149,7 +150,7 @@ def dataset_rows(features: DataFrame, labels: DataFrame, gap: int = 5, least: in
 
 def build_dataset(features: DataFrame, labels: DataFrame, names: list[str], gap: int = 5, least: int = 60, classes: bool = False) -> tuple[DataFrame, DataFrame]:
     """(dataset, manifest): dataset_rows, imputed with medians of the training rows; counts by split."""
-    rows = dataset_rows(features, labels, gap, least, classes)
+    rows = stored(dataset_rows(features, labels, gap, least, classes))  # the split, the medians and the rows read them
     ready = impute(rows, fit_medians(rows.where("split = 'train'"), names), names)
     manifest = ready.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct("trade_date").alias("dates"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
     return ready, manifest

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog
 from ..functions import rolling as r
 from ..operators import cross_section as x
+from ..sources.sinks import stored
 
 
 def with_lookback(panel: DataFrame, start: str, end: str, n: int, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -59,6 +60,7 @@ def feature_matrix(members: DataFrame, panel: DataFrame, names: list[str], cover
         s = F.stddev_pop(v).over(day)
         scored.append(F.when(v.isNotNull(), F.when(s > 0, (v - F.avg(v).over(day)) / s).otherwise(0.0)).alias(n))
     joined = members.join(wide.select("entity_code", "trade_date", *scored), ["entity_code", "trade_date"], "left")
+    joined = stored(joined)  # counted here, and read by who asked
     n = joined.agg(F.count("*").alias("__n"), *[F.count(c).alias(c) for c in names]).first()
     if low := [c for c in names if n["__n"] and n[c] < coverage * n["__n"]]:
         raise ValueError(f"factors below coverage: {low}")

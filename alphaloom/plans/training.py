@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.datasets import fit_medians
 from ..operators.evaluate import rank_corr
 from ..operators.metrics import metrics, prediction_frame
 from ..sources.sinks import stored
@@ -43,7 +44,8 @@ def fit(dataset: DataFrame, names: list[str], kind: str = "linear", target: str
     """dataset (names, label, split): medians of the training rows fill gaps; boosted trees stop early on valid rows."""
     rows = dataset.where(F.col("split").isin("train", "valid") if kind == "gbt" else F.col("split") == "train")
     rows = rows.where("label is not null").withColumns({"label": F.col("label").cast("double"), "is_valid": F.col("split") == "valid"})
-    fill = Imputer(strategy="median", relativeError=0.0, inputCols=names, outputCols=[f"{n}__f" for n in names])
+    # The median of the one row of medians is that row: the Imputer itself would gather each column in one place.
+    fill = Imputer(strategy="median", relativeError=0.0, inputCols=names, outputCols=[f"{n}__f" for n in names]).fit(fit_medians(rows, names))
     assemble = VectorAssembler(inputCols=[f"{n}__f" for n in names], outputCol="features")
     return Pipeline(stages=[fill, assemble, estimator(kind, target, len(names), **params)]).fit(rows)
 

@@ -107,7 +107,7 @@ def _(spark, sf):
 
 
 def _fit(kind: str, target: str = "regression"):
-    @R.add(f"m_{kind}_{target}", K, "raw_prediction score", "rank_value")
+    @R.add(f"m_{kind}_{target}", K, "raw_prediction score", "rank_value", share=True)
     def _(spark, sf):
         rows = dataset(spark, sf)
         if target == "binary":
@@ -122,20 +122,20 @@ _fit("linear", "binary")
 _fit("mlp", "binary")
 
 
-@R.add("m_walk_forward", K, "raw_prediction", "fold")
+@R.add("m_walk_forward", K, "raw_prediction", "fold", share=True)
 def _(spark, sf):
     rows = dataset(spark, sf)
     days = [r[0] for r in rows.select("trade_date").distinct().orderBy("trade_date").collect()]  # a row per session
     return t.walk_forward_fit(rows, d.walk_forward(days, spark, 150, 21, gap=5), NAMES).withColumnRenamed("window", "fold")
 
 
-@R.add("m_permutation", "feature", "ic drop")
+@R.add("m_permutation", "feature", "ic drop", share=True)
 def _(spark, sf):
     rows = dataset(spark, sf)
     return t.permutation_importance(t.fit(rows, NAMES), rows.where("split = 'valid'"), NAMES)
 
 
-@R.add("m_trials", "", "ic icir rmse", "trial days rows")
+@R.add("m_trials", "", "ic icir rmse", "trial days rows", share=True)
 def _(spark, sf):
     return t.trials(dataset(spark, sf), NAMES, t.grid(regParam=[0.001, 0.1], without=[[], ["PSY"]]))
 
@@ -146,13 +146,13 @@ def _(spark, sf):
     return job.feature_matrix(p.select("entity_code", "trade_date"), p, NAMES, 0.5)
 
 
-@R.add("m_score_day", K, "raw_prediction score percentile", "rank_value")
+@R.add("m_score_day", K, "raw_prediction score percentile", "rank_value", share=True)
 def _(spark, sf):
     rows = dataset(spark, sf)
     last = rows.agg(F.max("trade_date")).first()[0]
     return t.score_day(t.fit(rows, NAMES), rows, str(last))
 
 
-@R.add("m_importance", "feature", "importance", "place")
+@R.add("m_importance", "feature", "importance", "place", share=True)
 def _(spark, sf):
     return t.importance(t.fit(dataset(spark, sf), NAMES, "random_forest"), NAMES, spark)

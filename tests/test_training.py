@@ -128,3 +128,15 @@ def test_classes_are_told_apart(spark, kind):
     day = training.score_day(model, df, "2020-01-02")
     assert day.select("trade_date").distinct().count() == 1 and day.count() == 300
     assert day.agg(F.max("rank_value"), F.min("score"), F.max("score")).first()[0] == 300
+
+
+def test_fit_fills_gaps_by_the_median_without_gathering_columns(spark, monkeypatch):
+    """The Imputer sees one row; its medians are those of the training rows."""
+    seen, own = [], training.Imputer.fit
+    monkeypatch.setattr(training.Imputer, "fit", lambda self, df, *a: seen.append(df.count()) or own(self, df, *a))
+    rows = [(float(i), None if i % 4 == 0 else float(i * i), float(i), "train" if i < 31 else "test") for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, label double, split string")
+    surrogate = training.fit(df, ["a", "b"]).stages[0].surrogateDF.first()
+    assert seen == [1]
+    kept = sorted(b for _, b, _, s in rows if s == "train" and b is not None)
+    assert surrogate["a"] == 15.0 and surrogate["b"] == (kept[len(kept) // 2] + kept[(len(kept) - 1) // 2]) / 2
