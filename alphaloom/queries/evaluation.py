@@ -14,6 +14,8 @@ from .sources import CAL, cal
 R = Registry()
 c = F.col
 PERIODS = [1, 5, 10]
+#: Parts into which dates are dealt where several sorts of them stand in one stage, so that a part holds few dates.
+DEALT = 200
 
 
 def prices(spark, sf):
@@ -304,7 +306,7 @@ def _(spark, sf):
 
 def predictions(spark, sf):
     """Three engines: two by price, one by volume; each leaves out some names."""
-    p = panel(spark, sf).where("pct_chg is not null")
+    p = panel(spark, sf).where("pct_chg is not null").select("trade_date", "entity_code", "pct_chg", "volume", "turnover_rate").repartition(DEALT, "trade_date")
     k = entity_number()
     x = Window.partitionBy("trade_date")
     p = p.select("*", *[(2 * F.percent_rank().over(x.orderBy(f)) - 1).alias(f"s_{f}") for f in ("pct_chg", "volume", "turnover_rate")])

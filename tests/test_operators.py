@@ -187,6 +187,15 @@ def test_compose_leaves_out_in_batches_what_cannot_be_on_top(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_predictions_deal_dates_into_many_parts(spark):
+    """Whatever the caller's number of partitions is, a task sorts few dates at a time."""
+    from alphaloom.queries import evaluation
+
+    plan = evaluation.predictions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dates = [line for line in plan.splitlines() if "hashpartitioning(trade_date" in line]
+    assert len(dates) == 1 and f", {evaluation.DEALT})" in dates[0]
+
+
 def test_trend(spark):
     df = spark.createDataFrame([("a", D[i], s) for i, s in enumerate([1.0, 2.0, 3.0, 2.0, 2.0])] + [("b", D[0], 1.0)], "entity_code string, trade_date date, score double")
     got = [(r["trend"], r["buyable"]) for r in sel.trend(df).orderBy("entity_code", "trade_date").collect()]
