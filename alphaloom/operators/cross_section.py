@@ -10,12 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = "trade_date"
+#: Parts into which rows are dealt before they are sorted, so that a task holds few of them whatever the caller's partitions are.
+DEALT = 200
 
 
 def xs(day: str = DAY) -> Window:
     return Window.partitionBy(day)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows in DEALT parts, those of equal keys in one."""
+    return df.repartition(DEALT, *keys) if keys else df
+
+
 def finite(df: DataFrame, value: str = "raw_value") -> DataFrame:
     """Rows whose value is neither null nor NaN nor infinite."""
     v = F.col(value)
@@ -80,10 +87,18 @@ def equal_count_bucket(value: str, k: int, entity: str = "entity_code", day: str
     return (F.floor(place * k / F.count(F.lit(1)).over(xs(day))) + 1).cast("int")
 
 
+def mean_rank(value: str, keys: list[str]) -> Column:
+    """Ascending from 1 among rows of equal keys, ties get their mean rank: midway between the first and the last place.
+
+    Both places come from one sort, the last one as the count of all rows up to the value.
+    """
+    w = Window.partitionBy(*keys).orderBy(value)
+    return (F.rank().over(w) + F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2
+
+
 def avg_rank(value: str, day: str = DAY) -> Column:
-    """Ascending from 1, ties get their mean rank."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(day, value))
-    return F.rank().over(xs(day).orderBy(value)) + (ties - 1) / 2
+    """Ascending from 1 within the day, ties get their mean rank."""
+    return mean_rank(value, [day])
 
 
 def avg_pct_rank(value: str, day: str = DAY) -> Column:

@@ -21,7 +21,7 @@ def _forward(prices: DataFrame, cal: DataFrame, h: int) -> DataFrame:
 
 def realized_labels(prices: DataFrame, cal: DataFrame, h: int) -> DataFrame:
     """prices (entity_code, trade_date, price) -> ret over h calendar sessions, and label: its rank from -1 to 1."""
-    ready = _forward(prices, cal, h).where("ret is not null")
+    ready = x.dealt(_forward(prices, cal, h).where("ret is not null").select("entity_code", "trade_date", "ret"), "trade_date")
     return ready.select("entity_code", "trade_date", "ret", (2 * x.avg_pct_rank("ret") - 1).alias("label"))
 
 

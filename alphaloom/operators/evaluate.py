@@ -48,12 +48,8 @@ def clean_factor(factor: DataFrame, prices: DataFrame, cal: DataFrame, periods:
 
 def rank_corr(df: DataFrame, keys: list[str], a: str, b: str, out: str = "ic") -> DataFrame:
     """Spearman by group, ties with mean ranks: (keys, n, out); null where a side is constant."""
-
-    def rank(v: str) -> Column:
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, v))
-        return F.rank().over(Window.partitionBy(*keys).orderBy(v)) + (ties - 1) / 2
-
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"__a": rank(a), "__b": rank(b)})
+    both = x.dealt(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*dict.fromkeys([*keys, a, b])), *keys)
+    both = both.withColumns({"__a": x.mean_rank(a, keys), "__b": x.mean_rank(b, keys)})
     s = both.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("__a", "__b").alias("__c"), (F.stddev_pop("__a") * F.stddev_pop("__b")).alias("__s"))
     return s.withColumn(out, F.when(F.col("__s") > 0, F.col("__c") / F.col("__s"))).drop("__c", "__s")
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from . import cross_section as x
 from . import ordered
-from .evaluate import rank_corr
 from .joins import latest_predictions
 
 
@@ -24,18 +23,37 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def metrics(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df (keys, trade_date, prediction, label) -> rows, days, rmse, mean daily IC, deviation and ratio."""
-    ic = rank_corr(df, [*keys, "trade_date"], "prediction", "label")
-    daily = ic.groupBy(*keys).agg(F.count("ic").alias("days"), F.avg("ic").alias("ic"), F.stddev_samp("ic").alias("ic_std"))
-    own = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2)).alias("rmse"))
-    met = own.join(daily, keys) if keys else own.crossJoin(daily)
-    return met.withColumn("icir", _ratio(F.col("ic"), F.col("ic_std")))
+    """df (keys, trade_date, prediction, label) -> rows, days, rmse, mean daily IC, deviation and ratio.
+
+    One pass: a date gives its IC and the sums of its errors. Rows without prediction or label count in rows alone; what has
+    no others, or a null key, has no metrics.
+    """
+    by = [*keys, "trade_date"]
+    whole = F.col("prediction").isNotNull() & F.col("label").isNotNull()
+    rows = x.dealt(df.select(*by, "prediction", "label"), *by).withColumn("__whole", whole)
+    rank = lambda v: F.when(F.col("__whole"), x.mean_rank(v, [*by, "__whole"]))
+    error = (F.col("prediction") - F.col("label")) ** 2
+    daily = rows.withColumns({"__a": rank("prediction"), "__b": rank("label")}).groupBy(*by).agg(
+        F.count("*").alias("__rows"), F.count(F.when(F.col("__whole"), 1)).alias("__n"), F.sum(error).alias("__e"),
+        F.covar_pop("__a", "__b").alias("__c"), (F.stddev_pop("__a") * F.stddev_pop("__b")).alias("__s"),
+    ).withColumn("__ic", _ratio(F.col("__c"), F.col("__s")))
+    own = daily.groupBy(*keys).agg(
+        F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows"), F.sqrt(F.try_divide(F.sum("__e"), F.sum("__n"))).alias("rmse"),
+        F.count("__ic").alias("days"), F.avg("__ic").alias("ic"), F.stddev_samp("__ic").alias("ic_std"), F.sum("__n").alias("__n"),
+    )
+    for k in keys:
+        own = own.where(F.col(k).isNotNull())
+    met = own.where("__n > 0") if keys else own
+    return met.drop("__n").withColumn("icir", _ratio(F.col("ic"), F.col("ic_std")))
 
 
 def evaluate_stored(stored: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """stored (keys, trade_date, entity_code, score, updated_at, computed_at, run_id), labels (trade_date, entity_code,
-    label) -> metrics of the latest score of each key, entity and date against what came of it."""
-    latest = latest_predictions(stored, (*keys, "trade_date", "entity_code")).withColumn("prediction", F.col("score"))
+    label) -> metrics of the latest score of each key, entity and date against what came of it.
+
+    The latest score is found in the parts and in the order in which labels are met."""
+    parts = x.dealt(stored, "trade_date", "entity_code")
+    latest = latest_predictions(parts, ("trade_date", "entity_code", *keys)).withColumn("prediction", F.col("score"))
     return metrics(latest.where("prediction is not null").join(labels.where("label is not null"), ["trade_date", "entity_code"]), keys)
 
 

@@ -27,12 +27,12 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, name: str, keys: str = "", vals: str = "", ints: str = "", sql: str | None = None, share: bool = False):
-        """share: tables that `once` names are stored and read again while this query is put together."""
+    def add(self, name: str, keys: str = "", vals: str = "", ints: str = "", sql: str | None = None, share: bool | tuple[str, ...] = False):
+        """share: tables that `once` names, all or those given, are stored and read again while this query is put together."""
 
         def register(make: Callable[[SparkSession, str], DataFrame]):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                token = _shared.set({} if share else None)
+                token = _shared.set((share, {}) if share else None)
                 try:
                     return shape(make(spark, sf_dir), keys.split(), vals.split(), ints.split())
                 finally:
@@ -47,14 +47,14 @@ class Registry:
         return register
 
 
-#: Tables that the query now put together has stored, by name.
-_shared: ContextVar[dict[str, DataFrame] | None] = ContextVar("shared", default=None)
+#: What the query now put together shares, and the tables that it has stored, by name.
+_shared: ContextVar[tuple[bool | tuple[str, ...], dict[str, DataFrame]] | None] = ContextVar("shared", default=None)
 
 
 def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """make(), stored in the shared scratch folder the first time within a query that shares its tables."""
-    have = _shared.get()
-    if have is None:
+    names, have = _shared.get() or ((), {})
+    if names is not True and name not in names:
         return make()
     if name not in have:
         df = make()
@@ -98,8 +98,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once("bars", lambda: source.bars(trades(spark, sf_dir), tie=TIE))
+def bars(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    return once("bars", lambda: source.bars(trades(spark, sf_dir), tie=TIE, deal=deal))
 
 
 def entity_number() -> Column:

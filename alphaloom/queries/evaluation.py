@@ -7,6 +7,7 @@ from ..operators import evaluate as e
 from ..operators import portfolio as pf
 from ..operators import reports as rp
 from ..operators import selection as sel
+from ..operators.cross_section import DEALT
 from .base import Registry, bars, entity_number, once, panel
 from .joins import ADJ, factors
 from .sources import CAL, cal
@@ -14,8 +15,6 @@ from .sources import CAL, cal
 R = Registry()
 c = F.col
 PERIODS = [1, 5, 10]
-#: Parts into which dates are dealt where several sorts of them stand in one stage, so that a part holds few dates.
-DEALT = 200
 
 
 def prices(spark, sf):

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.cross_section import dealt
 from ..operators.joins import left_any
 
 #: Texts that mean true in status columns.
 TRUE = ("1", "true", "True")
 
 
-def bars(trades: DataFrame, grain: str = "week", entity: str = "entity_code", time: str = "trade_time", tie: tuple[str, ...] = ()) -> DataFrame:
+def bars(trades: DataFrame, grain: str = "week", entity: str = "entity_code", time: str = "trade_time", tie: tuple[str, ...] = (), deal: bool = False) -> DataFrame:
     """trades (entity, time, price, volume, amount) -> open, high, low, close, volume, amount per entity and period.
 
     The first and the last trade are those by (time, *tie); tie must make the order total for a defined result. The
-    aggregates are partial before the shuffle, so busy entities do not matter.
+    aggregates are partial before the shuffle, so busy entities do not matter. deal: trades are dealt by entity and period
+    instead and sorted once, there, where a task holds few of them; for bars that are stored, as all columns are shuffled.
     """
     order = F.struct(time, *tie, "price")
-    return trades.groupBy(entity, F.to_date(F.date_trunc(grain, F.col(time))).alias("trade_date")).agg(
+    dated = trades.withColumn("__period", F.to_date(F.date_trunc(grain, F.col(time))))
+    rows = dealt(dated, entity, "__period") if deal else dated
+    return rows.groupBy(entity, F.col("__period").alias("trade_date")).agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alphaloom.functions import scalar as sc
+from alphaloom.operators import cross_section as x
 from alphaloom.operators import datasets as d
 from alphaloom.operators import diagnose as g
 from alphaloom.operators import evaluate as e
@@ -123,6 +124,63 @@ def test_ic_is_one_for_perfect_order_and_null_for_a_constant(spark):
     assert rows(e.rank_corr(df, ["k"], "a", "b"), "k") == [("x", 3, pytest.approx(1.0)), ("y", 2, None)]
 
 
+def lines(df):
+    """The operators of the plan that will run first, one per line."""
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_mean_ranks_come_from_one_sort_per_value_in_many_parts(spark):
+    """-0.0 ties with 0.0, NaN is last and ties with itself."""
+    nan = float("nan")
+    df = spark.createDataFrame([("x", v, 1.0) for v in (0.0, -0.0, 5.0, nan, nan, nan, -1.0)], "k string, a double, b double")
+    assert [r["r"] for r in df.select("a", x.mean_rank("a", ["k"]).alias("r")).orderBy("a", "r").collect()] == [1, 2.5, 2.5, 4, 6, 6, 6]
+    plan = lines(e.rank_corr(df, ["k"], "a", "b"))
+    assert sum("Sort [" in line for line in plan) == 2
+    assert [f", {x.DEALT})" in line for line in plan if "Exchange" in line] == [True]
+
+
+def test_metrics_take_one_pass_and_count_rows_without_labels(spark):
+    day = [("a", D[0], 1.0, 2.0), ("a", D[0], 2.0, 3.0), ("a", D[0], 3.0, 5.0), ("a", D[0], 9.0, None), ("a", D[1], 1.0, 2.0), ("a", D[1], 2.0, 1.0), ("a", D[2], 1.0, 1.0), ("a", None, None, 4.0)]
+    odd = [("b", D[0], None, 1.0), (None, D[0], 1.0, 1.0), (None, D[0], 2.0, 2.0)]
+    df = spark.createDataFrame(day + odd, "model_id string, trade_date date, prediction double, label double")
+    got = m.metrics(df, ["model_id"])
+    assert sum("Scan" in line for line in lines(got)) == 1
+    want = ("a", 8, pytest.approx(math.sqrt(8 / 6)), 2, pytest.approx(0.0, abs=1e-12), pytest.approx(math.sqrt(2)), pytest.approx(0.0, abs=1e-12))
+    assert rows(got) == [want] and got.columns == ["model_id", "rows", "rmse", "days", "ic", "ic_std", "icir"]
+    assert rows(m.metrics(df.where("model_id = 'a'"), [])) == [want[1:]]
+    assert rows(m.metrics(df.limit(0), ["model_id"])) == [] and rows(m.metrics(df.limit(0), [])) == [(0, None, 0, None, None, None)]
+
+
+def test_stored_scores_are_evaluated_in_many_parts(spark):
+    """The latest score counts, null as it may be; whatever the caller's partitions are, no sort sees a share of them."""
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    stored = [("a", D[0], "p", 9.0, at(1), at(1), "r1"), ("a", D[0], "p", 1.0, at(1), at(2), "r0"), ("a", D[0], "q", 2.0, at(3), at(1), "r0"), ("a", D[0], "q", 8.0, at(1), at(9), "r9"), ("a", D[0], "s", 5.0, at(1), at(1), "r0"), ("a", D[0], "s", None, at(1), at(1), "r1"), ("a", D[0], "t", 1.0, at(1), at(1), "r1")]
+    df = spark.createDataFrame(stored, "model_id string, trade_date date, entity_code string, score double, updated_at timestamp, computed_at timestamp, run_id string")
+    labels = spark.createDataFrame([(D[0], "p", 1.0), (D[0], "q", 2.0), (D[0], "s", 3.0), (D[0], "t", None)], "trade_date date, entity_code string, label double")
+    got = m.evaluate_stored(df, labels, ["model_id"])
+    assert rows(got.select("model_id", "rows", "rmse", "days", "ic")) == [("a", 2, 0.0, 1, pytest.approx(1.0))]
+    # The last step, a row per date, is the caller's; labels are dealt as the scores that they meet, or broadcast.
+    plan = lines(got)
+    assert [line for line in plan if "hashpartitioning(" in line and f", {x.DEALT})" not in line and "hashpartitioning(model_id" not in line] == []
+    assert sum("trade_date#" in line and f", {x.DEALT})" in line for line in plan) >= 2
+
+
+def test_dealt_bars_are_the_same_bars(spark):
+    trades = spark.createDataFrame([(c, dt.datetime(2024, 1, 1 + i % 9, i % 5), i, float(i * 7 % 11), 1.0, float(i)) for i in range(60) for c in ("a", "b", None)] + [("a", None, 1, 2.0, 1.0, 1.0)], "entity_code string, trade_time timestamp, k int, price double, volume double, amount double")
+    plain, many = src.bars(trades, tie=("k",)), src.bars(trades, tie=("k",), deal=True)
+    assert rows(many, "entity_code", "trade_date") == rows(plain, "entity_code", "trade_date") and plain.count() == 7
+    plan = lines(many)
+    assert sum("Sort [" in line for line in plan) == 1 and [f", {x.DEALT})" in line for line in plan if "Exchange" in line] == [True]
+
+
+def test_m_evaluate_works_scores_out_once(spark):
+    from alphaloom.queries import models
+
+    plan = lines(models.R.queries["m_evaluate"](spark, "/root/testdata/sf0.001"))
+    assert sum("Window [percent_rank(pct_chg" in line for line in plan) == 1
+    assert not any("lineitem" in line or "l_shipdate" in line for line in plan)  # bars are stored once
+
+
 def test_psi_and_ks(spark):
     same = [(s, float(i)) for s in ("train", "test") for i in range(100)]
     df = spark.createDataFrame(same, "split string, v double")
