@@ -2,7 +2,7 @@
 
 `factor(name)(panel)` adds the factor as `raw_value`; `columns(names)` gives many at once, which share one shuffle and
 sort, as all use the same window. Nested factors, and
-those of long frames that need two passes, come from `nested` (NESTED, MOMENTS).
+those of long frames that need two passes, come from `nested` (NESTED, MOMENTS). ROLLED has every flat factor in that form too.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import rolling as r
 from . import scalar as s
-from .lagged import Rows, Series, with_lagged
+from .lagged import Rows, Series, finite_lagged, with_lagged
 
 
 def c(name: str) -> Column:
@@ -256,7 +256,141 @@ NESTED: dict[str, Callable[[Rows], Series]] = {
 }
 
 #: Flat factors that cost less this way than as sliding frames; the results are those of FLAT.
-MOMENTS: dict[str, Callable[[Rows], Series]] = {f"{name}{n}": lambda p, n=n, k=k: p.moment(_daily(p), n, k) for name, k in (("Kurtosis", 4), ("Skewness", 3)) for n in (20, 60, 120)}
+MOMENTS: dict[str, Callable[[Rows], Series]] = {f"{name}{n}": lambda p, n=n, k=k: p.moment(p.once("daily", _daily), n, k) for name, k in (("Kurtosis", 4), ("Skewness", 3)) for n in (20, 60, 120)}
+
+
+def _flags(on: np.ndarray) -> Series:
+    return Series(on.astype(float), np.ones(len(on), bool))
+
+
+def _at_limit(p: Rows) -> Series:
+    """1 or 0, never null."""
+    limit, close = p["high_limited"], p["close"]
+    return _flags(limit.ok & close.ok & (limit.v > 0) & (close.v >= limit.v))
+
+
+def _first_at_limit(p: Rows) -> Series:
+    now = p.once("at_limit", _at_limit)
+    before = p.sum(p.ref(now, 1), 59)
+    return _flags((now.v == 1) & ~(before.ok & (before.v > 0)))
+
+
+def _fear(p: Rows) -> Series:
+    low = p["pct_chg"].at_most(0)
+    down = p.mean(low * low, 20).sqrt()
+    loss = (-100 * p.period_return(p["close"], 5)).at_least(0)
+    rise = (p["volume"] / p.mean(p["volume"], 20) - 1).at_least(0)
+    return 0.35 * p.std(p["pct_chg"], 20) + 0.3 * down + 0.2 * loss + 0.15 * 10 * rise
+
+
+def _gain(p: Rows, up: str, down: str) -> Series:
+    return p.sum((p[up] - p[down]).at_least(0), 26)
+
+
+def _ar(p: Rows) -> Series:
+    return _gain(p, "high", "open") / _gain(p, "open", "low") * 100
+
+
+def _br(p: Rows) -> Series:
+    return _gain(p, "high", "pre_close") / _gain(p, "pre_close", "low") * 100
+
+
+def _true_range(p: Rows) -> Series:
+    return (p["high"] - p["low"]).at_least(abs(p["high"] - p["pre_close"])).at_least(abs(p["low"] - p["pre_close"]))
+
+
+def _volume_ratio(p: Rows) -> Series:
+    move, volume = p["pct_chg"], p["volume"]
+    part = lambda on: p.sum(Series(np.where(on & move.ok, volume.v, 0.0), np.where(on & move.ok, volume.ok, True)), 26)
+    even = 0.5 * part(move.v == 0)
+    return (part(move.v > 0) + even) / (part(move.v < 0) + even)
+
+
+def _wvad(p: Rows) -> Series:
+    return (p["close"] - p["open"]) / (p["high"] - p["low"]) * p["volume"]
+
+
+def _volume_move(p: Rows) -> Series:
+    return p.once("daily", _daily) * p["volume"]
+
+
+def _mean_of(x: str, n: int) -> Callable[[Rows], Series]:
+    return lambda p: p.mean(p[x], n)
+
+
+def _std_of(x: str, n: int) -> Callable[[Rows], Series]:
+    return lambda p: p.std(p[x], n)
+
+
+def _sharpe(p: Rows, n: int) -> Series:
+    d = p.once("daily", _daily)
+    return (p.mean(d, n) * 252 - 0.04) / (p.std(d, n) * 252**0.5)
+
+
+def _cci(p: Rows, n: int) -> Series:
+    price = p.once("typical", _typical)
+    return (price - p.mean(price, n)) / (0.015 * p.mad(price, n))
+
+
+def _share_turnover(p: Rows, n: int, months: int) -> Series:
+    return (p.sum(p["turnover_rate"], n) / months).log()
+
+
+def _vosc(p: Rows) -> Series:
+    short = p.once("volume_ema12", lambda p: p.ema(p["volume"], 12))
+    return (short - p.once("volume_ema26", lambda p: p.ema(p["volume"], 26))) / short * 100
+
+
+def _period(x: str, n: int) -> Callable[[Rows], Series]:
+    return lambda p: p.period_return(p[x], n) * 100
+
+
+#: Every factor of FLAT once more, over the rows of a pass: the same values, for jobs that take many of them at once.
+ROLLED: dict[str, Callable[[Rows], Series]] = {
+    "mean_volume": _mean_of("volume", 20), "mean_amount": _mean_of("amount", 20), "mean_turnover_rate": _mean_of("turnover_rate", 20),
+    "period_return": lambda p: p.period_return(p["close"], 20),
+    "limit_up_count": lambda p: p.sum(p.once("at_limit", _at_limit), 20),
+    "first_limit_up_window": _first_at_limit,
+    "stock_fear_proxy": _fear,
+    **{n: lambda p, k=k, m=m: _share_turnover(p, k, m) for n, k, m in (("average_share_turnover_annual", 252, 12), ("average_share_turnover_quarterly", 63, 3), ("share_turnover_monthly", 21, 1))},
+    **{n: lambda p, x=x: 1 / p[x] for n, x in (("book_to_price_ratio", "pb"), ("earnings_to_price_ratio", "pe"), ("btop", "pb"))},
+    "AR": lambda p: p.once("ar", _ar), "BR": lambda p: p.once("br", _br), "ARBR": lambda p: p.once("ar", _ar) - p.once("br", _br),
+    **{f"ATR{n}": lambda p, n=n: p.mean(p.once("true_range", _true_range), n) for n in (6, 14)},
+    **{f"DAVOL{n}": lambda p, n=n: p.mean(p["turnover_rate"], n) / p.mean(p["turnover_rate"], 120) for n in (5, 10, 20)},
+    "PSY": lambda p: p.sum(Series((p["pct_chg"].v > 0).astype(float), p["pct_chg"].ok), 12) / 12 * 100,
+    "turnover_volatility": _std_of("turnover_rate", 20),
+    **{f"TVMA{n}": _mean_of("amount", n) for n in (6, 20)}, **{f"TVSTD{n}": _std_of("amount", n) for n in (6, 20)},
+    "VDIFF": lambda p: p.once("volume_ema12", lambda p: p.ema(p["volume"], 12)) - p.once("volume_ema26", lambda p: p.ema(p["volume"], 26)),
+    **{f"VOL{n}": _mean_of("turnover_rate", n) for n in (5, 10, 20, 60, 120, 240)},
+    "VOSC": _vosc, "VR": _volume_ratio,
+    **{f"VROC{n}": _period("volume", n) for n in (6, 12)}, **{f"VSTD{n}": _std_of("volume", n) for n in (10, 20)},
+    "WVAD": lambda p: p.sum(p.once("wvad", _wvad), 6),
+    **MOMENTS,
+    **{f"Variance{n}": lambda p, n=n: p.var(p.once("daily", _daily), n) for n in (20, 60, 120)},
+    **{f"sharpe_ratio_{n}": lambda p, n=n: _sharpe(p, n) for n in (20, 60, 120)},
+    "boll_up": lambda p: (p.mean(p["close"], 20) + 2 * p.std(p["close"], 20)) / p["close"],
+    "boll_down": lambda p: (p.mean(p["close"], 20) - 2 * p.std(p["close"], 20)) / p["close"],
+    **{name: lambda p, n=n: p.ema(p["close"], n) / p["close"] for name, n in (("EMA5", 5), *((f"EMAC{n}", n) for n in (10, 12, 20, 26, 120)))},
+    **{f"MAC{n}": lambda p, n=n: p.mean(p["close"], n) / p["close"] for n in (5, 10, 20, 60, 120)},
+    "arron_up_25": lambda p: p.place_of_most(p["high"], 25) / 25 * 100,
+    "arron_down_25": lambda p: p.place_of_most(-1 * p["low"], 25) / 25 * 100,
+    "BBIC": lambda p: (p.mean(p["close"], 3) + p.mean(p["close"], 6) + p.mean(p["close"], 12) + p.mean(p["close"], 24)) / 4 / p["close"],
+    **{f"BIAS{n}": lambda p, n=n: (p["close"] - p.mean(p["close"], n)) / p.mean(p["close"], n) * 100 for n in (5, 10, 20, 60)},
+    **{f"{n}_power": lambda p, x=x: (p[x] - p.once("close_ema13", lambda p: p.ema(p["close"], 13))) / p["close"] for n, x in (("bull", "high"), ("bear", "low"))},
+    **{f"CCI{n}": lambda p, n=n: _cci(p, n) for n in (10, 15, 20)},
+    **{f"PLRC{n}": lambda p, n=n: p.slope(p["close"], n) / p.mean(p["close"], n) for n in (6, 12, 24)},
+    **{f"Price{k}": lambda p, n=n: p["close"] / p.mean(p["close"], n) - 1 for k, n in (("1M", 21), ("3M", 61), ("1Y", 250))},
+    **{f"ROC{n}": _period("close", n) for n in (6, 12, 20, 60, 120)},
+    "single_day_VPT": _volume_move, **{f"single_day_VPT_{n}": lambda p, n=n: p.mean(p.once("volume_move", _volume_move), n) for n in (6, 12)},
+    "Volume1M": lambda p: p["volume"] / p.mean(p["volume"], 20) * p.mean(p.once("daily", _daily), 20),
+    "money_flow_20": lambda p: p.mean(p.once("typical", _typical) * p["volume"], 20),
+    **{f"VEMA{n}": lambda p, n=n: p.ema(p["volume"], n) for n in (5, 10, 12, 26)},
+    "price_no_fq": lambda p: p["close"],
+    "fifty_two_week_close_rank": lambda p: 1 - p.share_at_most(p["close"], 250),
+}
+
+#: The columns of a panel that factors take.
+FIELDS = ("open", "high", "low", "close", "pre_close", "high_limited", "volume", "amount", "pct_chg", "turnover_rate", "pe", "pb")
 
 #: Rows that the longest chain of frames above looks back (momentum: 21 and 503).
 BACK = 524
@@ -274,7 +408,18 @@ def factor(name: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def nested(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """panel with a column per nested factor or entry of MOMENTS; all but the cross-section in one pass over the entities."""
+    """panel with a column per nested factor or entry of ROLLED; all but the cross-section in one pass over the entities."""
     names = list(NESTED) if names is None else names
-    wide = with_lagged(panel, {n: (NESTED | MOMENTS)[n] for n in names}, BACK)
+    wide = with_lagged(panel, {n: (NESTED | ROLLED)[n] for n in names}, BACK)
     return _rank_1m(wide) if "Rank1M" in names else wide
+
+
+def finite_counts(panel: DataFrame, names: list[str]) -> DataFrame:
+    """One row: __rows, and per factor how many of its values are finite. All come from one pass over the entities; a row
+    that leaves it holds what the cross-section needs, and nothing of factors that are only counted."""
+    fields = [f for f in FIELDS if f in panel.columns]
+    across = [n for n in names if n == "Rank1M"]
+    rows = finite_lagged(panel.select("entity_code", "trade_date", *fields), {n: (NESTED | ROLLED)[n] for n in names}, BACK, across)
+    ready = _rank_1m(rows) if across else rows
+    whole = lambda n: F.count(F.when(c(n).isNotNull() & ~F.isnan(n) & (F.abs(c(n)) < float("inf")), 1))
+    return ready.agg(F.count("*").alias("__rows"), *[(whole(n) if n in across else F.coalesce(F.sum(c("finite")[i]), F.lit(0))).alias(n) for i, n in enumerate(names)])

@@ -68,13 +68,8 @@ def feature_matrix(members: DataFrame, panel: DataFrame, names: list[str], cover
 
 
 def probe_catalog(panel: DataFrame, entity: str | None = None, names: list[str] | None = None) -> DataFrame:
-    """(factor_id, rows, finite): every factor of the catalogue over all entities or one, counted in one aggregation."""
+    """(factor_id, rows, finite): every factor of the catalogue over all entities or one, worked out and counted in one pass."""
     names = names or [*catalog.FLAT, *catalog.NESTED]
     rows = panel if entity is None else panel.where(F.col("entity_code") == entity)
-    deep = [n for n in names if n in catalog.NESTED or n in catalog.MOMENTS]
-    flat = catalog.columns([n for n in names if n not in deep])
-    # Nested ones last: the cross-section among them deals the rows anew.
-    ready = r.with_row_index(rows).select("*", *[c.alias(n) for n, c in flat.items()]).drop("row_index")
-    wide = catalog.nested(ready, deep).select(*[F.col(n).cast("double").alias(n) for n in names])
-    counts = wide.agg(F.count("*").alias("__rows"), *[F.count(F.when(F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) < float("inf")), 1)).alias(n) for n in names])
+    counts = catalog.finite_counts(rows, names)
     return counts.select("__rows", F.explode(F.array(*[F.struct(F.lit(n).alias("factor_id"), F.col(n).alias("finite")) for n in names])).alias("f")).select("f.factor_id", F.col("__rows").alias("rows"), "f.finite")
