@@ -25,6 +25,17 @@ def realized_labels(prices: DataFrame, cal: DataFrame, h: int) -> DataFrame:
     return ready.select("entity_code", "trade_date", "ret", (2 * x.avg_pct_rank("ret") - 1).alias("label"))
 
 
+def labelled_rows(rows: DataFrame, cal: DataFrame, h: int) -> DataFrame:
+    """rows (entity_code, trade_date, price, ...) with ret and label of realized_labels, null where they have none.
+
+    For rows that go along with their labels: one shuffle by entity and one by date serve all columns, and no join.
+    """
+    known = F.col("ret").isNotNull()
+    ready = x.dealt(_forward(rows, cal, h).drop("idx"), "trade_date").withColumn("__known", known)
+    share = x.mean_rank("ret", ["trade_date", "__known"]) / F.count(F.lit(1)).over(Window.partitionBy("trade_date", "__known"))
+    return ready.withColumn("label", F.when(known, 2 * share - 1)).drop("__known")
+
+
 def rank_label(prices: DataFrame, cal: DataFrame, h: int) -> DataFrame:
     return realized_labels(prices, cal, h).drop("ret")
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import bands
 from ..sources.sinks import stored
 from . import cross_section as x
-from .evaluate import newey_west, rank_corr
+from .evaluate import newey_west, rank_corr, rank_corrs
 from .metrics import ks, psi
-from .vectors import pair_correlations
+from .vectors import pair_correlations, wide_correlations
 
 PAIR_LEAST = 30
 
@@ -148,9 +148,12 @@ def _enough(long: DataFrame, keys: list[str], least: int) -> DataFrame:
     return long.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("__n") >= least).drop("__n")
 
 
-def redundancy(long: DataFrame, least: int = PAIR_LEAST, limit: float = 0.85) -> DataFrame:
-    """long (trade_date, entity_code, feature, value) -> (feature_a, feature_b, days, rho, redundant): mean daily Spearman."""
-    p = pair_correlations(long.where("value is not null"), "feature", "value", least)
+def redundancy(long: DataFrame, least: int = PAIR_LEAST, limit: float = 0.85, names: list[str] | None = None) -> DataFrame:
+    """long (trade_date, entity_code, feature, value) -> (feature_a, feature_b, days, rho, redundant): mean daily Spearman.
+
+    With names the rows are wide: one per date and entity, a column per feature; they are shuffled once.
+    """
+    p = pair_correlations(long.where("value is not null"), "feature", "value", least) if names is None else wide_correlations(long, sorted(names), least)
     return p.select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "days", "rho", F.coalesce((F.abs("rho") >= limit).cast("int"), F.lit(0)).alias("redundant"))
 
 
@@ -162,7 +165,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     thousands takes a few rounds. Rounds are stored. Nodes whose only edge is to themselves lead themselves.
     """
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    links = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # edges are worked out once
+    links = stored(both.select(ways.alias("w")).select("w.a", "w.b").distinct())
     labels, left = links.select(F.col("a").alias("node"), F.col("a").alias("leader")).distinct(), links.where("a <> b")
     while left.take(1):
         follows = stored(left.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("of"), F.least("a", "b").alias("to")))
@@ -188,18 +192,24 @@ def redundancy_groups(pairs: DataFrame, strength: DataFrame) -> DataFrame:
     return grouped.join(strength.select("feature", "rank_ic", "ic_ir"), "feature").select("leader", "feature", (F.row_number().over(best) == 1).cast("int").alias("keep"))
 
 
-def factor_audit(df: DataFrame, split: str = "split", least: int = PAIR_LEAST) -> DataFrame:
+def factor_audit(df: DataFrame, split: str = "split", least: int = PAIR_LEAST, names: list[str] | None = None) -> DataFrame:
     """df (trade_date, entity_code, split, feature, value, label) -> per feature the daily IC of train and valid, and verdicts.
 
     Dates with fewer than `least` names do not count. Fixed values: weak below 0.005 on validation, improved from 1.1,
-    stable from 0.5 of the training strength; worth keeping from 0.02.
+    stable from 0.5 of the training strength; worth keeping from 0.02. With names the rows are wide: one per date and
+    entity, a column per feature; they are shuffled once. Wide rows are read twice.
     """
-    rows = _enough(df.where(F.col(split).isin("train", "valid") & F.col("value").isNotNull() & F.col("label").isNotNull()), ["feature", split, "trade_date"], least)
-    own = ic_stats(rank_corr(rows, ["feature", split, "trade_date"], "value", "label"), ["feature", split])
-    names = df.select("feature").distinct()
+    rows = df.where(F.col(split).isin("train", "valid"))
+    if names is None:
+        daily, found = rank_corr(rows, ["feature", split, "trade_date"], "value", "label"), df.select("feature").distinct()
+    else:
+        daily = rank_corrs(rows, [split, "trade_date"], names, "label")
+        have = df.agg(*[F.count(n).alias(f"__{i}") for i, n in enumerate(names)])
+        found = have.select(F.explode(F.array(*[F.when(F.col(f"__{i}") > 0, n) for i, n in enumerate(names)])).alias("feature")).where("feature is not null")
+    own = stored(ic_stats(daily.where(F.col("n") >= least), ["feature", split]))  # two rows per feature
     for side in ("train", "valid"):
-        names = names.join(own.where(F.col(split) == side).select("feature", *[F.col(c).alias(f"{side}_{c}") for c in ("rank_ic", "ic_ir", "positive_rate", "days")]), "feature", "left")
-    wide = names.fillna(0)
+        found = found.join(own.where(F.col(split) == side).select("feature", *[F.col(c).alias(f"{side}_{c}") for c in ("rank_ic", "ic_ir", "positive_rate", "days")]), "feature", "left")
+    wide = found.fillna(0)
     train, valid = F.abs("train_rank_ic"), F.abs("valid_rank_ic")
     status = (
         F.when(valid < 0.005, "weak")

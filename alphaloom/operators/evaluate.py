@@ -54,6 +54,22 @@ def rank_corr(df: DataFrame, keys: list[str], a: str, b: str, out: str = "ic") -
     return s.withColumn(out, F.when(F.col("__s") > 0, F.col("__c") / F.col("__s"))).drop("__c", "__s")
 
 
+def rank_corrs(df: DataFrame, keys: list[str], names: list[str], b: str) -> DataFrame:
+    """Spearman by group of each of several columns with b: (keys, feature, n, ic) as rank_corr gives them one by one.
+
+    A row is shuffled once for all columns."""
+    rows = x.dealt(df.where(F.col(b).isNotNull()).select(*dict.fromkeys([*keys, *names, b])), *keys)
+    rows = rows.withColumns({f"__on_{i}": F.col(n).isNotNull() for i, n in enumerate(names)})
+    rank = lambda c, i: F.when(F.col(f"__on_{i}"), x.mean_rank(c, [*keys, f"__on_{i}"]))
+    ranked = rows.withColumns({f"__{s}_{i}": rank(c, i) for i, n in enumerate(names) for s, c in (("a", n), ("b", b))})
+    s = ranked.groupBy(*keys).agg(*[
+        F.struct(F.lit(n).alias("feature"), F.count(f"__a_{i}").alias("n"), F.covar_pop(f"__a_{i}", f"__b_{i}").alias("c"), (F.stddev_pop(f"__a_{i}") * F.stddev_pop(f"__b_{i}")).alias("s")).alias(f"__{i}")
+        for i, n in enumerate(names)
+    ])
+    each = s.select(*keys, F.explode(F.array(*[f"__{i}" for i in range(len(names))])).alias("e")).where("e.n > 0")
+    return each.select(*keys, "e.feature", "e.n", F.when(F.col("e.s") > 0, F.col("e.c") / F.col("e.s")).alias("ic"))
+
+
 def rank_ic(clean: DataFrame, periods: list[int]) -> DataFrame:
     """(trade_date, period, n, ic)."""
     long = clean.select("trade_date", "factor", F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.col(f"fwd_{p}").alias("ret")) for p in periods])).alias("f")).select("trade_date", "factor", "f.*")

@@ -69,6 +69,16 @@ def _daily(k: int, least: int):
     return run
 
 
+def wide_correlations(wide: DataFrame, names: list[str], least: int = 1) -> DataFrame:
+    """wide (trade_date, names...), a row per date and entity -> (a, b, days, rho) as pair_correlations."""
+    k = len(names)
+    columns = wide.select(DAY, *[F.col(n).cast("double").alias(f"m{i}") for i, n in enumerate(names)])
+    daily = columns.groupBy(DAY).applyInArrow(_daily(k, least), "a int, b int, rho double")
+    pairs = daily.groupBy("a", "b").agg(F.count("rho").alias("days"), F.avg("rho").alias("rho"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1).alias(c)
+    return pairs.select(name("a"), name("b"), "days", "rho") if names else pairs.select(F.lit("").alias("a"), F.lit("").alias("b"), "days", "rho")
+
+
 def pair_correlations(long: DataFrame, key: str = "model_id", value: str = "score", least: int = 1, common: bool = False, names: list[str] | None = None) -> DataFrame:
     """long (trade_date, entity_code, key, value) -> (a, b, days, rho): mean daily Spearman of every pair, a before b.
 
@@ -78,10 +88,9 @@ def pair_correlations(long: DataFrame, key: str = "model_id", value: str = "scor
     wide, names = side_by_side(long, key, value, names)
     if common:
         wide = wide.dropna()
-    daily = wide.groupBy(DAY).applyInArrow(_daily(len(names), least), "a int, b int, rho double")
-    pairs = daily.groupBy("a", "b").agg(F.count("rho").alias("days"), F.avg("rho").alias("rho"))
-    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1).alias(c)
-    return pairs.select(name("a"), name("b"), "days", "rho") if names else pairs.select(F.lit("").alias("a"), F.lit("").alias("b"), "days", "rho")
+    places = wide_correlations(wide, [f"m{i}" for i in range(len(names))], least)
+    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.substring(c, 2, 9).cast("int") + 1).alias(c)
+    return places.select(name("a"), name("b"), "days", "rho") if names else places
 
 
 def scenarios(weights: dict[str, float], shift: float = 0.1) -> list[tuple[str, str, list[float]]]:

@@ -98,8 +98,14 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
-    return once("bars", lambda: source.bars(trades(spark, sf_dir), tie=TIE, deal=deal))
+def bars(spark: SparkSession, sf_dir: str, deal: bool = False, only: tuple[str, ...] = ()) -> DataFrame:
+    """only: the prices and sums that are needed, for bars that are stored; what is left out is not shuffled either."""
+
+    def make() -> DataFrame:
+        made = source.bars(trades(spark, sf_dir), tie=TIE, deal=deal)
+        return made.select("entity_code", "trade_date", *only) if only else made
+
+    return once("bars", make)
 
 
 def entity_number() -> Column:

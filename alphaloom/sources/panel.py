@@ -16,17 +16,17 @@ def bars(trades: DataFrame, grain: str = "week", entity: str = "entity_code", ti
     """trades (entity, time, price, volume, amount) -> open, high, low, close, volume, amount per entity and period.
 
     The first and the last trade are those by (time, *tie); tie must make the order total for a defined result. The
-    aggregates are partial before the shuffle, so busy entities do not matter. deal: trades are dealt by entity and period
+    aggregates are partial before the shuffle, so busy entities do not matter; the price is shuffled once, within the order. deal: trades are dealt by entity and period
     instead and sorted once, there, where a task holds few of them; for bars that are stored, as all columns are shuffled.
     """
     order = F.struct(time, *tie, "price")
     dated = trades.withColumn("__period", F.to_date(F.date_trunc(grain, F.col(time))))
     rows = dealt(dated, entity, "__period") if deal else dated
     return rows.groupBy(entity, F.col("__period").alias("trade_date")).agg(
-        F.min_by("price", order).alias("open"),
+        F.min(order)["price"].alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", order).alias("close"),
+        F.max(order)["price"].alias("close"),
         F.sum("volume").alias("volume"),
         F.sum("amount").alias("amount"),
     )
