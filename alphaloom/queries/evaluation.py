@@ -313,6 +313,15 @@ def predictions(spark, sf):
     return p.select("trade_date", "entity_code", rows.alias("e")).select("trade_date", "entity_code", "e.*").where("on").drop("on")
 
 
+def side_scores(p):
+    """The scores of predictions as columns a, b and c of the panel's rows, null where an engine leaves a name out."""
+    k, has = entity_number(), c("pct_chg").isNotNull()
+    ready = p.withColumn("__has", has)
+    x = Window.partitionBy("trade_date", "__has")
+    score = lambda f, m: F.when(has & (k % m != 0), 2 * F.percent_rank().over(x.orderBy(f)) - 1)
+    return ready.withColumns({n: score(f, m) for n, f, m in (("a", "pct_chg", 7), ("b", "volume", 5), ("c", "turnover_rate", 11))}).drop("__has")
+
+
 def engines(spark):
     return spark.createDataFrame([("a", 1, 0.5, -0.2, 20), ("b", 2, 0.3, -0.4, 30), ("c", 3, 0.2, 0.0, 25)], "engine string, priority int, weight double, threshold double, top_n int")
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from alphaloom.operators import datasets as d
 from alphaloom.operators import diagnose as g
 from alphaloom.operators import evaluate as e
+from alphaloom.queries import base, diagnosis, evaluation, models
 
+SF = "/root/testdata/sf0.001"
 DAY = dt.date(2020, 1, 1)
 NAMES = ["x", "y", "z", "none"]
 
@@ -78,3 +80,20 @@ def test_labelled_rows_are_the_rows_with_their_labels(spark):
     want = d.realized_labels(df.drop("k"), cal, 3)
     assert table(got.where("ret is not null").select(*want.columns), "entity_code", "trade_date") == table(want, "entity_code", "trade_date")
     assert got.where("ret is null and label is not null").count() == 0
+
+
+def test_scores_side_by_side_are_those_of_predictions(spark):
+    long = evaluation.predictions(spark, SF).groupBy("entity_code", "trade_date").pivot("engine", ["a", "b", "c"]).agg(F.max("score"))
+    wide = evaluation.side_scores(base.panel(spark, SF)).select("entity_code", "trade_date", "a", "b", "c")
+    assert wide.count() == base.panel(spark, SF).count()
+    assert table(wide.where("coalesce(a, b, c) is not null"), "entity_code", "trade_date") == table(long, "entity_code", "trade_date")
+
+
+@pytest.mark.parametrize("module, name", [(models, "m_gram_lines"), (diagnosis, "g_redundancy_groups")])
+def test_bars_are_made_once_and_hold_what_is_needed(spark, monkeypatch, module, name):
+    made, make = [], base.source.bars
+    monkeypatch.setattr(base.source, "bars", lambda *a, **b: made.append(1) or make(*a, **b))
+    kept, once = {}, base.once
+    monkeypatch.setattr(base, "once", lambda n, f: kept.setdefault(n, once(n, f)))
+    module.R.queries[name](spark, SF)
+    assert len(made) == 1 and set(kept["bars"].columns) == {"entity_code", "trade_date", "close", "volume"}
