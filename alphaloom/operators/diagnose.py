@@ -229,15 +229,18 @@ def walk_forward_attribution(df: DataFrame, names: list[str], windows: DataFrame
     df (trade_date, entity_code, label, names...), windows (window, split train or test, start_date, end_date), model_ic
     (window, model_rank_ic) -> (window, feature, train_rank_ic, test_rank_ic, retention, psi, ks, status, window_status,
     weakest, cause). Dates with less than half the median number of names (2 to 30) do not count. Windows are turned into
-    their dates, so that the join is by equality. Fixed values: 0.01 as the least IC that counts, 0.5 and 0.02.
+    their dates, so that the join is by equality; a date's ranks serve all windows that it is in. df is read several times:
+    store it. Fixed values: 0.01 as the least IC that counts, 0.5 and 0.02.
     """
     days = windows.select("window", F.col("split").alias("side"), F.explode(F.sequence("start_date", "end_date")).alias("trade_date"))
-    long = df.unpivot(["trade_date", "entity_code", "label"], names, "feature", "v").join(days, "trade_date")
-    half = df.groupBy("trade_date").agg(F.count("*").alias("n")).agg(F.greatest(F.lit(2), F.least(F.lit(30), F.rint(F.percentile("n", F.lit(0.5)) * 0.5))).alias("least"))
-    key = ["window", "side", "feature"]
-    paired = long.where("v is not null and label is not null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*key, "trade_date"))).crossJoin(half).where("n >= least")
-    ic = ic_stats(rank_corr(paired, [*key, "trade_date"], "v", "label"), key)
-    out = long.select("window", "feature").distinct()
+    sides = days.groupBy("trade_date").agg(F.collect_list(F.struct("window", "side")).alias("w"))  # a row per date
+    met = df.select("trade_date", "label", *names).join(F.broadcast(sides), "trade_date")
+    long = met.unpivot(["trade_date", "w"], names, "feature", "v").select("feature", "v", F.explode("w").alias("w")).select("w.window", "w.side", "feature", "v")
+    sizes = stored(df.groupBy("trade_date").agg(F.count("*").alias("n")))
+    half = sizes.agg(F.greatest(F.lit(2), F.least(F.lit(30), F.rint(F.percentile("n", F.lit(0.5)) * 0.5))).alias("least"))
+    daily = rank_corrs(met, ["trade_date"], names, "label").crossJoin(half).where("n >= least")
+    ic = stored(ic_stats(daily.join(days, "trade_date"), ["window", "side", "feature"]))
+    out = sizes.join(days, "trade_date").select("window", F.explode(F.array(*map(F.lit, names))).alias("feature")).distinct()
     for side in ("train", "test"):
         out = out.join(ic.where(F.col("side") == side).select("window", "feature", F.col("rank_ic").alias(f"{side}_rank_ic")), ["window", "feature"], "left")
     out = out.fillna(0.0, ["train_rank_ic", "test_rank_ic"])

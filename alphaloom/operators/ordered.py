@@ -67,22 +67,27 @@ def _finite(df: DataFrame, value: str) -> DataFrame:
 def gaps(df: DataFrame, value: str, a: Column, b: Column, keys: list[str]) -> DataFrame:
     """(keys, gap): the largest distance between the shares of a and b (counts of a row on either side) up to any value.
 
-    Equal values are counted together first. Within a cell only the largest and smallest running difference count, so a key is
-    put together from one row per cell. Null if a side is empty; values that are not finite play no part.
+    Cells are counted first. At the end of each the distance is known, and within one it cannot pass what the cell's own rows
+    of one side would add. So only cells in which it may pass the largest one known are put in order, their equal values
+    counted together; the others' rows are not shuffled. Rows are read three times. Null if a side is empty; values that are
+    not finite play no part.
     """
     rows = _finite(df.select(*keys, F.col(value).cast("double").alias("__v"), a.cast("long").alias("__a"), b.cast("long").alias("__b")), "__v").where("__a > 0 or __b > 0")
-    counts = rows.groupBy(*keys, "__v").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
     of = stored(ranges(rows, "__v", keys, __na=F.sum("__a"), __nb=F.sum("__b")))
-    placed = met(counts, of, keys).withColumn("__cell", cell(F.col("__v")))
-    within = Window.partitionBy(*keys, "__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumns({"__ua": F.sum("__a").over(within), "__ub": F.sum("__b").over(within)})
-    share = lambda a, b: a / F.nullif("__na", F.lit(0)) - b / F.nullif("__nb", F.lit(0))
-    at = F.struct(share(F.col("__ua"), F.col("__ub")).alias("d"), F.col("__ua").alias("a"), F.col("__ub").alias("b"))
-    cells = local.groupBy(*keys, "__cell", "__na", "__nb").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"), F.max(at).alias("__most"), F.min(at).alias("__least"))
+    placed = met(rows, of, keys).withColumn("__cell", cell(F.col("__v")))
+    sums = stored(placed.groupBy(*keys, "__cell", "__na", "__nb").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"), (F.min("__v") < F.max("__v")).alias("__several")))
     before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    past = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    reach = F.greatest(*[F.abs(share(past("__a") + F.col(end)["a"], past("__b") + F.col(end)["b"])) for end in ("__most", "__least")])
-    return cells.withColumn("__gap", reach).groupBy(*keys).agg(F.max("__gap").alias("gap"))
+    share = lambda a, b: a / F.nullif("__na", F.lit(0)) - b / F.nullif("__nb", F.lit(0))
+    at, end = share(F.col("__pa"), F.col("__pb")), share(F.col("__pa") + F.col("__a"), F.col("__pb") + F.col("__b"))
+    cells = sums.withColumns({"__pa": F.coalesce(F.sum("__a").over(before), F.lit(0)), "__pb": F.coalesce(F.sum("__b").over(before), F.lit(0))}).withColumn("__end", F.abs(end))
+    reach = F.greatest(F.abs(at + F.col("__a") / F.nullif("__na", F.lit(0))), F.abs(at - F.col("__b") / F.nullif("__nb", F.lit(0))))
+    known = F.max("__end").over(Window.partitionBy(*keys))  # a row per cell
+    open_ = stored(cells.withColumn("__open", F.col("__several") & (reach + 1e-12 > known)).where("__open").select(*keys, "__cell", "__na", "__nb", "__pa", "__pb"))
+    counts = met(placed.select(*keys, "__cell", "__v", "__a", "__b"), open_, [*keys, "__cell"]).groupBy(*keys, "__cell", "__na", "__nb", "__pa", "__pb", "__v").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    within = Window.partitionBy(*keys, "__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    inner = counts.select(*keys, F.abs(share(F.col("__pa") + F.sum("__a").over(within), F.col("__pb") + F.sum("__b").over(within))).alias("__gap"))
+    ends = cells.select(*keys, F.col("__end").alias("__gap"))
+    return ends.unionByName(inner).groupBy(*keys).agg(F.max("__gap").alias("gap"))
 
 
 def wins(df: DataFrame, value: str, a: Column, b: Column, keys: list[str]) -> DataFrame:

@@ -55,3 +55,19 @@ def test_no_task_sees_all_values(spark):
     single = [line for line in plan.splitlines() if "SinglePartition" in line]
     below = plan[plan.index("SinglePartition") :] if single else ""
     assert "hashpartitioning(__cell" in plan and (not single or "__cell" in below)
+
+
+def test_gaps_put_only_cells_in_order_that_may_hold_the_largest(spark, monkeypatch):
+    """Before, all rows were shuffled twice to put every cell in order."""
+    rng, kept, store = np.random.default_rng(9), [], ordered.stored
+    monkeypatch.setattr(ordered, "stored", lambda df: kept.append(store(df)) or kept[-1])
+    rows = [(k, float(round(rng.normal() + shift * side, 3)), side) for k, shift in (("far", 1.0), ("near", 0.1), ("same", 0.0)) for side in (0, 1) for _ in range(4000)]
+    rows += [("odd", v, side) for side in (0, 1) for v in (1.0, 1.0, 2.0 + side, float("nan"), None)] + [(None, v, int(v > 3)) for v in (1.0, 5.0, 2.0, 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double, y int")
+    got = {r["k"]: r["gap"] for r in ordered.gaps(df, "v", F.col("y") == 1, F.col("y") == 0, ["k"]).collect()}
+    for key in ("far", "near", "same", "odd", None):
+        a, b = (np.array([v for k, v, y in rows if k == key and y == side and v is not None and v == v]) for side in (1, 0))
+        assert got[key] == pytest.approx(max(abs((a <= v).mean() - (b <= v).mean()) for v in [*a, *b]), abs=1e-12), key
+    cells, open_ = kept[1], kept[2]
+    assert open_.where("k = 'far'").count() < cells.where("k = 'far'").count() / 5
+    assert got["odd"] == pytest.approx(1 / 3) and got[None] == 1

@@ -89,7 +89,7 @@ def test_scores_side_by_side_are_those_of_predictions(spark):
     assert table(wide.where("coalesce(a, b, c) is not null"), "entity_code", "trade_date") == table(long, "entity_code", "trade_date")
 
 
-@pytest.mark.parametrize("module, name", [(models, "m_gram_lines"), (diagnosis, "g_redundancy_groups")])
+@pytest.mark.parametrize("module, name", [(models, "m_gram_lines"), (diagnosis, "g_redundancy_groups"), (diagnosis, "g_attribution")])
 def test_bars_are_made_once_and_hold_what_is_needed(spark, monkeypatch, module, name):
     made, make = [], base.source.bars
     monkeypatch.setattr(base.source, "bars", lambda *a, **b: made.append(1) or make(*a, **b))
@@ -97,3 +97,23 @@ def test_bars_are_made_once_and_hold_what_is_needed(spark, monkeypatch, module,
     monkeypatch.setattr(base, "once", lambda n, f: kept.setdefault(n, once(n, f)))
     module.R.queries[name](spark, SF)
     assert len(made) == 1 and set(kept["bars"].columns) == {"entity_code", "trade_date", "close", "volume"}
+
+
+def test_windows_share_the_ranks_of_their_dates(spark):
+    """Windows that overlap, one without dates; ICs against each window's own rows, one by one."""
+    df = wide_rows(spark).where("label is not null").select("trade_date", "entity_code", "label", "x", "y", "z")
+    at = lambda i: DAY + dt.timedelta(i)
+    spans = [(1, "train", 0, 5), (1, "test", 6, 8), (2, "train", 2, 8), (2, "test", 9, 11), (3, "train", 50, 60), (3, "test", 61, 62)]
+    windows = spark.createDataFrame([(w, s, at(a), at(z)) for w, s, a, z in spans], "window int, split string, start_date date, end_date date")
+    model = spark.createDataFrame([(1, 0.1), (2, 0.2)], "window int, model_rank_ic double")
+    got = {(r["window"], r["feature"]): r for r in g.walk_forward_attribution(df, ["x", "y", "z"], windows, model).collect()}
+    assert set(got) == {(w, f) for w in (1, 2) for f in "xyz"}
+    for w, side, a, z in spans[:4]:
+        for f in "xyz":
+            own = e.rank_corr(df.where(F.col("trade_date").between(at(a), at(z))), ["trade_date"], f, "label").where("n >= 18").collect()  # half of the median of 36 names
+            ics = [r["ic"] for r in own if r["ic"] is not None]
+            assert got[w, f][f"{side}_rank_ic"] == pytest.approx(sum(ics) / len(ics), abs=1e-12), (w, side, f)
+    sides = [{f: [r[f] for r in df.where(F.col("trade_date").between(at(a), at(z)) & F.col(f).isNotNull()).collect()] for f in "xyz"} for a, z in ((2, 8), (9, 11))]
+    for f in "xyz":
+        share = lambda v, x: sum(y <= x for y in v) / len(v)
+        assert got[2, f]["ks"] == pytest.approx(max(abs(share(sides[0][f], x) - share(sides[1][f], x)) for x in sides[0][f] + sides[1][f]), abs=1e-12)
